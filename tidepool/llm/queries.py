@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, packing, simhash, token_counts
-from tidepool.llm.common import table
+from tidepool.llm import ann, packing, simhash, token_counts, toxicity
+from tidepool.llm.common import crc32_mod, pick, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,8 +31,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the rows that are not held out."""
+    taught = pick(labels, doc_id=("doc_id", "long"), toxic=("toxic", "int")).where(crc32_mod(F.col("doc_id"), 3) != 1)
+    return toxicity.fit(pick(docs, doc_id=("doc_id", "long"), text=("text", "string")).fillna("", ["text"]), taught)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
