@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, packing, simhash, token_counts, toxicity
+from tidepool.llm import ann, langid, packing, simhash, token_counts, toxicity
 from tidepool.llm.common import crc32_mod, pick, table
 
 
@@ -43,8 +43,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc32_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """Learned from the rows that are not held out."""
+    taught = pick(docs, doc_id=("doc_id", "long"), text=("text", "string"), lang=("lang", "string")).where(crc32_mod(F.col("doc_id"), 5) != 0)
+    return langid.fit(taught)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, language_model(docs), with_runs=False)
+    return found.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op9_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
