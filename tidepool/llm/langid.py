@@ -3,8 +3,9 @@
 A word's features are its affixes, its character n-grams and, as the lexicon, the word itself; all
 are hashed into a table of fixed size with one weight a language. Transitions between the languages
 of neighbouring words are learned with them, by gradient ascent on the conditional likelihood of
-bounded training sequences. Those are lines of sampled documents of a known language, and chains of
-lines of two languages, so that switches are seen.
+bounded training sequences. Those are the different lines of sampled documents of a known language
+(lines found under several languages are left out), and chains of lines of two languages, so that
+switches are seen.
 
 Fit on at most DOCS documents a language, chosen by the hash of their id among those of at most
 CHARS characters. Apply in one narrow pass over whole texts: forward-backward gives each word its
@@ -110,7 +111,14 @@ def train(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.5
     if not names:
         return Model([], np.zeros((SLOTS, 1)), np.zeros((1, 1)))
     rng, at = np.random.default_rng(seed), {x: i for i, x in enumerate(names)}
-    lines = [(words, at[lang]) for text, lang in zip(texts, langs, strict=True) for line in text.lower().split("\n") if (words := WORD.findall(line)[:64])]
+    spoken: dict[tuple[str, ...], int] = {}  # each line once; those of several languages are passages that go round and teach nothing
+    for text, lang in zip(texts, langs, strict=True):
+        for line in text.lower().split("\n"):
+            words = WORD.findall(line)
+            for i in range(0, len(words), 64):
+                key = tuple(words[i : i + 64])
+                spoken[key] = at[lang] if spoken.get(key, at[lang]) == at[lang] else -1
+    lines = [(list(words), lang) for words, lang in spoken.items() if lang >= 0]
     picked = [lines[i] for i in rng.permutation(len(lines))[: 6000 * len(names)]]
     mixed = [((a[: len(a) // 2 + 1], i), (b[len(b) // 2 :], j)) for (a, i), (b, j) in zip(picked, picked[1:], strict=False) if i != j]
     chains = [[x] for x in picked] + [list(x) for x in mixed[: len(picked) // 4]]
