@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, langid, packing, simhash, token_counts, toxicity
+from tidepool.llm import ann, decontam, langid, licenses, packing, simhash, token_counts, toxicity
 from tidepool.llm.common import crc32_mod, pick, table
 
 
@@ -31,6 +31,19 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.base)
+    starts = F.transform(base, lambda s: s.start)
+    joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s.label))), ",")
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s.coverage)), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("spans")).alias("labels"), score.alias("score"))
+
+
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
     """Learned from the rows that are not held out."""
     taught = pick(labels, doc_id=("doc_id", "long"), toxic=("toxic", "int")).where(crc32_mod(F.col("doc_id"), 3) != 1)
@@ -56,8 +69,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op5_decontamination, op8_licenses, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontam.ORACLE, "op8_licenses": licenses.ORACLE}
