@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, decontam, langid, licenses, packing, simhash, token_counts, toxicity
+from tidepool.llm import ann, decontam, langid, licenses, packing, simhash, token_counts, toxicity, url_filter, warc
 from tidepool.llm.common import crc32_mod, pick, table
 
 
@@ -35,6 +35,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: (verdict, rule). Fixed values.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s.base)
@@ -69,8 +81,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op5_decontamination, op8_licenses, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op5_decontamination, op6_warc, op7_url_filter, op8_licenses, op9_toxicity, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.ORACLE, "op8_licenses": licenses.ORACLE}
+    return {"op5_decontamination": decontam.ORACLE, "op6_warc": warc.ORACLE, "op7_url_filter": url_filter.oracle(URL_RULES), "op8_licenses": licenses.ORACLE}
