@@ -48,3 +48,9 @@ def pick(df: DataFrame, **columns: tuple[str, T.DataType]) -> DataFrame:
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def whole_row(df: DataFrame) -> tuple[DataFrame, T.StructField]:
+    """df with all its columns beside themselves in a struct `whole`, to travel through an operator under one name."""
+    out = df.withColumn("whole", F.struct(*[df[c] for c in df.columns]))
+    return out, out.schema["whole"]

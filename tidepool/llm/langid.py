@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.llm.common import pick
 
@@ -195,8 +196,8 @@ def _runs(best: np.ndarray, langs: list[str]) -> list[dict]:
     return [{"start": int(a), "end": int(b), "lang": langs[best[a]]} for a, b in zip(cuts, cuts[1:], strict=False)] if len(best) else []
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_runs: bool = True) -> DataFrame:
-    """doc_id, n_words, lang, score and runs: the labelled stretches of words of every row."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_runs: bool = True, carry: str | None = None) -> DataFrame:
+    """doc_id, n_words, lang, score and runs: the labelled stretches of words of every row; `carry` is a column that goes along."""
     kept = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     run_type = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
@@ -204,7 +205,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         model = kept.value
         decoder = Decoder(model)
 
-        def out(ids: list, texts: list[list[str]]) -> pa.RecordBatch:
+        def out(ids: list, texts: list[list[str]], along: list[pa.Array]) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
             lang, score, runs = [UNKNOWN] * len(ids), [0.0] * len(ids), [[] for _ in ids]
             if model.langs and sizes.sum():
@@ -218,19 +219,24 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     if with_runs:
                         runs[i] = _runs(best[begin[i] : begin[i] + sizes[i]], model.langs)
             columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(runs, pa.list_(run_type))]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "lang", "score", "runs"])
+            return pa.RecordBatch.from_arrays(columns + along, names)
 
         for batch in batches:
-            ids, texts, held = [], [], 0
+            ids, texts, held, begun = [], [], 0, 0
+            along = lambda end: [c.slice(begun, end - begun) for c in batch.columns[2:]]  # noqa: B023, E731
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids.append(doc_id.as_py())
                 texts.append(WORD.findall(text.as_py().lower()))
                 held += len(texts[-1])
                 if held >= TOGETHER:
-                    yield out(ids, texts)
-                    ids, texts, held = [], [], 0
+                    yield out(ids, texts, along(begun + len(ids)))
+                    ids, texts, held, begun = [], [], 0, begun + len(ids)
             if ids:
-                yield out(ids, texts)
-
-    rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).fillna("", ["text"])
-    return rows.mapInArrow(run, "doc_id long, n_words long, lang string, score double, runs array<struct<start:long,end:long,lang:string>>")
+                yield out(ids, texts, along(batch.num_rows))
+
+    rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), **({carry: (carry, docs.schema[carry].dataType)} if carry else {})).fillna("", ["text"])
+    schema = T._parse_datatype_string("doc_id long, n_words long, lang string, score double, runs array<struct<start:long,end:long,lang:string>>")
+    if carry:
+        schema = schema.add(carry, docs.schema[carry].dataType)
+    names = schema.names
+    return rows.mapInArrow(run, schema)

@@ -2,13 +2,15 @@
 
 1. Fingerprints: one narrow pass over the texts.
 2. Equal fingerprints are pre-aggregated, so that copies become one row before any pairing.
-3. The 64 bits are cut into six blocks. Two fingerprints that differ in at most three bits agree in
-   at least three whole blocks, so they share at least one of the twenty keys made of three blocks.
-   Rows are dealt and sorted by key and scanned as a stream; a bucket of up to BUCKET rows is
-   linked in place.
-4. A larger bucket is not linked, nor cut short: its rows go to a next level, where the three
-   blocks that are still free are halved and again three of six have to agree. The third level
-   leaves at most nine free bits, so its buckets hold at most 512 different fingerprints.
+3. The 64 bits are cut into blocks, more of them than bits may differ, so close fingerprints agree in
+   some whole blocks. For a distance of 3 there are six blocks, of which at least three agree, so
+   close pairs share at least one of the twenty keys made of three blocks; for a distance of 6 there
+   are eight, of which two agree, and 28 keys. Rows are dealt and sorted by key and scanned as a
+   stream; a bucket of up to `bucket` rows is linked in place.
+4. A larger bucket is not linked, nor cut short: its rows go to a next level, where the bits that are
+   still free are cut into as many blocks again, of which as many have to agree. For a distance of
+   3 the third level leaves at most nine free bits, so its buckets hold at most 512 different
+   fingerprints. Buckets hold eight bytes a row, and a dense one is linked in few comparisons.
 5. From each bucket only a spanning forest of its links goes out (never all pairs), and the links
    are joined into components.
 
@@ -33,10 +35,11 @@ from tidepool.llm.common import materialise, pick
 from tidepool.operators.components import connected_components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
-#: Rows of a bucket that are linked in place.
-BUCKET = 4096
-BLOCKS = 6
-_KEYED = "combo int, key long, fp long"
+#: By distance: blocks, how many of them agree at least, rows of a bucket that are linked in place.
+BLOCKS = {3: (6, 3, 4096), 6: (8, 2, 65_536)}
+LEVELS = 3
+#: Buckets of up to this size are compared all together before any is linked.
+SMALL = 16
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -68,26 +71,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @functools.lru_cache(maxsize=None)
-def masks() -> dict[int, list[tuple[int, int]]]:
+def masks(distance: int) -> dict[int, list[tuple[int, int]]]:
     """combo -> its (child combo, mask) pairs; combo 0 is the start. A mask has the bits that a child's rows agree in."""
-
-    def split(bits: list[int], n: int) -> list[list[int]]:
-        return [list(map(int, p)) for p in np.array_split(bits, n)]
-
+    blocks, agree, _ = BLOCKS[distance]
     out: dict[int, list[tuple[int, int]]] = {}
     number = itertools.count(1)
 
-    def grow(combo: int, blocks: list[list[int]], level: int) -> None:
-        children = []
-        for kept in itertools.combinations(range(BLOCKS), BLOCKS - DISTANCE):
-            free = [b for i, b in enumerate(blocks) if i not in kept]
+    def grow(combo: int, free: list[int], level: int) -> None:
+        parts = [p.tolist() for p in np.array_split(free, blocks)]
+        out[combo] = []
+        for kept in itertools.combinations(range(blocks), agree):
+            rest = [bit for i, part in enumerate(parts) if i not in kept for bit in part]
             child = next(number)
-            children.append((child, ~sum(1 << bit for b in free for bit in b) & (1 << 64) - 1))
-            if level < 3:
-                grow(child, [half for b in free for half in split(b, 2)], level + 1)
-        out[combo] = children
+            out[combo].append((child, ~sum(1 << bit for bit in rest) & (1 << 64) - 1))
+            if level < LEVELS:
+                grow(child, rest, level + 1)
 
-    grow(0, split(list(range(64)), BLOCKS), 1)
+    grow(0, list(range(64)), 1)
     return out
 
 
@@ -95,7 +95,7 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def spanning_links(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """For unsigned fingerprints: each one beside the first of its component, for those that are not that themselves."""
     a, b, rest = [], [], fps
     while len(rest):
@@ -111,11 +111,11 @@ def spanning_links(fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarra
     return (np.concatenate(a), np.concatenate(b)) if a else (fps[:0], fps[:0])
 
 
-def _linked(keyed: DataFrame, bucket: int) -> DataFrame:
+def _linked(keyed: DataFrame, distance: int, bucket: int) -> DataFrame:
     """Rows dealt by key: links (combo null, a, b) of small buckets, rows of the next level (combo, key, fp in a) of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = masks()
+        tree = masks(distance)
         held = [np.zeros(0, np.int64)] * 3
         over: tuple[int, int] | None = None  # the key whose rows all go to the next level
 
@@ -136,14 +136,17 @@ def _linked(keyed: DataFrame, bucket: int) -> DataFrame:
             edges = np.flatnonzero((np.diff(combo) != 0) | (np.diff(key) != 0)) + 1
             starts, ends = np.r_[0, edges], np.r_[edges, len(fp)]
             size, u = ends - starts, fp.view(np.uint64)
-            two = starts[size == 2]
-            near = two[np.bitwise_count(u[two] ^ u[two + 1]) <= DISTANCE]
-            a, b = [fp[near + 1]], [fp[near]]
-            for s, e in zip(starts[size > 2], ends[size > 2], strict=True):
+            near = size > SMALL  # buckets that may have a link
+            of = np.repeat(np.arange(len(size)), size)
+            for apart in range(1, min(SMALL, int(size.max()))):
+                close = (of[apart:] == of[:-apart]) & (np.bitwise_count(u[apart:] ^ u[:-apart]) <= distance)
+                near[of[:-apart][close]] = True
+            a, b = [fp[:0]], [fp[:0]]
+            for s, e in zip(starts[near], ends[near], strict=True):
                 if e - s > bucket and combo[s] in tree:
                     yield deeper(int(combo[s]), fp[s:e])
                     continue
-                x, y = spanning_links(u[s:e])
+                x, y = spanning_links(u[s:e], distance)
                 a.append(x.view(np.int64))
                 b.append(y.view(np.int64))
             a, b = np.concatenate(a), np.concatenate(b)
@@ -177,13 +180,13 @@ def _linked(keyed: DataFrame, bucket: int) -> DataFrame:
     return dealt.mapInArrow(run, "combo int, key long, a long, b long")
 
 
-def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, bucket: int | None = None) -> DataFrame:
     """A spanning forest (a, b) of all pairs of different fingerprints within the distance; `distinct` has one row per fp."""
-    keys = [F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for c, m in masks()[0]]
+    keys = [F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for c, m in masks(distance)[0]]
     keyed = distinct.select("fp", F.inline(F.array(*keys))).select("combo", "key", "fp")
     found = None
-    for _ in range(3):
-        level = materialise(_linked(keyed, bucket), "simhash-links")
+    for _ in range(LEVELS):
+        level = materialise(_linked(keyed, distance, bucket or BLOCKS[distance][2]), "simhash-links")
         edges = level.where("combo is null").select("a", "b")
         found = edges if found is None else found.union(edges)
         keyed = level.where("combo is not null").select("combo", "key", F.col("a").alias("fp"))
@@ -192,11 +195,11 @@ def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, distance: int = DISTANCE, bucket: int | None = None) -> DataFrame:
     """doc_id, fp and component_id (the smallest id reachable over links, its own included) of every row."""
-    prints = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
+    prints = materialise(fingerprints(docs, id_col, text_col, words), "simhash-prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(links(distinct.select("fp"), bucket)).select(F.col("v").alias("fp"), "root")
+    roots = connected_components(links(distinct.select("fp"), distance, bucket)).select(F.col("v").alias("fp"), "root")
     classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = classes.join(least, "root").select("fp", "component_id")

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepool.llm.common import materialise, pick
 
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def _evidence(model: Model):
+def _evidence(model: Model, names: tuple[str, ...] = ("doc_id", "n_words", "evidence", "passages")):
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("p", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +191,16 @@ def _evidence(model: Model):
                 n.append(words)
                 found.append([{"start": a, "end": b, "score": s, "p": p} for a, b, s, p in segments])
             evidence = [float(sum(-np.log(x["p"]) for x in f)) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(evidence, pa.float64()), pa.array(found, pa.list_(passage))], ["doc_id", "n_words", "evidence", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(evidence, pa.float64()), pa.array(found, pa.list_(passage)), *batch.columns[2:]], list(names))
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, evidence, passages (token positions, score, p-value) and score of every row."""
-    rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).fillna("", ["text"])
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id, n_words, evidence, passages (token positions, score, p-value) and score of every row; `carry` is a column that goes along."""
+    rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string"), **({carry: (carry, docs.schema[carry].dataType)} if carry else {})).fillna("", ["text"])
     a, b = model.curve
-    return rows.mapInArrow(_evidence(model), SCHEMA).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("evidence")))))
+    schema = T._parse_datatype_string(SCHEMA)
+    if carry:
+        schema = schema.add(carry, docs.schema[carry].dataType)
+    return rows.mapInArrow(_evidence(model, tuple(schema.names)), schema).withColumn("score", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("evidence")))))
