@@ -41,7 +41,7 @@ def fuse(lists: dict[str, tuple[DataFrame, float]], query: str, id_col: str, k:
 
 def decay(created_at: Column, as_of: Column, half_life_hours: float = 336.0, floor: float = 0.2) -> Column:
     """Exponential age decay with a floor; no date, no decay."""
-    hours = F.greatest(F.lit(0.0), (F.unix_micros(as_of) - F.unix_micros(created_at)) / F.lit(3.6e9))
+    hours = F.greatest(F.lit(0.0), (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(created_at.cast("timestamp"))) / F.lit(3.6e9))
     return F.coalesce(F.greatest(F.lit(floor), F.exp(-F.lit(LN2) * hours / F.lit(max(1.0, half_life_hours)))), F.lit(1.0))
 
 

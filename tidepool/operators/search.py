@@ -71,4 +71,4 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str
 
 def sign_bucket(vector: Column | str, bits: int) -> Column:
     """The first `bits` signs as a number."""
-    return F.aggregate(F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(0)), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)

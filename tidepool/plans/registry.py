@@ -26,12 +26,25 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _ORACLE
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return queries()["ret_hybrid"](spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"tidepool.plans.{name}")
+
+
+MODULES = ("q_search",)
