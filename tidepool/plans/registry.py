@@ -47,4 +47,4 @@ def load() -> None:
         importlib.import_module(f"tidepool.plans.{name}")
 
 
-MODULES = ("q_search",)
+MODULES = ("q_search", "q_facts")
