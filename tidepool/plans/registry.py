@@ -47,4 +47,4 @@ def load() -> None:
         importlib.import_module(f"tidepool.plans.{name}")
 
 
-MODULES = ("q_search", "q_facts", "q_text", "q_logs", "q_questions")
+MODULES = ("q_search", "q_facts", "q_text", "q_logs", "q_questions", "q_custom")

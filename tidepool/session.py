@@ -20,3 +20,24 @@ def get_session(app: str = "tidepool", master: str | None = None, **conf: str) -
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, so that Python workers find it wherever they run."""
+    import os
+    import tempfile
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_tidepool_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tidepool-"), "tidepool.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    context.addPyFile(path)
+    context._tidepool_shipped = True
