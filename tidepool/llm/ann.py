@@ -2,8 +2,8 @@
 
 Fit: for each of ROTATIONS starts, a rotation is learned (iterative quantisation) on a bounded sample
 of SAMPLE vectors; the signs of all rotated components make a code. Vectors of unequal length get
-one more component, sqrt(M^2 - |x|^2) with M the largest norm, so that the largest inner product is
-the smallest angle.
+one more component, sqrt(M^2 - |x|^2) with M the largest norm, and queries a zero, so that the largest
+inner product is the smallest angle.
 
 Search: vectors are dealt into blocks of about BLOCK rows, queries into blocks of QUERIES. In each
 cell of the two, the codes are cut into 8-bit substrings, and each substring has an index from value
@@ -61,6 +61,11 @@ def lifted(x: np.ndarray, largest: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
 
 
+def asked(y: np.ndarray) -> np.ndarray:
+    """Queries among lifted vectors: their direction alone."""
+    return np.hstack([y / np.linalg.norm(y, axis=1, keepdims=True), np.zeros((len(y), 1))])
+
+
 def codes(x: np.ndarray, rotations: np.ndarray) -> np.ndarray:
     """Rows of bytes, padded to whole 64-bit words."""
     bits = x @ rotations >= 0
@@ -124,7 +129,7 @@ def _matrix(column: pa.Array | pd.Series, d: int) -> np.ndarray:
     return np.stack(column.to_numpy()).reshape(-1, d)
 
 
-def _search(k: int, ball: int):
+def _search(k: int, ball: int, rotations):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         data, asks = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
         if not len(data) or not len(asks):
@@ -136,8 +141,8 @@ def _search(k: int, ball: int):
         index, out = MultiIndex(np.ascontiguousarray(code)), []
         for at in range(0, len(asks), 64):
             part = asks.iloc[at : at + 64]
-            y, c = _matrix(part.embedding, d).astype(np.float64), np.stack([np.frombuffer(b, np.uint8) for b in part.code])
-            q, r = index.balls(np.ascontiguousarray(c), ball + 1)
+            y = _matrix(part.embedding, d).astype(np.float64)
+            q, r = index.balls(np.ascontiguousarray(codes(asked(y), rotations.value)), ball + 1)
             own = part.vec_id.to_numpy(np.int64)
             other = (order[r] != own[q]) | ids.isna().to_numpy()[r]
             q, r = q[other], r[other]
@@ -185,6 +190,6 @@ def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vect
     data = coded.withColumn("kind", F.lit(0)).withColumn("at", deal(blocks)).withColumn("q", every_cell(query_blocks))
     asks = asks.withColumn("kind", F.lit(1)).withColumn("q", deal(query_blocks)).withColumn("at", every_cell(blocks))
     cells = data.select((F.col("at") * query_blocks + F.col("q")).alias("cell"), *columns).union(asks.select((F.col("at") * query_blocks + F.col("q")).alias("cell"), *columns))
-    found = cells.groupBy("cell").applyInPandas(_search(k, ball), _FOUND)
+    found = cells.groupBy("cell").applyInPandas(_search(k, ball, rotations), _FOUND)
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
