@@ -51,7 +51,8 @@ def transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def corpus(memories: DataFrame) -> DataFrame:
     """(doc_id, text) of rows with doc_id and a list of memories, each once: the first of equal ones."""
-    each = memories.select("doc_id", F.posexplode("memories").alias("nth", "text")).withColumn("doc_id", F.when(F.size("memories") > 1, F.concat_ws("#", "doc_id", "nth")).otherwise(F.col("doc_id"))) if "memories" in memories.columns else memories
+    each = memories.select("doc_id", F.size("memories").alias("n"), F.posexplode("memories").alias("nth", "text"))
+    each = each.withColumn("doc_id", F.when(F.col("n") > 1, F.concat_ws("#", "doc_id", "nth")).otherwise(F.col("doc_id")))
     return each.groupBy("doc_id", "text").agg(F.count("*").alias("n_seen"))
 
 
