@@ -80,3 +80,8 @@ def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFra
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
+
+
+def stored(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends to Parquet what has come since the checkpoint, then stops."""
+    stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
