@@ -51,7 +51,7 @@ def access_boost(hits: Column, per_hit: float = 0.05, cap: float = 2.0) -> Colum
 
 def first_per_key(df: DataFrame, by: list[str], key: Column, *order: Column) -> DataFrame:
     """The best row per de-duplication key within each group."""
-    return df.withColumn("key", key).withColumn("nth", F.row_number().over(Window.partitionBy(*by, "key").orderBy(*order))).where("nth = 1").drop("nth", "key")
+    return df.withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy(*by, "_key").orderBy(*order))).where("_nth = 1").drop("_nth", "_key")
 
 
 def dedupe_key(doc_id: Column, source: Column, content: Column, row_id: Column) -> Column:
@@ -75,7 +75,7 @@ def within_budget(df: DataFrame, by: list[str], cost: Column, budget: int, *orde
     w = Window.partitionBy(*by).orderBy(*order)
     out = df.withColumn("used", F.sum(cost).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     fits = F.col("used") <= budget
-    return out.withColumn("nth", F.row_number().over(w)).where(fits | ((F.col("nth") == 1) & F.lit(keep_first))).drop("nth")
+    return out.withColumn("_nth", F.row_number().over(w)).where(fits | ((F.col("_nth") == 1) & F.lit(keep_first))).drop("_nth")
 
 
 def truncated_budget(df: DataFrame, by: list[str], text: str, budget: int, *order: Column) -> DataFrame:
