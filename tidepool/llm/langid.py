@@ -31,10 +31,12 @@ from pyspark.sql import types as T
 
 from tidepool.llm.common import pick
 
-DOCS, CHARS = 500, 20_000
+DOCS, CHARS = 300, 20_000
+#: Training chains of a language.
+LINES = 2000
 CHAIN, SLOTS = 512, 1 << 18
 #: Words of a worker's memory, and words that are decoded together.
-CACHE, TOGETHER = 300_000, 400_000
+CACHE, TOGETHER = 200_000, 200_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -56,8 +58,8 @@ class Words:
 
     def __init__(self, words: list[str]) -> None:
         lists = [features(w) for w in words]
-        self.size = np.array([len(x) for x in lists], np.int64)
-        self.slots = np.fromiter((i for x in lists for i in x), np.int64, int(self.size.sum()))
+        self.size = np.array([len(x) for x in lists], np.int32)
+        self.slots = np.fromiter((i for x in lists for i in x), np.int32, int(self.size.sum()))
         self.start = np.cumsum(self.size) - self.size
 
     def scores(self, weight: np.ndarray) -> np.ndarray:
@@ -119,8 +121,8 @@ def train(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.5
             for i in range(0, len(words), 64):
                 key = tuple(words[i : i + 64])
                 spoken[key] = at[lang] if spoken.get(key, at[lang]) == at[lang] else -1
-    lines = [(list(words), lang) for words, lang in spoken.items() if lang >= 0]
-    picked = [lines[i] for i in rng.permutation(len(lines))[: 6000 * len(names)]]
+    lines = [(words, lang) for words, lang in spoken.items() if lang >= 0]
+    picked = [lines[i] for i in rng.permutation(len(lines))[: LINES * len(names)]]
     mixed = [((a[: len(a) // 2 + 1], i), (b[len(b) // 2 :], j)) for (a, i), (b, j) in zip(picked, picked[1:], strict=False) if i != j]
     chains = [[x] for x in picked] + [list(x) for x in mixed[: len(picked) // 4]]
     index: dict[str, int] = {}
@@ -135,13 +137,12 @@ def train(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.5
     seen = np.zeros((n, n))
     np.add.at(seen, (gold[:-1][~first[1:]], gold[1:][~first[1:]]), 1)
     hot = np.eye(n)[gold]
-    owner = np.repeat(np.arange(len(table.size)), table.size)
+    owner = np.repeat(np.arange(len(table.size), dtype=np.int32), table.size)
     weight, transition = np.zeros((SLOTS, n)), np.zeros((n, n))
     sum_w, sum_t = np.full((SLOTS, n), 1e-2), np.full((n, n), 1e-2)
     for _ in range(steps):
         p, pairs = layout.posteriors(table.scores(weight)[rows], transition)
-        by_word = np.column_stack([np.bincount(rows, (hot - p)[:, k], len(table.size)) for k in range(n)])
-        g = np.column_stack([np.bincount(table.slots, by_word[owner, k], SLOTS) for k in range(n)]) - ridge * len(rows) * weight
+        g = np.column_stack([np.bincount(table.slots, np.bincount(rows, hot[:, k] - p[:, k], len(table.size))[owner], SLOTS) for k in range(n)]) - ridge * len(rows) * weight
         sum_w += g * g
         weight += rate * g / np.sqrt(sum_w)
         g = seen - pairs - ridge * len(rows) * transition
