@@ -22,7 +22,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def one(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return "null"
         return f"{float(v):.7g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
