@@ -10,14 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import decontam, langid, packing, simhash, toxicity
+from tidepool.llm import decontam, langid, near, packing, simhash, toxicity
 from tidepool.llm.common import fresh_path, table, whole_row
 from tidepool.llm.queries import language_model, toxicity_model
 
 #: A document whose words have less than this mean posterior in its best language is rejected.
 LANGUAGE_SCORE = 0.3
 TOXIC_SCORE = 0.7
-#: Bits in which near-duplicates may differ.
+#: Bits in which fingerprints of candidates may differ, besides those of MinHash bands; similarity decides.
 NEAR = 6
 
 
@@ -36,9 +36,10 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the first in the order of the rows."""
+    """One document of each group linked by a similarity of 0.8 or more over five-word shingles: the first in the order of the rows."""
     rows = docs.withColumn("row_of_docs", F.monotonically_increasing_id())
-    groups = simhash.near_duplicates(rows, id_col="row_of_docs", distance=NEAR)
+    close = simhash.near_duplicates(rows, id_col="row_of_docs", distance=NEAR).where("doc_id <> component_id")
+    groups = near.near_duplicates(rows, id_col="row_of_docs", more=close.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("row_of_docs"))
     return rows.join(kept, "row_of_docs", "left_semi").select(*docs.columns)
 
