@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,6 +71,48 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str
     return ranking.top_k(scored, [query_id], k, F.desc("score"), F.asc(id_col))
 
 
+#: Queries and vectors that one task of a blocked search holds.
+QUERIES, VECTORS = 1024, 8192
+
+
+def knn_blocks(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, query_id: str, digits: int = 6, centres: np.ndarray | None = None, probes: int = 0, block: tuple[int, int] = (QUERIES, VECTORS)) -> DataFrame:
+    """Inner-product neighbours of a set of queries that may grow with the vectors: each block of queries meets each block of vectors in a task, which keeps k of each query.
+
+    With `centres`, vectors have their `cell`, and a query meets those of its `probes` nearest cells only. Null vectors are left out.
+    """
+    both = lambda df, i, **more: df.where(F.col(vector).isNotNull()).select(F.col(i).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), (F.col("cell").cast("int") if more.get("cell") else F.lit(0)).alias("cell"))
+    asks, rows = both(queries, query_id), both(vectors, id_col, cell=centres is not None)
+    n_asks, n_rows = (max(1, -(-df.count() // size)) for df, size in zip((asks, rows), block, strict=True))
+    dealt = lambda df, own, n_own, other, n_other: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), -1)
+        out: list[list[np.ndarray]] = [[], [], []]
+        if len(left) and len(right):
+            ask, row, ask_ids, row_ids = matrix(left), matrix(right), left.column("id").to_numpy(), right.column("id").to_numpy()
+            scores = np.full((len(ask), len(row)), -np.inf)
+            if centres is None:
+                scores = np.round(ask @ row.T, digits)
+            else:
+                probed = np.argsort(-(ask @ centres.T), axis=1, kind="stable")[:, :probes]
+                cell = right.column("cell").to_numpy()
+                for c in np.unique(cell):
+                    q, x = np.flatnonzero((probed == c).any(axis=1)), np.flatnonzero(cell == c)
+                    scores[np.ix_(q, x)] = np.round(ask[q] @ row[x].T, digits)
+            scores[ask_ids[:, None] == row_ids[None]] = -np.inf
+            for i, s in enumerate(scores):
+                few = np.flatnonzero((s >= (np.partition(s, -k)[-k] if len(s) > k else -np.inf)) & (s > -np.inf))
+                few = few[np.lexsort((row_ids[few], -s[few]))[:k]]
+                for o, x in zip(out, (np.full(len(few), ask_ids[i]), row_ids[few], s[few]), strict=True):
+                    o.append(x)
+        one = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+        return pa.table({query_id: one(out[0], pa.int64()), id_col: one(out[1], pa.int64()), "score": one(out[2], pa.float64())})
+
+    left, right = dealt(asks, "qb", n_asks, "vb", n_rows), dealt(rows, "vb", n_rows, "qb", n_asks)
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(best, f"{query_id} long, {id_col} long, score double")
+    return ranking.top_k(found, [query_id], k, F.desc("score"), F.asc(id_col))
+
+
 def sign_bucket(vector: Column | str, bits: int) -> Column:
     """The first `bits` signs as a number."""
     return F.aggregate(F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s + x)
