@@ -46,3 +46,16 @@ def test_recall_of_cells(spark, sf):
         got.setdefault(r.query_id, set()).add(r.vec_id)
     assert set(got) == set(want)
     assert np.mean([len(got[q] & {i for _, i in x}) / len(x) for q, x in want.items()]) >= 0.9
+
+
+def test_search_answers_every_fiftieth_row(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = stored(spark, sf)
+    want = exact(rows, [r for r in rows if r[0] % 50 == 0], 20)
+    got: dict = {}
+    for r in registry.queries()["top_knn"](spark, sf).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 40 and got == {q: [i for _, i in x] for q, x in want.items()}
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    content = {(r.query_id, r.vec_id, r.lang) for r in registry.queries()["jn_vector_content"](spark, sf).collect()}
+    assert content == {(q, i, langs[i]) for q, x in got.items() for i in x if i in langs}

@@ -94,14 +94,20 @@ def _knn(spark, sf, k=20) -> DataFrame:
     return search.knn(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id", "embedding", "query_id")
 
 
+def _knn_all(spark, sf, k=20) -> DataFrame:
+    """Every row whose id is divisible by 50 against all rows. `_knn` is for fusion, whose queries pair with those of the keyword list."""
+    v = table(spark, sf, "embeddings")
+    return search.knn_blocks(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id", "embedding", "query_id")
+
+
 @query("top_knn", f"WITH {_KNN.format(20)} SELECT query_id, vec_id, score, rank FROM knn")
 def _(spark, sf):
-    return _knn(spark, sf)
+    return _knn_all(spark, sf)
 
 
 @query("jn_vector_content", f"WITH {_KNN.format(20)} SELECT query_id, vec_id, score, d.lang FROM knn JOIN documents d ON d.doc_id = vec_id")
 def _(spark, sf):
-    return _knn(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id").select("query_id", "vec_id", "score", "lang")
+    return _knn_all(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id").select("query_id", "vec_id", "score", "lang")
 
 
 @query("ret_embed_buckets", "SELECT vec_id, list_sum([CASE WHEN embedding[i + 1] > 0 THEN (1 << i) ELSE 0 END FOR i IN range(16)])::bigint AS bucket FROM embeddings")
