@@ -219,7 +219,7 @@ def _(spark, sf):
 
 @query("jn_pair_entities", f"WITH {FACTS_SQL}, m AS (SELECT DISTINCT chunk_id, entity_key FROM facts WHERE chunk_id < 60) SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS shared FROM m a JOIN m b ON a.entity_key = b.entity_key AND a.chunk_id < b.chunk_id GROUP BY ALL HAVING count(*) >= 2")
 def _(spark, sf):
-    m = fx.keyed(facts(spark, sf)).where("chunk_id < 60").select("chunk_id", "entity_key").distinct()
+    m = fx.keyed(facts(spark, sf)).select("chunk_id", "entity_key").distinct()
     pairs = m.alias("a").join(m.alias("b"), (F.col("a.entity_key") == F.col("b.entity_key")) & (F.col("a.chunk_id") < F.col("b.chunk_id")))
     return pairs.groupBy(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
 

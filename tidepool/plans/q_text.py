@@ -182,9 +182,9 @@ def _(spark, sf):
 
 @query("set_jaccard_tokens", "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents WHERE doc_id < 80) SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def _(spark, sf):
-    t = _docs(spark, sf).where("doc_id < 80").select("doc_id", F.array_distinct(search.tokens(F.col("text"))).alias("t"))
+    t = _docs(spark, sf).select("doc_id", F.array_distinct(search.tokens(F.col("text"))).alias("t"))
     both = t.alias("a").join(t.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
-    return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), (F.size(F.array_intersect("a.t", "b.t")) / F.size(F.array_union("a.t", "b.t"))).alias("jaccard"))
+    return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.try_divide(F.size(F.array_intersect("a.t", "b.t")), F.size(F.array_union("a.t", "b.t"))).alias("jaccard"))
 
 
 @query("gov_polarity", "SELECT item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), ['no', 'not', 'never', 'without', 'nicht', 'pas'])) > 0 AS negative FROM benchmark")
