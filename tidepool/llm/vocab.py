@@ -1,8 +1,9 @@
 """Exact and fast use of public BPE vocabularies inside Python workers.
 
-Texts whose characters all lie in a fixed Latin range are split by an explicit character-class
-pattern and merged by rank; every other text goes to the vocabulary's own library as it is. The two
-give the same ids (tests/llm/test_tokens.py holds them against each other).
+Stretches of text whose characters all lie in a fixed Latin range are split by an explicit
+character-class pattern and merged by rank; words with any other character go, with what touches
+them up to the nearest blank, to the vocabulary's own library. The two give the same ids
+(tests/llm/test_tokens.py holds them against each other).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import os
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -20,6 +22,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 SAFE = "\x00\x02-\x1b\x20-ɏ‐-‧‰-⁞€"
 _UNSAFE = re.compile(f"[^{SAFE}]")
 _LATIN = [chr(c) for c in range(0x250)]
+#: Letters that lower-casing takes out of the range: safe as they are, but not for a vocabulary that lower-cases.
+_LEAVING = "".join(c for c in _LATIN if any(ord(x) >= 0x250 for x in c.lower()))
+_UNSAFE_TO_LOWER = re.compile(f"[^{SAFE}]|[{_LEAVING}]")
 LETTERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "L"))
 NUMBERS = re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == "N"))
 BLANKS = "\\t-\\r \\x85\\xa0"
@@ -31,6 +36,25 @@ def is_safe(text: str) -> bool:
     return _UNSAFE.search(text) is None
 
 
+def stretches(text: str, unsafe: re.Pattern[str] = _UNSAFE) -> Iterator[tuple[bool, str]]:
+    """The text in parts (safe or not), cut only before a space that follows a safe character that is no blank: no pre-token and no lookahead crosses such a place."""
+    done, found = 0, unsafe.search(text)
+    while found:
+        start, end = found.start(), found.end()
+        while (start := text.rfind(" ", done, start)) > done and (text[start - 1].isspace() or unsafe.match(text, start - 1)):
+            pass
+        start = max(start, done)
+        while (end := text.find(" ", end)) >= 0 and (text[end - 1].isspace() or unsafe.match(text, end - 1)):
+            end += 1
+        end = len(text) if end < 0 else end
+        if start > done:
+            yield True, text[done:start]
+        yield False, text[start:end]
+        done, found = end, unsafe.search(text, end)
+    if done < len(text):
+        yield True, text[done:]
+
+
 def byte_of_char() -> dict[str, int]:
     """The bytes behind the printable characters of byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,8 +94,14 @@ class WordBpe:
         self.core = tiktoken.Encoding("word", pat_str="[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if not is_safe(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return library(self.path).encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for safe, part in stretches(text, _UNSAFE_TO_LOWER):
+            out += self._safe_ids(part) if safe else library(self.path).encode(part, add_special_tokens=False).ids
+        return out
+
+    def _safe_ids(self, text: str) -> list[int]:
         words = self.PATTERN.findall(text.lower())
         return self.core.encode_ordinary("\x01".join(words) + "\x01") if words else []
 
@@ -97,8 +127,11 @@ class ByteBpe:
         return n
 
     def count(self, text: str) -> int:
-        if not is_safe(text) or any(s in text for s in self.special):
+        if any(s in text for s in self.special):
             return len(library(self.path).encode(text, add_special_tokens=False).ids)
+        return sum(self._safe_count(part) if safe else len(library(self.path).encode(part, add_special_tokens=False).ids) for safe, part in stretches(text))
+
+    def _safe_count(self, text: str) -> int:
         words = self.PATTERN.findall(text)
         get = self.known.get
         counts = [get(w) for w in words]
