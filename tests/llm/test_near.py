@@ -89,10 +89,12 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=12).tolist()) for i in range(600)]
     rows += [(600 + i, rows[0][1]) for i in range(30)]
-    rows += [(700, None), (720, [0.0] * 12), (740, [None] + [1.0] * 11), (760, [float("nan")] * 12), (780, [1.0] * 5), (None, rows[1][1])]
+    rows += [(700, None), (720, [0.0] * 12), (740, [None] + [1.0] * 11), (760, [float("nan")] * 12), (780, [1.0] * 5), (781, [1.0, 2.0, 1.0, 1.0, 1.0]), (None, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("embedding", "v")
     df = df.withColumnsRenamed({"v": "embedding"})
-    got = ann.nearest(df, 20, 20, block=256, ball=80).collect()
+    got = ann.nearest(df.selectExpr("*", "0 AS row", "1 AS rank", "2 AS score", "3 AS asks"), 20, 20, block=256, queries=10, least=80).collect()
+    assert {r.query_id for r in got if r.vec_id == 781} == {780} and [(r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id == 780] == [(780, 1, 781, 6.0)]
+    got = [r for r in got if r.query_id != 780]
     stored = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is None or len(r.embedding) == 12]
     want = {i: s for i, s in exact([(i, v) for i, v in stored if i is not None], 20, 20).items()}
     found = {i: {r.vec_id for r in got if r.query_id == i} for i in want}
@@ -114,15 +116,49 @@ def test_few_neighbours_are_all_found(spark):
     assert ties == sorted(ties)
 
 
-@pytest.mark.parametrize("radius", [5, 40, 10_000])
-def test_balls_are_complete(radius):
+@pytest.mark.parametrize("distance", [0, 1, 3])
+def test_probing_is_complete_and_selective(distance):
     rng = np.random.default_rng(5)
-    code = rng.integers(0, 256, (300, 8)).astype(np.uint8)
-    q, r = ann.MultiIndex(code).balls(np.ascontiguousarray(code[:10]), radius)
-    h = np.bitwise_count(code[:10].view(np.uint64)[:, None] ^ code.view(np.uint64)[None]).sum(axis=2)
-    for i in range(10):
-        least = np.sort(h[i])[min(radius, 300) - 1]
-        assert sorted(r[q == i]) == sorted(np.flatnonzero(h[i] <= least))
+    code = rng.integers(0, 1 << 16, (4000, 6)).astype(np.uint16)
+    near = code[:5] ^ np.uint16(1 << 7 | 3)
+    code[100:105] = near
+    queries = code[:5]
+    apart = np.bitwise_count(queries[:, None] ^ code[None])
+    got = ann.MultiIndex(code).retrieve(queries, 1, distance)
+    assert (got == (apart.min(axis=2) <= distance)).all()
+    radius = (distance + 1) * code.shape[1] - 1
+    assert got[apart.sum(axis=2) <= radius].all()
+    assert got.mean() < (0.001, 0.003, 0.08)[(0, 1, 3).index(distance)]
+
+
+def test_probing_rises_until_there_are_enough_rows():
+    code = np.random.default_rng(6).integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
+    got = ann.MultiIndex(code).retrieve(code[:8], 200, 0)
+    assert (got.sum(axis=1) >= 200).all() and got.mean() < 0.5
+    assert ann.MultiIndex(code).retrieve(code[:8], 3000).all()
+
+
+def test_codes_hold_no_constant_bits():
+    x = np.random.default_rng(7).normal(size=(2000, 64))
+    code = ann.codes(ann.lifted(x), ann.learn(ann.lifted(x[:500]), steps=3))
+    assert code.shape == (2000, ann.BITS // ann.SUB_BITS)
+    bits = np.unpackbits(code.view(np.uint8), axis=1).mean(axis=0)
+    assert 0.02 < bits.min() and bits.max() < 0.98
+
+
+def test_recall_and_share_of_the_index():
+    """On the vectors given, in the index's own terms: rows that probing retrieves, and true neighbours among them."""
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table("/root/testdata/check_l/embeddings.parquet", columns=["embedding"])["embedding"].drop_null().to_pylist())[:32_768]
+    rotations = ann.learn(ann.lifted(x[: ann.SAMPLE]))
+    index, asks = ann.MultiIndex(ann.codes(ann.lifted(x), rotations)), np.arange(0, len(x), 400)
+    got = index.retrieve(ann.codes(ann.asked(x[asks]), rotations), ann.LEAST)
+    score = x[asks] @ x.T
+    score[np.arange(len(asks)), asks] = -9
+    best = np.argsort(-score, axis=1)[:, :20]
+    assert np.take_along_axis(got, best, 1).mean() >= 0.9
+    assert got.mean() < 0.2
 
 
 def words(text):

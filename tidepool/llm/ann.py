@@ -1,33 +1,31 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-Fit: for each of ROTATIONS starts, a rotation is learned (iterative quantisation) on a bounded sample
-of SAMPLE vectors; the signs of all rotated components make a code. Vectors of unequal length get
-one more component, sqrt(M^2 - |x|^2) with M the largest norm, and queries a zero, so that the largest
+Fit: rotations are learned (iterative quantisation) on a bounded sample of about SAMPLE vectors; the
+signs of BITS rotated components make a code. Vectors of unequal length get one more component,
+sqrt(M^2 - |x|^2) with M the largest norm of their block, and queries a zero, so that the largest
 inner product is the smallest angle.
 
-Search: vectors are dealt into blocks of about BLOCK rows, queries into blocks of QUERIES. In each
-cell of the two, the codes are cut into 8-bit substrings, and each substring has an index from value
-to rows. A code within Hamming radius r of the query agrees with it within r // m bits in at least
-one of the m substrings, so probing all values within that distance in every index, in rising
-steps, retrieves every code within the radius. The radius is the least one whose ball holds BALL
-codes of the block, and the whole ball is reranked by the inner products of the original vectors in
-double precision. Each cell returns its k best for each query; a window merges the cells.
-
-Block sizes are fixed, so memory and the share of a block that is reranked do not depend on the
-number of rows, and recall does not fall as the table grows. Fewer rows than BALL in a block: all
-are reranked.
-
-Vectors null, zero, with null or non-finite components, or of another length than most rows have,
-take no part. A candidate with the query's own id is left out. A repeated id as query gives its list
-once per row. Null ids are no queries but may be found. An empty table gives an empty result.
+Search: every code is cut into m substrings of SUB_BITS bits, and each substring has an index of its
+own from value to rows. Probing all values within distance a of the query's in every index retrieves,
+by the pigeonhole principle, every code within Hamming radius (a + 1) m - 1. The distance begins at
+PROBE and rises in steps until at least LEAST rows of the block are retrieved. All of them are
+reranked by the inner products of the original vectors in double precision.
+
+Rows are dealt into blocks of about BLOCK and queries into blocks of QUERIES; a cell of the two
+builds its indexes, and returns its k best for each query. A window merges the cells. Memory is that
+of a cell. A row travels once for each block of queries, and a query once for each block of rows.
+
+Vectors null, zero, or with null or non-finite components take no part; vectors of different lengths
+have no inner product and are not compared. A candidate with the query's own id is left out. A
+repeated id as query gives its list once per row. Null ids are no queries but may be found. An empty
+table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,29 +33,33 @@ from pyspark.sql import types as T
 
 from tidepool.llm.common import materialise, pick
 
-SAMPLE, ROTATIONS, STEPS = 16_384, 4, 20
-BLOCK, QUERIES = 8192, 1024
-BALL = 640
-SUB_BITS = 8
+SAMPLE, STEPS = 16_384, 20
+SUB_BITS = 16
+#: 96 substrings.
+BITS = 96 * SUB_BITS
+PROBE, LEAST = 2, 2048
+BLOCK, QUERIES = 32_768, 32_768
+#: Queries that are probed together.
+TOGETHER = 64
 _FOUND = "row long, query_id long, vec_id long, score double"
 
 
-def learn(sample: np.ndarray, rotations: int = ROTATIONS, steps: int = STEPS, seed: int = 0) -> np.ndarray:
-    """Rotations side by side, (d, rotations * d): each turns the sample so that its signs lose least."""
+def learn(sample: np.ndarray, bits: int = BITS, steps: int = STEPS, seed: int = 0) -> np.ndarray:
+    """Rotations side by side, cut to `bits` columns: each turns the sample so that its signs lose least. Without a sample they are random."""
     rng, d = np.random.default_rng(seed), sample.shape[1]
     out = []
-    for _ in range(rotations):
+    for _ in range(-(-bits // d)):
         r = np.linalg.qr(rng.normal(size=(d, d)))[0]
         for _ in range(steps if len(sample) else 0):
             u, _, vt = np.linalg.svd(sample.T @ np.where(sample @ r >= 0, 1.0, -1.0))
             r = u @ vt
         out.append(r)
-    return np.hstack(out)
+    return np.hstack(out)[:, :bits]
 
 
-def lifted(x: np.ndarray, largest: float) -> np.ndarray:
+def lifted(x: np.ndarray) -> np.ndarray:
     """The component that turns inner products into angles."""
-    x = x.astype(np.float64) / largest
+    x = x / np.linalg.norm(x, axis=1).max(initial=np.finfo(float).tiny)
     return np.hstack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))])
 
 
@@ -67,129 +69,118 @@ def asked(y: np.ndarray) -> np.ndarray:
 
 
 def codes(x: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """Rows of bytes, padded to whole 64-bit words."""
-    bits = x @ rotations >= 0
-    return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1)
+    """Substrings of every row."""
+    bits = np.concatenate([np.packbits(x[i : i + 4096] @ rotations >= 0, axis=1) for i in range(0, len(x), 4096)]) if len(x) else np.zeros((0, rotations.shape[1] // 8), np.uint8)
+    return bits.view(np.uint16)
+
+
+def ring(distance: int) -> np.ndarray:
+    """Substrings with exactly so many ones."""
+    return np.array([sum(1 << b for b in bits) for bits in itertools.combinations(range(SUB_BITS), distance)], np.uint16)
 
 
 class MultiIndex:
-    """Substring indexes of one block of codes; buckets are bitmaps over the rows."""
+    """One index for each substring of a block of codes."""
 
     def __init__(self, code: np.ndarray) -> None:
-        self.code, self.n, self.m = code, len(code), code.shape[1]
-        self.words = code.view(np.uint64)
-        has = np.zeros((self.m, 1 << SUB_BITS, self.n), bool)
-        rows = np.arange(self.n)
+        self.n, self.m = code.shape
+        self.rows = [np.argsort(code[:, j], kind="stable").astype(np.int32) for j in range(self.m)]
+        self.begin = [np.concatenate([[0], np.cumsum(np.bincount(code[:, j], minlength=1 << SUB_BITS))]).astype(np.int32) for j in range(self.m)]
+
+    def probe(self, queries: np.ndarray, masks: np.ndarray, seen: np.ndarray) -> None:
+        """Marks in `seen` (query, row) the rows whose substrings differ from the query's in one of the masks."""
+        own = np.repeat(np.arange(len(queries)), len(masks))
         for j in range(self.m):
-            has[j, code[:, j], rows] = True
-        self.within = [np.packbits(has, axis=2)]  # by distance of the substring: value -> rows
-
-    def _probe(self, distance: int) -> np.ndarray:
-        while len(self.within) <= distance:
-            last = self.within[-1]
-            wider = last.copy()
-            for bit in range(SUB_BITS):
-                wider |= last[:, np.arange(1 << SUB_BITS) ^ (1 << bit)]
-            self.within.append(wider)
-        return self.within[distance]
-
-    def balls(self, queries: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, row) pairs: for each query every row within the least radius that holds `least` rows."""
-        least, words = min(least, self.n), queries.view(np.uint64)
-        open_q = np.arange(len(queries))
-        seen = np.zeros((len(queries), (self.n + 7) // 8), np.uint8)
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for distance in range(SUB_BITS + 1):
-            index = self._probe(distance)
-            now = np.zeros_like(seen[open_q])
-            for j in range(self.m):
-                now |= index[j, queries[open_q, j]]
-            q, r = np.nonzero(np.unpackbits(now & ~seen[open_q], axis=1, count=self.n))
-            seen[open_q] |= now
-            q = open_q[q]
-            got.append((q, r, np.bitwise_count(words[q] ^ self.words[r]).sum(axis=1, dtype=np.int64)))
-            q, r, h = (np.concatenate(c) for c in zip(*got, strict=True))
-            certain = (distance + 1) * self.m - 1 if distance < SUB_BITS else 1 << 30  # all codes up to this radius are in
-            counts = np.zeros((len(queries), 8 * self.code.shape[1] + 1), np.int64)
-            np.add.at(counts, (q, h), 1)
-            radius = (np.cumsum(counts, axis=1) >= least).argmax(axis=1)
-            enough = (counts.sum(axis=1) >= least) & (radius <= certain)
-            keep = enough[q] & (h <= radius[q])
-            out.append((q[keep], r[keep]))
-            rest = ~enough[q]
-            got = [(q[rest], r[rest], h[rest])]
-            open_q = open_q[~enough[open_q]]
-            if not len(open_q):
-                break
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-
-def _matrix(column: pa.Array | pd.Series, d: int) -> np.ndarray:
-    return np.stack(column.to_numpy()).reshape(-1, d)
-
-
-def _search(k: int, ball: int, rotations):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        data, asks = pdf[pdf.kind == 0], pdf[pdf.kind == 1]
-        if not len(data) or not len(asks):
-            return pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})
-        d = len(data.embedding.iloc[0])
-        x, code = _matrix(data.embedding, d).astype(np.float64), np.stack([np.frombuffer(c, np.uint8) for c in data.code])
-        ids = data.vec_id.astype("Int64")
-        order = ids.fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
-        index, out = MultiIndex(np.ascontiguousarray(code)), []
-        for at in range(0, len(asks), 64):
-            part = asks.iloc[at : at + 64]
-            y = _matrix(part.embedding, d).astype(np.float64)
-            q, r = index.balls(np.ascontiguousarray(codes(asked(y), rotations.value)), ball + 1)
-            own = part.vec_id.to_numpy(np.int64)
-            other = (order[r] != own[q]) | ids.isna().to_numpy()[r]
-            q, r = q[other], r[other]
-            score = (x[r] * y[q]).sum(axis=1)
-            best = np.lexsort((order[r], -score, q))
-            q, r, score = q[best], r[best], score[best]
-            first = np.searchsorted(q, q, side="left")
-            top = np.arange(len(q)) - first < k
-            q, r, score = q[top], r[top], score[top]
-            out.append(pd.DataFrame({"row": part.row.to_numpy()[q], "query_id": own[q], "vec_id": ids.to_numpy(dtype=object, na_value=None)[r], "score": score}))
-        return pd.concat(out)
+            values = (queries[:, j, None] ^ masks).ravel()
+            first = self.begin[j][values]
+            size = self.begin[j][values.astype(np.int64) + 1] - first
+            some = np.flatnonzero(size)
+            first, size = first[some], size[some]
+            place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+            seen[np.repeat(own[some], size), self.rows[j][place]] = True
+
+    def retrieve(self, queries: np.ndarray, least: int, distance: int = PROBE) -> np.ndarray:
+        """(query, row): whether the row is retrieved. Every row within Hamming radius (distance + 1) m - 1 is, and at least `least` rows (all, if fewer)."""
+        if self.n <= least:
+            return np.ones((len(queries), self.n), bool)
+        seen = np.zeros((len(queries), self.n), bool)
+        for a in range(distance + 1):
+            self.probe(queries, ring(a), seen)
+        while len(few := np.flatnonzero(seen.sum(axis=1) < least)):
+            a += 1
+            more = seen[few]
+            self.probe(queries[few], ring(a), more)
+            seen[few] = more
+        return seen
+
+
+def _best(x: np.ndarray, rows: np.ndarray, y: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k rows of largest inner product with y and their scores; ties go to the smaller `order`."""
+    near = x[rows] @ y
+    if len(rows) > k:
+        worst = np.partition(near, len(rows) - k)[len(rows) - k]
+        rows = rows[near >= worst - 1e-9 * (1 + abs(worst))]
+    score = (x[rows] * y).sum(axis=1)  # of equal vectors exactly equal
+    top = np.lexsort((order[rows], -score))[:k]
+    return rows[top], score[top]
+
+
+def _search(k: int, least: int, learnt):
+    def run(cell: pa.Table) -> pa.Table:
+        asks = cell.column("asks").to_numpy()
+        matrix = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64)
+        queries, data = cell.filter(pa.array(asks)), cell.filter(pa.array(~asks))
+        row, query_id, vec_id, scores = [[] for _ in range(4)]
+        if queries.num_rows and data.num_rows:
+            x, y = matrix(data), matrix(queries)
+            d = x.shape[1]
+            rotations = learnt.value if learnt.value.shape[0] == d + 1 else learn(np.zeros((0, d + 1)))
+            null = data.column("vec_id").is_null().to_numpy()
+            order = data.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
+            own, rows = queries.column("vec_id").to_numpy(), queries.column("row").to_numpy()
+            index, asked_codes = MultiIndex(codes(lifted(x), rotations)), codes(asked(y), rotations)
+            for at in range(0, len(y), TOGETHER):
+                for i, found in enumerate(index.retrieve(asked_codes[at : at + TOGETHER], least), at):
+                    found &= (order != own[i]) | null
+                    best, score = _best(x, np.flatnonzero(found), y[i], order, k)
+                    row.append(np.full(len(best), rows[i]))
+                    query_id.append(np.full(len(best), own[i]))
+                    vec_id.append(pa.array(order[best], mask=null[best]))
+                    scores.append(score)
+        flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+        ids = pa.chunked_array(vec_id, pa.int64()).combine_chunks()
+        return pa.table({"row": flat(row, pa.int64()), "query_id": flat(query_id, pa.int64()), "vec_id": ids, "score": flat(scores, pa.float64())})
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", ball: int = BALL, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id and embedding (single or double precision, as given) of the vectors that take part."""
+    kind = vectors.schema[vector_col].dataType
+    element = kind.elementType if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else T.DoubleType()
+    rows = pick(vectors, vec_id=(id_col, "long"), embedding=(vector_col, T.ArrayType(element)))
+    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return rows.where(F.col("embedding").isNotNull() & ~bad).where(F.exists("embedding", lambda v: v != 0))
+
+
+def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", least: int = LEAST, sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    rows = pick(vectors, vec_id=(id_col, "long"), embedding=(vector_col, T.ArrayType(T.DoubleType())))
-    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    rows = rows.where(F.col("embedding").isNotNull() & ~bad).where(F.exists("embedding", lambda v: v != 0))
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
-    kinds = rows.select(F.size("embedding").alias("d"), square.alias("s")).groupBy("d").agg(F.count("*").alias("n"), F.max("s").alias("s")).collect()  # a row per vector length
+    rows = materialise(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
+    ask = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
+    kinds = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"), F.count_if(ask).alias("asks")).collect()  # a row per vector length
     if not kinds:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     most = max(kinds, key=lambda x: (x.n, x.d))
-    d, largest, blocks = most.d, float(np.sqrt(most.s)), -(-most.n // block)
-    rows = rows.where(F.size("embedding") == d)
-    taken = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toPandas()
-    rotations = spark.sparkContext.broadcast(learn(lifted(_matrix(taken.embedding, d), largest)))
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in codes(lifted(x, largest), rotations.value)], pa.binary()), batch.column(1)], ["vec_id", "code", "embedding"])
-
-    coded = rows.select("vec_id", "embedding").mapInArrow(code, "vec_id long, code binary, embedding array<double>")
-    coded = materialise(coded.withColumn("row", F.monotonically_increasing_id()), "ann-codes")
-    asks = coded.where(F.col("vec_id") % every == 0)
-    query_blocks = max(1, -(-asks.count() // QUERIES))
-    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
-    every_cell = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    columns = ["kind", "row", "vec_id", "code", "embedding"]
-    data = coded.withColumn("kind", F.lit(0)).withColumn("at", deal(blocks)).withColumn("q", every_cell(query_blocks))
-    asks = asks.withColumn("kind", F.lit(1)).withColumn("q", deal(query_blocks)).withColumn("at", every_cell(blocks))
-    cells = data.select((F.col("at") * query_blocks + F.col("q")).alias("cell"), *columns).union(asks.select((F.col("at") * query_blocks + F.col("q")).alias("cell"), *columns))
-    found = cells.groupBy("cell").applyInPandas(_search(k, ball, rotations), _FOUND)
+    spread = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+    taken = rows.where((F.size("embedding") == most.d) & (spread < min(1.0, sample / most.n))).select("embedding").toPandas()  # about `sample` rows
+    learnt = spark.sparkContext.broadcast(learn(lifted(np.array(taken.embedding.tolist(), np.float64).reshape(-1, most.d))))
+    data_blocks, query_blocks = max(-(-x.n // block) for x in kinds), max(1, *(-(-x.asks // queries) for x in kinds))
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns = [F.size("embedding").alias("d"), "row", "vec_id", "embedding"]
+    data = rows.select(*columns, F.lit(False).alias("asks"), deal(data_blocks).alias("at"), each(query_blocks).alias("q"))
+    asks = rows.where(ask).select(*columns, F.lit(True).alias("asks"), each(data_blocks).alias("at"), deal(query_blocks).alias("q"))
+    found = data.union(asks).groupBy("d", "at", "q").applyInArrow(_search(k, least, learnt), _FOUND)
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
