@@ -169,28 +169,55 @@ def test_contained(spark, odd_docs, no_docs):
     rng = np.random.default_rng(2)
     item = [f"t{i}" for i in rng.integers(0, 900, 40)]
     other = [f"u{i}" for i in range(12)]
-    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "too short"), (4, None), (2, " ".join(other))], "item_id long, text string")
+    listed = [(1, " ".join(item)), (2, " ".join(other)), (3, "Too short!"), (4, None), (2, " ".join(other)), (5, "..."), (None, "one two three four"), (6, "u3")]
+    items = spark.createDataFrame(listed, "item_id long, text string")
     filler = [f"f{i}" for i in range(300)]
     broken = [w if i % 13 else "x" for i, w in enumerate(item)]
     nearly = item[:-1] + ["y"]
-    rows = [(1, " ".join(filler + item + filler)), (2, " ".join(broken)), (3, " ".join(nearly).upper()), (4, " ".join(other[:10])), (5, "; ".join(filler + other)), (6, None), (1, " ".join(item))]
+    rows = [(1, " ".join(filler + item + filler)), (2, " ".join(broken)), (3, " ".join(nearly).upper()), (4, " ".join(other[:10])), (5, "; ".join(filler + other)), (6, None), (1, " ".join(item)), (7, "too short"), (7, "too, SHORT of"), (8, "too"), (None, "zero one two three four"), (None, "zero one two three four"), (9, "short too " * 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = []
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     for d, t in rows:
-        for i, s in {(1, " ".join(item)), (2, " ".join(other))}:
-            share = len(grams(words(s)) & grams(words(t))) / len(grams(words(s)))
-            if share >= 0.8:
-                want.append((d, i, round(share, 9)))
-    assert sorted((r.doc_id, r.item_id, round(r.containment, 9)) for r in decontam.contained(docs, items).collect()) == sorted(want)
+        for i, s in set(listed):
+            n = min(5, len(words(s or "")))
+            if n:
+                share = len(grams(words(s), n) & grams(words(t), n)) / len(grams(words(s), n))
+                if share >= 0.8:
+                    want.append((d or -1, i or -1, round(share, 9)))
+    for broadcast in (decontam.BROADCAST, 0):
+        found = decontam.contained(docs.selectExpr("*", "1 AS item_id", "2 AS h", "3 AS k1", "4 AS words"), items, broadcast=broadcast).collect()
+        assert sorted((r.doc_id or -1, r.item_id or -1, round(r.containment, 9)) for r in found) == sorted(want)
     assert decontam.contained(odd_docs, items).collect() == []
     assert decontam.contained(no_docs, items).collect() == []
     assert decontam.contained(docs, items.limit(0)).collect() == []
 
 
-def test_contained_is_native(spark, odd_docs):
-    plan = decontam.contained(odd_docs.select("doc_id", "text"), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast", [0, decontam.BROADCAST])
+def test_contained_is_native_and_moves_no_texts_in_search(spark, odd_docs, broadcast):
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "x y")], "item_id long, text string")
+    plan = plan_of(decontam.contained(odd_docs.select("doc_id", "text"), items))
     assert "ArrowEval" not in plan and "MapIn" not in plan and "BatchEval" not in plan
+    wanted, lengths = decontam.item_shingles(items)
+    assert lengths == [2, 5]
+    wanted = decontam.materialise(wanted, "test")
+    search = decontam.candidates(decontam.materialise(odd_docs.select("doc_id", "text"), "test"), wanted, lengths, broadcast=broadcast)
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", spark._jvm.PythonSQLUtils.explainString(search._jdf.queryExecution(), "formatted"))
+    assert sent and {re.sub(r"#\d+L?", "", c) for columns in sent for c in columns.split(", ")} <= {"k1", "k2", "h", "item_id", "item"}
+
+
+def test_the_sketch_is_smaller_than_the_item_and_never_missed(spark):
+    rng = np.random.default_rng(4)
+    item = [f"t{i}" for i in rng.permutation(900)[:204]]
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    wanted, lengths = decontam.item_shingles(items)
+    assert wanted.count() == 200 and wanted.where("sketched").count() == 52  # floor(0.2 * 256) + 1
+    docs = spark.createDataFrame([(i, " ".join(item[a : a + 164])) for i, a in enumerate(range(0, 41, 4))], "doc_id long, text string")  # 160 of 200 shingles
+    assert {r.doc_id for r in decontam.contained(docs, items).collect()} == set(range(11))
 
 
 TEXTS = [
