@@ -45,7 +45,7 @@ def test_warc_refuses_a_wrong_payload(spark):
         warc.read(archive).collect()
 
 
-URLS = ["http://A.example.com/en/1", "https://www.example.com/en/x?q", "http://example.com/de/", "http://example.com", "http://x.net/es/a", "http://net/fr/", "http://xnet/es/", "http://foo.org/en/", None, "no scheme", "http://example.com?en/", "ftp://Example.COM#/en/", "http://com/", "://com/", "http://www.example.com/en", "http://a.b.c.net/fr/#x", "http://example.com:80/en/", ""]
+URLS = ["http://A.example.com/en/1", "https://www.example.com/en/x?q", "http://example.com/de/", "http://example.com", "http://x.net/es/a", "http://net/fr/", "http://xnet/es/", "http://foo.org/en/", None, "no scheme", "http://example.com?en/", "ftp://Example.COM#/en/", "http://com/", "://com/", "http://www.example.com/en", "http://a.b.c.net/fr/#x", "http://example.com:80/en/", "", "http://" + "a." * 60_000 + "net/es/" + "x" * 50_000, "http://" + "b" * 100_000 + ".com/", "http://..com/", "http://com./", "http://.net/es/"]
 
 
 def test_url_rules(spark):
@@ -64,6 +64,7 @@ def test_url_rules(spark):
     got = url_filter.judge(df, URL_RULES).collect()
     assert sorted((-1 if r.page_id is None else r.page_id, r.host, r.path, str(r.rule), r.verdict) for r in got) == sorted((i, *map(str, slow(u))) for i, u in [*enumerate(URLS), (0, URLS[0]), (-1, URLS[1])])
     assert url_filter.judge(df.limit(0), URL_RULES).collect() == []
+    assert max(len(list(url_filter.keys(h, "/en/" * 9, [(1, 1), (2, 4), (3, 4)]))) for h in ("a", "a.b", "a." * 60_000)) == 3
     assert {r.verdict for r in url_filter.judge(df, []).collect()} == {"allow"}
 
 

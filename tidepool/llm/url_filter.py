@@ -1,21 +1,23 @@
 """URL rules by a Bloom filter cascade.
 
 A rule is a host and a path prefix; it fits the host, all its subdomains, and paths that start with
-the prefix. The keys of a URL are its host suffixes joined with the path prefixes whose lengths
-occur among the rules; the URL's rules are those of its keys that are listed.
-
-Membership is answered by the cascade alone: level 0 holds the listed keys; level 1 the keys of the
-corpus that pass level 0 wrongly; level 2 the listed keys that pass level 1; and so on until no key
-of the corpus's complete key universe is judged wrongly. The first pass finds the corpus's keys that
-pass level 0. Its rate is set by the number of keys, so that about as many wrong keys as rules are
-expected, whatever the size of the corpus; they are counted before they reach the driver, and level
-0 is built anew with a lower rate where they are too many. The second pass judges. Both read the
-URL column alone, in narrow tasks; only passing keys are shuffled, after they are made distinct in
-each task. There is no join.
+the prefix. A rule's shape is the number of its host's labels and the length of its path. For every
+shape among the rules a URL has at most one key: so many last labels of its host, joined with so long
+a prefix of its path. The URL's rules are those of its keys that are listed.
+
+Membership is answered by cascades alone, one for each verdict; the rules themselves are not sent.
+Level 0 holds the listed keys; level 1 the keys of the corpus that pass level 0 wrongly; level 2 the
+listed keys that pass level 1; and so on until no key of the corpus's complete key universe is judged
+wrongly. The first pass finds the corpus's keys that pass a level 0. Its rate is set by the number of
+keys, so that about as many wrong keys as rules are expected, whatever the size of the corpus; they
+are counted before they reach the driver, and level 0 is built anew with a lower rate where they are
+too many. The second pass judges. Both read the URL column alone, in narrow tasks; only passing keys
+are shuffled, after they are made distinct in each task. There is no join.
 
 Null URLs and URLs without `://` have an empty host and path and fit no rule; null ids are kept,
 repeated rows are each judged, an empty table gives an empty result, no rules allow everything;
-other columns are left out.
+other columns are left out. A very long host or path costs time in proportion: a key has no more
+labels than its shape.
 """
 
 from __future__ import annotations
@@ -32,8 +34,6 @@ from tidepool.llm.common import pick
 ALLOW, BLOCK = "allow", "block"
 #: Wrong keys of level 0 that may reach the driver, beside a multiple of the number of rules.
 WRONG = 10_000
-#: Host suffixes and path prefixes that a URL is taken to have at most, for the rate of level 0 only.
-KEYS_A_URL = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -85,52 +85,58 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
 
-def keys(host: str, path: str, lengths: tuple[int, ...]) -> Iterator[str]:
-    """Longest first."""
+def shape(rule: str) -> tuple[int, int]:
+    """Labels of the host and length of the path prefix, the first slash included."""
+    host, path = rule.split("/", 1)
+    return host.count(".") + 1, len(path) + 1
+
+
+def keys(host: str, path: str, shapes: list[tuple[int, int]]) -> Iterator[str]:
+    """One key at most for a shape, longest first."""
     if not host:
         return
-    labels = host.split(".")
-    found = {".".join(labels[i:]) + path[:n] for i in range(len(labels)) for n in lengths if n <= len(path)}
+    most = max(labels for labels, _ in shapes)
+    last = host.rsplit(".", most)[-most:]
+    suffix = {n: ".".join(last[-n:]) for n in {labels for labels, _ in shapes} if n <= len(last)}
+    found = {suffix[labels] + path[:n] for labels, n in shapes if labels in suffix and n <= len(path)}
     yield from sorted(found, key=lambda k: (-len(k), k))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict of every row; rules are (verdict, host/path-prefix)."""
-    verdicts = {rule: verdict for verdict, rule in rules}
-    lengths = tuple(sorted({len(rule) - rule.index("/") for rule in verdicts}))
+    listed = {verdict: {rule for v, rule in rules if v == verdict} for verdict in (ALLOW, BLOCK)}
+    every = listed[ALLOW] | listed[BLOCK]
     rows = pick(pages, page_id=(id_col, "long"), url=(url_col, "string"))
     host, path = host_and_path(F.col("url"))
     rows = rows.select("page_id", host.alias("host"), path.alias("path"))
-    if not verdicts:
+    if not every:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(ALLOW).alias("verdict"))
-    sc = pages.sparkSession.sparkContext
+    sc, shapes = pages.sparkSession.sparkContext, sorted({shape(rule) for rule in every})
 
-    def passing(level: Bloom) -> DataFrame:
-        shared = sc.broadcast(level)
+    def passing(levels: list[Bloom]) -> DataFrame:
+        shared = sc.broadcast(levels)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = {k for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in keys(h, p, lengths) if k in shared.value}
+                found = {k for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in keys(h, p, shapes) if any(k in level for level in shared.value)}
                 yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["key"])
 
         return rows.select("host", "path").mapInArrow(run, "key string").distinct()
 
-    universe = max(1, pages.count()) * KEYS_A_URL
-    rate = min(0.25, len(verdicts) / universe)
+    most = 8 * len(every) + WRONG
+    rate = min(0.25, len(every) / (max(1, pages.count()) * len(shapes)))
     while True:
-        first = Bloom(verdicts, rate, 0)
-        found = [r.key for r in passing(first).limit(8 * len(verdicts) + WRONG + 1).collect()]
-        if len(found) <= 8 * len(verdicts) + WRONG:
+        first = {verdict: Bloom(listed[verdict], rate, i) for i, verdict in enumerate(listed) if listed[verdict]}
+        found = {r.key for r in passing(list(first.values())).limit(most + 1).collect()}
+        if len(found) <= most:
             break
         rate /= 64
-    cascade = sc.broadcast(Cascade(set(verdicts), first, set(found) - set(verdicts)))
+    cascades = sc.broadcast([(verdict, Cascade(listed[verdict], level, {k for k in found - listed[verdict] if k in level})) for verdict, level in first.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed = cascade.value
-            rule = [next((k for k in keys(h, p, lengths) if k in listed), None) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            verdict = [ALLOW if r is None else verdicts[r] for r in rule]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
+            judged = [next(((k, verdict) for k in keys(h, p, shapes) for verdict, cascade in cascades.value if k in cascade), (None, ALLOW)) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k for k, _ in judged], pa.string()), pa.array([v for _, v in judged], pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
     return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
 
