@@ -143,6 +143,21 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(p, want) and np.allclose(pairs, want_pairs)
 
 
+@pytest.mark.parametrize("part", [1, 2, 5, 64])
+def test_chains_in_parts_equal_whole_chains(part):
+    rng = np.random.default_rng(1)
+    lengths = np.array([37, 1, 0, 64, 5, 128, 10])
+    score, a = 3 * rng.normal(size=(lengths.sum(), 4)), 2 * rng.normal(size=(4, 4))
+    whole = langid.Chains(lengths).posteriors(score, a)[0]
+    assert np.allclose(langid.whole_chains(lengths, score, a, part), whole, atol=1e-9)
+    single = langid.whole_chains(lengths, score.astype(np.float32), a.astype(np.float32), part)
+    assert single.dtype == np.float32 and np.allclose(single, whole, atol=1e-4)
+
+
+def test_words_are_letters():
+    assert langid.words_of("½ ² Ⅷ 12 _ a1b été 汉字 一") == ["a", "b", "été", "汉字", "一"]
+
+
 def test_language(spark, odd_docs, no_docs):
     rng = np.random.default_rng(0)
     roots = {"aa": ["blom", "kran", "stiv"], "bb": ["ouché", "élan", "aire"]}
@@ -152,7 +167,7 @@ def test_language(spark, odd_docs, no_docs):
     model = langid.fit(docs.where("doc_id % 5 <> 0"))
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert all(got[i].lang == lang for i, _, lang in rows)
-    mixed = spark.createDataFrame([(1, "blomkran stivblom kranstiv blomblom ouchéélan airearie élanélan ouchéaire"), (2, "123 !!"), (3, None)], "doc_id long, text string")
+    mixed = spark.createDataFrame([(1, "blomkran stivblom kranstiv blomblom ouchéélan airearie élanélan ouchéaire"), (2, "123 !! ½ ² Ⅷ"), (3, None)], "doc_id long, text string")
     found = {r.doc_id: r for r in langid.predict(mixed, model).collect()}
     assert [r.lang for r in found[1].runs] == ["aa", "bb"] and found[1].runs[0].end == 4
     assert (found[2].lang, found[2].score, found[3].lang) == ("und", 0.0, "und")

@@ -10,9 +10,11 @@ switches are seen.
 Fit on at most DOCS documents a language, chosen by the hash of their id among those of at most
 CHARS characters. Apply in one narrow pass over whole texts: forward-backward gives each word its
 posterior over the languages, a document gets the language with the largest mean posterior, and that
-mean is the score. Chains of more than CHAIN words are cut; the next chain begins afresh.
+mean is the score. A text is one chain, however long: stretches of CHAIN words go side by side, and
+the messages carried from one to the next follow from their transfer matrices, so that the result is
+that of the whole chain.
 
-Null text and texts without letters: `und` with score 0. Null ids are kept, repeated rows each get
+Words are runs of letters (by Unicode category). Null text and texts without letters: `und` with score 0. Null ids are kept, repeated rows each get
 their result, an empty table gives an empty result. Without any training document every text with
 letters is `und` as well.
 """
@@ -20,6 +22,8 @@ letters is `und` as well.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,13 +38,22 @@ from tidepool.llm.common import pick
 DOCS, CHARS = 300, 20_000
 #: Training chains of a language.
 LINES = 2000
-CHAIN, SLOTS = 512, 1 << 18
+CHAIN, SLOTS = 256, 1 << 18
 #: Words of a worker's memory, and words that are decoded together.
 CACHE, TOGETHER = 200_000, 200_000
-WORD = re.compile(r"[^\W\d_]+")
+#: What Python takes for word characters beyond letters: numerals that are no digits.
+_NUMERALS = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No"))
+_NUMERAL = re.compile(f"[{_NUMERALS}]")
+_MAYBE_NUMERAL = re.compile(f"[{''.join(c for c in _NUMERALS if ord(c) < 1 << 16)}\U00010000-\U0010ffff]")
+_WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters."""
+    return _WORD.findall(text if text.isascii() or not _MAYBE_NUMERAL.search(text) else _NUMERAL.sub(" ", text))
+
+
 def features(word: str) -> list[int]:
     """Slots of prefixes, suffixes, n-grams and the word itself."""
     framed = f"^{word}$"
@@ -77,12 +90,19 @@ class Chains:
         begin = np.cumsum(lengths) - lengths
         self.flat = np.concatenate([begin[self.order[:n]] + t for t, n in enumerate(self.active)]) if len(self.active) else np.zeros(0, np.int64)
 
-    def posteriors(self, score: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Posteriors of each position (in the input's order) and expected transition counts."""
+    def _factors(self, score: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = score[self.flat]
-        e, a = np.exp(x - x.max(axis=1, keepdims=True)), np.exp(transition)
+        return np.exp(x - x.max(axis=1, keepdims=True)), np.exp(transition)
+
+    def posteriors(self, score: np.ndarray, transition: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors of each position (in the input's order) and expected transition counts. `before` and `after` are the messages that reach the sequences' first and last positions, where they are parts of longer chains."""
+        e, a = self._factors(score, transition)
         alpha, beta = np.empty_like(e), np.ones_like(e)
         s, n = self.step, self.active
+        if before is not None and len(n):
+            e[: n[0]] *= before[self.order[: n[0]]]
+        if after is not None and len(n):
+            beta[s[self.lengths[: n[0]] - 1] + np.arange(n[0])] = after[self.order[: n[0]]]
         for t in range(len(n)):
             now = e[s[t] : s[t + 1]] if t == 0 else e[s[t] : s[t + 1]] * (alpha[s[t - 1] : s[t - 1] + n[t]] @ a)
             alpha[s[t] : s[t + 1]] = now / now.sum(axis=1, keepdims=True)
@@ -100,6 +120,45 @@ class Chains:
         out[self.flat] = p
         return out, pairs
 
+    def transfer(self, score: np.ndarray, transition: np.ndarray) -> np.ndarray:
+        """For each sequence (in the input's order) the matrix that takes the message which reaches its first position to the one that leaves its last, up to a factor."""
+        e, a = self._factors(score, transition)
+        k, s, n = len(a), self.step, self.active
+        moved = np.broadcast_to(np.eye(k, dtype=e.dtype), (len(self.lengths), k, k)).copy()
+        for t in range(len(n)):
+            here = moved[: n[t]] if t == 0 else (moved[: n[t]].reshape(-1, k) @ a).reshape(-1, k, k)
+            here = here * e[s[t] : s[t + 1], None, :]
+            moved[: n[t]] = here / here.sum(axis=(1, 2), keepdims=True)
+        out = np.empty_like(moved)
+        out[self.order] = moved
+        return out
+
+
+def whole_chains(lengths: np.ndarray, score: np.ndarray, transition: np.ndarray, part: int = CHAIN) -> np.ndarray:
+    """Posteriors over chains of any length, in parts that are worked on side by side."""
+    parts = np.maximum(1, -(-lengths // part))
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(part, lengths[owner] - place * part)
+    many = np.flatnonzero(parts[owner] > 1)
+    if not len(many):
+        return Chains(size).posteriors(score, transition)[0]
+    a, k, begin = np.exp(transition), len(transition), np.cumsum(size) - size
+    rows = np.repeat(begin[many] - (np.cumsum(size[many]) - size[many]), size[many]) + np.arange(size[many].sum())
+    moved = np.empty((len(owner), k, k), a.dtype)
+    moved[many] = Chains(size[many]).transfer(score[rows], transition)
+    before, after = np.ones((len(owner), k), a.dtype), np.ones((len(owner), k), a.dtype)
+    first, n = (np.cumsum(parts) - parts), parts
+    for i in range(1, int(n.max())):
+        at = first[n > i] + i
+        message = (before[at - 1, None, :] @ moved[at - 1])[:, 0] @ a
+        before[at] = message / message.sum(axis=1, keepdims=True)
+    for i in range(int(n.max()) - 1, 0, -1):
+        at = first[n > i] + i
+        message = (moved[at] @ after[at, :, None])[:, :, 0] @ a.T
+        after[at - 1] = message / message.sum(axis=1, keepdims=True)
+    return Chains(size).posteriors(score, transition, before, after)[0]
+
 
 class Model:
     """Plain arrays: it travels to the executors."""
@@ -117,7 +176,7 @@ def train(texts: list[str], langs: list[str], steps: int = 60, rate: float = 0.5
     spoken: dict[tuple[str, ...], int] = {}  # each line once; those of several languages are passages that go round and teach nothing
     for text, lang in zip(texts, langs, strict=True):
         for line in text.lower().split("\n"):
-            words = WORD.findall(line)
+            words = words_of(line)
             for i in range(0, len(words), 64):
                 key = tuple(words[i : i + 64])
                 spoken[key] = at[lang] if spoken.get(key, at[lang]) == at[lang] else -1
@@ -188,8 +247,7 @@ class Decoder:
             self.scores = np.concatenate([self.scores, Words(new).scores(self.model.weight)])
         get = self.index.__getitem__
         rows = np.fromiter(map(get, words), np.int64, len(words))
-        sizes = np.fromiter((n for t in texts for n in [CHAIN] * (len(t) // CHAIN) + [len(t) % CHAIN] * bool(len(t) % CHAIN)), np.int64)
-        return Chains(sizes).posteriors(self.scores[rows], self.model.transition)[0] if len(words) else np.zeros((0, len(self.model.transition)), np.float32)
+        return whole_chains(np.array([len(t) for t in texts]), self.scores[rows], self.model.transition) if len(words) else np.zeros((0, len(self.model.transition)), np.float32)
 
 
 def _runs(best: np.ndarray, langs: list[str]) -> list[dict]:
@@ -227,7 +285,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             along = lambda end: [c.slice(begun, end - begun) for c in batch.columns[2:]]  # noqa: B023, E731
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids.append(doc_id.as_py())
-                texts.append(WORD.findall(text.as_py().lower()))
+                texts.append(words_of(text.as_py().lower()))
                 held += len(texts[-1])
                 if held >= TOGETHER:
                     yield out(ids, texts, along(begun + len(ids)))
