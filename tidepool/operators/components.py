@@ -3,38 +3,28 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rounds needed are logarithmic in the longest chain; this only stops a run that cannot end.
-MAX_ROUNDS = 60
-
+from tidepool.session import remove, shared_dir
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a new one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not found and current.isDefined():
-        found = current.get()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="components-")
-        spark.sparkContext.setCheckpointDir(found)
-    return os.path.join(found, f"components-{uuid.uuid4().hex}")
+#: Rounds needed are logarithmic in the longest chain; a run that has not ended by then is an error.
+MAX_ROUNDS = 60
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = MAX_ROUNDS) -> DataFrame:
     """(v, root) for every vertex with a link to another one; root is the least vertex of its component.
 
     Vertices are longs; direction, repeats, self-links and null ends do not matter. Every round is
     written to the shared folder, so lineage stays short and a lost executor costs one round at
-    most. Minima are aggregated before they are shuffled; joins on a vertex with very many
-    neighbours are left to the skew handling of adaptive execution.
+    most; the round before it is deleted. Minima are aggregated before they are shuffled, and dealt
+    anew before they are joined, so that adaptive execution can split the links of a vertex with very
+    many neighbours. RuntimeError if the rounds do not suffice.
     """
     spark = edges.sparkSession
-    folder = _scratch(spark)
+    folder = os.path.join(shared_dir(spark), f"components-{uuid.uuid4().hex}")
 
     def kept(df: DataFrame, k: int) -> DataFrame:
         df.write.parquet(f"{folder}/{k}")
@@ -46,16 +36,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     plain = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b")
     now = kept(plain.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0)
     before = None
-    for k in range(1, MAX_ROUNDS):
+    for k in range(1, rounds + 1):
         is_now = state(now)
         if is_now == before or not is_now[0]:
             break
+        if k == rounds:
+            raise RuntimeError(f"the components are not complete after {rounds} rounds")
         before = is_now
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition("a", "m")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = large.groupBy("a").agg(F.min("b").alias("m")).repartition("a", "m")
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         now = kept(small, k)
+        remove(spark, f"{folder}/{k - 1}")
     roots = now.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("v"), F.col("b").alias("root")).union(roots)

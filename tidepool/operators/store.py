@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.session import shared_dir
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared folder; a local one only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="store-")
-    return os.path.join(top, f"{name}-{uuid.uuid4().hex}")
+    """A new path in the session's shared folder."""
+    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def append(df: DataFrame, path: str) -> None:

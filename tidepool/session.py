@@ -22,6 +22,33 @@ def get_session(app: str = "tidepool", master: str | None = None, **conf: str) -
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where none is set, a local session gets a new folder that goes when Python ends; a session on a cluster is refused, since its executors would write to disks of their own."""
+    import atexit
+    import shutil
+    import tempfile
+
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not found:
+        current = context._jsc.sc().getCheckpointDir()
+        found = current.get() if current.isDefined() else ""
+    if not found:
+        if not context._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="tidepool-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        found = f"file://{local}"
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written below the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per context, so that Python workers find it wherever they run."""
     import os
