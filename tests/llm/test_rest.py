@@ -175,35 +175,3 @@ def test_language(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count()
     assert langid.predict(no_docs, model).collect() == []
     assert {r.lang for r in langid.predict(docs, langid.train([], [])).collect()} == {"und"}
-
-
-def test_pipeline_stages_against_brute_force(spark):
-    """On the smallest tables: each stage keeps what its operator, applied alone, says; nothing changes on the way."""
-    import corpus_pipeline as pipe
-    from tests.llm.test_near import slow_components, words
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = [docs]
-    for name, stage in pipe.STAGES[:4]:
-        out = stage(spark, kept[-1], sf).cache()
-        assert out.columns == docs.columns, name
-        before, after = ({r.doc_id: r for r in d.collect()} for d in (kept[-1], out))
-        assert all(before[i] == r for i, r in after.items()), name
-        kept.append(out)
-    # language: all documents here have letters and a language
-    assert kept[1].count() == docs.count()
-    # near-duplicates: one of each component
-    rows = kept[2].collect()
-    prints = [r.fp % (1 << 64) for r in sorted(pipe.simhash.fingerprints(kept[2]).collect(), key=lambda r: r.doc_id)]
-    classes = slow_components(prints, pipe.NEAR)
-    assert kept[3].count() == len(set(classes)) and len(prints) == len(rows)
-    # decontamination: exact containment of five-word shingles
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-    leaked = {r.doc_id for r in kept[3].collect() if any(len(grams(words(i.text)) & grams(words(r.text))) >= 0.8 * len(grams(words(i.text))) for i in items if len(words(i.text)) >= 5)}
-    assert {r.doc_id for r in kept[4].collect()} == {r.doc_id for r in kept[3].collect()} - leaked
-    # toxicity: no document of the kept ones has two of the most telling words
-    assert kept[2].count() <= kept[1].count()
-    packed = pipe.STAGES[4][1](spark, kept[4], sf)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in kept[4].collect()}

@@ -3,31 +3,19 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.session import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or a new one where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = current.get() if current.isDefined() else ""
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidepool-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
 
@@ -50,7 +38,11 @@ def crc32_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def whole_row(df: DataFrame) -> tuple[DataFrame, T.StructField]:
-    """df with all its columns beside themselves in a struct `whole`, to travel through an operator under one name."""
-    out = df.withColumn("whole", F.struct(*[df[c] for c in df.columns]))
-    return out, out.schema["whole"]
+def whole_row(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns of df beside a struct `whole` of all its columns, to travel through an operator under one name."""
+    return df.select(*[df[c] for c in columns], F.struct(*[df[c] for c in df.columns]).alias("whole"))
+
+
+def numbered(df: DataFrame, what: str) -> DataFrame:
+    """row (a unique long) and whole (a struct of all columns), written to the shared folder: however often it is read, a row keeps its number."""
+    return materialise(whole_row(df).withColumn("row", F.monotonically_increasing_id()), what)
