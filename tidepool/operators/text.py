@@ -18,6 +18,12 @@ NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "
 _FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
+def let(f, *values: Column) -> Column:
+    """f of the values, each evaluated once a row. A Column used in many places would be written out in all of them, and a long chain of such uses grows beyond what the optimiser and generated code can hold."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.get(F.transform(F.array(bound), lambda x: f(*[x[f"v{i}"] for i in range(len(values))])), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """Stripped non-empty lines."""
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
@@ -38,6 +44,21 @@ def normalised(text: Column) -> Column:
     return F.array_join(F.transform(kept, lambda w: F.coalesce(F.try_element_at(digits, w), w)), " ")
 
 
+def metric_normal(text: Column) -> Column:
+    """The normal form of answer metrics: that, and once, twice, thrice as digits."""
+    words = F.split(normalised(text), " ")
+    return F.array_join(F.transform(words, lambda w: F.when(w == "once", "1").when(w == "twice", "2").when(w == "thrice", "3").otherwise(w)), " ")
+
+
+def token_f1(pred: Column, gold: Column) -> Column:
+    """F1 of two word lists as multisets."""
+    count = lambda words, w: F.size(F.filter(words, lambda x: x == w))
+    def score(p: Column, g: Column) -> Column:
+        return 2.0 * F.aggregate(F.array_distinct(p), F.lit(0), lambda s, w: s + F.least(count(p, w), count(g, w))) / (F.size(p) + F.size(g))
+
+    return let(score, pred, gold)
+
+
 def pii(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, kind, n): matches of each kind."""
     counts = F.array(*[F.struct(F.lit(kind).alias("kind"), F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))).cast("long").alias("n")) for kind, p in PII.items()])

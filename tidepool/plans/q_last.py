@@ -121,27 +121,6 @@ def _(spark, sf):
     return c.withColumn("bits", F.ceil(-F.log2(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))))
 
 
-@query("qa_norm_text", r"SELECT question_id, trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) AS norm FROM (VALUES " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(["What drink now", "Which year was it", "old city harbour"])) + ") AS v(question_id, question)")
-def _(spark, sf):
-    rows = F.array(*[F.struct(F.lit(i).alias("question_id"), F.lit(q).alias("question")) for i, q in enumerate(["What drink now", "Which year was it", "old city harbour"])])
-    return spark.range(1).select(F.inline(rows)).select("question_id", text.normalised(F.col("question")).alias("norm"))
-
-
-@query("qa_duration_diff", "SELECT a.user_id AS user_id, abs(a.v - b.v) AS years FROM (SELECT user_id, max(floor(value)::bigint) AS v FROM events WHERE event_type = 'view' GROUP BY user_id) a JOIN (SELECT user_id, max(floor(value)::bigint) AS v FROM events WHERE event_type = 'click' GROUP BY user_id) b USING (user_id)")
-def _(spark, sf):
-    said = table(spark, sf, "events").select("user_id", "event_type", F.concat(F.lit("for "), F.floor("value"), F.lit(" years")).alias("said"))
-    years = F.regexp_extract("said", "for ([0-9]+) years", 1).cast("long")
-    p = said.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "view", years)).alias("a"), F.max(F.when(F.col("event_type") == "click", years)).alias("b"))
-    return p.where("a is not null and b is not null").select("user_id", F.abs(F.col("a") - F.col("b")).alias("years"))
-
-
-@query("qa_temporal_enrich", "SELECT user_id, date_diff('day', min(ts)::date, max(ts)::date) || ' days between ' || strftime(min(ts), '%Y-%m-%d') || ' and ' || strftime(max(ts), '%Y-%m-%d') AS line FROM events GROUP BY user_id")
-def _(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return e.select("user_id", F.concat(F.datediff(F.to_date("b"), F.to_date("a")), F.lit(" days between "), day("a"), F.lit(" and "), day("b")).alias("line"))
-
-
 @query("ctx_compact")
 def _(spark, sf):
     """Whole sentences of each turn up to a limit of characters; the first is cut if it alone is longer."""
@@ -150,41 +129,12 @@ def _(spark, sf):
     return kept.groupBy("conv_id", "turn").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "s"))), lambda x: x.s), " "), 1, 240).alias("text"))
 
 
-@query("qa_extractive")
-def _(spark, sf):
-    """The sentence of a query's best document that shares most words with it."""
-    d = table(spark, sf, "documents")
-    best = search.bm25(search.postings(d, "doc_id", "text"), queries_frame(spark), "doc_id", k=3).join(d, "doc_id").join(queries_frame(spark), "query_id")
-    each = best.select("query_id", "doc_id", "rank", search.tokens(F.col("query")).alias("q"), F.posexplode(text.sentences(F.col("text"))).alias("nth", "sentence")).withColumnRenamed("rank", "place")
-    shared = F.size(F.array_intersect(F.array_distinct(search.tokens(F.col("sentence"))), "q"))
-    return ranking.top_k(each.withColumn("shared", shared), ["query_id"], 1, F.desc("shared"), F.asc("place"), F.asc("nth")).select("query_id", "doc_id", "sentence", "shared")
-
-
-@query("qa_read")
-def _(spark, sf):
-    """An answer with its source, or abstention where too little is shared."""
-    answer = _last("qa_extractive")(spark, sf)
-    n = queries_frame(spark).select("query_id", F.size(F.array_distinct(search.tokens(F.col("query")))).alias("n"))
-    ok = F.col("shared") / F.col("n") >= 0.5
-    return n.join(answer, "query_id", "left").select("query_id", F.when(ok, F.col("doc_id")).alias("source"), F.when(ok, F.col("sentence")).otherwise("not enough information").alias("answer"))
-
-
 def _last(name: str):
     from tidepool.plans import registry
 
     return registry.queries()[name]
 
 
-@query("ext_tables", "SELECT conv_id, turn, role AS cell FROM conversations")
-def _(spark, sf):
-    """Cells of a markdown table: header and values by column."""
-    md = F.concat(F.lit("| turn | role |\n|-|-|\n| "), "turn", F.lit(" | "), "role", F.lit(" |"))
-    cells = lambda line: F.transform(F.filter(F.split(line, r"\|"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.split(md, "\n").alias("l"))
-    pairs = F.map_from_arrays(cells(F.col("l")[0]), cells(F.col("l")[2]))
-    return rows.select("conv_id", "turn", pairs["role"].alias("cell"))
-
-
 @query("ext_template_tune")
 def _(spark, sf):
     """Templates and slots by the share of lines that a token must have at its place; the least sum wins."""
@@ -219,5 +169,3 @@ def _(spark, sf):
     c = table(spark, sf, "conversations")
     mark = c.select("conv_id", F.lit(2).alias("seen")).distinct()
     return c.join(mark, "conv_id").where("turn > seen").groupBy("conv_id").agg(F.count("*").alias("n"))
-
-

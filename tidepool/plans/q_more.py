@@ -242,12 +242,6 @@ def _(spark, sf):
     return ranking.top_k(hits.withColumn("score", scorer("query", "text")), ["query_id"], 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
 
 
-@query("agg_qa_metrics", "SELECT count(*) AS n, avg(CASE WHEN item_id % 3 = 0 THEN 1.0 ELSE 0.0 END)::double AS em FROM benchmark")
-def _(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.when(F.col("item_id") % 3 == 0, "blue door").otherwise("green window").alias("pred"), F.lit("Blue door!").alias("gold"))
-    return b.agg(F.count("*").alias("n"), F.avg(qs.exact_match(F.col("pred"), F.col("gold"))).alias("em"))
-
-
 # Query analysis
 
 #: Stop words of core terms and the small expansion table. Fixed values.
@@ -261,45 +255,6 @@ def _(spark, sf):
     return _questions(spark).select("question_id", F.array_join(F.slice(F.array_except(t, F.array(*[F.lit(s) for s in STOP])), 1, 12), " ").alias("terms"))
 
 
-@query("ret_variants", f"WITH {_Q} SELECT question_id, 0 AS variant, lower(question) AS query, 1.0::double AS weight FROM n UNION ALL SELECT question_id, 1, q, 0.6 FROM n")
-def _(spark, sf):
-    variants = F.array(F.struct(F.lit(0).alias("variant"), F.lower("question").alias("query"), F.lit(1.0).alias("weight")), F.struct(F.lit(1).alias("variant"), text.normalised(F.col("question")).alias("query"), F.lit(0.6).alias("weight")))
-    return _questions(spark).select("question_id", F.inline(variants))
-
-
-query("qa_variants", f"WITH {_Q} SELECT question_id, 0 AS variant, lower(question) AS query, 1.0::double AS weight FROM n UNION ALL SELECT question_id, 1, q, 0.6 FROM n")(lambda spark, sf: _questions(spark).select("question_id", F.inline(F.array(F.struct(F.lit(0).alias("variant"), F.lower("question").alias("query"), F.lit(1.0).alias("weight")), F.struct(F.lit(1).alias("variant"), text.normalised(F.col("question")).alias("query"), F.lit(0.6).alias("weight"))))))
-
-
-@query("ret_profile", f"WITH {_Q} SELECT question_id, len(list_intersect(t, ['i', 'my', 'me', 'we', 'our'])) > 0 AS first_person, len(list_intersect(t, ['now', 'current', 'currently', 'latest'])) > 0 AS current, len(t) >= 5 AND (contains(q, ' and ') OR contains(question, ',')) AS facets FROM n")
-def _(spark, sf):
-    t = F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9_\-]+"), F.lit(0))
-    has = lambda *words: F.arrays_overlap(t, F.array(*[F.lit(w) for w in words]))
-    facets = (F.size(t) >= 5) & (F.contains(F.lower("question"), F.lit(" and ")) | F.contains("question", F.lit(",")))
-    return _questions(spark).select("question_id", has("i", "my", "me", "we", "our").alias("first_person"), has("now", "current", "currently", "latest").alias("current"), facets.alias("facets"))
-
-
-@query("ret_literal", f"WITH {_Q} SELECT question_id, regexp_matches(lower(question), '(^|[^a-z])(what was|what were|what did|which one|the one|mention)') AND len(list_intersect(t, ['you', 'chat', 'conversation', 'discussed', 'talked'])) > 0 AS literal FROM n")
-def _(spark, sf):
-    t = F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9_\-]+"), F.lit(0))
-    marker = F.lower("question").rlike("(^|[^a-z])(what was|what were|what did|which one|the one|mention)")
-    return _questions(spark).select("question_id", (marker & F.arrays_overlap(t, F.array(*[F.lit(w) for w in ("you", "chat", "conversation", "discussed", "talked")]))).alias("literal"))
-
-
-@query("ret_relation_hints", f"WITH {_Q} SELECT question_id, array_to_string(list_filter([CASE WHEN regexp_matches(lower(question), 'where|live|city|home base') THEN 'location' END, CASE WHEN contains(lower(question), 'drink') THEN 'coffee_order' END, CASE WHEN contains(lower(question), 'notebook') THEN 'notebook' END], lambda x: x IS NOT NULL), ',') AS hints FROM n")
-def _(spark, sf):
-    q = F.lower("question")
-    hints = F.array_compact(F.array(F.when(q.rlike("where|live|city|home base"), "location"), F.when(F.contains(q, F.lit("drink")), "coffee_order"), F.when(F.contains(q, F.lit("notebook")), "notebook")))
-    return _questions(spark).select("question_id", F.array_join(hints, ",").alias("hints"))
-
-
-@query("ret_expand_query")
-def _(spark, sf):
-    t = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0))
-    known = F.create_map(*[x for k, v in EXPAND.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v]))])
-    more = F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform(t, lambda w: F.coalesce(F.try_element_at(known, w), F.array().cast("array<string>")))))), 1, 4)
-    return _questions(spark).select("question_id", F.array_join(F.concat(t, more), " ").alias("expanded"))
-
-
 @query("ret_structured_dedupe", f"WITH {FACTS_SQL}, r AS (SELECT fact_id, row_number() OVER (PARTITION BY entity_key, relation_key, value ORDER BY confidence DESC, fact_id) AS nth FROM facts) SELECT fact_id FROM r WHERE nth = 1")
 def _(spark, sf):
     f = fx.keyed(facts(spark, sf))
@@ -368,21 +323,6 @@ def _(spark, sf):
     return log_lines(spark, sf).groupBy(action.alias("action")).agg(F.count("*").alias("n"))
 
 
-@query("ext_temporal", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS mention FROM events WHERE event_id % 3 = 0")
-def _(spark, sf):
-    said = F.concat(F.lit("We met on "), F.date_format("ts", "MMMM d, yyyy"), F.lit(" again."))
-    found = F.to_date(F.regexp_extract(said, r"([A-Z][a-z]+ [0-9]{1,2}, [0-9]{4})", 1), "MMMM d, yyyy")
-    return table(spark, sf, "events").where("event_id % 3 = 0").select("event_id", F.date_format(found, "yyyy-MM-dd").alias("mention"))
-
-
-@query("ext_facts", "SELECT event_id, 'User' AS entity, rel AS relation, val AS value FROM (SELECT event_id, unnest(['moved_from', 'location']) AS rel, unnest(['Town' || user_id, 'City' || (event_id % 9)]) AS val FROM events WHERE event_type = 'signup')")
-def _(spark, sf):
-    said = F.concat(F.lit("User moved from Town"), "user_id", F.lit(" to City"), F.col("event_id") % 9, F.lit(" last month."))
-    got = lambda g: F.regexp_extract(said, r"^(\w+) moved from (\w+) to (\w+)", g)
-    each = F.array(F.struct(got(1).alias("entity"), F.lit("moved_from").alias("relation"), got(2).alias("value")), F.struct(got(1).alias("entity"), F.lit("location").alias("relation"), got(3).alias("value")))
-    return table(spark, sf, "events").where("event_type = 'signup'").select("event_id", F.inline(each))
-
-
 # Consolidation, governance, context
 
 
@@ -441,16 +381,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.concat(F.lit("Summary of conv_"), "conv_id", F.lit(": "), "n", F.lit(" turns")).alias("prompt"))
 
 
-@query("qa_count", "SELECT user_id, count(DISTINCT event_type) AS answer FROM events GROUP BY user_id")
-def _(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("answer"))
-
-
-@query("qa_delta", "SELECT user_id, date_diff('day', min(ts)::date, max(ts)::date) AS days FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id")
-def _(spark, sf):
-    return table(spark, sf, "events").where(F.col("event_type").isin("signup", "purchase")).groupBy("user_id").agg(F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))).cast("long").alias("days"))
-
-
 @query("qa_context", "WITH r AS (SELECT conv_id, turn, least(length(text), 400) AS n FROM conversations), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY n DESC, turn) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) AS nth FROM r) SELECT conv_id, turn FROM s WHERE used <= 1200 OR nth = 1")
 def _(spark, sf):
     c = table(spark, sf, "conversations").withColumn("n", F.least(F.length("text"), F.lit(400)))

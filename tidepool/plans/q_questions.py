@@ -67,26 +67,6 @@ def _qa(spark, sf):
 _W = "list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x NOT IN ('a', 'an', 'the', ''))"
 
 
-@query("qa_verify", f"WITH {_QA}, w AS (SELECT item_id, {_W.format('gold')} AS g, {_W.format('spans')} AS s FROM t), o AS (SELECT *, len(list_intersect(list_distinct(g), s))::double / len(list_distinct(g)) AS ov FROM w) SELECT item_id, CASE WHEN contains(array_to_string(s, ' '), array_to_string(g, ' ')) OR ov >= 0.75 THEN 'supported' WHEN ov >= 0.45 THEN 'partial' ELSE 'unsupported' END AS status FROM o")
-def _(spark, sf):
-    return _qa(spark, sf).select("item_id", qs.support(F.col("gold"), F.col("spans")).status.alias("status"))
-
-
-@query("agg_failure_counts", "SELECT CASE WHEN item_id % 5 = 0 THEN 'success' WHEN item_id % 3 = 0 THEN 'retrieval_miss' WHEN item_id % 4 = 0 THEN 'rerank_miss' WHEN item_id % 2 = 0 THEN 'unsupported_answer' ELSE 'evidence_present_answer_wrong' END AS kind, count(*) AS n FROM benchmark GROUP BY 1")
-def _(spark, sf):
-    i = F.col("item_id")
-    b = table(spark, sf, "benchmark").select("item_id", F.lit("Blue Harbor").alias("gold"), F.when(i % 5 == 0, "blue harbor").otherwise("red door").alias("pred"), F.when(i % 2 == 0, "unsupported").otherwise("supported").alias("status"), F.array(F.lit("e1")).alias("expected"), F.array(F.when(i % 3 == 0, "x").otherwise("e1")).alias("candidates"), F.array(F.when((i % 3 == 0) | (i % 4 == 0), "x").otherwise("e1")).alias("final"))
-    b = b.withColumn("status", F.when(i % 5 == 0, "supported").otherwise(F.col("status")))
-    kind = qs.failure_kind(F.col("pred"), F.col("gold"), F.col("expected"), F.col("candidates"), F.col("final"), F.col("status"))
-    return b.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("set_evidence_overlap", "SELECT item_id, len(list_intersect([item_id % 3, item_id % 5], [item_id % 7])) > 0 AS overlaps FROM benchmark")
-def _(spark, sf):
-    m = lambda n: F.col("item_id") % n
-    return table(spark, sf, "benchmark").select("item_id", F.arrays_overlap(F.array(m(3), m(5)), F.array(m(7))).alias("overlaps"))
-
-
 _SIM = "s AS (SELECT a.doc_id AS id, b.doc_id AS target, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) AS sim FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents) a JOIN (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents) b ON b.doc_id = a.doc_id - 1)"
 
 
@@ -122,18 +102,6 @@ def _(spark, sf):
     return e.withColumn("later", later).select(F.col("event_id").alias("a"), "day", F.inline("later")).select("a", "b", F.datediff("day_b", "day").cast("long").alias("days"))
 
 
-@query("qa_rel_date", "SELECT event_id, (ts::date - 1)::varchar AS yesterday, (ts::date - 7)::varchar AS last_week, (ts::date - INTERVAL 1 MONTH)::date::varchar AS last_month FROM events")
-def _(spark, sf):
-    d = F.to_date("ts")
-    return table(spark, sf, "events").select("event_id", F.date_sub(d, 1).cast("string").alias("yesterday"), F.date_sub(d, 7).cast("string").alias("last_week"), F.add_months(d, -1).cast("string").alias("last_month"))
-
-
-@query("qa_canon_date", "SELECT event_id, strftime(try_strptime(strftime(ts, '%d/%m/%Y'), '%d/%m/%Y'), '%Y-%m-%d') AS canonical FROM events")
-def _(spark, sf):
-    written = F.date_format("ts", "dd/MM/yyyy")
-    return table(spark, sf, "events").select("event_id", F.date_format(F.to_date(written, "dd/MM/yyyy"), "yyyy-MM-dd").alias("canonical"))
-
-
 @query("ctx_budgets", "SELECT conv_id, sum(length(text))::bigint AS total, (sum(length(text)) * 0.6)::bigint AS recent, (sum(length(text)) * 0.3)::bigint AS memory FROM conversations GROUP BY conv_id HAVING (sum(length(text)) * 10) % 10 = 0 AND sum(length(text)) % 10 = 0")
 def _(spark, sf):
     total = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("total")).where("total % 10 = 0")

@@ -80,30 +80,6 @@ def _(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('<li><a href="([^"]*)">'), F.lit(1))).cast("long").alias("n_links"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("ret_chain_entities", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+'))), ',') AS entities FROM documents WHERE lang = 'en'")
-def _(spark, sf):
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+ [A-Z][a-z]+"), F.lit(0))))
-    return _docs(spark, sf).where("lang = 'en'").select("doc_id", F.array_join(found, ",").alias("entities"))
-
-
-@query("ext_graph", "SELECT doc_id, e AS entity, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{3,}')) AS e FROM documents WHERE lang = 'en') GROUP BY ALL")
-def _(spark, sf):
-    return _docs(spark, sf).where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))).alias("entity")).groupBy("doc_id", "entity").agg(F.count("*").alias("n"))
-
-
-@query("ext_graph_calibrate", "SELECT doc_id, least(1.0, greatest(0.2, 0.4 + CASE WHEN source = 'src0' THEN 0.15 ELSE 0 END + CASE WHEN n_chars > 2000 THEN 0.10 ELSE 0 END))::double AS confidence FROM documents")
-def _(spark, sf):
-    c = F.lit(0.4) + F.when(F.col("source") == "src0", 0.15).otherwise(0.0) + F.when(F.col("n_chars") > 2000, 0.10).otherwise(0.0)
-    return _docs(spark, sf).select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.2), c)).alias("confidence"))
-
-
-@query("ext_fact_relations", "SELECT doc_id, CASE WHEN regexp_matches(text, 'Licensed under') THEN 'licensed_under' WHEN regexp_matches(text, 'Released under') THEN 'released_under' WHEN regexp_matches(text, 'This work is licensed') THEN 'work_license' END AS relation, trim(regexp_extract(text, '(?:icensed|eleased) under (?:the )?([A-Z][A-Za-z -]+)', 1)) AS value FROM documents WHERE regexp_matches(text, '(icensed|eleased) under')")
-def _(spark, sf):
-    has = lambda p: F.col("text").rlike(p)
-    relation = F.when(has("Licensed under"), "licensed_under").when(has("Released under"), "released_under").when(has("This work is licensed"), "work_license")
-    return _docs(spark, sf).where(has("(icensed|eleased) under")).select("doc_id", relation.alias("relation"), F.trim(F.regexp_extract("text", "(?:icensed|eleased) under (?:the )?([A-Z][A-Za-z -]+)", 1)).alias("value"))
-
-
 @query("ext_skeleton", f"SELECT doc_id, coalesce(l[1], '') AS header, len(l) AS n_lines, len(list_filter(l, lambda x: contains(lower(x), 'under'))) AS n_witness FROM (SELECT doc_id, {_LINES} AS l FROM documents)")
 def _(spark, sf):
     d = _docs(spark, sf).select("doc_id", text.lines(F.col("text")).alias("l"))
@@ -174,12 +150,6 @@ def _(spark, sf):
     return p.agg((F.count("*") / F.sum("n")).alias("novelty"), F.sum("n").alias("n"))
 
 
-@query("qa_norm_match", r"SELECT item_id, trim(regexp_replace(regexp_replace(' ' || regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '  ', 'g') || ' ', ' (a|an|the) ', ' ', 'g'), ' +', ' ', 'g')) AS norm FROM benchmark WHERE NOT regexp_matches(lower(text), '(^|[^a-z])(one|two|three|four|five|six|seven|eight|nine|ten|zero)([^a-z]|$)')")
-def _(spark, sf):
-    b = table(spark, sf, "benchmark").where(~F.lower("text").rlike("(^|[^a-z])(one|two|three|four|five|six|seven|eight|nine|ten|zero)([^a-z]|$)"))
-    return b.select("item_id", text.normalised(F.col("text")).alias("norm"))
-
-
 @query("set_jaccard_tokens", "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents WHERE doc_id < 80) SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def _(spark, sf):
     t = _docs(spark, sf).select("doc_id", F.array_distinct(search.tokens(F.col("text"))).alias("t"))
@@ -209,12 +179,3 @@ def _(spark, sf):
     count = lambda c: p.select("item_id", F.explode(c).alias("t")).groupBy("item_id", "t").agg(F.count("*").alias(f"n_{c}"))
     common = count("g").join(count("p"), ["item_id", "t"]).groupBy("item_id").agg(F.sum(F.least("n_g", "n_p")).alias("common"))
     return p.join(common, "item_id", "left").select("item_id", F.round(F.coalesce(2.0 * F.col("common") / (F.size("g") + F.size("p")), F.lit(0.0)), 9).alias("f1"))
-
-
-@query("qa_em", r"SELECT item_id, CASE WHEN a = b THEN 1.0 WHEN b <> '' AND contains(a, b) AND len(string_split(a, ' ')) <= greatest(3, floor(len(string_split(b, ' ')) * 2.5)) THEN 1.0 ELSE 0.0 END::double AS em FROM (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(substr(text, 1, 40 + item_id)), '[^a-z0-9]+', ' ', 'g')) AS b FROM benchmark)")
-def _(spark, sf):
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    b = table(spark, sf, "benchmark").select("item_id", norm(F.col("text")).alias("a"), norm(F.expr("substring(text, 1, cast(40 + item_id as int))")).alias("b"))
-    n = lambda c: F.size(F.split(c, " "))
-    em = F.when(F.col("a") == F.col("b"), 1.0).when((F.col("b") != "") & F.contains("a", "b") & (n("a") <= F.greatest(F.lit(3), F.floor(n("b") * 2.5))), 1.0).otherwise(0.0)
-    return b.select("item_id", em.alias("em"))

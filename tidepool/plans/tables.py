@@ -90,3 +90,51 @@ LINES_SQL = """v AS (SELECT *, floor(value)::int || '.' || lpad((round(value * 1
 lines AS (SELECT event_id AS line_no, CASE WHEN event_type = 'error' THEN 'Error: timeout for server-' || user_id || ' after ' || vs || ' ms' ELSE 'User u' || user_id || ' did ' || event_type || ' value=' || vs || ' k=' || k END AS text,
   CASE WHEN event_type = 'error' THEN 'Error: timeout for <*> after <*> ms' ELSE 'User <*> did <*> value=<*> k=<*>' END AS template,
   CASE WHEN event_type = 'error' THEN ['server-' || user_id, vs] ELSE ['u' || user_id, event_type, vs, k] END AS slots, user_id, ts, event_type FROM v)"""
+
+
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: Sentences of the notes; {i} is the customer, {n} its nation, {s} its segment, {m} a month, {d} a day, {y} a year.
+NOTES = (
+    "User moved from {n} to {s}ville last month.",
+    "My espresso drink now is {s} latte with oat milk, mostly.",
+    "Clerk-{i} works at {n} and Clerk-{i} has {d} boats.",
+    "I switched from a brown notebook to the {s} journal.",
+    "We are currently based in {n}.",
+    "Alice painted the {s} sunset on {m} {d}, {y}.",
+    "Before winter, movie nights usually meant popcorn; the green bag became the {s} backpack.",
+    "They met on 3/{d} and again on {y}-06-{d}.",
+    "Airport kit stays consistent: {s} pack, anker charger, muji notebook, aisle seat.",
+    "Clerk-{i} bought a lamp for the {n} office. It was a bargain!",
+    "Since last spring, my home base has been {n}.",
+    "Bob prefers {s} tea and the crew depends on Alice.",
+)
+
+
+def _rendered(template: str, parts: dict[str, Column]) -> Column:
+    import re
+
+    return F.concat(*[parts[x[1:-1]] if x[0] == "{" else F.lit(x) for x in re.split(r"(\{\w\})", template) if x])
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as notes: note_id and text, a third of the sentences each, two lines."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    i = F.col("c_custkey")
+    parts = {"i": i.cast("string"), "n": F.col("n_name"), "s": F.lower("c_mktsegment"), "m": F.element_at(F.array(*[F.lit(m) for m in MONTHS]), (i % 12 + 1).cast("int")), "d": (i % 27 + 2).cast("string"), "y": (2000 + i % 24).cast("string")}
+    said = F.array_compact(F.array(*[F.when((i * 7 + k * (k + 1)) % 3 == 0, _rendered(t, parts)) for k, t in enumerate(NOTES)]))
+    half = F.floor(F.size(said) / 2).cast("int")
+    text = F.concat(F.array_join(F.slice(said, F.lit(1), half), " "), F.lit("\n"), F.array_join(F.slice(said, half + 1, F.size(said)), " "))
+    return c.select(i.alias("note_id"), text.alias("text"))
+
+
+def _notes_sql() -> str:
+    import re
+
+    parts = {"i": "c_custkey", "n": "n_name", "s": "lower(c_mktsegment)", "m": "['" + "', '".join(MONTHS) + "'][(c_custkey % 12 + 1)::int]", "d": "(c_custkey % 27 + 2)", "y": "(2000 + c_custkey % 24)"}
+    lit = lambda t: " || ".join(parts[x[1:-1]] if x[0] == "{" else f"'{x}'" for x in re.split(r"(\{\w\})", t) if x)
+    said = ", ".join(f"CASE WHEN (c_custkey * 7 + {k * (k + 1)}) % 3 = 0 THEN {lit(t)} END" for k, t in enumerate(NOTES))
+    return f"""said AS (SELECT c_custkey AS note_id, list_filter([{said}], lambda x: x IS NOT NULL) AS a FROM customer JOIN nation ON c_nationkey = n_nationkey),
+notes AS (SELECT note_id, array_to_string(a[1:len(a) // 2], ' ') || chr(10) || array_to_string(a[len(a) // 2 + 1:len(a)], ' ') AS text FROM said)"""
+
+
+NOTES_SQL = _notes_sql()
