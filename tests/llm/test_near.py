@@ -245,6 +245,14 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs).collect() == []
 
 
+def test_licence_spans_are_verified(spark):
+    line = "released under the mit license"
+    rows = [(1, f"{line} {line} {line}"), (2, "mit license under the mit license released"), (3, "released under the very same mit license"), (4, "license mit the under released"), (5, "you may not use this file and also not except in compliance with the license you may obtain a copy of the license at")]
+    got = {r.doc_id: sorted((s.start, s.end, s.template.split()[0]) for s in r.spans if not s.base) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == [(0, 5, "released"), (5, 10, "released"), (10, 15, "released")]
+    assert got[2] == got[3] == got[4] == [] and got[5] == [(0, 24, "you")]
+
+
 def test_sql_forms_on_odd_rows(spark):
     import pandas as pd
 

@@ -2,9 +2,11 @@
 
 Every k-gram of words of a text is looked up among the k-grams of a template bank; a hit at word p
 of the text and word q of a template votes for the diagonal p - q. Votes are counted by diagonal,
-neighbouring diagonals of a template (words added or left out) are merged, and a merged span counts
-if it holds the required share of the template's k-grams. Hits are confirmed word by word, so a
-span with every k-gram on one diagonal is the template itself, word by word.
+neighbouring diagonals of a template (words added or left out) are merged, and merged spans are
+verified: a span that is longer than its template and BAND words (copies side by side) falls apart
+into its diagonals, and of a span's votes only those count that are in the template's order. A span
+counts if these hold the required share of the template's k-grams. Hits are confirmed word by word,
+so a span with every k-gram on one diagonal is the template itself, word by word.
 
 Short phrases have k = 2, must be whole and are never merged; longer templates have k = 4, need
 SHARE of their k-grams and merge diagonals up to BAND apart. The bank is a parameter of bounded
@@ -86,11 +88,16 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: dict
     found = some.join(F.broadcast(grams), ["k", "h"], "left").withColumn("ok", F.slice("here", 1, F.size("gram")) == F.col("gram"))
     votes = found.select("doc_id", "row", "n_words", *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("template", "label", "base", "k", "n_grams", "q", "at")])
     votes = votes.repartition("row").withColumn("diagonal", F.col("at") - F.col("q"))
-    by_diagonal = votes.groupBy("doc_id", "row", "n_words", "template", "label", "base", "k", "n_grams", "diagonal").agg(F.collect_set("q").alias("q"), F.min("at").alias("start"), F.max("at").alias("last"))
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > F.when(F.col("base"), 0).otherwise(BAND), F.lit(True))
-    grouped = by_diagonal.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(order))
-    spans = grouped.groupBy("doc_id", "row", "n_words", "template", "label", "base", "k", "n_grams", "group").agg(F.size(F.array_distinct(F.flatten(F.collect_list("q")))).alias("votes"), F.min("start").alias("start"), (F.max("last") + F.first("k")).alias("end"))
+    along = Window.partitionBy("row", "template").orderBy("diagonal", "q")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("base"), 0).otherwise(BAND), F.lit(True))
+    run = Window.partitionBy("row", "template", "group")
+    grouped = votes.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(along))
+    fits = F.max("at").over(run) - F.min("at").over(run) + F.col("k") <= F.col("n_grams") + F.col("k") - 1 + BAND
+    grouped = grouped.withColumn("fits", fits).withColumn("part", F.when(~F.col("fits"), F.col("diagonal")))
+    before = Window.partitionBy("row", "template", "group", "part").orderBy("at", "q").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = grouped.withColumn("counts", F.coalesce(F.col("q") > F.max("q").over(before), F.col("q").isNotNull()))
+    counted = F.when(F.col("counts"), F.col("at"))
+    spans = ordered.groupBy("doc_id", "row", "n_words", "template", "label", "base", "k", "n_grams", "group", "part").agg(F.count(counted).alias("votes"), F.min(counted).alias("start"), (F.max(counted) + F.first("k")).alias("end"))
     coverage = F.col("votes") / F.col("n_grams")
     full = coverage >= F.when(F.col("base"), 1.0).otherwise(SHARE)
     span = F.when(full, F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "template", "label", "base", coverage.alias("coverage")))
@@ -107,10 +114,11 @@ docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(
 places AS (SELECT doc_id, r, w, unnest(range(0, len(w))) AS p FROM docs),
 hits AS (SELECT r, p, template, label, base, g.k, n_grams, q, p - q AS diagonal FROM (SELECT r, p, w[p + 1:p + 2] AS g2, w[p + 1:p + 4] AS g4 FROM places) a
   JOIN grams g ON (g.k = 2 AND g.gram = a.g2) OR (g.k = 4 AND g.gram = a.g4)),
-diagonals AS (SELECT r, template, label, base, k, n_grams, diagonal, list(q) AS qs, min(p) AS s, max(p) AS e FROM hits GROUP BY ALL),
-cut AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > CASE WHEN base THEN 0 ELSE {BAND} END, true) THEN 1 ELSE 0 END AS apart FROM diagonals),
-grouped AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS grp FROM cut),
-spans AS (SELECT r, label, base, min(s) AS s, len(list_distinct(flatten(list(qs)))) / n_grams AS coverage FROM grouped GROUP BY r, template, label, base, k, n_grams, grp),
+cut AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal, q) > CASE WHEN base THEN 0 ELSE {BAND} END, true) THEN 1 ELSE 0 END AS apart FROM hits),
+grouped AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal, q) AS grp FROM cut),
+parted AS (SELECT *, CASE WHEN max(p) OVER w - min(p) OVER w + k > n_grams + k - 1 + {BAND} THEN diagonal END AS part FROM grouped WINDOW w AS (PARTITION BY r, template, grp)),
+ordered AS (SELECT *, coalesce(q > max(q) OVER (PARTITION BY r, template, grp, part ORDER BY p, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS counts FROM parted),
+spans AS (SELECT r, label, base, min(p) FILTER (counts) AS s, count(*) FILTER (counts) / n_grams AS coverage FROM ordered GROUP BY r, template, label, base, k, n_grams, grp, part),
 good AS (SELECT * FROM spans WHERE coverage >= CASE WHEN base THEN 1.0 ELSE {SHARE} END),
 per AS (SELECT r, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
   list_sort(list_distinct(list(label) FILTER (base))) AS bl, list_sort(list_distinct(list(label))) AS al, max(coverage) AS score FROM good GROUP BY r)

@@ -8,10 +8,11 @@ record back from its header bytes; records() joins header and payload into the o
 byte by byte. parse() reads records of WARC files.
 
 Digests and sizes are computed where the payload is read; the search for first pages moves ids and
-digests only, and its minima are aggregated before they are shuffled. Payloads move once, by row
-and therefore evenly, to those rows that are stored. A digest that very many rows share is left to
-the splitting of skewed joins, of narrow rows. All tables are in the shared folder, so a lost
-executor costs the rerun of a task.
+digests only, and its minima are aggregated before they are shuffled. A row is known by a hash of its
+id and digest, so that both readings agree whatever the input is. Payloads move once, by row and
+therefore evenly, to those rows that are stored. A digest that very many rows share is left to the
+splitting of skewed joins, of narrow rows. All tables are in the shared folder, so a lost executor
+costs the rerun of a task.
 
 Null html counts as empty. Null urls are written as empty, line breaks in urls are escaped. Of
 repeated ids with equal payloads each is a response where it is the smallest; payloads whose ids
@@ -59,9 +60,10 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     """Writes both tables below the folder (a new one in the shared folder, if none is given) and opens them."""
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    rows = pick(pages, page_id=(id_col, "long"), url=(url_col, "string"), html=(html_col, "string")).withColumn("row", F.monotonically_increasing_id())
+    rows = pick(pages, page_id=(id_col, "long"), url=(url_col, "string"), html=(html_col, "string"))
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    marks = rows.select("row", "page_id", "url", F.length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("digest"))
+    rows = rows.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("row", F.xxhash64("page_id", "digest"))
+    marks = rows.select("row", "page_id", "url", F.length("payload").cast("long").alias("payload_bytes"), "digest")
     path = f"{folder}/marks"
     marks.write.parquet(path)
     marks = spark.read.schema(marks.schema).parquet(path)
@@ -71,7 +73,8 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     records = marks.join(first, "digest").withColumn("refers_to", refers)
     records.select("row", _header(F.col("url")).alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
     kept = first.select(F.col("stored").alias("row"), "digest")
-    rows.select("row", payload.alias("payload")).join(kept, "row").select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/content")
+    stored = rows.select("row", "digest", "payload").join(kept, ["row", "digest"]).groupBy("row", "digest").agg(F.first("payload").alias("payload"))  # repeated rows have the same payload
+    stored.select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/content")
     return open_archive(spark, folder)
 
 
