@@ -1,8 +1,8 @@
 """Facts over time: current and historical values, conflicts, admission, supersession, typed edges.
 
 A fact has an id, entity, relation, value, fact_date (text, may be empty), confidence, status and
-created_at. Groups are (entity, relation) without regard to case. All operators are windows or
-aggregations over a group; none needs a group in one place.
+created_at. Groups are (entity, relation) without regard to case. Aggregations combine before they are
+shuffled; the windows sort a group in one task, on disk if need be, and carry narrow rows only.
 """
 
 from __future__ import annotations
@@ -62,6 +62,16 @@ def as_of(facts: DataFrame, when: Column, by: list[str], at: str, id_col: str) -
     return facts.where(F.col(at) <= when).groupBy(*by).agg(F.max(row).alias("last")).select(*by, F.col(f"last.{id_col}").alias(id_col), "last.value")
 
 
+def closed(facts: DataFrame, single: tuple[str, ...] = SINGLE) -> DataFrame:
+    """Facts of relations with one value at a time, without those that repeat the value: superseded_by, transaction_to (when the next was written) and valid_to (the next one's date, else the day it was written) are null for the fact that holds."""
+    w = Window.partitionBy(*GROUP).orderBy("created_at", "fact_id")
+    out = keyed(facts).where(F.col("relation_key").isin(*single)).withColumn("value_key", F.lower(F.trim("value")))
+    out = out.withColumn("known", F.coalesce(F.col("value_key").eqNullSafe(F.lag("value_key").over(w)) & (F.row_number().over(w) > 1), F.lit(False))).where("not known")
+    date = F.lead("fact_date").over(w)
+    valid_to = F.when(F.lead("fact_id").over(w).isNotNull(), F.coalesce(F.when(date != "", date), F.date_format(F.lead("created_at").over(w), "yyyy-MM-dd")))
+    return out.withColumn("superseded_by", F.lead("fact_id").over(w)).withColumn("transaction_to", F.lead("created_at").over(w)).withColumn("valid_to", valid_to).drop("known")
+
+
 def admission(facts: DataFrame, least_confidence: float = 0.55, single: tuple[str, ...] = SINGLE) -> DataFrame:
     """Decision for each fact against the facts before it: DENY below the confidence, NOOP if the value was there, SUPERSEDE if a single-valued relation changes, else ALLOW; `target` is the earlier fact concerned."""
     before = Window.partitionBy(*GROUP).orderBy("created_at", "fact_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -64,7 +64,6 @@ def _scd2(spark, sf) -> DataFrame:
 
 
 query("win_scd2_edges", _SCD2)(_scd2)
-query("snk_fact_supersede", _SCD2)(_scd2)
 
 
 @query("snk_edge_add", f"WITH {EDGES_SQL} SELECT edge_id, src, dst, CASE WHEN lead(edge_id) OVER (PARTITION BY src, relation ORDER BY created_at, edge_id) IS NULL THEN 'active' ELSE 'inactive' END AS status FROM (SELECT DISTINCT * FROM edges)")
@@ -80,11 +79,6 @@ def _(spark, sf):
     return fx.upsert(facts(spark, sf).withColumn("chunk_id", F.col("chunk_id") % 10))
 
 
-@query("snk_entity_upsert", f"WITH {FACTS_SQL} SELECT entity_key, arg_max(entity, fact_id) AS name, count(*) AS n_mentions, min(created_at) AS first_seen FROM facts GROUP BY entity_key")
-def _(spark, sf):
-    return fx.keyed(facts(spark, sf)).groupBy("entity_key").agg(F.max_by("entity", "fact_id").alias("name"), F.count("*").alias("n_mentions"), F.min("created_at").alias("first_seen"))
-
-
 @query("gov_admission_fact", f"""WITH {FACTS_SQL}, w AS (SELECT *, first(CASE WHEN confidence >= 0.6 THEN fact_id END IGNORE NULLS) OVER (PARTITION BY entity_key, relation_key, lower(trim(value)) ORDER BY created_at, fact_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS same_id,
 last_value(CASE WHEN confidence >= 0.6 THEN fact_id END IGNORE NULLS) OVER (PARTITION BY entity_key, relation_key ORDER BY created_at, fact_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id FROM facts),
 a AS (SELECT fact_id, same_id, last_id, CASE WHEN confidence < 0.6 THEN 'DENY' WHEN same_id IS NOT NULL THEN 'NOOP' WHEN relation_key IN ('signup', 'error') AND last_id IS NOT NULL THEN 'SUPERSEDE' ELSE 'ALLOW' END AS action FROM w)
@@ -313,13 +307,3 @@ def _(spark, sf):
 def _(spark, sf):
     gone = table(spark, sf, "labels").where("quality = 0").select("doc_id")
     return table(spark, sf, "documents").select("doc_id").join(gone, "doc_id", "left_anti")
-
-
-@query("snk_embed_cache", "SELECT key, arg_max(vec_id, vec_id) AS vec_id FROM (SELECT vec_id % 100 AS key, vec_id FROM embeddings) GROUP BY key")
-def _(spark, sf):
-    return table(spark, sf, "embeddings").groupBy((F.col("vec_id") % 100).alias("key")).agg(F.max("vec_id").alias("vec_id"))
-
-
-@query("snk_consolidated_upsert", "SELECT conv_id AS cluster_key, count(*) AS n_chunks, sum(length(text))::bigint AS n_chars FROM conversations GROUP BY conv_id")
-def _(spark, sf):
-    return table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("cluster_key")).agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))

@@ -37,24 +37,6 @@ def _(spark, sf):
     return sessions.corpus(m)
 
 
-def _transcripts(spark, sf, kind: str) -> DataFrame:
-    """conversations as transcript files, one each, written and parsed."""
-    c = table(spark, sf, "conversations")
-    content = {"a": F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message"))), "b": F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")).alias("message"))), "generic": F.to_json(F.struct("text"))}[kind]
-    head = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.to_json(F.struct(F.lit("session").alias("type"), F.concat(F.lit("conv_"), "conv_id").alias("session_id"))).alias("value"))
-    lines = head.unionByName(c.select("conv_id", "turn", content.alias("value")))
-    path = store.scratch(spark, f"transcripts-{kind}")
-    lines.repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    got = sessions.transcripts(spark, path)
-    return got.select("session_id", F.col("index").cast("long").alias("index"), "role", F.md5("content").alias("content"))
-
-
-_TURNS = "SELECT 'conv_' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index, role, md5(text) AS content FROM conversations WHERE role IN ('user', 'assistant') AND length(text) >= 20"
-for _name, _kind in {"src_session_fmt_a": "a", "src_session_fmt_b": "b", "src_session_auto": "a"}.items():
-    query(_name, _TURNS)(lambda spark, sf, k=_kind: _transcripts(spark, sf, k))
-query("src_session_generic", "SELECT 'conv_' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS index, 'unknown' AS role, md5(substr(text, 1, 5000)) AS content FROM conversations WHERE length(text) >= 20")(lambda spark, sf: _transcripts(spark, sf, "generic"))
-
-
 @query("src_log_lines", f"WITH {LINES_SQL} SELECT line_no, text FROM lines ORDER BY line_no LIMIT 100")
 def _(spark, sf):
     return log_lines(spark, sf).orderBy("line_no").limit(100).select("line_no", "text")
@@ -67,11 +49,6 @@ def _(spark, sf):
     return sessions.template_bank(spark, path)
 
 
-@query("src_text_file")
-def _(spark, sf):
-    return sessions.files(spark, f"{sf}/region.parquet").select("sha256", "size")
-
-
 _SPAN = "'SPAN ' || event_type || ' trace=' || user_id || ' span=' || event_id || ' status=ok k=' || json_extract_string(props, '$.k')"
 
 
@@ -95,34 +72,8 @@ def _(spark, sf):
     return v.where(F.startswith("sha", F.lit("0a"))).select("sha", F.length("content").cast("long").alias("n"))
 
 
-_OFFICIAL = "SELECT 'conv_{}' || conv_id || '_' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS doc_id, role, length(text) AS n FROM conversations"
-for _name, _p in {"src_official_a": "a_", "src_official_b": "b_", "src_official_c": "c_"}.items():
-
-    @query(_name, _OFFICIAL.format(_p))
-    def _(spark, sf, p=_p):
-        nested = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-        each = nested.select("conv_id", F.posexplode("turns").alias("i", "t"))
-        return each.select(F.concat(F.lit(f"conv_{p}"), "conv_id", F.lit("_"), "i").alias("doc_id"), "t.role", F.length("t.text").cast("long").alias("n"))
-
-
 # Sinks
 
-_LABELS = "SELECT doc_id, quality, toxic FROM labels"
-for _name in ("snk_chunk_insert", "snk_audit", "snk_cos_insert", "snk_skill_insert", "snk_evidence_insert", "snk_reasoning_insert", "snk_file_register"):
-
-    @query(_name, _LABELS)
-    def _(spark, sf, name=_name):
-        rows = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
-        return store.appended(spark, name, rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"))
-
-
-@query("snk_session_start_end", "SELECT conv_id, min(turn) AS started, max(turn) AS ended FROM conversations GROUP BY conv_id")
-def _(spark, sf):
-    c = table(spark, sf, "conversations")
-    marks = store.appended(spark, "sessions", c.groupBy("conv_id").agg(F.min("turn").alias("at")), c.groupBy("conv_id").agg(F.max("turn").alias("at")))
-    return marks.groupBy("conv_id").agg(F.min("at").alias("started"), F.max("at").alias("ended"))
-
-
 @query("snk_supersede", "SELECT doc_id, CASE WHEN quality = 0 THEN 'superseded' ELSE 'active' END AS status FROM labels UNION ALL SELECT doc_id + 1000000, 'active' FROM labels WHERE quality = 0")
 def _(spark, sf):
     lab = table(spark, sf, "labels")
@@ -130,32 +81,11 @@ def _(spark, sf):
     return store.superseded(lab.select("doc_id", F.lit("active").alias("status")), new, "doc_id")
 
 
-@query("snk_mark_chunk_superseded", "SELECT event_id, CASE WHEN quality = 0 THEN 'superseded' ELSE 'active' END AS status FROM events LEFT JOIN labels ON doc_id = json_extract_string(props, '$.k')::bigint")
-def _(spark, sf):
-    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("k"), "quality")
-    e = table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return e.join(lab, "k", "left").select("event_id", F.when(F.col("quality") == 0, "superseded").otherwise("active").alias("status"))
-
-
-@query("jn_reasoning_link", "SELECT event_id, d.doc_id, d.source FROM events JOIN documents d ON d.doc_id = json_extract_string(props, '$.k')::bigint")
-def _(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("doc_id"))
-    return e.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select("event_id", "doc_id", "source")
-
-
 @query("snk_vault_put", "SELECT sha256(text) AS sha, count(*) AS n_refs FROM documents GROUP BY 1")
 def _(spark, sf):
     return store.appended(spark, "vault", store.addressed(table(spark, sf, "documents"), F.col("text"))).select("sha", "n_refs")
 
 
-@query("snk_vault_compressed")
-def _(spark, sf):
-    from tidepool.functions.chunks import zstd_size
-
-    v = store.addressed(table(spark, sf, "documents"), F.col("text"))
-    return v.select("sha", F.octet_length("content").alias("raw"), zstd_size(F.col("content").cast("binary")).alias("packed"))
-
-
 @query("snk_wiki_compile", f"WITH {CURRENT_SQL} SELECT entity_key, md5('# ' || entity_key || chr(10) || string_agg('- ' || relation_key || ': ' || value, chr(10) ORDER BY relation_key, fact_id)) AS page FROM cur WHERE is_current GROUP BY entity_key")
 def _(spark, sf):
     now = fx.with_current(facts(spark, sf)).where("is_current")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Shortest text of a turn, longest tool result, longest text of the fallback. Fixed values.
 LEAST, TOOL_RESULT, FALLBACK = 20, 2000, 5000
+ARGUMENT = 200
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -16,35 +17,44 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _text(content: Column) -> Column:
-    """Text of a message's content: a string, or the text blocks of a list."""
+    """Text of a message's content: a string, or the text blocks of a list and its tool results of a bearable size."""
     plain = F.try_variant_get(content, "$", "string")
     blocks = F.try_variant_get(content, "$", "array<variant>")
     kind = lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string"), F.lit("text"))
-    texts = F.transform(F.filter(blocks, lambda b: kind(b) == "text"), lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.try_variant_get(b, "$", "string")))
-    return F.when(blocks.isNotNull(), F.array_join(F.array_compact(texts), "\n")).otherwise(plain)
+    inner = lambda b: F.try_variant_get(b, "$.content", "string")
+    said = lambda b: F.when(kind(b) == "text", F.coalesce(F.try_variant_get(b, "$.text", "string"), F.try_variant_get(b, "$", "string"))).when((kind(b) == "tool_result") & (F.length(inner(b)) <= TOOL_RESULT), inner(b))
+    return F.trim(F.when(blocks.isNotNull(), F.array_join(F.array_compact(F.transform(blocks, said)), "\n")).otherwise(plain))
 
 
 def _tool_calls(content: Column) -> Column:
+    """A line for the tool and one for each argument, cut to ARGUMENT characters; arguments in the order of their names."""
     blocks = F.try_variant_get(content, "$", "array<variant>")
     calls = F.filter(blocks, lambda b: F.try_variant_get(b, "$.type", "string").isin("tool_use", "toolCall"))
-    one = lambda b: F.concat_ws(" ", F.lit("[tool]"), F.try_variant_get(b, "$.name", "string"), F.coalesce(F.to_json(F.try_variant_get(b, "$.input", "variant")), F.to_json(F.try_variant_get(b, "$.arguments", "variant"))))
+    given = lambda b: F.coalesce(F.try_variant_get(b, "$.input", "map<string,string>"), F.try_variant_get(F.try_parse_json(F.try_variant_get(b, "$.arguments", "string")), "$", "map<string,string>"), F.try_variant_get(b, "$.arguments", "map<string,string>"))
+    pairs = lambda b: F.transform(F.array_sort(F.map_entries(given(b))), lambda e: F.concat(F.lit("\n  "), e.key, F.lit(": "), F.substring(e.value, 1, ARGUMENT)))
+    one = lambda b: F.concat(F.lit("Tool: "), F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("unknown")), F.coalesce(F.array_join(pairs(b), ""), F.lit("")))
     return F.coalesce(F.transform(calls, one), F.array().cast("array<string>"))
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, session_id, index, role, content) of the turns of transcript files of three kinds: nested messages, entries of type user or assistant, and any other objects with a text."""
+    """(file, session_id, index, role, content) of the turns of transcript files. The first JSON line of a file tells its kind: a session or a message with a role (nested messages), a user or assistant entry (entries by type), else any objects with a text."""
     e = json_lines(spark, path)
     get = lambda p, kind="string": F.try_variant_get("entry", p, kind)
-    e = e.withColumn("type", get("$.type")).withColumn("role", F.when(F.col("type") == "message", get("$.message.role")).when(F.col("type").isin("user", "assistant"), F.col("type")))
-    per_file = Window.partitionBy("file")
-    e = e.withColumn("session_id", F.coalesce(F.max(F.when(F.col("type") == "session", F.coalesce(get("$.session_id"), get("$.id")))).over(per_file), F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)))
-    e = e.withColumn("known", F.max(F.col("role").isNotNull().cast("int")).over(per_file))
+    e = e.withColumn("type", get("$.type")).withColumn("said_by", get("$.message.role"))
+    first = F.min_by(F.struct("type", "said_by"), "line_no").over(Window.partitionBy("file"))
+    e = e.withColumn("first", first)
+    nested = (F.col("first.type") == "session") | ((F.col("first.type") == "message") & F.col("first.said_by").isNotNull())
+    kind = F.when(nested, "nested").when(F.col("first.type").isin("user", "assistant", "file-history-snapshot"), "entries").otherwise("generic")
+    e = e.withColumn("kind", kind).withColumn("session_id", F.coalesce(F.max(F.when(F.col("type") == "session", F.coalesce(get("$.session_id"), get("$.id")))).over(Window.partitionBy("file")), F.regexp_extract("file", r"([^/]+?)(\.[^./]*)?$", 1)))
+    role = F.when((F.col("kind") == "nested") & (F.col("type") == "message"), F.col("said_by")).when((F.col("kind") == "entries") & F.col("type").isin("user", "assistant"), F.col("type")).when(F.col("kind") == "generic", "unknown")
+    role = F.when(role == "toolResult", "tool_result").otherwise(role)
     content = get("$.message.content", "variant")
-    text = F.when(F.col("known") == 1, _text(content)).otherwise(F.substring(F.coalesce(get("$.content"), get("$.text"), get("$.summary"), get("$.message")), 1, FALLBACK))
-    role = F.when(F.col("known") == 0, "unknown").when(F.col("role") == "toolResult", "tool_result").otherwise(F.col("role"))
-    turn = F.when((F.length(text) >= LEAST) & ((role != "tool_result") | (F.length(text) <= TOOL_RESULT)), F.struct(F.lit(-1).alias("nth"), role.alias("role"), text.alias("content")))
+    deep = F.coalesce(get("$.content"), get("$.text"), get("$.summary"), get("$.message.content"), get("$.message"))
+    e = e.withColumn("role", role).where(F.col("role").isin("user", "assistant", "tool_result", "unknown"))
+    e = e.withColumn("text", F.when(F.col("kind") == "generic", F.substring(deep, 1, FALLBACK)).otherwise(_text(content)))
+    turn = F.when((F.length("text") >= LEAST) & ((F.col("role") != "tool_result") | (F.length("text") <= TOOL_RESULT)), F.struct(F.lit(-1).alias("nth"), F.col("role").alias("role"), F.col("text").alias("content")))
     calls = F.transform(F.when(F.col("role") == "assistant", _tool_calls(content)).otherwise(F.array().cast("array<string>")), lambda c, i: F.struct(i.alias("nth"), F.lit("tool_call").alias("role"), c.alias("content")))
-    rows = e.where("known = 0 or role in ('user', 'assistant', 'toolResult')").select("file", "session_id", "line_no", F.inline(F.array_compact(F.concat(F.array(turn), calls))))
+    rows = e.select("file", "session_id", "line_no", F.inline(F.array_compact(F.concat(F.array(turn), calls))))
     order = Window.partitionBy("file").orderBy("line_no", "nth")
     return rows.withColumn("index", F.row_number().over(order) - 1).select("file", "session_id", "index", "role", "content")
 
