@@ -52,8 +52,8 @@ def embedding_chunks(text: str, most: int = 384, overlap: int = 48, least_chars:
     return [text] if parts == [text] else [c for p in parts for c in embedding_chunks(p, most, overlap, least_chars)]
 
 
-def boundaries(data: bytes) -> list[int]:
-    """Ends of content-defined chunks. Twelve mask bits depend on the last twelve bytes only, so all candidate places are found at once."""
+def cuts(data: bytes) -> list[int]:
+    """Places where content-defined chunks end; what follows the last one is not yet a chunk. Twelve mask bits depend on the last twelve bytes only, so all candidate places are found at once."""
     b = np.frombuffer(data, np.uint8).astype(np.int64)
     rolled = np.zeros(len(b), np.int64)
     for k in range(min(12, len(b))):
@@ -67,7 +67,13 @@ def boundaries(data: bytes) -> list[int]:
             break
         ends.append(end)
         at = end
-    return ends + [len(data)] * (at < len(data))
+    return ends
+
+
+def boundaries(data: bytes) -> list[int]:
+    """Ends of the content-defined chunks of whole data."""
+    ends = cuts(data)
+    return ends + [len(data)] * ((ends[-1] if ends else 0) < len(data))
 
 
 def byte_simhash(data: bytes) -> int:

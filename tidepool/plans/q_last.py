@@ -54,13 +54,6 @@ def _(spark, sf):
     return bloom.filters(_words(spark, sf), "packet", "word").where(bloom.may_contain("filter", ["click", "u12"])).select("packet")
 
 
-@query("ret_sem_bloom")
-def _(spark, sf):
-    """Filters of embedding buckets by label."""
-    v = table(spark, sf, "embeddings").select("label", search.sign_bucket("embedding", 12).cast("string").alias("word"))
-    return bloom.filters(v, "label", "word", 2048).select("label", F.size("filter").alias("n_bits"))
-
-
 @query("ret_fpr")
 def _(spark, sf):
     """Share of strange words that a packet's filter lets pass."""
@@ -87,40 +80,6 @@ def _(spark, sf):
     return back.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda x: x.line), "\n")).alias("digest"))
 
 
-@query("cmp_delta")
-def _(spark, sf):
-    """Size of each turn packed with the turn before as its dictionary."""
-
-    def size(new: pd.Series, old: pd.Series) -> pd.Series:
-        import zstandard
-
-        def one(a: str, b: str | None) -> int:
-            d = zstandard.ZstdCompressionDict((b or "x").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            return len(zstandard.ZstdCompressor(level=3, dict_data=d).compress(a.encode()))
-
-        return pd.Series([one(a, b) for a, b in zip(new, old, strict=True)])
-
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf, "conversations").withColumn("old", F.lag("text").over(w))
-    return c.select("conv_id", "turn", F.octet_length("text").alias("raw"), F.pandas_udf(size, T.LongType())("text", "old").alias("delta"))
-
-
-@query("cmp_bench")
-def _(spark, sf):
-    """Packed sizes of each source by form; the smallest wins."""
-    d = table(spark, sf, "documents")
-    sizes = d.select("source", F.octet_length("text").cast("long").alias("raw"), chunks.zstd_size(F.col("text").cast("binary")).alias("zstd"), chunks.zstd_size(text.canonical(F.col("text")).cast("binary")).alias("canonical"))
-    per = sizes.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("raw", "zstd", "canonical")])
-    return per.withColumn("best", F.least(*[F.struct(F.col(c).alias("size"), F.lit(c).alias("form")) for c in ("raw", "zstd", "canonical")]).form)
-
-
-@query("cmp_huffman")
-def _(spark, sf):
-    """Ideal code lengths of event types, from their counts."""
-    c = table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return c.withColumn("bits", F.ceil(-F.log2(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))))))
-
-
 @query("ctx_compact")
 def _(spark, sf):
     """Whole sentences of each turn up to a limit of characters; the first is cut if it alone is longer."""
@@ -161,11 +120,3 @@ def _(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", (F.col("quality") + F.col("toxic")).cast("double").alias("label"), F.log1p("n_chars").alias("f1"), (F.lit(0.5) + F.col("quality")).alias("reward"))
     x = VectorAssembler(inputCols=["f1"], outputCol="features").transform(d)
     return LogisticRegression(maxIter=10, family="multinomial", weightCol="reward").fit(x).transform(x).select("doc_id", "label", "prediction")
-
-
-@query("str_session_delta", "SELECT conv_id, count(*) AS n FROM conversations WHERE turn > 2 GROUP BY conv_id")
-def _(spark, sf):
-    """Turns that came since the last mark of each session."""
-    c = table(spark, sf, "conversations")
-    mark = c.select("conv_id", F.lit(2).alias("seen")).distinct()
-    return c.join(mark, "conv_id").where("turn > seen").groupBy("conv_id").agg(F.count("*").alias("n"))

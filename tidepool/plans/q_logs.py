@@ -94,11 +94,6 @@ def _(spark, sf):
     return hits.groupBy("line_no").agg(F.min_by("event_id", F.struct("wildcards", "event_id")).alias("event_id"))
 
 
-_KW = "SELECT line_no FROM lines WHERE contains(lower(text), 'click') AND contains(lower(text), 'u12 ')"
-for _name in ("ret_bloom_kw", "ret_decoded_lines", "ret_router", "ret_two_level"):
-    _logs(_name, _KW)(lambda spark, sf: log_lines(spark, sf).where(F.contains(F.lower("text"), F.lit("click")) & F.contains(F.lower("text"), F.lit("u12 "))).select("line_no"))
-
-
 @_logs("ret_tpl_fast", "SELECT line_no, text FROM lines WHERE template IN (SELECT DISTINCT template FROM lines WHERE contains(lower(template), 'timeout')) AND contains(text, 'server-9 ')")
 def _(spark, sf):
     x = log_lines(spark, sf)
@@ -210,10 +205,6 @@ def _tier():
 query("ded_tiering", f"WITH {_STORE} SELECT sha, {_TIER} AS tier FROM s")(lambda s, d: _store(s, d).select("sha", _tier().alias("tier")))
 query("agg_dedup_stats", f"WITH {_STORE} SELECT {_TIER} AS tier, count(*) AS n, sum(size)::bigint AS bytes, sum(refs)::bigint AS refs FROM s GROUP BY 1")(lambda s, d: _store(s, d).groupBy(_tier().alias("tier")).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("refs").alias("refs")))
 query("agg_compression_stats", "SELECT source, count(*) AS n, sum(strlen(text))::bigint AS raw, sum(length(text))::bigint AS chars, sum(length(text))::double / sum(strlen(text)) AS ratio FROM documents GROUP BY source")(lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("raw"), F.sum(F.length("text")).alias("chars"), (F.sum(F.length("text")) / F.sum(F.octet_length("text"))).alias("ratio")))
-query("ded_integrity", "SELECT doc_id, md5(text) = md5(coalesce(text, '')) AS intact, sha256(text) AS sha FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", (F.md5("text") == F.md5(F.coalesce("text", F.lit("")))).alias("intact"), F.sha2("text", 256).alias("sha")))
-query("cmp_dict", "SELECT text AS line, dense_rank() OVER (ORDER BY f) - 1 AS id FROM (SELECT text, min(doc_id) AS f FROM documents GROUP BY text)")(lambda s, d: table(s, d, "documents").groupBy(F.col("text").alias("line")).agg(F.min("doc_id").alias("f")).withColumn("id", F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("f")) - 1).drop("f"))
-query("ded_hamming", "SELECT doc_id, bit_count(xor(doc_id * 2654435761, doc_id + 977)) AS distance FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.bit_count((F.col("doc_id") * 2654435761).bitwiseXOR(F.col("doc_id") + 977)).alias("distance")))
-query("ded_bands", "SELECT doc_id, i AS band, ((doc_id * 2654435761) >> (8 * i)::int) & 255 AS value FROM documents, range(8) t(i)")(lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(F.array(*[F.shiftrightunsigned(F.col("doc_id") * 2654435761, 8 * i).bitwiseAND(255) for i in range(8)])).alias("band", "value")))
 query("jn_shared_chunks", "WITH l AS (SELECT DISTINCT user_id, floor(value / 10)::bigint AS c FROM events), s AS (SELECT user_id, count(*) AS n FROM l GROUP BY user_id), p AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS m FROM l a JOIN l b ON a.c = b.c AND a.user_id < b.user_id GROUP BY ALL) SELECT a, b, m::double / (x.n + y.n - m) AS jaccard FROM p JOIN s x ON x.user_id = a JOIN s y ON y.user_id = b WHERE m::double / (x.n + y.n - m) >= 0.5")(lambda s, d: _shared(s, d, 0.5))
 query("set_jaccard_chunks", "WITH l AS (SELECT DISTINCT user_id, floor(value / 10)::bigint AS c FROM events), s AS (SELECT user_id, count(*) AS n FROM l GROUP BY user_id), p AS (SELECT a.user_id AS a, b.user_id AS b, count(*) AS m FROM l a JOIN l b ON a.c = b.c AND a.user_id < b.user_id GROUP BY ALL) SELECT a, b, m::double / (x.n + y.n - m) AS jaccard FROM p JOIN s x ON x.user_id = a JOIN s y ON y.user_id = b WHERE m::double / (x.n + y.n - m) >= 0.7")(lambda s, d: _shared(s, d, 0.7))
 
@@ -268,12 +259,6 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("turn"), F.col("user_id").alias("agent"))
 
 
-@query("int_merkle", "WITH RECURSIVE p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, sha256(event_type || value::varchar) AS h FROM events WHERE event_id < 300), c AS (SELECT user_id, i, sha256(repeat('0', 64) || h) AS link FROM p WHERE i = 1 UNION ALL SELECT p.user_id, p.i, sha256(c.link || p.h) FROM c JOIN p ON p.user_id = c.user_id AND p.i = c.i + 1) SELECT user_id, max(i) AS n, arg_max(link, i) AS root FROM c GROUP BY user_id")
-def _(spark, sf):
-    each = table(spark, sf, "events").where("event_id < 300").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.sha2(F.concat("event_type", F.col("value").cast("string")), 256).alias("h")))).alias("p"))
-    return each.select("user_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit("0" * 64), lambda link, x: F.sha2(F.concat(link, x.h), 256)).alias("root"))
-
-
 @query("top_budgeted_decode", "SELECT doc_id, used::bigint AS used FROM (SELECT doc_id, source, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) WHERE used <= 20000")
 def _(spark, sf):
     return ranking.within_budget(table(spark, sf, "documents"), ["source"], F.octet_length("text"), 20_000, F.asc("doc_id"), keep_first=False).select("doc_id", "used")
@@ -291,11 +276,6 @@ def _(spark, sf):
     return ranking.top_k(u, ["key"], 1, F.asc("tier"), F.asc("v")).select("key", "tier", "v")
 
 
-@query("str_access", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def _(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @query("str_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def _(spark, sf):
     e = table(spark, sf, "events")

@@ -208,35 +208,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.md5(F.concat(F.lit("<memories>"), F.array_join(parts, ""), F.lit("</memories>"))).alias("context"))
 
 
-# Packets
-
-_PACKETS = f"WITH {LINES_SQL}, p AS (SELECT line_no // 256 AS packet, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')))) AS words FROM lines GROUP BY 1)"
-
-
-def _packets(spark, sf, size: int = 256) -> DataFrame:
-    words = log_lines(spark, sf).select(F.floor(F.col("line_no") / size).alias("packet"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{3,}"), F.lit(0))).alias("word"))
-    return words.groupBy("packet").agg(F.collect_set("word").alias("words"))
-
-
-def _all(words: tuple[str, ...]):
-    return F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in words]))) == len(words)
-
-
-for _name in ("ret_sas_packets", "ret_two_level_pf0", "ret_two_level_mr"):
-    query(_name, f"{_PACKETS} SELECT packet FROM p WHERE list_has_all(words, ['click', 'u12', 'server'])")(lambda spark, sf: _packets(spark, sf).where(_all(("click", "u12", "server"))).select("packet"))
-
-
-@query("ret_block_bloom", f"WITH {LINES_SQL} SELECT line_no // 1024 AS block, count(DISTINCT w) AS n_words FROM (SELECT line_no, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')) AS w FROM lines) GROUP BY 1")
-def _(spark, sf):
-    p = _packets(spark, sf).select(F.floor(F.col("packet") / 4).alias("block"), F.explode("words").alias("w"))
-    return p.groupBy("block").agg(F.count_distinct("w").alias("n_words"))
-
-
-@query("ret_block_query", f"WITH {LINES_SQL}, b AS (SELECT line_no // 1024 AS block, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9_]{{3,}}')))) AS words FROM lines GROUP BY 1) SELECT block FROM b WHERE list_has_all(words, ['u77', 'purchase'])")
-def _(spark, sf):
-    return _packets(spark, sf, 1024).where(_all(("u77", "purchase"))).select(F.col("packet").alias("block"))
-
-
 # Extraction
 
 
@@ -331,15 +302,7 @@ def _(spark, sf):
     return back.select("doc_id", F.sha2(F.unhex(F.array_join(F.transform("p", lambda x: x.x), "")), 256).alias("sha"))
 
 
-@query("int_verify", "SELECT event_id, event_id % 17 <> 3 AS intact FROM events")
-def _(spark, sf):
-    e = table(spark, sf, "events").withColumn("sealed", F.sha2("event_type", 256)).withColumn("now", F.when(F.col("event_id") % 17 == 3, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type")))
-    return e.select("event_id", (F.sha2("now", 256) == F.col("sealed")).alias("intact"))
-
-
-query("int_forensic", "SELECT event_id FROM events WHERE event_id % 17 = 3")(lambda spark, sf: table(spark, sf, "events").withColumn("now", F.when(F.col("event_id") % 17 == 3, F.concat("event_type", F.lit("!"))).otherwise(F.col("event_type"))).where(F.sha2("now", 256) != F.sha2("event_type", 256)).select("event_id"))
 query("int_fleet_demux", "SELECT user_id AS agent, string_agg(event_type, ',' ORDER BY ts, event_id) AS stream FROM events GROUP BY user_id")(lambda spark, sf: table(spark, sf, "events").groupBy(F.col("user_id").alias("agent")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x.event_type), ",").alias("stream")))
-query("cmp_tokens", "SELECT t AS token, min(doc_id) AS first_seen, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents WHERE lang = 'fr') GROUP BY t")(lambda spark, sf: table(spark, sf, "documents").where("lang = 'fr'").select("doc_id", F.explode(F.split("text", " ")).alias("token")).groupBy("token").agg(F.min("doc_id").alias("first_seen"), F.count("*").alias("n")))
 
 
 @query("cmp_predict_slots", f"WITH {LINES_SQL}, c AS (SELECT template, i, s, count(*) AS n FROM (SELECT template, unnest(range(len(slots))) AS i, unnest(slots) AS s FROM lines) GROUP BY ALL), m AS (SELECT template, i, first(s ORDER BY n DESC, s) AS mode FROM c GROUP BY ALL) SELECT template, i AS slot, sum(n * CASE WHEN s = mode THEN 1 ELSE 1 + length(s) END)::bigint AS size FROM c JOIN m USING (template, i) GROUP BY ALL")
@@ -349,23 +312,6 @@ def _(spark, sf):
     return c.join(mode, ["template", "slot"]).groupBy("template", "slot").agg(F.sum(F.col("n") * F.when(F.col("s") == F.col("mode"), 1).otherwise(1 + F.length("s"))).alias("size"))
 
 
-@query("cmp_meta", "SELECT doc_id, CASE WHEN length(text) <= 200 THEN 'raw' WHEN length(regexp_replace(text, '[0-9]+', '#', 'g')) < length(text) THEN 'template' ELSE 'plain' END AS best FROM documents")
-def _(spark, sf):
-    best = F.when(F.length("text") <= 200, "raw").when(F.length(F.regexp_replace("text", "[0-9]+", "#")) < F.length("text"), "template").otherwise("plain")
-    return table(spark, sf, "documents").select("doc_id", best.alias("best"))
-
-
-@query("cmp_decode_router", "SELECT CASE WHEN starts_with(html, '<!DOCTYPE') THEN 'html' WHEN starts_with(html, '{') THEN 'json' ELSE 'text' END AS kind, count(*) AS n FROM pages GROUP BY 1")
-def _(spark, sf):
-    kind = F.when(F.startswith("html", F.lit("<!DOCTYPE")), "html").when(F.startswith("html", F.lit("{")), "json").otherwise("text")
-    return table(spark, sf, "pages").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("cmp_mem_tier", "SELECT doc_id, coalesce(CASE WHEN n_chars < 500 THEN substr(text, 1, 50) END, 'full:' || md5(text)) AS decoded FROM documents")
-def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.coalesce(F.when(F.col("n_chars") < 500, F.substring("text", 1, 50)), F.concat(F.lit("full:"), F.md5("text"))).alias("decoded"))
-
-
 @query("ded_predict", "WITH o AS (SELECT DISTINCT user_id, floor(value / 20)::bigint AS item FROM events), c AS (SELECT a.item AS a, b.item AS b, count(*) AS n FROM o a JOIN o b ON a.user_id = b.user_id AND a.item <> b.item GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM c) SELECT a, string_agg(b::varchar, ',' ORDER BY rank) AS ids FROM r WHERE rank <= 5 GROUP BY a")
 def _(spark, sf):
     from tidepool.operators.events import cooccurrence
@@ -373,8 +319,3 @@ def _(spark, sf):
     c = cooccurrence(table(spark, sf, "events").withColumn("item", F.floor(F.col("value") / 20)), "user_id", "item")
     top = ranking.top_k(c, ["a"], 5, F.desc("n"), F.asc("b"))
     return top.groupBy("a").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "b"))), lambda x: x.b.cast("string")), ",").alias("ids"))
-
-
-@query("ded_session", "SELECT conv_id, count(*) AS n, count(DISTINCT md5(text)) AS n_distinct, sum(strlen(text))::bigint AS raw FROM conversations GROUP BY conv_id")
-def _(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct(F.md5("text")).alias("n_distinct"), F.sum(F.octet_length("text")).alias("raw"))

@@ -132,13 +132,6 @@ def _(spark, sf):
     return text.repetitiveness(_docs(spark, sf), "doc_id", "text")
 
 
-@query("cmp_tier", f"WITH r AS (SELECT doc_id, max(n)::double / sum(n) AS share FROM (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest({_LINES}) AS line FROM documents) GROUP BY ALL) GROUP BY doc_id) SELECT doc_id, CASE WHEN n_chars < 200 THEN 'lossless' WHEN share > 0.5 THEN 'template' ELSE 'standard' END AS tier FROM documents JOIN r USING (doc_id)")
-def _(spark, sf):
-    share = text.repetitiveness(_docs(spark, sf), "doc_id", "text")
-    tier = F.when(F.col("n_chars") < 200, "lossless").when(F.col("share") > 0.5, "template").otherwise("standard")
-    return _docs(spark, sf).join(share, "doc_id").select("doc_id", tier.alias("tier"))
-
-
 @query("agg_keyword_df", "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
 def _(spark, sf):
     return search.postings(_docs(spark, sf), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
