@@ -19,7 +19,7 @@ def anomalies(df: DataFrame, by: list[str], value: str, *order: Column, window:
     return out.withColumn("alert", alert).withColumn("severity", severity).drop("mean", "dev", "n_before")
 
 
-def motifs(df: DataFrame, by: list[str], event: str, *order: Column, sizes: range = range(3, 6), least: int = 2) -> DataFrame:
+def motifs(df: DataFrame, by: list[str], event: str, *order: Column, sizes: range = range(3, 11), least: int = 2) -> DataFrame:
     """Patterns of neighbouring events, overlaps counted: pattern, n_events, occurrences, weight (occurrences x length)."""
     w = Window.partitionBy(*by).orderBy(*order)
     out = df

@@ -18,28 +18,75 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    """(id, term, tf, size): one row per document and term; size is the document's number of tokens."""
-    text = F.concat_ws(" ", *columns)
-    each = docs.select(F.col(id_col), tokens(text).alias("terms"))
-    return each.select(id_col, F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy(id_col, "size", "term").agg(F.count("*").alias("tf"))
+    """(id, size, terms): each document's tokens in one row; size is their number."""
+    terms = tokens(F.concat_ws(" ", *columns))
+    return docs.select(F.col(id_col), terms.alias("terms")).select(id_col, F.size("terms").alias("size"), "terms")
+
+
+def counted(post: DataFrame, id_col: str) -> DataFrame:
+    """(id, size, term, tf): one row per document and term."""
+    return post.select(id_col, "size", F.explode("terms").alias("term")).groupBy(id_col, "size", "term").agg(F.count("*").alias("tf"))
+
+
+def _sizes(post: DataFrame) -> DataFrame:
+    """One row: documents with any token, and their mean size."""
+    return post.where("size > 0").agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
+
+
+def _score() -> Column:
+    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
 
 
 def bm25(post: DataFrame, queries: DataFrame, id_col: str, query_id: str = "query_id", query: str = "query", k: int = 10, require_all: bool = False) -> DataFrame:
-    """query_id, id, score, rank. Only the queries' terms are looked up; the collection's size and mean length are one aggregated row."""
+    """query_id, id, score, rank. Tokens are met with the queries' terms where they are made, so that only those are counted and shuffled; the collection's size and mean length are one aggregated row."""
     wanted = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
     n_terms = wanted.groupBy(query_id).agg(F.count("*").alias("n_terms"))
-    sizes = post.select(id_col, "size").distinct().agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
-    few = post.join(wanted.select("term").distinct(), "term", "left_semi")
+    few = post.select(id_col, "size", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    few = few.groupBy(id_col, "size", "term").agg(F.count("*").alias("tf"))
     df = few.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    hits = few.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(sizes))  # one row
-    scored = hits.groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("found"))
+    hits = few.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(_sizes(post)))  # one row
+    scored = hits.groupBy(query_id, id_col).agg(F.round(F.sum(_score()), 6).alias("score"), F.count("*").alias("found"))
     if require_all:
         scored = scored.join(n_terms, query_id).where("found = n_terms").drop("n_terms")
     return ranking.top_k(scored.drop("found"), [query_id], k, F.desc("score"), F.asc(id_col))
 
 
+#: Terms up to which all have to be found, and letters of a term that matches as a prefix beyond. Fixed values.
+ALL_TERMS, PREFIX = 3, 4
+
+
+def fulltext(post: DataFrame, queries: DataFrame, id_col: str, query_id: str = "query_id", query: str = "query", k: int = 10) -> DataFrame:
+    """query_id, id, score, rank, as a full-text index answers: queries are cleaned (`match_terms`), words count by their stems, up to three terms all have to be found, beyond that any, and then letter words also match as prefixes.
+
+    Equality and prefixes are both equi-joins, on the stem and on its first letters.
+    """
+    terms = queries.select(query_id, match_terms(F.col(query)).alias("t")).withColumn("n_terms", F.size("t"))
+    wanted = terms.select(query_id, "n_terms", F.explode("t").alias("raw"))
+    loose = (F.col("n_terms") > ALL_TERMS) & F.col("raw").rlike(f"^[a-z]{{{PREFIX},}}$")
+    wanted = wanted.select(query_id, "n_terms", stem(F.col("raw")).alias("term"), loose.alias("prefix")).distinct()
+    each = post.select(id_col, "size", F.explode("terms").alias("word")).select(id_col, "size", stem(F.col("word")).alias("word"))
+    whole = wanted.where("not prefix").select("term").distinct()
+    begun = wanted.where("prefix").select("term").distinct().withColumn("head", F.substring("term", 1, PREFIX - 1))
+    same = each.join(whole, each.word == whole.term).select(id_col, "size", "term", F.lit(False).alias("prefix"))
+    starts = each.withColumn("head", F.substring("word", 1, PREFIX - 1)).join(begun, "head").where(F.startswith("word", "term")).select(id_col, "size", "term", F.lit(True).alias("prefix"))
+    few = same.union(starts).groupBy(id_col, "size", "term", "prefix").agg(F.count("*").alias("tf"))
+    df = few.groupBy("term", "prefix").agg(F.count("*").alias("df"))
+    hits = few.join(df, ["term", "prefix"]).join(wanted, ["term", "prefix"]).crossJoin(F.broadcast(_sizes(post)))  # one row
+    needed = wanted.groupBy(query_id).agg(F.count("*").alias("needed"))
+    scored = hits.groupBy(query_id, id_col).agg(F.round(F.sum(_score()), 6).alias("score"), F.count("*").alias("found"), F.first("n_terms").alias("n_terms")).join(needed, query_id)
+    kept = scored.where((F.col("n_terms") > ALL_TERMS) | (F.col("found") == F.col("needed")))
+    return ranking.top_k(kept.select(query_id, id_col, "score"), [query_id], k, F.desc("score"), F.asc(id_col))
+
+
+def stem(word: Column) -> Column:
+    """A word without its commonest endings, if three letters stay: s, es, ed, ing, and y as i."""
+    out = word
+    for ending in ("s", "es", "ed", "ing"):
+        out = F.when((F.length(word) >= len(ending) + 3) & F.endswith(word, F.lit(ending)) & ~F.endswith(word, F.lit("ss")), F.substring(word, F.lit(1), F.length(word) - len(ending))).otherwise(out)
+    return F.when((F.length(out) > 3) & F.endswith(out, F.lit("e")), F.substring(out, F.lit(1), F.length(out) - 1)).when((F.length(out) > 3) & F.endswith(out, F.lit("y")), F.concat(F.substring(out, F.lit(1), F.length(out) - 1), F.lit("i"))).otherwise(out)
+
+
 def match_terms(query: Column) -> Column:
     """Terms of a full-text query: distinct without regard to case, no single letters, 24 at most. Beyond three terms, letter words of four or more match as prefixes."""
     clean = F.split(F.trim(F.regexp_replace(F.lower(query), r"[^a-z0-9_\s]", " ")), r"\s+")
@@ -65,8 +112,10 @@ def normalised(v: Column | str) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, query_id: str, digits: int = 6) -> DataFrame:
-    """Exact inner-product neighbours of a stated, bounded set of queries: those are broadcast, the vectors are scanned once, and each task keeps k of each query before the exchange."""
-    asks = F.broadcast(queries.select(F.col(query_id), F.col(vector).alias("asked")))
+    """Exact inner-product neighbours of a stated, bounded set of queries: the vectors are scanned once, and each task keeps k of each query before the exchange. A set of more than QUERIES goes by blocks."""
+    if queries.limit(QUERIES + 1).count() > QUERIES:
+        return knn_blocks(vectors, queries, k, id_col, vector, query_id, digits)
+    asks = F.broadcast(queries.select(F.col(query_id), F.col(vector).alias("asked")))  # QUERIES rows at most
     scored = vectors.select(F.col(id_col), F.col(vector).alias("v")).join(asks, F.col(id_col) != F.col(query_id)).select(query_id, id_col, F.round(dot("v", "asked"), digits).alias("score"))
     return ranking.top_k(scored, [query_id], k, F.desc("score"), F.asc(id_col))
 

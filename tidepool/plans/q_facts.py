@@ -118,18 +118,6 @@ def _(spark, sf):
     return graph.context_scores(edges(spark, sf))
 
 
-@query("win_supersede_chain", "WITH RECURSIVE c AS (SELECT event_id AS root, event_id AS id, 0 AS depth FROM events WHERE event_id < 50 UNION ALL SELECT root, id * 3 + 7, depth + 1 FROM c WHERE depth < 4 AND id * 3 + 7 IN (SELECT event_id FROM events)) SELECT root, id, depth FROM c")
-def _(spark, sf):
-    table(spark, sf, "events").select("event_id").createOrReplaceTempView("chain_ids")
-    step = table(spark, sf, "events").select(((F.col("event_id") - 7) / 3).cast("long").alias("at"), "event_id").where("event_id >= 7 and (event_id - 7) % 3 = 0")
-    now = table(spark, sf, "events").where("event_id < 50").select(F.col("event_id").alias("root"), F.col("event_id").alias("id"), F.lit(0).alias("depth"))
-    out = now
-    for depth in range(1, 5):  # superseded-by pointers, followed for all roots at once
-        now = now.join(step, F.col("id") == F.col("at")).select("root", F.col("event_id").alias("id"), F.lit(depth).alias("depth"))
-        out = out.union(now)
-    return out
-
-
 @query("top_current_rank", f"WITH {CURRENT_SQL}, s AS (SELECT fact_id, relation_key, round(3.0 + confidence + CASE WHEN relation_key = 'error' THEN 1.15 ELSE 0.78 END::double, 6) AS score FROM cur WHERE is_current), r AS (SELECT *, row_number() OVER (PARTITION BY relation_key ORDER BY score DESC, fact_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")
 def _(spark, sf):
     from tidepool.operators import ranking
@@ -211,7 +199,7 @@ def _(spark, sf):
     return facts(spark, sf).where("relation = 'error'").join(d, "chunk_id", "left").select("fact_id", "chunk_id", "source")
 
 
-@query("jn_pair_entities", f"WITH {FACTS_SQL}, m AS (SELECT DISTINCT chunk_id, entity_key FROM facts WHERE chunk_id < 60) SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS shared FROM m a JOIN m b ON a.entity_key = b.entity_key AND a.chunk_id < b.chunk_id GROUP BY ALL HAVING count(*) >= 2")
+@query("jn_pair_entities", f"WITH {FACTS_SQL}, m AS (SELECT DISTINCT chunk_id, entity_key FROM facts) SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS shared FROM m a JOIN m b ON a.entity_key = b.entity_key AND a.chunk_id < b.chunk_id GROUP BY ALL HAVING count(*) >= 2")
 def _(spark, sf):
     m = fx.keyed(facts(spark, sf)).select("chunk_id", "entity_key").distinct()
     pairs = m.alias("a").join(m.alias("b"), (F.col("a.entity_key") == F.col("b.entity_key")) & (F.col("a.chunk_id") < F.col("b.chunk_id")))
@@ -256,12 +244,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").where(F.contains(F.col("conv_id").cast("string"), F.lit("7"))).select("conv_id", "turn")
 
 
-@query("prd_governance", "SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN strlen(text) > 10000 THEN 'too_long' WHEN source = 'src0' THEN 'no_evidence' ELSE 'ok' END AS issue FROM documents")
-def _(spark, sf):
-    issue = F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty").when(F.octet_length("text") > 10000, "too_long").when(F.col("source") == "src0", "no_evidence").otherwise("ok")
-    return table(spark, sf, "documents").select("doc_id", issue.alias("issue"))
-
-
 @query("win_latest_cos", "SELECT conv_id, arg_max(md5(text), turn) AS latest FROM conversations GROUP BY conv_id")
 def _(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.max_by(F.md5("text"), "turn").alias("latest"))
@@ -292,11 +274,6 @@ def _(spark, sf):
     return e.groupBy(F.col("event_type").alias("project"), F.floor(F.col("value") / 50).alias("signature")).agg(F.count("*").alias("occurrences"), F.count_distinct("user_id").alias("sessions")).where("occurrences >= 2 or sessions >= 2")
 
 
-@query("agg_policy_threshold", "SELECT label, count(*) AS n, round(avg(embedding[1]::double), 9) AS mean FROM embeddings GROUP BY label")
-def _(spark, sf):
-    return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.col("embedding")[0].cast("double")), 9).alias("mean"))
-
-
 @query("snk_purge_rules", "SELECT CASE WHEN text ILIKE '%licensed under%' THEN 'license' WHEN length(text) < 200 THEN 'short' WHEN text LIKE '%###%' THEN 'noise' ELSE 'kept' END AS rule, count(*) AS n FROM documents GROUP BY 1")
 def _(spark, sf):
     rule = F.when(F.col("text").ilike("%licensed under%"), "license").when(F.length("text") < 200, "short").when(F.col("text").like("%###%"), "noise").otherwise("kept")

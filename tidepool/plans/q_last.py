@@ -15,28 +15,6 @@ from tidepool.plans.registry import query
 from tidepool.plans.tables import log_lines, queries_frame, table
 
 
-@query("ret_recall")
-def _(spark, sf):
-    """The hybrid list, the best row of each source, ranked anew."""
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
-    first = ranking.first_per_key(hybrid(spark, sf).drop("rank").join(d, "id"), ["query_id"], F.col("source"), F.desc("score"), F.asc("id"))
-    return ranking.top_k(first, ["query_id"], 10, F.desc("score"), F.asc("id")).select("query_id", "id", "score", "rank")
-
-
-@query("ret_chained")
-def _(spark, sf):
-    """Two hops: capitalised words of the best three rows of a query join it for the second."""
-    d = table(spark, sf, "documents")
-    post = search.postings(d, "doc_id", "text")
-    asks = queries_frame(spark)
-    first = search.bm25(post, asks, "doc_id", k=10)
-    names = first.where("rank <= 3").join(d, "doc_id").select("query_id", F.explode(F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0))), 1, 4)).alias("name"))
-    wider = asks.join(names.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names")), "query_id", "left").select("query_id", F.concat_ws(" ", "query", "names").alias("query"))
-    second = search.bm25(post, wider, "doc_id", k=10)
-    fused = ranking.fuse({"first": (first, 1.0), "second": (second, 1.0)}, "query_id", "doc_id", 30).withColumn("score", F.round("score", 9))
-    return ranking.top_k(fused, ["query_id"], 10, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
-
-
 @query("ret_trace", "SELECT count(*) AS n, max(n_chars) AS longest FROM documents")
 def _(spark, sf):
     """Counters of a running plan, as its metrics give them."""
@@ -102,21 +80,3 @@ def _(spark, sf):
     best = counts.groupBy("n", "i").agg((F.max("c") / F.sum("c")).alias("share"))
     tried = best.crossJoin(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.4, 0.6, 0.8, 1.0)])).alias("threshold")))
     return tried.groupBy("threshold").agg(F.count_distinct("n").alias("templates"), F.count_if(F.col("share") < F.col("threshold")).alias("slots")).withColumn("score", F.col("templates") + 0.1 * F.col("slots"))
-
-
-@query("gov_contra_kw")
-def _(spark, sf):
-    d = table(spark, sf, "documents")
-    claims = table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.bm25(search.postings(d, "doc_id", "text"), claims, "doc_id", k=5).where("score > 5.0").select("query_id", "doc_id", "score")
-
-
-@query("ml_policy_rl")
-def _(spark, sf):
-    """Multinomial regression of the action, weighed by reward."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("doc_id", (F.col("quality") + F.col("toxic")).cast("double").alias("label"), F.log1p("n_chars").alias("f1"), (F.lit(0.5) + F.col("quality")).alias("reward"))
-    x = VectorAssembler(inputCols=["f1"], outputCol="features").transform(d)
-    return LogisticRegression(maxIter=10, family="multinomial", weightCol="reward").fit(x).transform(x).select("doc_id", "label", "prediction")

@@ -123,12 +123,6 @@ def _(spark, sf):
     return log_lines(spark, sf).groupBy(F.col("event_type").alias("tool")).agg(F.size(packets).cast("long").alias("n_packets"), F.array_join(F.array_sort(packets), ",").alias("packets"))
 
 
-@query("ext_tool_call", "SELECT event_id, json_extract_string(props, '$.k')::int AS k, event_type AS tool FROM events")
-def _(spark, sf):
-    line = F.concat(F.lit("tool_call::"), "event_type", F.lit(" rid="), "event_id", F.lit(" payload="), "props")
-    return table(spark, sf, "events").select("event_id", F.get_json_object(F.regexp_extract(line, "payload=(.*)$", 1), "$.k").cast("int").alias("k"), F.regexp_extract(line, r"^tool_call::(\w+)", 1).alias("tool"))
-
-
 @query("prd_struct_tokens", "SELECT event_id FROM events WHERE event_type = 'click' AND json_extract_string(props, '$.k')::int = 17")
 def _(spark, sf):
     flat = F.from_json("props", "map<string,string>")
@@ -150,7 +144,9 @@ def _(spark, sf):
     return ev.drift(table(spark, sf, "events"), ["user_id"], "value", F.asc("ts"), F.asc("event_id")).select("user_id", *[F.round(c, 6).alias(c) for c in ("mean", "dev", "trend")], "drifting")
 
 
-_MOTIF = "l AS (SELECT event_type AS e0, lead(event_type, 1) OVER g AS e1, lead(event_type, 2) OVER g AS e2, lead(event_type, 3) OVER g AS e3, lead(event_type, 4) OVER g AS e4 FROM events WINDOW g AS (PARTITION BY user_id ORDER BY ts, event_id)), p AS (SELECT 3 AS n_events, e0 || '>' || e1 || '>' || e2 AS pattern FROM l UNION ALL SELECT 4, e0 || '>' || e1 || '>' || e2 || '>' || e3 FROM l UNION ALL SELECT 5, e0 || '>' || e1 || '>' || e2 || '>' || e3 || '>' || e4 FROM l), m AS (SELECT pattern, n_events, count(*) AS occurrences, count(*) * n_events AS weight FROM p WHERE pattern IS NOT NULL GROUP BY pattern, n_events HAVING count(*) >= 2)"
+_LEADS = ", ".join(f"lead(event_type, {i}) OVER g AS e{i}" for i in range(1, 10))
+_NGRAMS = " UNION ALL ".join(f"SELECT {n} AS n_events, {' || chr(62) || '.join(f'e{i}' for i in range(n))} AS pattern FROM l" for n in range(3, 11))
+_MOTIF = f"l AS (SELECT event_type AS e0, {_LEADS} FROM events WINDOW g AS (PARTITION BY user_id ORDER BY ts, event_id)), p AS ({_NGRAMS}), m AS (SELECT pattern, n_events, count(*) AS occurrences, count(*) * n_events AS weight FROM p WHERE pattern IS NOT NULL GROUP BY pattern, n_events HAVING count(*) >= 2)"
 
 
 def _motifs(spark, sf):
@@ -241,14 +237,6 @@ def _(spark, sf):
     return kept.union(delta.where("new is not null").select("key", F.col("new").alias("value")))
 
 
-@query("set_packet_diff", "WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, md5(event_type) AS h FROM events WHERE event_id < 5000), b AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, md5(event_type) AS h FROM events WHERE event_id >= 5000) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.i, b.i) AS i, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS op FROM a FULL JOIN b ON a.user_id = b.user_id AND a.i = b.i")
-def _(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    part = lambda cond, h: table(spark, sf, "events").where(cond).select("user_id", F.row_number().over(w).alias("i"), F.md5("event_type").alias(h))
-    both = part("event_id < 5000", "ha").join(part("event_id >= 5000", "hb"), ["user_id", "i"], "full")
-    return both.select("user_id", "i", F.when(F.col("ha").isNull(), "added").when(F.col("hb").isNull(), "removed").when(F.col("ha") == F.col("hb"), "unchanged").otherwise("changed").alias("op"))
-
-
 @query("int_timetravel", "SELECT event_type, count(*) AS n FROM events WHERE event_id <= 1234 GROUP BY event_type")
 def _(spark, sf):
     return table(spark, sf, "events").where("event_id <= 1234").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -264,11 +252,6 @@ def _(spark, sf):
     return ranking.within_budget(table(spark, sf, "documents"), ["source"], F.octet_length("text"), 20_000, F.asc("doc_id"), keep_first=False).select("doc_id", "used")
 
 
-@query("set_dedupe_variants", "SELECT min(doc_id) AS doc_id, lower(substr(text, 1, 20)) AS key FROM documents GROUP BY 2")
-def _(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.lower(F.substring("text", 1, 20)).alias("key")).agg(F.min("doc_id").alias("doc_id"))
-
-
 @query("set_federation_lookup", "WITH u AS (SELECT doc_id % 300 AS key, 0 AS tier, doc_id AS v FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id % 300, 1, doc_id FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, v) AS nth FROM u) SELECT key, tier, v FROM r WHERE nth = 1")
 def _(spark, sf):
     d = table(spark, sf, "documents")

@@ -102,11 +102,6 @@ def _(spark, sf):
     return table(spark, sf, "events").select("event_id", F.concat(F.lit('"'), F.array_join(F.split(token, "_"), '" "'), F.lit('"')).alias("expression"))
 
 
-@query("prd_noise_meta", "SELECT doc_id, source IN ('src0', 'src7') OR n_chars < 100 AS noise FROM documents")
-def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", (F.col("source").isin("src0", "src7") | (F.col("n_chars") < 100)).alias("noise"))
-
-
 @query("prd_sanitise_wrap", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'))) AS plain FROM pages")
 def _(spark, sf):
     bare = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), "[ \t\n]+", " "))
@@ -143,35 +138,21 @@ def _(spark, sf):
     return ranking.top_k(g, ["relation_key"], 5, F.desc("score"), F.asc("entity_key"))
 
 
-_SENT = r"s AS (SELECT doc_id, unnest(range(len(s))) AS nth, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents WHERE lang = 'en'))"
+_SENT = r"s AS (SELECT doc_id, unnest(range(len(s))) AS nth, unnest(s) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents))"
 
 
 def _top_sentences(spark, sf, k: int, terms: tuple[str, ...], bonus: float) -> DataFrame:
-    each = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("nth", "sentence"))
+    each = table(spark, sf, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("nth", "sentence"))
     words = F.array_distinct(search.tokens(F.col("sentence")))
     score = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in terms]))) + F.when(F.col("sentence").rlike("[0-9]"), bonus).otherwise(0.0)
     return ranking.top_k(each.withColumn("score", score), ["doc_id"], k, F.desc("score"), F.asc("nth")).select("doc_id", "nth", "score")
 
 
-for _name, _k, _terms, _b in (("top_sentences", 3, ("the", "and", "license", "of"), 0.5), ("top_facts_cluster", 12, ("is", "are", "was", "license"), 0.25), ("top_claims", 5, ("this", "that", "under"), 1.0)):
+for _name, _k, _terms, _b in (("top_sentences", 3, ("the", "and", "license", "of"), 0.5), ("top_claims", 5, ("this", "that", "under"), 1.0)):
     _list = "[" + ", ".join(f"'{t}'" for t in _terms) + "]"
     query(_name, f"WITH {_SENT}, c AS (SELECT *, len(list_intersect(list_distinct(regexp_extract_all(lower(sentence), '[a-z0-9_]+')), {_list})) + CASE WHEN regexp_matches(sentence, '[0-9]') THEN {_b} ELSE 0 END::double AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, nth) AS rank FROM c) SELECT doc_id, nth, score FROM r WHERE rank <= {_k}")(lambda spark, sf, k=_k, t=_terms, b=_b: _top_sentences(spark, sf, k, t, b))
 
 
-@query("top_cross_encoder")
-def _(spark, sf):
-    """Pairs scored by a pluggable model in Arrow batches; here a character-overlap model stands in."""
-    from tidepool.plans.tables import queries_frame
-
-    def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([len(set(x) & set(y[:200])) / max(1, len(set(x))) for x, y in zip(a, b, strict=True)])
-
-    scorer = F.pandas_udf(overlap, T.DoubleType())
-    d = table(spark, sf, "documents")
-    hits = search.bm25(search.postings(d, "doc_id", "text"), queries_frame(spark), "doc_id", k=20).drop("score", "rank").join(d, "doc_id").join(queries_frame(spark), "query_id")
-    return ranking.top_k(hits.withColumn("score", scorer("query", "text")), ["query_id"], 5, F.desc("score"), F.asc("doc_id")).select("query_id", "doc_id", "score", "rank")
-
-
 # Query analysis
 
 #: Stop words of core terms and the small expansion table. Fixed values.
@@ -191,12 +172,6 @@ def _(spark, sf):
     return ranking.top_k(f, ["entity_key", "relation_key", "value"], 1, F.desc("confidence"), F.asc("fact_id")).select("fact_id")
 
 
-@query("ret_structured_route", f"WITH {CURRENT_SQL} SELECT fact_id, 'structured' AS route FROM cur WHERE is_current AND relation_key = 'purchase' UNION ALL SELECT doc_id, 'search' FROM documents WHERE doc_id < 20")
-def _(spark, sf):
-    now = fx.with_current(facts(spark, sf)).where("is_current and relation_key = 'purchase'").select("fact_id", F.lit("structured").alias("route"))
-    return now.union(table(spark, sf, "documents").where("doc_id < 20").select("doc_id", F.lit("search")))
-
-
 @query("ret_wiki_get", f"WITH {CURRENT_SQL} SELECT fact_id, relation_key, value FROM cur WHERE entity_key = 'user_7' AND is_current")
 def _(spark, sf):
     return fx.with_current(facts(spark, sf)).where("entity_key = 'user_7' and is_current").select("fact_id", "relation_key", "value")
@@ -227,22 +202,6 @@ def _(spark, sf):
 # Consolidation, governance, context
 
 
-@query("clu_summary", "SELECT conv_id, md5(substr(arg_min(text, turn), 1, 180)) AS head, count(*) AS n FROM conversations GROUP BY conv_id")
-def _(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.md5(F.substring(F.min_by("text", "turn"), 1, 180)).alias("head"), F.count("*").alias("n"))
-
-
-@query("clu_consolidate", "SELECT sha256(text) AS cluster_key, count(*) AS n_chunks, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) >= 2")
-def _(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("cluster_key")).agg(F.count("*").alias("n_chunks"), F.min("doc_id").alias("first_id")).where("n_chunks >= 2")
-
-
-@query("clu_dream", "SELECT 'clusters' AS metric, count(*) AS n FROM (SELECT text FROM documents GROUP BY text HAVING count(*) >= 2) UNION ALL SELECT 'sessions', count(DISTINCT conv_id) FROM conversations")
-def _(spark, sf):
-    clusters = table(spark, sf, "documents").groupBy("text").count().where("count >= 2").agg(F.count("*").alias("n"))
-    return clusters.select(F.lit("clusters").alias("metric"), "n").union(table(spark, sf, "conversations").agg(F.count_distinct("conv_id")).select(F.lit("sessions"), "*"))
-
-
 @query("clu_probe_eval", f"WITH {CURRENT_SQL}, v AS (SELECT entity_key, relation_key, string_agg(value, ' ' ORDER BY fact_id) AS said FROM facts GROUP BY ALL) SELECT fact_id, contains(said, value) AS passed FROM cur JOIN v USING (entity_key, relation_key) WHERE is_current")
 def _(spark, sf):
     f = fx.keyed(facts(spark, sf))
@@ -259,29 +218,6 @@ def _(spark, sf):
     return e.select("edge_id", F.when(F.col("nth") > 1, "NOOP").when((F.col("relation") == "based_in") & (F.col("before") > 0), "SUPERSEDE").otherwise("ALLOW").alias("action"))
 
 
-@query("gov_contra_sem", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_inner_product(a.embedding::double[], b.embedding::double[]) >= 0.35")
-def _(spark, sf):
-    e = table(spark, sf, "embeddings")
-    both = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return both.where(search.dot(F.col("a.embedding"), F.col("b.embedding")) >= 0.35).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))
-
-
-@query("gov_evidence_valid", "SELECT doc_id, CASE WHEN trim(text) = '' THEN 'no_claim' WHEN source = 'src0' THEN 'no_source' WHEN n_chars < 20 THEN 'weak' ELSE 'valid' END AS verdict FROM documents")
-def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.when(F.trim("text") == "", "no_claim").when(F.col("source") == "src0", "no_source").when(F.col("n_chars") < 20, "weak").otherwise("valid").alias("verdict"))
-
-
-@query("cos_merge", "WITH r AS (SELECT conv_id, md5(text) AS fact, max(turn) AS last FROM conversations GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY last DESC, fact) AS nth FROM r) SELECT conv_id, fact FROM k WHERE nth <= 4")
-def _(spark, sf):
-    r = table(spark, sf, "conversations").groupBy("conv_id", F.md5("text").alias("fact")).agg(F.max("turn").alias("last"))
-    return ranking.top_k(r, ["conv_id"], 4, F.desc("last"), F.asc("fact")).select("conv_id", "fact")
-
-
-@query("cos_render", "SELECT conv_id, 'Summary of conv_' || conv_id || ': ' || count(*) || ' turns' AS prompt FROM conversations GROUP BY conv_id")
-def _(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.concat(F.lit("Summary of conv_"), "conv_id", F.lit(": "), "n", F.lit(" turns")).alias("prompt"))
-
-
 @query("qa_context", "WITH r AS (SELECT conv_id, turn, least(length(text), 400) AS n FROM conversations), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY n DESC, turn) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) AS nth FROM r) SELECT conv_id, turn FROM s WHERE used <= 1200 OR nth = 1")
 def _(spark, sf):
     c = table(spark, sf, "conversations").withColumn("n", F.least(F.length("text"), F.lit(400)))

@@ -76,24 +76,6 @@ def _sim(spark, sf):
     return t.join(before, "doc_id").select(F.col("doc_id").alias("id"), "target", (F.size(F.array_intersect("t", "u")) / F.size(F.array_union("t", "u"))).alias("sim"))
 
 
-@query("gov_write_policy", f"WITH {_SIM} SELECT id, CASE WHEN sim >= 0.92 THEN 'NOOP' WHEN sim >= 0.80 THEN 'UPDATE' ELSE 'ADD' END AS action FROM s")
-def _(spark, sf):
-    return _sim(spark, sf).select("id", qs.write_action(F.col("sim")).alias("action"))
-
-
-@query("gov_learned_policy", f"WITH {_SIM}, e AS (SELECT id, exp(1.0 - sim) AS a, exp(2.0 * sim - 0.6) AS u, exp(4.0 * sim - 2.0) AS n FROM s) SELECT id, CASE WHEN a >= u AND a >= n THEN 'ADD' WHEN u >= n THEN 'UPDATE' ELSE 'NOOP' END AS action, round(greatest(a, u, n) / (a + u + n), 9) AS confidence FROM e")
-def _(spark, sf):
-    s = F.col("sim")
-    best = qs.softmax({"ADD": 1.0 - s, "UPDATE": 2.0 * s - 0.6, "NOOP": 4.0 * s - 2.0})
-    return _sim(spark, sf).select("id", best.alias("b")).select("id", "b.action", F.round("b.confidence", 9).alias("confidence"))
-
-
-@query("gov_features", f"WITH {_SIM} SELECT id, sim, least(1.0, n_chars / 1200.0)::double AS length_norm, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])(no|not|never|false|wrong)([^a-z]|$)') THEN 1.0 ELSE 0.0 END::double AS negation FROM s JOIN documents ON doc_id = id")
-def _(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.least(F.lit(1.0), F.col("n_chars") / 1200.0).alias("length_norm"), F.lower("text").rlike("(^|[^a-z])(no|not|never|false|wrong)([^a-z]|$)").cast("double").alias("negation"))
-    return _sim(spark, sf).join(d, "id").select("id", "sim", "length_norm", "negation")
-
-
 @query("win_first_temporal", "WITH d AS (SELECT user_id, ts::date AS day, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT a.event_id AS a, b.event_id AS b, date_diff('day', a.day, b.day) AS days FROM d a JOIN d b ON a.user_id = b.user_id AND b.i BETWEEN a.i + 1 AND a.i + 3")
 def _(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -114,14 +96,6 @@ def _(spark, sf):
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.concat(F.lit("conv_"), F.first("conv_id").cast("string"), F.lit(":"), F.substring(F.sha1(ids), 1, 20)).alias("cluster_key"))
 
 
-@query("clu_semantic", "WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE list_inner_product(a.embedding::double[], b.embedding::double[]) >= 0.30), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT vec_id AS v, vec_id AS root FROM embeddings UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.v) SELECT v AS vec_id, min(root) AS cluster FROM r GROUP BY v")
-def _(spark, sf):
-    e = table(spark, sf, "embeddings")
-    pairs = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id"))).where(search.dot(F.col("a.embedding"), F.col("b.embedding")) >= 0.30)
-    roots = connected_components(pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"))).select(F.col("v").alias("vec_id"), "root")
-    return e.select("vec_id").join(roots, "vec_id", "left").select("vec_id", F.coalesce("root", "vec_id").alias("cluster"))
-
-
 @query("ret_infer_scope", "SELECT doc_id, CASE WHEN regexp_matches(lower(source), 'src[0-4]$') THEN 'personal' WHEN regexp_matches(lower(source), 'src1') THEN 'shared' ELSE '' END AS scope FROM documents")
 def _(spark, sf):
     s = F.lower("source")

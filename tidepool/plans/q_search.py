@@ -67,45 +67,34 @@ def _(spark, sf):
     return ranking.rank_normalised(hits, ["query_id", "source"], "doc_id").select("query_id", "doc_id", "source", "score")
 
 
-_THREE = f"""WITH {_bm25_sql('documents', 'text', 'doc_id', 60)}, s AS (SELECT query_id, id AS doc_id, CASE WHEN lang = 'en' THEN 0 WHEN lang = 'fr' THEN 1 ELSE 2 END AS src, score FROM bm25 JOIN documents ON id = doc_id),
-n AS (SELECT query_id, doc_id, src, 1.0::double / row_number() OVER (PARTITION BY query_id, src ORDER BY score DESC, doc_id) AS score FROM s),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, doc_id) AS rank FROM n) SELECT query_id, doc_id, src, score, rank FROM t WHERE rank <= 10"""
-
-
-def _three(spark, sf) -> DataFrame:
-    hits = _hits(spark, sf, 60).drop("rank").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    hits = hits.withColumn("src", F.when(F.col("lang") == "en", 0).when(F.col("lang") == "fr", 1).otherwise(2)).drop("lang")
-    one = [ranking.rank_normalised(hits.where(F.col("src") == i), ["query_id"], "doc_id").drop("rank") for i in range(3)]
-    both = one[0].unionByName(one[1]).unionByName(one[2])
-    return ranking.top_k(both, ["query_id"], 10, F.desc("score"), F.asc("src"), F.asc("doc_id")).select("query_id", "doc_id", "src", "score", "rank")
-
+_KNN = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id {where}),
+kn AS (SELECT query_id, vec_id, round(list_inner_product(embedding::double[], q::double[]), 6) AS score FROM embeddings, qv WHERE vec_id <> query_id),
+knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM kn) WHERE rank <= {k})"""
 
-query("ret_keyword_all", _THREE)(_three)
-query("top_keyword_all", _THREE)(_three)
-query("set_union_sources", _THREE)(_three)
 
-_KNN = """qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 5),
-kn AS (SELECT query_id, vec_id, round(list_inner_product(embedding::double[], q::double[]), 6) AS score FROM embeddings, qv WHERE vec_id <> query_id),
-knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM kn) WHERE rank <= {})"""
+#: The vector of a query in words is that of the row with its number; searches by vectors alone ask for every fiftieth row.
+_OF_QUERIES, _FIFTIETH = "IN (SELECT query_id FROM queries)", "% 50 = 0"
 
 
 def _knn(spark, sf, k=20) -> DataFrame:
+    """Neighbours of the queries' vectors among all rows."""
     v = table(spark, sf, "embeddings")
-    return search.knn(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id", "embedding", "query_id")
+    asks = v.join(F.broadcast(queries_frame(spark).select(F.col("query_id").alias("vec_id"))), "vec_id", "left_semi")  # the queries, a parameter
+    return search.knn(v, asks.select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id", "embedding", "query_id")
 
 
 def _knn_all(spark, sf, k=20) -> DataFrame:
-    """Every row whose id is divisible by 50 against all rows. `_knn` is for fusion, whose queries pair with those of the keyword list."""
+    """Every row whose id is divisible by 50 against all rows."""
     v = table(spark, sf, "embeddings")
     return search.knn_blocks(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), k, "vec_id", "embedding", "query_id")
 
 
-@query("top_knn", f"WITH {_KNN.format(20)} SELECT query_id, vec_id, score, rank FROM knn")
+@query("top_knn", f"WITH {_KNN.format(where=_FIFTIETH, k=20)} SELECT query_id, vec_id, score, rank FROM knn")
 def _(spark, sf):
     return _knn_all(spark, sf)
 
 
-@query("jn_vector_content", f"WITH {_KNN.format(20)} SELECT query_id, vec_id, score, d.lang FROM knn JOIN documents d ON d.doc_id = vec_id")
+@query("jn_vector_content", f"WITH {_KNN.format(where=_FIFTIETH, k=20)} SELECT query_id, vec_id, score, d.lang FROM knn JOIN documents d ON d.doc_id = vec_id")
 def _(spark, sf):
     return _knn_all(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "lang"), "vec_id").select("query_id", "vec_id", "score", "lang")
 
@@ -116,7 +105,7 @@ def _(spark, sf):
 
 
 def _fusion_sql(k: int, w1: float, w2: float, boost: float, n: int) -> str:
-    return f"""WITH {_bm25_sql('documents', 'text', 'doc_id', 40)}, {_KNN.format(40)},
+    return f"""WITH {_bm25_sql('documents', 'text', 'doc_id', 40)}, {_KNN.format(where=_OF_QUERIES, k=40)},
 kwl AS (SELECT query_id, id, rank FROM bm25), vel AS (SELECT query_id, vec_id AS id, rank FROM knn),
 u AS (SELECT query_id, id, {w1}::double / ({k} + rank) AS part, 'kw' AS l FROM kwl UNION ALL SELECT query_id, id, {w2}::double / ({k} + rank), 'vec' FROM vel),
 f AS (SELECT query_id, id, sum(part) * CASE WHEN count(DISTINCT l) > 1 THEN {boost} ELSE 1.0 END AS score, count(DISTINCT l) AS n_lists FROM u GROUP BY query_id, id),
@@ -130,7 +119,7 @@ def _fusion(spark, sf, k, w1, w2, boost, n) -> DataFrame:
     return ranking.top_k(fused, ["query_id"], n, F.desc("score"), F.asc("id")).select("query_id", "id", "score", "n_lists", "rank")
 
 
-for _name, _args in {"win_rrf": (30, 0.3, 0.7, 1.25, 20), "jn_outer_merge": (30, 0.3, 0.7, 1.25, 40), "win_graph_fusion": (60, 0.85, 0.2, 1.0, 20), "win_fact_fusion": (60, 0.72, 0.35, 1.0, 20), "win_hop_fusion": (30, 1.0, 1.0, 1.0, 20), "win_recall_variant": (60, 1.0, 0.6, 1.0, 20), "top_overfetch": (30, 0.3, 0.7, 1.25, 5)}.items():
+for _name, _args in {"win_rrf": (30, 0.3, 0.7, 1.25, 20), "jn_outer_merge": (30, 0.3, 0.7, 1.25, 40), "win_recall_variant": (60, 1.0, 0.6, 1.0, 20), "top_overfetch": (30, 0.3, 0.7, 1.25, 5)}.items():
     query(_name, _fusion_sql(*_args))(lambda spark, sf, a=_args: _fusion(spark, sf, *a))
 
 
@@ -169,7 +158,6 @@ def hybrid(spark, sf) -> DataFrame:
 
 
 query("ret_hybrid", _HYBRID)(hybrid)
-query("ret_search", _HYBRID)(hybrid)
 
 
 @query("win_dedupe_first", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY n_chars DESC, doc_id) AS nth FROM documents) WHERE nth = 1")

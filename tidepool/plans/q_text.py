@@ -134,28 +134,22 @@ def _(spark, sf):
 
 @query("agg_keyword_df", "SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
 def _(spark, sf):
-    return search.postings(_docs(spark, sf), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
+    return search.counted(search.postings(_docs(spark, sf), "doc_id", "text"), "doc_id").groupBy("term").agg(F.count("*").alias("df")).where("df >= 5")
 
 
 @query("agg_novelty", "SELECT count(DISTINCT t)::double / count(*) AS novelty, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents)")
 def _(spark, sf):
-    p = search.postings(_docs(spark, sf), "doc_id", "text").groupBy("term").agg(F.sum("tf").alias("n"))
+    p = search.counted(search.postings(_docs(spark, sf), "doc_id", "text"), "doc_id").groupBy("term").agg(F.sum("tf").alias("n"))
     return p.agg((F.count("*") / F.sum("n")).alias("novelty"), F.sum("n").alias("n"))
 
 
-@query("set_jaccard_tokens", "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents WHERE doc_id < 80) SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
+@query("set_jaccard_tokens", "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def _(spark, sf):
     t = _docs(spark, sf).select("doc_id", F.array_distinct(search.tokens(F.col("text"))).alias("t"))
     both = t.alias("a").join(t.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
     return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.try_divide(F.size(F.array_intersect("a.t", "b.t")), F.size(F.array_union("a.t", "b.t"))).alias("jaccard"))
 
 
-@query("gov_polarity", "SELECT item_id, len(list_intersect(list_distinct(regexp_extract_all(lower(text), '[a-z]+')), ['no', 'not', 'never', 'without', 'nicht', 'pas'])) > 0 AS negative FROM benchmark")
-def _(spark, sf):
-    t = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return table(spark, sf, "benchmark").select("item_id", F.arrays_overlap(t, F.array(*[F.lit(x) for x in ("no", "not", "never", "without", "nicht", "pas")])).alias("negative"))
-
-
 @query("src_chat_messages", "SELECT conv_id, turn, md5('[' || role || '] ' || text) AS line, role AS role_back FROM conversations")
 def _(spark, sf):
     line = F.concat(F.lit("["), "role", F.lit("] "), "text")

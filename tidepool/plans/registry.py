@@ -47,4 +47,4 @@ def load() -> None:
         importlib.import_module(f"tidepool.plans.{name}")
 
 
-MODULES = ("q_search", "q_facts", "q_text", "q_logs", "q_questions", "q_custom", "q_more", "q_last", "q_extract", "q_answers", "q_store", "q_packets", "q_codecs", "q_streams")
+MODULES = ("q_search", "q_facts", "q_text", "q_logs", "q_questions", "q_custom", "q_more", "q_last", "q_extract", "q_answers", "q_store", "q_packets", "q_codecs", "q_streams", "q_govern", "q_fusion")
