@@ -18,13 +18,13 @@ from tidepool.plans.tables import LINES_SQL, log_lines, table
 
 
 def _binary(f):
-    return F.pandas_udf(lambda s: s.map(lambda b: f(bytes(b))), "binary")
+    return F.pandas_udf(lambda s: s.map(lambda b: f(bytes(b))), T.BinaryType())
 
 
 _smallest = _binary(codecs.smallest)
 
 
-@F.pandas_udf(T.StructType().add("mark", "string").add("text", "binary"))
+@F.pandas_udf(T.StructType([T.StructField("mark", T.StringType()), T.StructField("text", T.BinaryType())]))
 def _decoded(data: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([codecs.decoded(bytes(b)) for b in data], columns=["mark", "text"])
 
