@@ -423,13 +423,16 @@ def followed(pointers: DataFrame) -> DataFrame:
     """(id, last, depth) of rows with id and next (null at the end): each round doubles the way that every pointer goes, and is written, so that a chain of n takes log n rounds. A circle raises."""
     spark = pointers.sparkSession
     now = store.appended(spark, "chain", pointers.select("id", F.coalesce("next", "id").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(64):
+    count = now.count()
+    while True:
         ahead = now.select(F.col("id").alias("last"), F.col("last").alias("further"), F.col("depth").alias("more"))
         then = store.appended(spark, "chain", now.join(ahead, "last").select("id", F.col("further").alias("last"), (F.col("depth") + F.col("more")).alias("depth")))
-        if then.agg(F.sum("depth")).first()[0] == now.agg(F.sum("depth")).first()[0]:
+        was, far = (df.agg(F.sum("depth").alias("all"), F.max("depth").alias("most")).first() for df in (now, then))
+        if was["all"] == far["all"]:
             return then
+        if far["most"] >= count:  # no way through all rows has more steps than rows
+            raise RuntimeError("pointers go in a circle")
         now = then
-    raise RuntimeError("pointers go in a circle")
 
 
 @query("set_dedupe_variants", "SELECT min(doc_id) AS doc_id, md5(lower(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')))) AS key FROM documents GROUP BY 2")
