@@ -98,12 +98,12 @@ def token_estimate(text: Column) -> Column:
 
 
 def line_scores(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, line_no, line, score): mean number of the document's lines that a line's words occur in."""
-    each = df.select(id_col, F.posexplode(lines(F.col(text))).alias("line_no", "line"))
-    words = each.select(id_col, "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
-    df_ = words.groupBy(id_col, "word").agg(F.count_distinct("line_no").alias("df"))
-    scored = words.join(df_, [id_col, "word"]).groupBy(id_col, "line_no").agg((F.sum("df") / F.count("*")).alias("score"))
-    return each.join(scored, [id_col, "line_no"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """(id, line_no, score): mean number of the document's lines that a line's words occur in. Lines are dealt by document once, as words; all that follows stays where it is, and no text moves."""
+    words = F.transform(lines(F.col(text)), lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)))
+    each = df.select(id_col, F.posexplode(words).alias("line_no", "words")).repartition(id_col)
+    each = each.select(id_col, "line_no", F.explode_outer("words").alias("word")).groupBy(id_col, "word", "line_no").agg(F.count("word").alias("tf"))  # a line without words has one row, of no word
+    known = each.withColumn("df", F.count("*").over(Window.partitionBy(id_col, "word")))
+    return known.groupBy(id_col, "line_no").agg(F.coalesce(F.try_divide(F.sum(F.col("tf") * F.col("df")), F.sum("tf")), F.lit(0.0)).alias("score"))
 
 
 def summary(df: DataFrame, id_col: str, text: str, ratio: float = 0.3, least: int = 1, most: int = 50) -> DataFrame:
