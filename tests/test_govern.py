@@ -168,3 +168,15 @@ def test_fulltext(spark):
     for r in search.fulltext(post, asks, "id").orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == {1: [1], 2: [3], 3: [2, 1]}
+
+
+def test_written_folders_are_swept(spark, tmp_path):
+    import os
+
+    from tidepool.session import sweep
+
+    path = store.scratch(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file://"))
+    sweep(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and sweep(spark) == 0

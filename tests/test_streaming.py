@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-from tidepool.plans import registry
 from tidepool.sources import sessions
 from tidepool.streaming import stateful
 

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.session import remove, shared_dir
+from tidepool.session import new_path, remove
 
 #: Rounds needed are logarithmic in the longest chain; a run that has not ended by then is an error.
 MAX_ROUNDS = 60
@@ -24,7 +21,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     many neighbours. RuntimeError if the rounds do not suffice.
     """
     spark = edges.sparkSession
-    folder = os.path.join(shared_dir(spark), f"components-{uuid.uuid4().hex}")
+    folder = new_path(spark, "components")
 
     def kept(df: DataFrame, k: int) -> DataFrame:
         df.write.parquet(f"{folder}/{k}")

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.text import let
-from tidepool.session import remove, shared_dir
+from tidepool.session import new_path, remove
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the session's shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return new_path(spark, name)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -1,18 +1,14 @@
-"""Chained recall, Bloom filters, compaction, answers and policies."""
+"""Traces, filters of packets, references, compaction, template thresholds."""
 
 from __future__ import annotations
 
-
-import pandas as pd
-from pyspark.sql import Observation, Window
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidepool.functions import bloom, chunks
-from tidepool.operators import ranking, search, text
-from tidepool.plans.q_search import hybrid
+from tidepool.functions import bloom
+from tidepool.operators import ranking, text
 from tidepool.plans.registry import query
-from tidepool.plans.tables import log_lines, queries_frame, table
+from tidepool.plans.tables import log_lines, table
 
 
 @query("ret_trace", "SELECT count(*) AS n, max(n_chars) AS longest FROM documents")
@@ -66,12 +62,6 @@ def _(spark, sf):
     return kept.groupBy("conv_id", "turn").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "s"))), lambda x: x.s), " "), 1, 240).alias("text"))
 
 
-def _last(name: str):
-    from tidepool.plans import registry
-
-    return registry.queries()[name]
-
-
 @query("ext_template_tune")
 def _(spark, sf):
     """Templates and slots by the share of lines that a token must have at its place; the least sum wins."""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidepool.operators import facts as fx
-from tidepool.operators import questions as qs
 from tidepool.operators import ranking, search, store, text
+from tidepool.operators.questions import CORE_STOP
 from tidepool.plans.q_questions import _Q, _questions
 from tidepool.plans.registry import query
 from tidepool.plans.tables import CURRENT_SQL, EDGES_SQL, FACTS_SQL, LINES_SQL, edges, facts, log_lines, table
@@ -155,15 +153,11 @@ for _name, _k, _terms, _b in (("top_sentences", 3, ("the", "and", "license", "of
 
 # Query analysis
 
-#: Stop words of core terms and the small expansion table. Fixed values.
-STOP = ("a", "an", "the", "is", "are", "was", "were", "do", "does", "did", "in", "on", "of", "my", "we", "what", "which", "it", "to")
-EXPAND = {"drink": ("beverage",), "notebook": ("journal", "paper"), "projects": ("tasks",), "city": ("location", "town")}
 
-
-@query("ret_core_terms", f"WITH {_Q} SELECT question_id, array_to_string(list_filter(list_filter(t, (lambda x, i: list_position(t, x) = i)), lambda x: x NOT IN ({', '.join(repr(s) for s in STOP)}))[1:12], ' ') AS terms FROM n")
+@query("ret_core_terms", f"WITH {_Q} SELECT question_id, array_to_string(list_filter(list_filter(t, (lambda x, i: list_position(t, x) = i)), lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(s) for s in CORE_STOP)}))[1:12], ' ') AS terms FROM n")
 def _(spark, sf):
-    t = F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9_\-]+"), F.lit(0))
-    return _questions(spark).select("question_id", F.array_join(F.slice(F.array_except(t, F.array(*[F.lit(s) for s in STOP])), 1, 12), " ").alias("terms"))
+    t = F.filter(F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9_\-]+"), F.lit(0)), lambda x: F.length(x) > 2)
+    return _questions(spark).select("question_id", F.array_join(F.slice(F.array_except(t, F.array(*[F.lit(s) for s in CORE_STOP])), 1, 12), " ").alias("terms"))
 
 
 @query("ret_structured_dedupe", f"WITH {FACTS_SQL}, r AS (SELECT fact_id, row_number() OVER (PARTITION BY entity_key, relation_key, value ORDER BY confidence DESC, fact_id) AS nth FROM facts) SELECT fact_id FROM r WHERE nth = 1")

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators import store
 from tidepool.plans.registry import query
 from tidepool.plans.tables import LINES_SQL, log_lines, table
-from tidepool.session import shared_dir
 from tidepool.sources import watch
 from tidepool.streaming import stateful
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return store.scratch(spark, "stream")
 
 
 def _stream(spark, rows: DataFrame, by, parts: int = 3) -> DataFrame:

@@ -43,6 +43,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path of its own below the shared folder; `sweep` deletes what was written there."""
+    import os
+    import uuid
+
+    path = os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
+    context = spark.sparkContext
+    context._tidepool_paths = [*getattr(context, "_tidepool_paths", []), path]
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes all folders that this session has written below the shared one; results that are read from them have to be used up or stored by then. The number of folders."""
+    context = spark.sparkContext
+    paths = getattr(context, "_tidepool_paths", [])
+    for path in paths:
+        remove(spark, path)
+    context._tidepool_paths = []
+    return len(paths)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that was written below the shared one."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
