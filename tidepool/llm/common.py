@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.session import shared_dir
+from tidepool.session import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
+    return new_path(spark, what)
 
 
 def materialise(df: DataFrame, what: str) -> DataFrame:

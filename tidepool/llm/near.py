@@ -5,9 +5,13 @@
 2. Candidates: sets that share a band, each linked to the least of the band, and any links that the
    caller adds. A pair at the threshold misses all bands with a chance of 0.0007, one above it less.
    The candidates' connected components only say which sets are compared.
-3. Within each of them all pairs are compared exactly; a component of more than `block` sets is cut into
-   parts, and each two parts are compared in a task of their own. Only a spanning forest of the pairs
-   at the threshold goes out, and these links alone are joined into components.
+3. Within each of them pairs are compared exactly. A component of more than `block` sets is cut into
+   parts; the sets of a part are compared with each other, then one set of each class that this makes
+   with those of the other parts, which joins the classes of a large group of near copies. What is
+   still apart is compared across: the sets of all classes but the largest with every part. A pair at
+   the threshold is thus in one part, or in one class already, or in one of these last comparisons.
+   Only spanning forests of the pairs at the threshold go out, and these links alone are joined into
+   components. A group of near copies is sent twice, not once for each of its parts.
 
 Words are ASCII lower case between ASCII blanks. A text of fewer words than a shingle is one shingle; null
 texts count as empty, and texts without words are copies of each other. Other columns are left out.
@@ -20,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import materialise, pick
@@ -71,7 +75,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         h = pa.array([shingles(t.as_py()).astype("<u8").tobytes() for t in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), batch.column(4), h], ["doc_id", "root", "part", "parts", "h"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), h], ["doc_id", "root", "parts", "h"])
 
 
 def spanning_links(ids: np.ndarray, sets: list[np.ndarray], threshold: float = THRESHOLD) -> tuple[list[int], list[int]]:
@@ -107,6 +111,42 @@ def _verified(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _dealt(n: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), n).cast("int")
+
+
+def _linked(hashed: DataFrame, block: int) -> DataFrame:
+    """Links (a, b) that connect what pairs at the threshold connect; hashed has doc_id, root, parts and h."""
+    out = "a long, b long"
+    within = hashed.select("doc_id", "root", "h", _dealt(F.col("parts")).alias("part")).groupBy("root", "part").applyInArrow(_verified, out)
+    large = hashed.where("parts > 1")
+    if large.isEmpty():
+        return within
+    within = materialise(within, "near-links")
+
+    def classes(links: DataFrame) -> DataFrame:
+        """Sets of large components with their class: the least set that links lead to."""
+        found = connected_components(links).select(F.col("v").alias("doc_id"), F.col("root").alias("least"))
+        return large.join(found, "doc_id", "left").withColumn("class", F.coalesce("least", "doc_id")).drop("least")
+
+    # one set of each class with those of all others, block by block
+    first = classes(within).where("doc_id = class").select("doc_id", "root", "h")
+    n = first.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    two = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, F.col("at")).alias("i"), F.greatest(i, F.col("at")).alias("j")))
+    cells = first.join(n, "root").withColumn("at", _dealt(F.col("n"))).select("doc_id", "root", "h", F.inline(two))
+    links = materialise(within.union(cells.groupBy("root", "i", "j").applyInArrow(_verified, out)), "near-links")
+
+    # all classes but the largest with every part
+    known = materialise(classes(links), "near-classes")
+    sizes = known.groupBy("root", "class").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("root").agg(F.max_by("class", F.struct("n", F.col("class"))).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n")).where("n < all")
+    apart = known.join(most.select("root", "most", F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("blocks")), "root")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    others = apart.where("class <> most").select("doc_id", "root", "h", _dealt(F.col("blocks")).alias("i"), F.explode(every(F.col("parts"))).alias("j"))
+    whole = apart.select("doc_id", "root", "h", F.explode(every(F.col("blocks"))).alias("i"), _dealt(F.col("parts")).alias("j"))
+    return links.union(others.union(whole).groupBy("root", "i", "j").applyInArrow(_verified, out))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id and component_id (the smallest id reachable over pairs at the threshold) of every row; ids are unique longs, `more` has further candidates (a, b)."""
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).fillna("", ["text"]).select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -119,10 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(pairs if more is None else pairs.union(more.select("a", "b"))).select(F.col("v").alias("doc_id"), "root")
     groups = materialise(groups.join(keyed.select("doc_id"), "doc_id", "left_semi"), "near-groups")  # without further copies, and texts without words
     parts = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = groups.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    hashed = rows.join(members, "doc_id").select("doc_id", "text", "root", "part", "parts").mapInArrow(_hashed, "doc_id long, root long, part int, parts int, h binary")
-    two = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("part")).alias("i"), F.greatest(i, F.col("part")).alias("j")))
-    links = hashed.select("doc_id", "root", "h", F.inline(two)).groupBy("root", "i", "j").applyInArrow(_verified, "a long, b long")
+    members = groups.join(parts, "root").select("doc_id", "root", "parts")
+    hashed = materialise(rows.join(members, "doc_id").select("doc_id", "text", "root", "parts").mapInArrow(_hashed, "doc_id long, root long, parts int, h binary"), "near-hashes")
+    links = _linked(hashed, block)
     roots = connected_components(links).select(F.col("v").alias("first"), "root")
     classes = copies.join(roots, "first", "left").select("same", F.coalesce("root", "first").alias("component_id"))
     return prints.join(classes, "same").select("doc_id", "component_id")
