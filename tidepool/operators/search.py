@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators import ranking
+from tidepool.operators import ranking, store
 
 K1, B = 1.2, 0.75
 TOKEN = "[a-z0-9_]+"
@@ -38,16 +38,28 @@ def _score() -> Column:
     return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
 
 
+#: Terms of all queries together up to which they are sent to every task; more are met by a shuffle.
+TERMS = 100_000
+
+
+def _asked(terms: DataFrame) -> DataFrame:
+    """The queries' terms, sent to all tasks if they are few; they are counted."""
+    return F.broadcast(terms) if terms.count() <= TERMS else terms
+
+
 def bm25(post: DataFrame, queries: DataFrame, id_col: str, query_id: str = "query_id", query: str = "query", k: int = 10, require_all: bool = False) -> DataFrame:
-    """query_id, id, score, rank. Tokens are met with the queries' terms where they are made, so that only those are counted and shuffled; the collection's size and mean length are one aggregated row."""
+    """query_id, id, score, rank. The texts are read once: tokens meet the queries' terms where they are made, and what goes on is a count for each document and term asked for, and one for the rest of each document, which tells the collection's size and mean length."""
     wanted = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
-    n_terms = wanted.groupBy(query_id).agg(F.count("*").alias("n_terms"))
-    few = post.select(id_col, "size", F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    few = few.groupBy(id_col, "size", "term").agg(F.count("*").alias("tf"))
+    asked = _asked(wanted.select(F.col("term").alias("hit")).distinct())
+    each = post.select(id_col, "size", F.explode("terms").alias("word")).join(asked, F.col("word") == F.col("hit"), "left")
+    counts = store.kept(each.groupBy(id_col, "size", F.col("hit").alias("term")).agg(F.count("*").alias("tf")), "postings")
+    sizes = counts.select(id_col, "size").distinct().agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
+    few = counts.where("term is not null")
     df = few.groupBy("term").agg(F.count("*").alias("df"))
-    hits = few.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(_sizes(post)))  # one row
+    hits = few.join(df, "term").join(wanted, "term").crossJoin(F.broadcast(sizes))  # one row
     scored = hits.groupBy(query_id, id_col).agg(F.round(F.sum(_score()), 6).alias("score"), F.count("*").alias("found"))
     if require_all:
+        n_terms = wanted.groupBy(query_id).agg(F.count("*").alias("n_terms"))
         scored = scored.join(n_terms, query_id).where("found = n_terms").drop("n_terms")
     return ranking.top_k(scored.drop("found"), [query_id], k, F.desc("score"), F.asc(id_col))
 
@@ -66,11 +78,11 @@ def fulltext(post: DataFrame, queries: DataFrame, id_col: str, query_id: str = "
     loose = (F.col("n_terms") > ALL_TERMS) & F.col("raw").rlike(f"^[a-z]{{{PREFIX},}}$")
     wanted = wanted.select(query_id, "n_terms", stem(F.col("raw")).alias("term"), loose.alias("prefix")).distinct()
     each = post.select(id_col, "size", F.explode("terms").alias("word")).select(id_col, "size", stem(F.col("word")).alias("word"))
-    whole = wanted.where("not prefix").select("term").distinct()
-    begun = wanted.where("prefix").select("term").distinct().withColumn("head", F.substring("term", 1, PREFIX - 1))
+    whole = _asked(wanted.where("not prefix").select("term").distinct())
+    begun = _asked(wanted.where("prefix").select("term").distinct().withColumn("head", F.substring("term", 1, PREFIX - 1)))
     same = each.join(whole, each.word == whole.term).select(id_col, "size", "term", F.lit(False).alias("prefix"))
     starts = each.withColumn("head", F.substring("word", 1, PREFIX - 1)).join(begun, "head").where(F.startswith("word", "term")).select(id_col, "size", "term", F.lit(True).alias("prefix"))
-    few = same.union(starts).groupBy(id_col, "size", "term", "prefix").agg(F.count("*").alias("tf"))
+    few = store.kept(same.union(starts).groupBy(id_col, "size", "term", "prefix").agg(F.count("*").alias("tf")), "postings")
     df = few.groupBy("term", "prefix").agg(F.count("*").alias("df"))
     hits = few.join(df, ["term", "prefix"]).join(wanted, ["term", "prefix"]).crossJoin(F.broadcast(_sizes(post)))  # one row
     needed = wanted.groupBy(query_id).agg(F.count("*").alias("needed"))

@@ -26,6 +26,13 @@ def appended(spark: SparkSession, name: str, *parts: DataFrame) -> DataFrame:
     return spark.read.schema(parts[0].schema).parquet(path)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that it is computed once, however often it is used."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def superseded(table: DataFrame, changes: DataFrame, id_col: str, status: str = "status") -> DataFrame:
     """Old rows named by changes.old_id become superseded; the new rows come beside them."""
     old = changes.select(F.col("old_id").alias(id_col), F.lit("superseded").alias("mark"))
