@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     folder = new_path(spark, "components")
 
     def kept(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{folder}/{k}")
+        df.write.option("compression", "zstd").parquet(f"{folder}/{k}")
         return spark.read.schema("a long, b long").parquet(f"{folder}/{k}")
 
     def state(df: DataFrame) -> tuple:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
 
 
@@ -64,6 +67,17 @@ def sweep(spark: SparkSession) -> int:
     return len(paths)
 
 
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written below the shared folder within it; for work whose result is stored elsewhere by then."""
+    context = spark.sparkContext
+    before = getattr(context, "_tidepool_paths", [])
+    yield
+    for path in getattr(context, "_tidepool_paths", [])[len(before) :]:
+        remove(spark, path)
+    context._tidepool_paths = before
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that was written below the shared one."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
