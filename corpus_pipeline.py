@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.llm import decontam, langid, near, packing, simhash, toxicity
 from tidepool.llm.common import fresh_path, numbered, table, whole_row
 from tidepool.llm.queries import language_model, toxicity_model
+from tidepool.session import swept
 
 #: A document whose words have less than this mean posterior in its best language is rejected.
 LANGUAGE_SCORE = 0.3
@@ -64,6 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents."""
     folder, docs = fresh_path(spark, "pipeline"), table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with swept(spark):  # what the stage wrote on its way goes with it
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
