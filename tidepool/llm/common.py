@@ -43,3 +43,12 @@ def whole_row(df: DataFrame, *columns: str) -> DataFrame:
 def numbered(df: DataFrame, what: str) -> DataFrame:
     """row (a unique long) and whole (a struct of all columns), written to the shared folder: however often it is read, a row keeps its number."""
     return materialise(whole_row(df).withColumn("row", F.monotonically_increasing_id()), what)
+
+
+def finite_vectors(df: DataFrame, id_col: str, vector_col: str, **more: tuple[str, T.DataType]) -> DataFrame:
+    """vec_id, embedding (single or double precision, as given) and further columns of the rows whose vector is there, without null or non-finite components."""
+    kind = df.schema[vector_col].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = pick(df, vec_id=(id_col, "long"), embedding=(vector_col, T.ArrayType(T.FloatType() if single else T.DoubleType())), **more)
+    bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return rows.where(F.col("embedding").isNotNull() & ~bad)

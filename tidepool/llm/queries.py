@@ -1,4 +1,4 @@
-"""The queries of this part, op1 to op10, with production parameters over whole tables."""
+"""The queries of this part, op1 to op13, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, decontam, langid, licenses, packing, simhash, token_counts, toxicity, url_filter, warc
+from tidepool.llm import ann, decontam, kdtree, langid, licenses, negatives, packing, simhash, token_counts, toxicity, url_filter, warc
 from tidepool.llm.common import crc32_mod, pick, table
 
 
@@ -80,9 +80,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc32_mod(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("lang").alias("lang_pred"), "score")
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), every=50, label=moved)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op5_decontamination, op6_warc, op7_url_filter, op8_licenses, op9_toxicity, op10_language)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op5_decontamination, op6_warc, op7_url_filter, op8_licenses, op9_toxicity, op10_language, op11_exact_top_k, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.ORACLE, "op6_warc": warc.ORACLE, "op7_url_filter": url_filter.oracle(URL_RULES), "op8_licenses": licenses.ORACLE}
+    return {"op5_decontamination": decontam.ORACLE, "op6_warc": warc.ORACLE, "op7_url_filter": url_filter.oracle(URL_RULES), "op8_licenses": licenses.ORACLE, "op11_exact_top_k": kdtree.ORACLE, "op13_hard_negatives": negatives.ORACLE}
