@@ -52,7 +52,7 @@ class Tree:
         if len(x):
             self._grow(x, order)
         self.x, self.order = x[self.rows], order[self.rows]
-        self.low, self.high = np.array(self.low).reshape(-1, x.shape[1]), np.array(self.high).reshape(-1, x.shape[1])
+        self.low, self.high = (np.stack(side) if side else x[:0] for side in (self.low, self.high))
 
     def _grow(self, x: np.ndarray, order: np.ndarray) -> None:
         self._node(x, order, 0, len(x))

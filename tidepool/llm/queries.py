@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, decontam, kdtree, langid, licenses, negatives, packing, simhash, token_counts, toxicity, url_filter, warc
+from tidepool.llm import ann, decontam, kdtree, langid, licenses, negatives, packing, repair, simhash, token_counts, toxicity, url_filter, warc
 from tidepool.llm.common import crc32_mod, pick, table
 
 
@@ -84,13 +84,17 @@ def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.nearest(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf_dir, "embeddings"), every=50, label=moved)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op5_decontamination, op6_warc, op7_url_filter, op8_licenses, op9_toxicity, op10_language, op11_exact_top_k, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_nearest, op4_token_counts, op5_decontamination, op6_warc, op7_url_filter, op8_licenses, op9_toxicity, op10_language, op11_exact_top_k, op12_conversation_repair, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
