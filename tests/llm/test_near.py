@@ -92,7 +92,7 @@ def test_neighbours(spark):
     rows += [(700, None), (720, [0.0] * 12), (740, [None] + [1.0] * 11), (760, [float("nan")] * 12), (780, [1.0] * 5), (781, [1.0, 2.0, 1.0, 1.0, 1.0]), (None, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("embedding", "v")
     df = df.withColumnsRenamed({"v": "embedding"})
-    got = ann.nearest(df.selectExpr("*", "0 AS row", "1 AS rank", "2 AS score", "3 AS asks"), 20, 20, block=256, queries=10, least=80).collect()
+    got = ann.nearest(df.selectExpr("*", "0 AS row", "1 AS rank", "2 AS score", "3 AS asks"), 20, 20, block=256, queries=10).collect()
     assert {r.query_id for r in got if r.vec_id == 781} == {780} and [(r.query_id, r.rank, r.vec_id, r.score) for r in got if r.query_id == 780] == [(780, 1, 781, 6.0)]
     got = [r for r in got if r.query_id != 780]
     stored = [(r.vec_id, r.embedding) for r in df.collect() if r.embedding is None or len(r.embedding) == 12]
@@ -124,18 +124,27 @@ def test_probing_is_complete_and_selective(distance):
     code[100:105] = near
     queries = code[:5]
     apart = np.bitwise_count(queries[:, None] ^ code[None])
-    got = ann.MultiIndex(code).retrieve(queries, 1, distance)
-    assert (got == (apart.min(axis=2) <= distance)).all()
     radius = (distance + 1) * code.shape[1] - 1
+    got = ann.MultiIndex(code).retrieve(queries, radius)
+    assert (got == (apart.min(axis=2) <= distance)).all()
     assert got[apart.sum(axis=2) <= radius].all()
     assert got.mean() < (0.001, 0.003, 0.08)[(0, 1, 3).index(distance)]
 
 
+@pytest.mark.parametrize("radius", range(0, 15, 2))
+def test_every_radius_is_complete(radius):
+    code = np.random.default_rng(8).integers(0, 1 << 16, (500, 5)).astype(np.uint16)
+    code[:200] = code[200] ^ (np.uint16(1) << np.random.default_rng(9).integers(0, 16, (200, 5)).astype(np.uint16)) * (np.arange(200)[:, None] % 6 > np.arange(5))
+    got = ann.MultiIndex(code).retrieve(code[:50], radius)
+    assert (got == (ann.needed(code[:50, None], code[None]) <= radius)).all()
+    assert got[np.bitwise_count(code[:50, None] ^ code[None]).sum(axis=2) <= radius].all()
+
+
 def test_probing_rises_until_there_are_enough_rows():
     code = np.random.default_rng(6).integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
-    got = ann.MultiIndex(code).retrieve(code[:8], 200, 0)
+    got = ann.MultiIndex(code).retrieve(code[:8], 0, 200)
     assert (got.sum(axis=1) >= 200).all() and got.mean() < 0.5
-    assert ann.MultiIndex(code).retrieve(code[:8], 3000).all()
+    assert ann.MultiIndex(code).retrieve(code[:8], 0, 3000).all()
 
 
 def test_codes_hold_no_constant_bits():
@@ -147,18 +156,33 @@ def test_codes_hold_no_constant_bits():
 
 
 def test_recall_and_share_of_the_index():
-    """On the vectors given, in the index's own terms: rows that probing retrieves, and true neighbours among them."""
-    import pyarrow.parquet as pq
-
-    x = np.array(pq.read_table("/root/testdata/check_l/embeddings.parquet", columns=["embedding"])["embedding"].drop_null().to_pylist())[:32_768]
-    rotations = ann.learn(ann.lifted(x[: ann.SAMPLE]))
-    index, asks = ann.MultiIndex(ann.codes(ann.lifted(x), rotations)), np.arange(0, len(x), 400)
-    got = index.retrieve(ann.codes(ann.asked(x[asks]), rotations), ann.LEAST)
-    score = x[asks] @ x.T
-    score[np.arange(len(asks)), asks] = -9
-    best = np.argsort(-score, axis=1)[:, :20]
-    assert np.take_along_axis(got, best, 1).mean() >= 0.9
-    assert got.mean() < 0.2
+    """In the index's own terms, at several sizes: true neighbours among the rows that probing retrieves, and the share of all rows that these are, which falls as a table grows."""
+    rng, shares = np.random.default_rng(4), []
+    every = np.hstack([rng.normal(size=(32_768, 24)), 0.4 * rng.normal(size=(32_768, 40))])
+    for n in (500, 2000, 10_000, 32_768):
+        x = every[:n]
+        rotations = ann.learn(ann.lifted(x[:2000]), steps=5)
+        index, asks = ann.MultiIndex(ann.codes(ann.lifted(x), rotations)), np.arange(0, len(x), len(x) // 80)
+        got = index.retrieve(ann.codes(ann.asked(x[asks]), rotations), ann.measured(x[: ann.SAMPLE], rotations, 20), 21)
+        score = x[asks] @ x.T
+        score[np.arange(len(asks)), asks] = -np.inf
+        best = np.argsort(-score, axis=1)[:, :20]
+        assert np.take_along_axis(got, best, 1).mean() >= 0.9
+        shares.append(got.mean())
+    assert shares == sorted(shares, reverse=True) and shares[0] < 0.6 and shares[-1] < 0.6 * shares[0], shares
+
+
+def test_recall_on_the_vectors_given(spark):
+    """The query itself on the largest table at hand."""
+    from tidepool.llm import queries
+
+    x = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    got: dict = {}
+    for r in queries.op3_nearest(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = exact(x, 20, 20)
+    assert {len(v) for v in got.values()} == {20} and set(got) == set(want)
+    assert np.mean([len(got[i] & {j for _, j in s}) / 20 for i, s in want.items()]) >= 0.9
 
 
 def words(text):

@@ -6,10 +6,15 @@ sqrt(M^2 - |x|^2) with M the largest norm of their block, and queries a zero, so
 inner product is the smallest angle.
 
 Search: every code is cut into m substrings of SUB_BITS bits, and each substring has an index of its
-own from value to rows. Probing all values within distance a of the query's in every index retrieves,
-by the pigeonhole principle, every code within Hamming radius (a + 1) m - 1. The distance begins at
-PROBE and rises in steps until at least LEAST rows of the block are retrieved. All of them are
-reranked by the inner products of the original vectors in double precision.
+own from value to rows. For a Hamming radius r, the first r mod m + 1 indexes are probed with all values
+within r div m bits of the query's, the others within one bit less: by the pigeonhole principle this
+retrieves every code within r. All rows retrieved are reranked by the inner products of the original vectors in
+double precision.
+
+The radius is measured, not given: on the sample, by the true neighbours of PROBERS of its rows, it is the least one
+that retrieves the share TARGET of them. In a larger table neighbours are nearer, so more of them are
+found. A query that retrieves fewer than k rows of a block goes on with larger radii until it has k (all, if fewer).
+Vectors of other lengths than most measure their radius in their own block.
 
 Rows are dealt into blocks of about BLOCK and queries into blocks of QUERIES; a cell of the two
 builds its indexes, and returns its k best for each query. A window merges the cells. Memory is that
@@ -37,7 +42,8 @@ SAMPLE, STEPS = 16_384, 20
 SUB_BITS = 16
 #: 96 substrings.
 BITS = 96 * SUB_BITS
-PROBE, LEAST = 2, 2048
+#: Rows of the sample that ask for their neighbours there, and the share of these that the radius has to retrieve.
+PROBERS, TARGET = 256, 0.95
 BLOCK, QUERIES = 32_768, 32_768
 #: Queries that are probed together.
 TOGETHER = 64
@@ -87,33 +93,54 @@ class MultiIndex:
         self.rows = [np.argsort(code[:, j], kind="stable").astype(np.int32) for j in range(self.m)]
         self.begin = [np.concatenate([[0], np.cumsum(np.bincount(code[:, j], minlength=1 << SUB_BITS))]).astype(np.int32) for j in range(self.m)]
 
-    def probe(self, queries: np.ndarray, masks: np.ndarray, seen: np.ndarray) -> None:
-        """Marks in `seen` (query, row) the rows whose substrings differ from the query's in one of the masks."""
-        own = np.repeat(np.arange(len(queries)), len(masks))
+    def probe(self, j: int, queries: np.ndarray, masks: np.ndarray, seen: np.ndarray) -> None:
+        """Marks in `seen` (query, row) the rows whose substring j differs from the query's in one of the masks."""
+        values = (queries[:, j, None] ^ masks).ravel()
+        first = self.begin[j][values]
+        size = self.begin[j][values.astype(np.int64) + 1] - first
+        some = np.flatnonzero(size)
+        own, first, size = some // len(masks), first[some], size[some]
+        place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+        seen[np.repeat(own, size), self.rows[j][place]] = True
+
+    def widen(self, queries: np.ndarray, seen: np.ndarray, done: int, radius: int) -> None:
+        """Marks what the radius retrieves beyond the radius `done`."""
         for j in range(self.m):
-            values = (queries[:, j, None] ^ masks).ravel()
-            first = self.begin[j][values]
-            size = self.begin[j][values.astype(np.int64) + 1] - first
-            some = np.flatnonzero(size)
-            first, size = first[some], size[some]
-            place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-            seen[np.repeat(own[some], size), self.rows[j][place]] = True
-
-    def retrieve(self, queries: np.ndarray, least: int, distance: int = PROBE) -> np.ndarray:
-        """(query, row): whether the row is retrieved. Every row within Hamming radius (distance + 1) m - 1 is, and at least `least` rows (all, if fewer)."""
-        if self.n <= least:
-            return np.ones((len(queries), self.n), bool)
+            for distance in range((done - j) // self.m + 1, (radius - j) // self.m + 1):
+                self.probe(j, queries, ring(distance), seen)
+
+    def retrieve(self, queries: np.ndarray, radius: int, least: int = 0) -> np.ndarray:
+        """(query, row): whether the row is retrieved. Every row within the radius is, and at least `least` rows (all, if fewer)."""
         seen = np.zeros((len(queries), self.n), bool)
-        for a in range(distance + 1):
-            self.probe(queries, ring(a), seen)
-        while len(few := np.flatnonzero(seen.sum(axis=1) < least)):
-            a += 1
+        self.widen(queries, seen, -1, radius)
+        while len(few := np.flatnonzero(seen.sum(axis=1) < min(least, self.n))):
             more = seen[few]
-            self.probe(queries[few], ring(a), more)
+            self.widen(queries[few], more, radius, radius + self.m)
             seen[few] = more
+            radius += self.m
         return seen
 
 
+def needed(queries: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The least radius whose probing retrieves each row for its query; both are codes, row by row."""
+    m = code.shape[-1]
+    return (np.bitwise_count(queries ^ code).astype(np.int32) * m + np.arange(m, dtype=np.int32)).min(axis=-1)
+
+
+def measured(x: np.ndarray, rotations: np.ndarray, k: int, probers: int = PROBERS, target: float = TARGET) -> int:
+    """The least radius that retrieves the share `target` of the k true neighbours of rows of x, and all of them where x has no more than k others."""
+    code, asks = codes(lifted(x), rotations), np.unique(np.linspace(0, max(len(x) - 1, 0), min(probers, len(x))).astype(int))
+    m, all_of_it = code.shape[1], (SUB_BITS + 1) * code.shape[1] - 1
+    if len(x) <= k + 1:
+        return all_of_it
+    score = x[asks] @ x.T
+    score[np.arange(len(asks)), asks] = -np.inf
+    best = np.argpartition(-score, k, axis=1)[:, :k]
+    own = codes(asked(x[asks]), rotations)
+    radii = np.sort(np.concatenate([needed(own[i], code[best[i]]) for i in range(len(asks))]))
+    return int(radii[int(np.ceil(target * len(radii))) - 1]) if m else 0
+
+
 def _best(x: np.ndarray, rows: np.ndarray, y: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k rows of largest inner product with y and their scores; ties go to the smaller `order`."""
     near = x[rows] @ y
@@ -125,7 +152,7 @@ def _best(x: np.ndarray, rows: np.ndarray, y: np.ndarray, order: np.ndarray, k:
     return rows[top], score[top]
 
 
-def _search(k: int, least: int, learnt):
+def _search(k: int, learnt):
     def run(cell: pa.Table) -> pa.Table:
         asks = cell.column("asks").to_numpy()
         matrix = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1).astype(np.float64)
@@ -134,13 +161,16 @@ def _search(k: int, least: int, learnt):
         if queries.num_rows and data.num_rows:
             x, y = matrix(data), matrix(queries)
             d = x.shape[1]
-            rotations = learnt.value if learnt.value.shape[0] == d + 1 else learn(np.zeros((0, d + 1)))
+            rotations, radius = learnt.value
+            if rotations.shape[0] != d + 1:
+                rotations = learn(np.zeros((0, d + 1)))
+                radius = measured(x, rotations, k)
             null = data.column("vec_id").is_null().to_numpy()
             order = data.column("vec_id").fill_null(np.iinfo(np.int64).max).to_numpy()
             own, rows = queries.column("vec_id").to_numpy(), queries.column("row").to_numpy()
             index, asked_codes = MultiIndex(codes(lifted(x), rotations)), codes(asked(y), rotations)
             for at in range(0, len(y), TOGETHER):
-                for i, found in enumerate(index.retrieve(asked_codes[at : at + TOGETHER], least), at):
+                for i, found in enumerate(index.retrieve(asked_codes[at : at + TOGETHER], radius, k + 1), at):
                     found &= (order != own[i]) | null
                     best, score = _best(x, np.flatnonzero(found), y[i], order, k)
                     row.append(np.full(len(best), rows[i]))
@@ -163,7 +193,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col("embedding").isNotNull() & ~bad).where(F.exists("embedding", lambda v: v != 0))
 
 
-def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", least: int = LEAST, sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row whose id is divisible by `every`."""
     spark = vectors.sparkSession
     rows = materialise(usable(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
@@ -174,13 +204,15 @@ def nearest(vectors: DataFrame, k: int, every: int, id_col: str = "vec_id", vect
     most = max(kinds, key=lambda x: (x.n, x.d))
     spread = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     taken = rows.where((F.size("embedding") == most.d) & (spread < min(1.0, sample / most.n))).select("embedding").toPandas()  # about `sample` rows
-    learnt = spark.sparkContext.broadcast(learn(lifted(np.array(taken.embedding.tolist(), np.float64).reshape(-1, most.d))))
+    few = np.array(taken.embedding.tolist(), np.float64).reshape(-1, most.d)
+    rotations = learn(lifted(few))
+    learnt = spark.sparkContext.broadcast((rotations, measured(few, rotations, k)))
     data_blocks, query_blocks = max(-(-x.n // block) for x in kinds), max(1, *(-(-x.asks // queries) for x in kinds))
     deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     columns = [F.size("embedding").alias("d"), "row", "vec_id", "embedding"]
     data = rows.select(*columns, F.lit(False).alias("asks"), deal(data_blocks).alias("at"), each(query_blocks).alias("q"))
     asks = rows.where(ask).select(*columns, F.lit(True).alias("asks"), each(data_blocks).alias("at"), deal(query_blocks).alias("q"))
-    found = data.union(asks).groupBy("d", "at", "q").applyInArrow(_search(k, least, learnt), _FOUND)
+    found = data.union(asks).groupBy("d", "at", "q").applyInArrow(_search(k, learnt), _FOUND)
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
