@@ -48,6 +48,14 @@ def test_groups_against_brute_force(spark, block):
     assert [got[i] for i in range(len(rows))] == slow_groups(rows)
 
 
+def test_parts_are_bounded_by_shingles(spark, monkeypatch):
+    """Few but long sets are cut into parts as many short ones are."""
+    monkeypatch.setattr(near, "SHINGLES", 900)
+    rows = texts()
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == slow_groups(rows)
+
+
 def test_stage_keeps_by_similarity_not_by_fingerprint(spark):
     import corpus_pipeline as pipe
 

@@ -1,6 +1,8 @@
 """WARC, URL rules, toxicity, language and the pipeline."""
 
 import hashlib
+import os
+import re
 
 import numpy as np
 import pytest
@@ -38,6 +40,30 @@ def test_warc_round_trip(spark):
     assert warc.read(warc.write(df.limit(0))).collect() == []
 
 
+def test_warc_files_hold_the_records(spark, tmp_path):
+    """Files that any reader can open: every record, byte by byte, also of payloads that look like the end of one."""
+    rows = [*PAGES, (20, "u", "a\r\n\r\nWARC/1.1\r\n\r\nb" * 9), (21, "v", "\r\n\r\n")]
+    archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    want = sorted(bytes(r.record) for r in warc.records(archive).collect())
+    for compression in ("none", "gzip"):
+        folder = f"{tmp_path}/{compression}"
+        warc.export(archive, f"file://{folder}", compression)
+        blocks = [(f, b) for name in sorted(os.listdir(folder)) if name.startswith("part") for f, b in warc.parse(open(f"{folder}/{name}", "rb").read())]
+        assert sorted(r.split(b"\r\n\r\n", 1)[1] for r in want) == sorted(b for _, b in blocks)
+        assert sorted(f["WARC-Type"] for f, _ in blocks) == sorted(re.search(rb"WARC-Type: (\w+)", r)[1].decode() for r in want)
+
+
+def test_warc_reads_records_not_tables(spark):
+    """A header whose payload is not as it says stops the read; a very long payload comes back whole."""
+    long = "é" * 25_000_000
+    archive = warc.write(spark.createDataFrame([(1, "u", long), (2, "v", long), (3, "w", "x" * 200)], "page_id long, url string, html string"))
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(archive).collect())
+    assert got == [(1, 50_000_000, "response", None), (2, 50_000_000, "revisit", 1), (3, 200, "response", None)]
+    short = F.regexp_replace(F.col("header").cast("string"), "Content-Length: [0-9]+\r\n\r\nHTTP", "Content-Length: 150\r\n\r\nHTTP").cast("binary")
+    with pytest.raises(Exception, match="does not have the digest"):
+        warc.read(warc.Archive(archive.content, archive.headers.withColumn("header", short))).collect()
+
+
 def test_warc_refuses_a_wrong_payload(spark):
     archive = warc.write(spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string"))
     archive.content = archive.content.withColumn("payload", F.lit(b"other"))

@@ -5,8 +5,8 @@
 2. Candidates: sets that share a band, each linked to the least of the band, and any links that the
    caller adds. A pair at the threshold misses all bands with a chance of 0.0007, one above it less.
    The candidates' connected components only say which sets are compared.
-3. Within each of them pairs are compared exactly. A component of more than `block` sets is cut into
-   parts; the sets of a part are compared with each other, then one set of each class that this makes
+3. Within each of them pairs are compared exactly. A component of more than `block` sets, or of
+   more than SHINGLES in its sets, is cut into parts; the sets of a part are compared with each other, then one set of each class that this makes
    with those of the other parts, which joins the classes of a large group of near copies. What is
    still apart is compared across: the sets of all classes but the largest with every part. A pair at
    the threshold is thus in one part, or in one class already, or in one of these last comparisons.
@@ -33,8 +33,8 @@ from tidepool.operators.components import connected_components
 SEED, SHINGLE, THRESHOLD = 42, 5, 0.8
 #: MinHash bands and the rows of each: a similarity of 0.8 shares a band with a chance of 0.9993.
 BANDS, ROWS = 24, 6
-#: Sets of a candidate component that are compared in one task; beyond it, the component is cut into parts.
-BLOCK = 1000
+#: Sets of a candidate component that are compared in one task, and the shingles in them; beyond either, the component is cut into parts.
+BLOCK, SHINGLES = 1000, 4_000_000
 
 
 def shingles(text: bytes, words: int = SHINGLE) -> np.ndarray:
@@ -69,7 +69,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [shingles(t.as_py()) for t in batch.column(1)]
         same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array([bands(h) for h in sets], pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), same, pa.array([bands(h) for h in sets], pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int64())], ["doc_id", "same", "bands", "n"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,6 +115,11 @@ def _dealt(n: Column) -> Column:
     return F.pmod(F.xxhash64("doc_id"), n).cast("int")
 
 
+def _cut(sets: Column, shingles: Column, block: int) -> Column:
+    """Parts that so many sets with so many shingles make."""
+    return F.ceil(F.greatest(sets / block, shingles / SHINGLES)).cast("int")
+
+
 def _linked(hashed: DataFrame, block: int) -> DataFrame:
     """Links (a, b) that connect what pairs at the threshold connect; hashed has doc_id, root, parts and h."""
     out = "a long, b long"
@@ -131,16 +136,17 @@ def _linked(hashed: DataFrame, block: int) -> DataFrame:
 
     # one set of each class with those of all others, block by block
     first = classes(within).where("doc_id = class").select("doc_id", "root", "h")
-    n = first.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    n = first.groupBy("root").agg(_cut(F.count("*"), F.sum(F.octet_length("h")) / 8, block).alias("n"))
     two = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.least(i, F.col("at")).alias("i"), F.greatest(i, F.col("at")).alias("j")))
     cells = first.join(n, "root").withColumn("at", _dealt(F.col("n"))).select("doc_id", "root", "h", F.inline(two))
     links = materialise(within.union(cells.groupBy("root", "i", "j").applyInArrow(_verified, out)), "near-links")
 
     # all classes but the largest with every part
     known = materialise(classes(links), "near-classes")
-    sizes = known.groupBy("root", "class").agg(F.count("*").alias("n"))
-    most = sizes.groupBy("root").agg(F.max_by("class", F.struct("n", F.col("class"))).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n")).where("n < all")
-    apart = known.join(most.select("root", "most", F.ceil((F.col("all") - F.col("n")) / block).cast("int").alias("blocks")), "root")
+    sizes = known.groupBy("root", "class").agg(F.count("*").alias("n"), (F.sum(F.octet_length("h")) / 8).alias("shingles"))
+    most = sizes.groupBy("root").agg(F.max(F.struct("n", "class", "shingles")).alias("most"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where("most.n < n")
+    blocks = _cut(F.col("n") - F.col("most.n"), F.col("shingles") - F.col("most.shingles"), block)
+    apart = known.join(most.select("root", F.col("most.class").alias("most"), blocks.alias("blocks")).repartition("root", "most"), "root")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     others = apart.where("class <> most").select("doc_id", "root", "h", _dealt(F.col("blocks")).alias("i"), F.explode(every(F.col("parts"))).alias("j"))
     whole = apart.select("doc_id", "root", "h", F.explode(every(F.col("blocks"))).alias("i"), _dealt(F.col("parts")).alias("j"))
@@ -150,15 +156,16 @@ def _linked(hashed: DataFrame, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id and component_id (the smallest id reachable over pairs at the threshold) of every row; ids are unique longs, `more` has further candidates (a, b)."""
     rows = pick(docs, doc_id=(id_col, "long"), text=(text_col, "string")).fillna("", ["text"]).select("doc_id", F.col("text").cast("binary").alias("text"))
-    prints = materialise(rows.mapInArrow(_sketched, "doc_id long, same binary, bands array<long>"), "near-prints")
+    prints = materialise(rows.mapInArrow(_sketched, "doc_id long, same binary, bands array<long>, n long"), "near-prints")
     copies = materialise(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "near-sets")
-    sets = prints.join(copies.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").where(F.size("bands") > 0)
-    keyed = materialise(sets.select("doc_id", F.explode("bands").alias("band")), "near-bands")
-    shared = keyed.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = prints.join(copies.select(F.col("first").alias("doc_id")), "doc_id", "left_semi").where(F.size("bands") > 0)
+    sets = materialise(firsts.select("doc_id", "n", "bands"), "near-bands")
+    keyed = sets.select("doc_id", F.explode("bands").alias("band"))
+    shared = keyed.groupBy("band").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n").repartition("band", "least")  # dealt anew, so that the join can split a band
     pairs = keyed.join(shared, "band").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     groups = connected_components(pairs if more is None else pairs.union(more.select("a", "b"))).select(F.col("v").alias("doc_id"), "root")
-    groups = materialise(groups.join(keyed.select("doc_id"), "doc_id", "left_semi"), "near-groups")  # without further copies, and texts without words
-    parts = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = materialise(groups.join(sets.select("doc_id", "n"), "doc_id"), "near-groups")  # without further copies, and texts without words
+    parts = groups.groupBy("root").agg(_cut(F.count("*"), F.sum("n"), block).alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n").repartition("root", "parts")
     members = groups.join(parts, "root").select("doc_id", "root", "parts")
     hashed = materialise(rows.join(members, "doc_id").select("doc_id", "text", "root", "parts").mapInArrow(_hashed, "doc_id long, root long, parts int, h binary"), "near-hashes")
     links = _linked(hashed, block)

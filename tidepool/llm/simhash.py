@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialise(fingerprints(docs, id_col, text_col, words), "simhash-prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(distinct.select("fp"), distance, bucket)).select(F.col("v").alias("fp"), "root")
-    classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = materialise(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-classes")
+    least = classes.groupBy("root").agg(F.min("least").alias("component_id")).repartition("root", "component_id")  # dealt anew, so that the join can split a large component
     classes = classes.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")

@@ -3,16 +3,18 @@
 write() makes a record of every page: the first page of equal payloads of at least SMALLEST bytes
 is a response, the others are revisits of it, and smaller payloads are all responses. Two tables
 hold them: `content` has each payload once under its SHA-256, `headers` has the exact header bytes
-of each record. read() checks every stored payload against its digest and gets the fields of each
-record back from its header bytes; records() joins header and payload into the original record,
-byte by byte. parse() reads records of WARC files.
+of each record beside the digest of its payload. records() joins header and payload into the original record,
+byte by byte. read() rebuilds every record that way and parses it: its fields, the block that its Content-Length
+measures, and in that the payload, whose digest and size are computed anew; a revisit has no payload of its own and is held against
+the digest and size of the one stored. export() writes the records as WARC files, one a partition; parse() reads such files.
 
 Digests and sizes are computed where the payload is read; the search for first pages moves ids and
 digests only, and its minima are aggregated before they are shuffled. A row is known by a hash of its
-id and digest, so that both readings agree whatever the input is. Payloads move once, by row and
-therefore evenly, to those rows that are stored. A digest that very many rows share is left to the
-splitting of skewed joins, of narrow rows. All tables are in the shared folder, so a lost executor
-costs the rerun of a task.
+id and digest, so that both readings agree whatever the input is. Payloads move once to the rows that are stored, by row and
+therefore evenly, and once more to be rebuilt. Aggregates are written before they are joined, so that adaptive execution can split a digest
+that very many rows share. All tables are in the shared folder, so a lost executor
+costs the rerun of a task. All work on records is done by Spark's own functions, a row at a time, so that very long payloads need
+the memory of one row.
 
 Null html counts as empty. Null urls are written as empty, line breaks in urls are escaped. Of
 repeated ids with equal payloads each is a response where it is the smallest; payloads whose ids
@@ -28,11 +30,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import fresh_path, pick
+from tidepool.llm.common import fresh_path, materialise, pick
 
 SMALLEST = 100
 DATE = "1970-01-01T00:00:00Z"
-CONTENT, HEADERS = "digest string, payload binary", "row long, header binary"
+CONTENT, HEADERS = "digest string, payload binary", "row long, digest string, header binary"
+END = "\r\n\r\n"
 
 
 @dataclass
@@ -67,11 +70,11 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     path = f"{folder}/marks"
     marks.write.parquet(path)
     marks = spark.read.schema(marks.schema).parquet(path)
-    first = marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.min("row").alias("stored"))
+    first = materialise(marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.min("row").alias("stored")), "warc-first")
     large = F.col("payload_bytes") >= SMALLEST
     refers = F.when(large & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     records = marks.join(first, "digest").withColumn("refers_to", refers)
-    records.select("row", _header(F.col("url")).alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
+    records.select("row", "digest", _header(F.col("url")).alias("header")).write.option("compression", "zstd").parquet(f"{folder}/headers")
     kept = first.select(F.col("stored").alias("row"), "digest")
     stored = rows.select("row", "digest", "payload").join(kept, ["row", "digest"]).groupBy("row", "digest").agg(F.first("payload").alias("payload"))  # repeated rows have the same payload
     stored.select("digest", "payload").write.option("compression", "zstd").parquet(f"{folder}/content")
@@ -82,26 +85,47 @@ def open_archive(spark: SparkSession, folder: str) -> Archive:
     return Archive(spark.read.schema(CONTENT).parquet(f"{folder}/content"), spark.read.schema(HEADERS).parquet(f"{folder}/headers"))
 
 
-def _fields(archive: Archive) -> DataFrame:
-    text = F.col("header").cast("string")
-    field = lambda name: F.regexp_extract(text, f"\r\n{name}: ([^\r]*)\r\n", 1)
-    page = lambda name: F.regexp_extract(field(name), "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-    return archive.headers.select("row", "header", page("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), F.regexp_extract(field("WARC-Payload-Digest"), "^sha256:([0-9a-f]+)$", 1).alias("digest"), page("WARC-Refers-To").alias("refers_to"))
+def _block(payload: Column, revisit: Column) -> Column:
+    return F.when(revisit, F.lit(b"")).otherwise(payload)
 
 
-def read(archive: Archive) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type and refers_to of every record; a payload that does not have its digest stops the read."""
+def records(archive: Archive) -> DataFrame:
+    """record (the original bytes, without the empty lines that end it), and payload and stored_digest of what it holds or refers to. A stored payload that does not have its digest stops the read."""
     true = F.sha2("payload", 256)
-    checked = F.when(true == F.col("digest"), true).otherwise(F.raise_error(F.concat(F.lit("payload does not have the digest "), F.col("digest"))))
-    stored = archive.content.select("digest", checked.alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"))
-    return _fields(archive).drop("header", "row").join(stored, "digest").select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    checked = F.when(true == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not have the digest "), F.col("digest"))))
+    stored = archive.content.select("digest", checked.alias("payload"))
+    revisit = F.col("header").cast("string").startswith("WARC/1.1\r\nWARC-Type: revisit\r\n")
+    both = archive.headers.select("digest", "header", revisit.alias("revisit")).join(stored, "digest")
+    return both.select(F.concat("header", _block(F.col("payload"), F.col("revisit"))).alias("record"), "payload", F.col("digest").alias("stored_digest"))
 
 
-def records(archive: Archive) -> DataFrame:
-    """page_id, record (the original bytes) and payload (also of revisits)."""
-    both = _fields(archive).join(archive.content, "digest")
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return both.select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+def _after_head(data: Column, size: Column) -> Column:
+    """So many bytes after the first empty line."""
+    return F.substring(data, F.octet_length(F.substring_index(data.cast("string"), END, 1)) + 5, size)
+
+
+def _fields(record: Column) -> Column:
+    """The header fields of a record as a map."""
+    lines = F.filter(F.split(F.substring_index(record.cast("string"), END, 1), "\r\n"), lambda line: F.contains(line, F.lit(": ")))
+    return F.map_from_entries(F.transform(lines, lambda line: F.struct(F.substring_index(line, ": ", 1), F.substring(line, F.locate(": ", line) + 2, F.length(line)))))
+
+
+def read(archive: Archive) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type and refers_to of every record, from the record itself; a record whose payload is not what its header says stops the read."""
+    rows = records(archive).select(F.length("payload").cast("long").alias("stored_bytes"), "stored_digest", "record", _fields(F.col("record")).alias("f"))
+    rows = rows.withColumn("block", _after_head(F.col("record"), F.col("f")["Content-Length"].cast("int")))
+    rows = rows.withColumn("payload", _after_head(F.col("block"), F.length("block")))
+    page = lambda name: F.regexp_extract(F.col("f")[name], "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    kind, said = F.col("f")["WARC-Type"], F.regexp_extract(F.col("f")["WARC-Payload-Digest"], "^sha256:([0-9a-f]+)$", 1)
+    own = F.when(kind == "revisit", F.col("stored_digest")).otherwise(F.sha2("payload", 256))
+    size = F.when(kind == "revisit", F.col("stored_bytes")).otherwise(F.length("payload").cast("long"))
+    true = F.when(own == said, own).otherwise(F.raise_error(F.concat(F.lit("record does not have the digest "), said)))
+    return rows.select(page("WARC-Record-ID").alias("page_id"), F.col("f")["WARC-Target-URI"].alias("url"), size.alias("payload_bytes"), true.alias("payload_digest"), kind.alias("record_type"), page("WARC-Refers-To").alias("refers_to"))
+
+
+def export(archive: Archive, folder: str, compression: str = "none") -> None:
+    """The records as WARC files below the folder, one a partition ("gzip": each a gzip stream)."""
+    records(archive).select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).text(folder)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
