@@ -130,16 +130,37 @@ def issues(title: Column, content: Column, evidence: Column) -> Column:
     return F.array_compact(F.array(F.when(F.trim(title) == "", "no title"), F.when(F.trim(content) == "", "no content"), F.when(F.octet_length(content) > LARGEST, "too large"), F.when(F.size(evidence) < 1, "no evidence")))
 
 
+#: Shares of the text that a session's budget gives to its parts, in per cent, and the least and most characters of each. Fixed values.
+OBJECTIVE = (14, 240, 640)
+MODES = {"balanced": (36, 30), "memory-heavy": (48, 24), "session-heavy": (24, 42)}
+MEMORY, SESSION, WORKSPACE, TOTAL = 520, 360, (14, 220), 1600
+
+
+def budgets(tokens: Column, mode: str, workspace: bool) -> list[Column]:
+    """total, objective, memory, session and workspace: the characters that a budget of tokens leaves to each part of a context."""
+    share = lambda total, percent: F.floor(total * percent / 100)
+    total = F.greatest(F.lit(TOTAL), tokens * 4)
+    memory, session = MODES[mode]
+    parts = {
+        "total": total, "objective": F.least(F.lit(OBJECTIVE[2]), F.greatest(F.lit(OBJECTIVE[1]), share(total, OBJECTIVE[0]))),
+        "memory": F.greatest(F.lit(MEMORY), share(total, memory)), "session": F.greatest(F.lit(SESSION), share(total, session)),
+        "workspace": F.greatest(F.lit(WORKSPACE[1]), share(total, WORKSPACE[0])) if workspace else F.lit(0),
+    }
+    return [c.cast("long").alias(name) for name, c in parts.items()]
+
+
 # Reading
 
 
-def read(docs: DataFrame, id_col: str, text_col: str, topic: Column, most_chunks: int = 50, claims: int = 5) -> DataFrame:
-    """(id, chunk, place, claim, shared): documents chunk by chunk up to a budget, and of each chunk the sentences that share most words with the topic."""
-    each = docs.select(id_col, search.tokens(topic).alias("topic"), F.posexplode(chunk_text(text_col)).alias("chunk", "body")).where(F.col("chunk") < most_chunks)
-    said = each.select(id_col, "chunk", "topic", F.posexplode(text.sentences(F.col("body"))).alias("nth", "claim"))
+def read(docs: DataFrame, id_col: str, text_col: str, topic: Column, most_chunks: int | None = None, claims: int = 5) -> DataFrame:
+    """(id, chunk, place, claim, shared, total): documents chunk by chunk, and of each chunk the sentences that share most words with the topic; total says how many chunks the document has. With a budget, chunks from `most_chunks` on are not read, which total tells."""
+    cut = docs.select(id_col, search.tokens(topic).alias("topic"), chunk_text(text_col).alias("chunks"))
+    each = cut.select(id_col, "topic", F.size("chunks").alias("total"), F.posexplode("chunks").alias("chunk", "body"))
+    each = each if most_chunks is None else each.where(F.col("chunk") < most_chunks)
+    said = each.select(id_col, "chunk", "topic", "total", F.posexplode(text.sentences(F.col("body"))).alias("nth", "claim"))
     shared = text.let(lambda t, s: F.size(F.array_intersect(t, s)), F.col("topic"), F.array_distinct(search.tokens(F.col("claim"))))
     best = ranking.top_k(said.withColumn("shared", shared).where("shared > 0"), [id_col, "chunk"], claims, F.desc("shared"), F.asc("nth"))
-    return best.select(id_col, "chunk", F.col("rank").alias("place"), "claim", "shared")
+    return best.select(id_col, "chunk", F.col("rank").alias("place"), "claim", "shared", "total")
 
 
 # Hooks

@@ -23,6 +23,18 @@ def top_k(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
     return rank(df, by, *order).where(F.col("rank") <= k)
 
 
+def successors(ids: DataFrame, id_col: str) -> DataFrame:
+    """(id, next) of every id but the last: the next larger one there is. Ids are sorted by range; what passes between partitions is the least id of each."""
+    from tidepool.operators import store
+
+    df = ids.select(F.col(id_col).alias("id")).where("id is not null").distinct()
+    sorted_ = store.kept(df.repartitionByRange("id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id()), "successors")
+    least = sorted_.groupBy("part").agg(F.min("id").alias("least"))  # a row a partition
+    after = least.select("part", F.lead("least").over(Window.orderBy("part")).alias("after"))
+    own = F.lead("id").over(Window.partitionBy("part").orderBy("id"))
+    return sorted_.withColumn("next", own).join(F.broadcast(after), "part").select("id", F.coalesce("next", "after").alias("next")).where("next is not null")
+
+
 def rank_normalised(hits: DataFrame, by: list[str], id_col: str = "id") -> DataFrame:
     """score := 1 / rank within each group, so that scores of different sources compare."""
     return rank(hits, by, F.desc("score"), F.asc(id_col)).withColumn("score", 1.0 / F.col("rank"))

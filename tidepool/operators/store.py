@@ -40,6 +40,13 @@ def superseded(table: DataFrame, changes: DataFrame, id_col: str, status: str =
     return kept.unionByName(changes.drop("old_id"))
 
 
+def stale(entries: DataFrame, reads: DataFrame, id_col: str, as_of: Column, days: int = 120, most: int = 0) -> DataFrame:
+    """(id, days, access_count) of the entries (id, written) that are older than so many days and were read (id, access_count) no more than `most` times."""
+    age = F.datediff(as_of, "written").cast("long")
+    found = entries.withColumn("days", age).where(F.col("days") > days).join(reads, id_col, "left")
+    return found.select(id_col, "days", F.coalesce("access_count", F.lit(0)).cast("long").alias("access_count")).where(F.col("access_count") <= most)
+
+
 def addressed(df: DataFrame, content: Column) -> DataFrame:
     """(sha, content, n_refs): each content once under its SHA-256."""
     return df.select(content.alias("content")).groupBy(F.sha2("content", 256).alias("sha"), "content").agg(F.count("*").alias("n_refs"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tidepool.functions import chunks, codecs
 from tidepool.operators import events as ev
-from tidepool.operators import integrity, lsh, store, text
+from tidepool.operators import integrity, lsh, ranking, store, text
 from tidepool.plans.registry import query
 from tidepool.plans.tables import LINES_SQL, log_lines, table
 
@@ -201,7 +201,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Bits in which the fingerprint of a text differs from that of the text before."""
     prints = table(spark, sf, "documents").select("doc_id", chunks.simhash_bytes(F.col("text").cast("binary")).alias("h"))
-    before = prints.select((F.col("doc_id") + 1).alias("doc_id"), F.col("h").alias("before"))
+    before = prints.select(F.col("doc_id").alias("id"), F.col("h").alias("before")).join(ranking.successors(prints, "doc_id"), "id").select(F.col("next").alias("doc_id"), "before")
     return prints.join(before, "doc_id").select("doc_id", F.bit_count(F.col("h").bitwiseXOR(F.col("before"))).cast("long").alias("distance"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import facts as fx
-from tidepool.operators import graph
+from tidepool.operators import graph, store
 from tidepool.plans.registry import query
 from tidepool.plans.tables import AS_OF, CURRENT_SQL, EDGES_SQL, FACTS_SQL, as_of, edges, facts, table
 
@@ -148,10 +148,12 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(hits, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("access_count"))
 
 
-@query("clu_forget", f"WITH a AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS nth FROM events WHERE date_diff('second', ts, TIMESTAMP '{AS_OF}') > 10 * 86400 QUALIFY nth <= 500) SELECT event_id FROM a WHERE event_id % 7 <> 0")
+@query("clu_forget", f"WITH e AS (SELECT o_custkey AS id, max(o_orderdate) AS written FROM orders GROUP BY 1), a AS (SELECT user_id AS id, count(*) AS n FROM events GROUP BY 1) SELECT e.id, date_diff('day', written::date, DATE '{AS_OF[:10]}') AS days, coalesce(n, 0) AS access_count FROM e LEFT JOIN a ON a.id = e.id WHERE date_diff('day', written::date, DATE '{AS_OF[:10]}') > 120 AND coalesce(n, 0) <= 0")
 def _(spark, sf):
-    old = table(spark, sf, "events").where(F.unix_timestamp(as_of()) - F.unix_timestamp(F.col("ts").cast("timestamp")) > 10 * 86400).orderBy("ts", "event_id").limit(500)  # the limit comes before the access filter
-    return old.where("event_id % 7 <> 0").select("event_id")
+    """Customers as entries, written when they last ordered and read by the events of their number: those that are old and were never read."""
+    written = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderdate").alias("written"))
+    reads = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("access_count"))
+    return store.stale(written, reads, "id", as_of())
 
 
 @query("agg_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'conversations', count(*) FROM conversations")

@@ -201,11 +201,11 @@ def _negative_sql(x: str) -> str:
     return f"(len(list_intersect(list_transform(string_split_regex(coalesce({x}, ''), '\\s+'), lambda w: lower(regexp_replace(w, '^[.,!?;:]+|[.,!?;:]+$', '', 'g'))), {_NEG})) > 0)"
 
 
-@query("gov_polarity", f"WITH n AS (SELECT doc_id, {_negative_sql('text')} AS neg FROM documents) SELECT a.doc_id, a.neg <> b.neg AS conflict FROM n a JOIN n b ON b.doc_id = a.doc_id - 1")
+@query("gov_polarity", f"WITH n AS (SELECT doc_id, lag(doc_id) OVER (ORDER BY doc_id) AS last, {_negative_sql('text')} AS neg FROM documents) SELECT a.doc_id, a.neg <> b.neg AS conflict FROM n a JOIN n b ON b.doc_id = a.last")
 def _(spark, sf):
     """Whether one of two neighbouring documents negates and the other does not."""
     n = table(spark, sf, "documents").select("doc_id", negative(F.col("text")).alias("neg"))
-    before = n.select((F.col("doc_id") + 1).alias("doc_id"), F.col("neg").alias("before"))
+    before = n.select(F.col("doc_id").alias("id"), F.col("neg").alias("before")).join(ranking.successors(n, "doc_id"), "id").select(F.col("next").alias("doc_id"), "before")
     return n.join(before, "doc_id").select("doc_id", (F.col("neg") != F.col("before")).alias("conflict"))
 
 
@@ -284,17 +284,18 @@ def _(spark, sf):
     return _similar(spark, sf).select("item_id", qs.softmax(logits).alias("b")).select("item_id", "b.action", F.round("b.confidence", 9).alias("confidence"))
 
 
-_PAIRED = "p AS (SELECT a.doc_id, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) END AS similarity, CASE WHEN a.text = b.text THEN 'NOOP' WHEN a.lang = b.lang THEN 'UPDATE' ELSE 'ADD' END AS label FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_\\-]+')) AS t FROM documents) a JOIN (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_\\-]+')) AS t FROM documents) b ON b.doc_id = a.doc_id + 1)"
+_PAIRED = "p AS (SELECT a.doc_id, CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0.0 ELSE len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) END AS similarity, CASE WHEN a.text = b.text THEN 'NOOP' WHEN a.lang = b.lang THEN 'UPDATE' ELSE 'ADD' END AS label FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_\\-]+')) AS t, lead(doc_id) OVER (ORDER BY doc_id) AS next FROM documents) a JOIN (SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_\\-]+')) AS t FROM documents) b ON b.doc_id = a.next)"
 
 
 def _labelled(spark, sf) -> DataFrame:
-    """Neighbouring documents with their similarity and what should be done with the second: nothing, if the texts are equal; an update within a language; else an addition."""
+    """Documents next to each other with their similarity and what should be done with the second: nothing, if the texts are equal; an update within a language; else an addition."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_\-]+"), F.lit(0)))
     d = table(spark, sf, "documents").select("doc_id", "text", "lang", words.alias("t"))
-    next_ = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text2"), F.col("lang").alias("lang2"), F.col("t").alias("t2"))
+    next_ = d.select(F.col("doc_id").alias("next"), F.col("text").alias("text2"), F.col("lang").alias("lang2"), F.col("t").alias("t2"))
     label = F.when(F.col("text") == F.col("text2"), "NOOP").when(F.col("lang") == F.col("lang2"), "UPDATE").otherwise("ADD")
     sim = F.when((F.size("t") == 0) | (F.size("t2") == 0), 0.0).otherwise(F.try_divide(F.size(F.array_intersect("t", "t2")), F.size(F.array_union("t", "t2"))))
-    return d.join(next_, "doc_id").select("doc_id", sim.alias("similarity"), label.alias("label"), F.least(F.lit(1.0), F.length("text") / 1200.0).alias("length_norm"), negative(F.col("text")).cast("double").alias("negation"))
+    both = d.join(ranking.successors(d, "doc_id").withColumnRenamed("id", "doc_id"), "doc_id").join(next_, "next")
+    return store.kept(both.select("doc_id", sim.alias("similarity"), label.alias("label"), F.least(F.lit(1.0), F.length("text") / 1200.0).alias("length_norm"), negative(F.col("text")).cast("double").alias("negation")), "labelled")  # fits read it many times
 
 
 @query("agg_policy_threshold", f"WITH {_PAIRED}, m AS (SELECT coalesce(avg(similarity) FILTER (label = 'UPDATE'), 0.80) AS u, coalesce(avg(similarity) FILTER (label = 'NOOP'), 0.92) AS n, count(*) AS samples FROM p) SELECT round(u, 4) AS update_threshold, round(CASE WHEN n < u THEN least(0.99, u + 0.05) ELSE n END, 4) AS noop_threshold, samples FROM m")

@@ -74,10 +74,11 @@ def _(spark, sf):
     return log_lines(spark, sf).select("line_no", F.regexp_replace("text", "[0-9]+", "{}").alias("template"), F.array_join(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0)), ",").alias("slots"))
 
 
-@_logs("ext_template_merge", "SELECT a.line_no, array_to_string(list_transform(list_zip(string_split(a.text, ' '), string_split(b.text, ' ')), lambda p: CASE WHEN p[1] = p[2] THEN p[1] ELSE '<*>' END), ' ') AS merged FROM lines a JOIN lines b ON b.line_no = a.line_no + 1 AND a.template = b.template")
+@_logs("ext_template_merge", "SELECT a.line_no, array_to_string(list_transform(list_zip(string_split(a.text, ' '), string_split(b.text, ' ')), lambda p: CASE WHEN p[1] = p[2] THEN p[1] ELSE '<*>' END), ' ') AS merged FROM (SELECT *, lead(line_no) OVER (ORDER BY line_no) AS next FROM lines) a JOIN lines b ON b.line_no = a.next AND a.template = b.template")
 def _(spark, sf):
     x = log_lines(spark, sf)
-    both = x.alias("a").join(x.alias("b"), (F.col("b.line_no") == F.col("a.line_no") + 1) & (F.col("a.template") == F.col("b.template")))
+    first = x.join(ranking.successors(x, "line_no").withColumnRenamed("id", "line_no"), "line_no")
+    both = first.alias("a").join(x.alias("b"), (F.col("b.line_no") == F.col("a.next")) & (F.col("a.template") == F.col("b.template")))
     merged = F.zip_with(F.split("a.text", " "), F.split("b.text", " "), lambda p, q: F.when(p == q, p).otherwise("<*>"))
     return both.select(F.col("a.line_no").alias("line_no"), F.array_join(merged, " ").alias("merged"))
 

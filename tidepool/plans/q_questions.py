@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidepool.operators import agents, ranking
 from tidepool.operators import questions as qs
-from tidepool.operators import ranking
 from tidepool.plans.registry import query
 from tidepool.plans.tables import table
 
@@ -63,10 +63,19 @@ def _(spark, sf):
     return e.withColumn("later", later).select(F.col("event_id").alias("a"), "day", F.inline("later")).select("a", "b", F.datediff("day_b", "day").cast("long").alias("days"))
 
 
-@query("ctx_budgets", "SELECT conv_id, sum(length(text))::bigint AS total, (sum(length(text)) * 0.6)::bigint AS recent, (sum(length(text)) * 0.3)::bigint AS memory FROM conversations GROUP BY conv_id HAVING (sum(length(text)) * 10) % 10 = 0 AND sum(length(text)) % 10 = 0")
+def _budgets_sql() -> str:
+    (low, most), (part, least) = agents.OBJECTIVE[1:], agents.WORKSPACE
+    one = lambda mode, m, s, w: f"SELECT conv_id, '{mode}' AS mode, {w} = 1 AS with_workspace, total, least({most}, greatest({low}, total * {agents.OBJECTIVE[0]} // 100))::bigint AS objective, greatest({agents.MEMORY}, total * {m} // 100)::bigint AS memory, greatest({agents.SESSION}, total * {s} // 100)::bigint AS session, ({w} * greatest({least}, total * {part} // 100))::bigint AS workspace FROM c"
+    return f"WITH c AS (SELECT conv_id, greatest({agents.TOTAL}, 4 * (sum(length(coalesce(text, ''))) // 4))::bigint AS total FROM conversations GROUP BY conv_id) " + " UNION ALL ".join(one(mode, m, s, w) for mode, (m, s) in agents.MODES.items() for w in (0, 1))
+
+
+@query("ctx_budgets", _budgets_sql())
 def _(spark, sf):
-    total = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("total")).where("total % 10 = 0")
-    return total.select("conv_id", "total", (F.col("total") * 6 / 10).cast("long").alias("recent"), (F.col("total") * 3 / 10).cast("long").alias("memory"))
+    """What every conversation's own length, taken as a budget of tokens, leaves to the parts of a context in each mode, with and without a workspace."""
+    tokens = F.floor(F.sum(F.length(F.coalesce("text", F.lit("")))) / 4)
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(tokens.alias("tokens"))
+    ways = [F.struct(F.lit(mode).alias("mode"), F.lit(w).alias("with_workspace"), *agents.budgets(F.col("tokens"), mode, w)) for mode in agents.MODES for w in (False, True)]
+    return c.select("conv_id", F.inline(F.array(*ways)))
 
 
 @query("clu_cluster_key", "SELECT conv_id, 'conv_' || conv_id || ':' || substr(sha1(string_agg(turn::varchar, ',' ORDER BY turn)), 1, 20) AS cluster_key FROM conversations GROUP BY conv_id")

@@ -143,10 +143,10 @@ def _(spark, sf):
     return p.agg((F.count("*") / F.sum("n")).alias("novelty"), F.sum("n").alias("n"))
 
 
-@query("set_jaccard_tokens", "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
+@query("set_jaccard_tokens", "WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t, lead(doc_id) OVER (ORDER BY doc_id) AS next FROM documents) SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.t, b.t))::double / len(list_distinct(list_concat(a.t, b.t))) AS jaccard FROM t a JOIN t b ON b.doc_id = a.next")
 def _(spark, sf):
     t = _docs(spark, sf).select("doc_id", F.array_distinct(search.tokens(F.col("text"))).alias("t"))
-    both = t.alias("a").join(t.alias("b"), F.col("b.doc_id") == F.col("a.doc_id") + 1)
+    both = t.join(ranking.successors(t, "doc_id").withColumnRenamed("id", "doc_id"), "doc_id").alias("a").join(t.alias("b"), F.col("b.doc_id") == F.col("a.next"))
     return both.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.try_divide(F.size(F.array_intersect("a.t", "b.t")), F.size(F.array_union("a.t", "b.t"))).alias("jaccard"))
 
 
