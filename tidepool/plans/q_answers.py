@@ -12,7 +12,7 @@ from tidepool.operators import answers, ranking, search, text
 from tidepool.operators import questions as qs
 from tidepool.plans.q_extract import sentences_sql
 from tidepool.plans.q_questions import _Q, _questions
-from tidepool.plans.q_search import _bm25_sql
+from tidepool.plans.q_search import _bm25_sql, documents_index
 from tidepool.plans.registry import query
 from tidepool.plans.tables import MONTHS, NOTES_SQL, notes, queries_frame, table
 
@@ -228,8 +228,7 @@ def _(spark, sf):
 @query("set_evidence_overlap", f"WITH {_bm25_sql('documents', 'text', 'doc_id', 10)}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) SELECT query_id, bool_or(g.doc_id IS NOT NULL) AS retrieved, bool_or(g.doc_id IS NOT NULL AND rank <= 3) AS kept FROM bm25 LEFT JOIN good g ON g.doc_id = id GROUP BY query_id")
 def _(spark, sf):
     """Whether good documents are among the candidates of a query, and among its first three."""
-    d = table(spark, sf, "documents")
-    hits = search.bm25(search.postings(d, "doc_id", "text"), queries_frame(spark), "doc_id", k=10)
+    hits = documents_index(spark, sf).search(queries_frame(spark), "doc_id", k=10)
     expected = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
     sets = hits.join(expected, "doc_id", "left").groupBy("query_id").agg(F.collect_set("doc_id").alias("candidates"), F.collect_set(F.when(F.col("rank") <= 3, F.col("doc_id"))).alias("final"), F.collect_set(F.when(F.col("good"), F.col("doc_id"))).alias("expected"))
     return sets.select("query_id", F.arrays_overlap("expected", "candidates").alias("retrieved"), F.arrays_overlap("expected", "final").alias("kept"))

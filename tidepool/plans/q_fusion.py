@@ -7,12 +7,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.operators import extract, ranking, search
+from tidepool.operators import index, extract, ranking, search
 from tidepool.operators import questions as qs
 from tidepool.plans.q_answers import _ASKED, _DRINK, _HINTED, _SELF, _any, _has
 from tidepool.plans.q_govern import bm25_sql
 from tidepool.plans.q_questions import _questions
-from tidepool.plans.q_search import _HYBRID, hybrid
+from tidepool.plans.q_search import _HYBRID, documents_index, hybrid
 from tidepool.plans.registry import query
 from tidepool.plans.tables import FACTS_SQL, QUERIES_SQL, facts, queries_frame, table
 
@@ -28,10 +28,11 @@ def _three(spark, sf) -> DataFrame:
     asks = queries_frame(spark)
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat_ws(" ", x["role"], x["text"]))
     talks = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(turns, " ").alias("body"))
-    lists = (("chunk", table(spark, sf, "documents"), "doc_id", "text"), ("entry", table(spark, sf, "benchmark"), "item_id", "text"), ("summary", talks, "conv_id", "body"))
+    entries = index.of(spark, f"{sf}/benchmark.parquet", table(spark, sf, "benchmark"), "item_id", "text")
+    lists = (("chunk", documents_index(spark, sf), "doc_id"), ("entry", entries, "item_id"), ("summary", index.of(spark, f"{sf}/conversations.parquet", talks, "conv_id", "body", what="role and text by turn"), "conv_id"))
     out = None
-    for source, rows, i, body in lists:
-        hits = search.bm25(search.postings(rows, i, body), asks, i, k=10)
+    for source, ix, i in lists:
+        hits = ix.search(asks, i, k=10)
         one = hits.select("query_id", F.lit(source).alias("source"), F.col(i).alias("id"), (1.0 / F.col("rank")).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -70,7 +71,7 @@ def beside(memory: DataFrame, other: DataFrame, queries: DataFrame, weights: dic
 
 
 def _hits(spark, sf, queries: DataFrame, k: int) -> DataFrame:
-    return search.bm25(search.postings(table(spark, sf, "documents"), "doc_id", "text"), queries, "doc_id", k=k).withColumnRenamed("doc_id", "id")
+    return documents_index(spark, sf).search(queries, "doc_id", k=k).withColumnRenamed("doc_id", "id")
 
 
 _NAME, _NOT = r"\b([A-Z][\w-]+(?:[ \t\n]+[A-Z][\w-]+){0,3})\b", ("The", "This", "That", "And", "A", "An", "I")
@@ -110,7 +111,7 @@ def _graph(spark, sf) -> DataFrame:
 
 def _fact(spark, sf) -> DataFrame:
     body = facts(spark, sf).select("fact_id", F.concat_ws(" ", "entity", "relation", F.lit("the"), "value").alias("body"))
-    return search.bm25(search.postings(body, "fact_id", "body"), queries_frame(spark), "fact_id", k=20).withColumnRenamed("fact_id", "id")
+    return index.of(spark, f"{sf}/events.parquet", body, "fact_id", "body", what="facts").search(queries_frame(spark), "fact_id", k=20).withColumnRenamed("fact_id", "id")
 
 
 @query("win_graph_fusion", f"WITH {_MEMORY}, {_GRAPH} {_beside_sql('memory', 'graph', GRAPH['conceptual'], 'graph', 20)}")

@@ -9,7 +9,7 @@ from tidepool.operators import agents, cluster, extract, ranking, search, store,
 from tidepool.operators import facts as fx
 from tidepool.operators import questions as qs
 from tidepool.plans.q_extract import sentences_sql
-from tidepool.plans.q_search import _FIFTIETH, _KNN, _knn_all
+from tidepool.plans.q_search import _FIFTIETH, _KNN, _knn_all, documents_index
 from tidepool.plans.registry import query
 from tidepool.plans.tables import CURRENT_SQL, EDGES_SQL, NOTES_SQL, edges, facts, notes, table
 
@@ -230,7 +230,7 @@ def _entries(spark, sf) -> DataFrame:
 def _bank(spark, sf, k: int) -> DataFrame:
     """The k best documents for each entry, by its title and how it begins."""
     asks = _entries(spark, sf).select("query_id", F.concat("title", F.lit(" "), F.substring("content", 1, 240)).alias("query"))
-    return search.bm25(search.postings(table(spark, sf, "documents"), "doc_id", "text"), asks, "doc_id", k=k)
+    return documents_index(spark, sf).search(asks, "doc_id", k=k)
 
 
 @query("gov_contra_kw", f"WITH {_ENTRIES}, {bm25_sql('b', 'documents', 'text', 'doc_id', 5)} SELECT query_id AS item_id, id AS doc_id, score FROM bl LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) ON doc_id = id WHERE score > 5.0 AND coalesce(toxic, 0) = 0")

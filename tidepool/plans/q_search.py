@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators import ranking, search
+from tidepool.operators import index, ranking, search, store
 from tidepool.plans.registry import query
 from tidepool.plans.tables import AS_OF, QUERIES_SQL, as_of, queries_frame, table
 
@@ -22,9 +22,12 @@ sc AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)),
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= {k})"""
 
 
+def documents_index(spark, sf) -> index.Index:
+    return index.of(spark, f"{sf}/documents.parquet", table(spark, sf, "documents"), "doc_id", "text")
+
+
 def _hits(spark, sf, k=10) -> DataFrame:
-    post = search.postings(table(spark, sf, "documents"), "doc_id", "text")
-    return search.bm25(post, queries_frame(spark), "doc_id", k=k)
+    return documents_index(spark, sf).search(queries_frame(spark), "doc_id", k=k)
 
 
 @query("ret_bm25_chunks", f"WITH {_bm25_sql('documents', 'text', 'doc_id', 10)} SELECT query_id, id AS doc_id, score, rank FROM bm25")
@@ -35,25 +38,45 @@ def _(spark, sf):
 @query("ret_bm25_consolidated", f"WITH src AS (SELECT conv_id, string_agg(role || ' ' || text, ' ' ORDER BY turn) AS body FROM conversations GROUP BY conv_id), {_bm25_sql('src', 'body', 'conv_id', 10)} SELECT query_id, id AS conv_id, score, rank FROM bm25")
 def _(spark, sf):
     each = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat_ws(" ", x.role, x.text)), " ").alias("body"))
-    return search.bm25(search.postings(each, "conv_id", "body"), queries_frame(spark), "conv_id")
+    return index.of(spark, f"{sf}/conversations.parquet", each, "conv_id", "body", what="role and text by turn").search(queries_frame(spark), "conv_id")
 
 
 @query("ret_bm25_reasoning", f"WITH src AS (SELECT page_id, url || ' ' || html AS body FROM pages WHERE url LIKE 'https%'), {_bm25_sql('src', 'body', 'page_id', 5)} SELECT query_id, id AS page_id, score, rank FROM bm25")
 def _(spark, sf):
     active = table(spark, sf, "pages").where(F.col("url").startswith("https"))
-    return search.bm25(search.postings(active, "page_id", "url", "html"), queries_frame(spark), "page_id", k=5)
+    return index.of(spark, f"{sf}/pages.parquet", active, "page_id", "url", "html", what="https").search(queries_frame(spark), "page_id", k=5)
 
 
 @query("ret_bm25_facts", f"WITH src AS (SELECT event_id, 'user ' || user_id || ' ' || event_type || ' the ' || floor(value)::int AS body FROM events), {_bm25_sql('src', 'body', 'event_id', 5)} SELECT query_id, id AS event_id, score, rank FROM bm25")
 def _(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.concat(F.lit("user "), F.col("user_id"), F.lit(" "), F.col("event_type"), F.lit(" the "), F.floor("value").cast("string")).alias("body"))
-    return search.bm25(search.postings(e, "event_id", "body"), queries_frame(spark), "event_id", k=5)
+    return index.of(spark, f"{sf}/events.parquet", e, "event_id", "body", what="user, type, value").search(queries_frame(spark), "event_id", k=5)
 
 
 @query("ret_bm25_skills", f"WITH src AS (SELECT item_id, 'skill ' || text AS body FROM benchmark), {_bm25_sql('src', 'body', 'item_id', 5)} SELECT query_id, id AS item_id, score, rank FROM bm25")
 def _(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.concat(F.lit("skill "), F.col("text")).alias("body"))
-    return search.bm25(search.postings(b, "item_id", "body"), queries_frame(spark), "item_id", k=5)
+    return index.of(spark, f"{sf}/benchmark.parquet", b, "item_id", "body", what="skills").search(queries_frame(spark), "item_id", k=5)
+
+
+_ITEMS = _bm25_sql("documents", "text", "doc_id", 10).replace(QUERIES_SQL, "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)")
+
+
+@query("ret_bm25_items", f"WITH {_ITEMS} SELECT query_id, id AS doc_id, score, rank FROM bm25")
+def _(spark, sf):
+    """Every benchmark item asked of the index of documents."""
+    asks = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return documents_index(spark, sf).search(asks, "doc_id")
+
+
+@query("ret_index_changed", f"WITH moved AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN text || ' the and with license' ELSE text END AS text FROM documents WHERE doc_id % 3 <> 1 OR doc_id % 2 = 0), {_bm25_sql('(SELECT * FROM moved WHERE doc_id % 5 <> 2)', 'text', 'doc_id', 10)} SELECT query_id, id AS doc_id, score, rank FROM bm25")
+def _(spark, sf):
+    """An index that two thirds of the documents made, then half of the others joined, some were replaced by longer ones, and some deleted; asked after it was compacted, and deleted from once more."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    ix = index.Index(spark, store.scratch(spark, "changed")).append(d.where("doc_id % 3 <> 1"), "doc_id", "text").append(d.where("doc_id % 3 = 1 AND doc_id % 2 = 0"), "doc_id", "text")
+    ix.update(d.where("doc_id % 6 = 0").withColumn("text", F.concat("text", F.lit(" the and with license"))), "doc_id", "text")
+    ix.delete(d.where("doc_id % 10 = 2"), "doc_id").compact().delete(d.where("doc_id % 10 = 7"), "doc_id")
+    return ix.search(queries_frame(spark), "doc_id")
 
 
 @query("jn_fts_content", f"WITH {_bm25_sql('documents', 'text', 'doc_id', 10)} SELECT query_id, id AS doc_id, score, source, substr(text, 1, 60) AS head FROM bm25 JOIN documents ON id = doc_id")
