@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import facts as fx
-from tidepool.operators import graph, store
+from tidepool.operators import graph, setsim, store
 from tidepool.plans.registry import query
 from tidepool.plans.tables import AS_OF, CURRENT_SQL, EDGES_SQL, FACTS_SQL, as_of, edges, facts, table
 
@@ -203,9 +203,9 @@ def _(spark, sf):
 
 @query("jn_pair_entities", f"WITH {FACTS_SQL}, m AS (SELECT DISTINCT chunk_id, entity_key FROM facts) SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS shared FROM m a JOIN m b ON a.entity_key = b.entity_key AND a.chunk_id < b.chunk_id GROUP BY ALL HAVING count(*) >= 2")
 def _(spark, sf):
-    m = fx.keyed(facts(spark, sf)).select("chunk_id", "entity_key").distinct()
-    pairs = m.alias("a").join(m.alias("b"), (F.col("a.entity_key") == F.col("b.entity_key")) & (F.col("a.chunk_id") < F.col("b.chunk_id")))
-    return pairs.groupBy(F.col("a.chunk_id").alias("a"), F.col("b.chunk_id").alias("b")).agg(F.count("*").alias("shared")).where("shared >= 2")
+    m = fx.keyed(facts(spark, sf)).groupBy("chunk_id").agg(F.collect_set("entity_key").alias("entities"))
+    pairs = setsim.overlapping(m, "chunk_id", F.col("entities"), 2).expanded(F.col("n") >= 2)
+    return pairs.select("a", "b", F.col("common").cast("long").alias("shared"))
 
 
 @query("src_list_chunks", "SELECT doc_id, source FROM documents WHERE source = 'src3' ORDER BY doc_id DESC LIMIT 20")

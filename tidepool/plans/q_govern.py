@@ -28,12 +28,27 @@ bm_{p}c AS (SELECT query_id, id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.
 # Clusters
 
 
-@query("clu_semantic", "WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label = b.label WHERE list_inner_product(a.embedding::double[], b.embedding::double[]) >= 0.30), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT vec_id AS v, vec_id AS root FROM embeddings UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.v) SELECT v AS vec_id, min(root) AS cluster FROM r GROUP BY v")
+_NAMES = r"list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g'), '\b[A-Z][a-z]{2,}\b'), lambda x: true)"
+def _pairs_sql(name: str, items: str, least: float) -> str:
+    """Pairs of t whose lists are as similar as asked."""
+    return f"{name}_i AS (SELECT doc_id, len({items}) AS n, unnest({items}) AS x FROM t), {name} AS (SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS m FROM {name}_i a JOIN {name}_i b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL) WHERE m >= {least} * (na + nb - m) - 1e-9)"
+
+
+_SEMANTIC = f"""WITH RECURSIVE t AS (SELECT doc_id, trim(lower(text)) AS bare, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_\\-]{{3,}}'), lambda w: NOT regexp_full_match(w, '[0-9]+'))) AS words, list_distinct({_NAMES}) AS names FROM documents),
+g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY CASE WHEN len(words) > 0 THEN array_to_string(list_sort(words)[1:{cluster.SIGNED}], ' ') ELSE substr(bare, 1, {cluster.BARE}) END) AS least FROM t),
+n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id IN (SELECT doc_id FROM t) AND b.vec_id IN (SELECT doc_id FROM t) AND list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= {cluster.COSINE}),
+{_pairs_sql('e', 'names', cluster.ENTITIES)}, {_pairs_sql('l', 'words', cluster.WORDS)},
+u AS (SELECT doc_id AS a, least AS b FROM g WHERE doc_id <> least UNION SELECT * FROM n UNION SELECT * FROM e UNION SELECT * FROM l), s AS (SELECT a, b FROM u UNION SELECT b, a FROM u),
+r AS (SELECT doc_id AS v, doc_id AS root FROM t UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.v AND r.root < s.b) SELECT v AS doc_id, min(root) AS cluster FROM r GROUP BY v"""
+
+
+@query("clu_semantic", _SEMANTIC)
 def _(spark, sf):
-    return cluster.clusters(table(spark, sf, "embeddings"), "vec_id", "embedding", 0.30, F.col("label"))
+    """Documents as chunks, clustered by signatures, vectors, names and words."""
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return cluster.semantic(table(spark, sf, "documents"), "doc_id", "text", vectors, "embedding", F.array_distinct(F.regexp_extract_all(extract.masked(F.col("text")), F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))))
 
 
-_NAMES = r"list_filter(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\P{L}]', '_', 'g'), '\b[A-Z][a-z]{2,}\b'), lambda x: true)"
 _CLUSTER = "m AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS cluster, count(*) OVER (PARTITION BY text) AS n FROM documents), c AS (SELECT * FROM m WHERE n >= 2)"
 _FACT = "CASE WHEN regexp_matches(lower(fact), '{}') THEN {} ELSE 0.0 END"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidepool.operators import cql, ranking
+from tidepool.operators import cql, ranking, setsim
 from tidepool.operators import events as ev
 from tidepool.plans.registry import query
 from tidepool.plans.tables import LINES_SQL, log_lines, table
@@ -207,11 +207,8 @@ query("set_jaccard_chunks", "WITH l AS (SELECT DISTINCT user_id, floor(value / 1
 
 
 def _shared(spark, sf, least):
-    chunks = table(spark, sf, "events").select("user_id", F.floor(F.col("value") / 10).alias("c")).distinct()
-    n = chunks.groupBy("user_id").agg(F.count("*").alias("n"))
-    pairs = chunks.alias("x").join(chunks.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.user_id") < F.col("y.user_id"))).groupBy(F.col("x.user_id").alias("a"), F.col("y.user_id").alias("b")).agg(F.count("*").alias("m"))
-    sized = pairs.join(n.select(F.col("user_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("user_id").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.select("a", "b", (F.col("m") / (F.col("na") + F.col("nb") - F.col("m"))).alias("jaccard")).where(F.col("jaccard") >= least)
+    chunks = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set(F.floor(F.col("value") / 10)).alias("chunks"))
+    return setsim.similar(chunks, "user_id", F.col("chunks"), least).expanded().select("a", "b", "jaccard")
 
 
 _KV = "o AS (SELECT user_id AS key, arg_max(value, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id), n AS (SELECT user_id AS key, arg_max(value, event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY user_id)"
