@@ -112,6 +112,13 @@ class Engine:
         return session
 
 
+def carried(steps: DataFrame, session: str, nth: str, task: Column, output: Column) -> DataFrame:
+    """(session, step, summary): what sessions carry over, the task first and then a line for each step, which count from 0."""
+    lines = steps.select(F.col(session).alias("session"), (F.col(nth) + 1).cast("long").alias("step"), F.concat(F.lit("Step "), nth, F.lit(": "), F.substring(output, 1, SAID)).alias("summary"))
+    first = steps.groupBy(F.col(session).alias("session")).agg(F.min(F.struct(F.col(nth), task.alias("task"))).alias("m"))
+    return lines.unionByName(first.select("session", F.lit(0).cast("long").alias("step"), F.concat(F.lit("Task: "), "m.task").alias("summary")))
+
+
 #: Largest entry in bytes. Fixed value.
 LARGEST = 100_000
 

@@ -222,18 +222,22 @@ class Index:
         return best(hits.union(scored(rest)))
 
 
-def of(spark: SparkSession, source: str, docs: DataFrame, id_col: str, *columns: str, what: str = "", terms: Callable[[Column], Column] = search.tokens) -> Index:
-    """The index of documents that are made of the files at `source` (`what` tells how): the one in the shared folder, if these files were indexed before, else a new one."""
+def source_folder(spark: SparkSession, source: str, *what: str) -> str:
+    """The folder, in the shared one, of what is made of the files at `source` in the way that `what` tells: other files have another."""
     at = spark._jvm.org.apache.hadoop.fs.Path(source)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files, state = fs.listFiles(at, True), []
     while files.hasNext():
         f = files.next()
         state.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
-    key = hashlib.sha256("\n".join([*sorted(state), FORMAT, what, id_col, *columns, terms.__name__]).encode()).hexdigest()[:32]
-    path = f"{shared_dir(spark)}/index-{key}"
+    path = f"{shared_dir(spark)}/index-" + hashlib.sha256("\n".join([*sorted(state), FORMAT, *what]).encode()).hexdigest()[:32]
     context = spark.sparkContext
     if path not in getattr(context, "_tidepool_paths", []):
         context._tidepool_paths = [*getattr(context, "_tidepool_paths", []), path]
-    index = Index(spark, path, terms)
+    return path
+
+
+def of(spark: SparkSession, source: str, docs: DataFrame, id_col: str, *columns: str, what: str = "", terms: Callable[[Column], Column] = search.tokens) -> Index:
+    """The index of documents that are made of the files at `source` (`what` tells how): the one in the shared folder, if these files were indexed before, else a new one."""
+    index = Index(spark, source_folder(spark, source, what, id_col, *columns, terms.__name__), terms)
     return index if index.generations() else index.append(docs, id_col, *columns)

@@ -15,7 +15,7 @@ PII = {
 }
 #: Number words. Fixed values.
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
-_FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+FOLD = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
 def let(f, *values: Column) -> Column:
@@ -37,7 +37,7 @@ def sentences(text: Column) -> Column:
 
 def normalised(text: Column) -> Column:
     """Lower case without accents, punctuation and articles; number words as digits."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_FOLD)
+    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), *FOLD)
     words = F.split(F.trim(F.regexp_replace(folded, r"[^a-z0-9]+", " ")), " +")
     digits = F.create_map(*[F.lit(x) for i, w in enumerate(NUMBER_WORDS) for x in (w, str(i))])
     kept = F.filter(words, lambda w: ~w.isin("a", "an", "the", ""))

@@ -14,16 +14,11 @@ from tidepool.plans.q_extract import sentences_sql
 from tidepool.plans.q_questions import _Q, _questions
 from tidepool.plans.q_search import _bm25_sql, documents_index
 from tidepool.plans.registry import query
-from tidepool.plans.tables import MONTHS, NOTES_SQL, notes, queries_frame, table
+from tidepool.plans.tables import MONTHS, NOTES_SQL, normalised_sql, notes, queries_frame, table
 
 _NUMBERS = "[" + ", ".join(f"'{w}'" for w in text.NUMBER_WORDS) + "]"
 
 
-def normalised_sql(x: str) -> str:
-    words = f"string_split(trim(regexp_replace(translate(lower(coalesce({x}, '')), '{text._FOLD[0]}', '{text._FOLD[1]}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
-    return f"array_to_string(list_transform(list_filter({words}, lambda w: w NOT IN ('a', 'an', 'the', '')), lambda w: CASE WHEN list_position({_NUMBERS}, w) > 0 THEN (list_position({_NUMBERS}, w) - 1)::varchar ELSE w END), ' ')"
-
-
 @query("qa_norm_match", f"SELECT doc_id, md5({normalised_sql('text')}) AS norm FROM documents")
 def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(text.normalised(F.col("text"))).alias("norm"))
@@ -252,12 +247,12 @@ _LITERAL = rf"(({_any(qs.RECALL_PHRASES)} OR regexp_matches(l, '\b(?:what was|wh
 
 @query("ret_profile", f"WITH {_ASKED} SELECT question_id, {_SELF} AS first_person, {_SELF} AND ({_has(qs.STATE_NOW)} OR {_any(qs.STATE_NOW_PHRASES)}) AS current, {_SELF} AND ({_has(qs.STATE_PAST)} OR {_any(qs.STATE_PAST_PHRASES)}) AS history, len(t) >= 5 AND {_any((' and ', ',', ' plus '))} AS facets FROM a")
 def _(spark, sf):
-    return _questions(spark).select("question_id", qs.profile(F.col("question")).alias("p")).select("question_id", "p.first_person", "p.current", "p.history", "p.facets")
+    return _questions(spark, sf).select("question_id", qs.profile(F.col("question")).alias("p")).select("question_id", "p.first_person", "p.current", "p.history", "p.facets")
 
 
 @query("ret_literal", f"WITH {_ASKED} SELECT question_id, {_LITERAL} AS literal, {_LITERAL} AND ({_has(qs.SAID_WORDS)} OR {_any(qs.SAID_PHRASES)}) AS assistant FROM a")
 def _(spark, sf):
-    return _questions(spark).select("question_id", qs.profile(F.col("question")).alias("p")).select("question_id", "p.literal", "p.assistant")
+    return _questions(spark, sf).select("question_id", qs.profile(F.col("question")).alias("p")).select("question_id", "p.literal", "p.assistant")
 
 
 _HINTED = [f"CASE WHEN {_has(words)} OR {_any(phrases)} THEN '{relation}' END" for relation, words, phrases in qs.HINTS]
@@ -266,7 +261,7 @@ _DRINK = f"CASE WHEN ({_has(qs.HINTS[-1][1])} OR {_any(qs.HINTS[-1][2])}) AND ({
 
 @query("ret_relation_hints", f"WITH {_ASKED} SELECT question_id, array_to_string(list_filter([{', '.join(_HINTED)}, {_DRINK}], lambda x: x IS NOT NULL), ',') AS hints FROM a")
 def _(spark, sf):
-    return _questions(spark).select("question_id", F.array_join(qs.relation_hints(F.col("question")), ",").alias("hints"))
+    return _questions(spark, sf).select("question_id", F.array_join(qs.relation_hints(F.col("question")), ",").alias("hints"))
 
 
 def _expand_sql() -> str:
@@ -276,14 +271,14 @@ def _expand_sql() -> str:
 
 @query("ret_expand_query", _expand_sql())
 def _(spark, sf):
-    return _questions(spark).select("question_id", qs.expanded(F.col("question")).alias("expanded"))
+    return _questions(spark, sf).select("question_id", qs.expanded(F.col("question")).alias("expanded"))
 
 
 @query("ret_variants")
 def _(spark, sf):
-    return _questions(spark).select("question_id", F.posexplode(qs.keyword_variants(F.col("question"))).alias("variant", "v")).select("question_id", "variant", "v.query", "v.weight")
+    return _questions(spark, sf).select("question_id", F.posexplode(qs.keyword_variants(F.col("question"))).alias("variant", "v")).select("question_id", "variant", "v.query", "v.weight")
 
 
 @query("qa_variants")
 def _(spark, sf):
-    return _questions(spark).select("question_id", F.posexplode(qs.recall_variants(F.col("question"))).alias("variant", "v")).select("question_id", "variant", "v.query", "v.weight")
+    return _questions(spark, sf).select("question_id", F.posexplode(qs.recall_variants(F.col("question"))).alias("variant", "v")).select("question_id", "variant", "v.query", "v.weight")

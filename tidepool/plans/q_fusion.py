@@ -189,7 +189,7 @@ _HINTS = f"list_filter([{', '.join(_HINTED)}, {_DRINK}], lambda x: x IS NOT NULL
 )
 def _(spark, sf):
     """Where a question goes: one about oneself and a known kind of fact to the facts, in their history or as they are now; any other to search."""
-    asked = _questions(spark).select("question_id", qs.profile(F.col("question")).alias("p"), qs.relation_hints(F.col("question")).alias("hints"))
+    asked = _questions(spark, sf).select("question_id", qs.profile(F.col("question")).alias("p"), qs.relation_hints(F.col("question")).alias("hints"))
     own = F.col("p.first_person") & (F.size("hints") > 0)
     route = F.when(~own, "search").when(F.col("p.history"), "truth").when(F.col("p.current") | F.col("p.facets"), "current").otherwise("search")
     return asked.select("question_id", route.alias("route"), F.when(route != "search", F.array_join("hints", ",")).otherwise("").alias("relations"))

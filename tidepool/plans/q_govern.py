@@ -406,22 +406,28 @@ def _(spark, sf):
     return agents.facts_by(rows, "note_id", "text", hook).where("by = 'hook'").groupBy("note_id", "by").agg(F.count("*").alias("n"))
 
 
-@query("mre_engine", f"SELECT step, CASE step WHEN 0 THEN 'Task: licenses' WHEN 1 THEN 'Step 0: ' || repeat('x', 200) ELSE 'Step ' || (step - 1) || ': done' END AS summary FROM range(4) t(step)")
+_TURNS = "t AS (SELECT *, first_value(text) OVER c AS task, lag(CASE WHEN role = 'user' THEN text END) OVER c AS asked FROM conversations WINDOW c AS (PARTITION BY conv_id ORDER BY turn)), s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM t WHERE role = 'assistant')"
+
+
+def _steps(spark, sf) -> DataFrame:
+    """Conversations as sessions: each turn of the assistant is a step, its task how the conversation begins, its evidence the turn of a user just before."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf, "conversations").withColumns({"task": F.first("text").over(w), "asked": F.lag(F.when(F.col("role") == "user", F.col("text"))).over(w)})
+    return turns.where("role = 'assistant'").withColumn("nth", F.row_number().over(w) - 1)
+
+
+@query("mre_engine", f"WITH {_TURNS} SELECT conv_id AS session, nth + 1 AS step, 'Step ' || nth || ': ' || substr(text, 1, {agents.SAID}) AS summary FROM s UNION ALL SELECT conv_id, 0, 'Task: ' || substr(any_value(task), 1, 60) FROM s GROUP BY conv_id")
 def _(spark, sf):
-    """Summaries of a session of three steps over the documents."""
-    e = agents.Engine(spark, table(spark, sf, "documents"), "doc_id", "text")
-    s = agents.Session("licenses")
-    for i, said in enumerate(("x" * 300, "done", "done")):
-        e.step(s, agents.Step("license version", said, facts=[f"fact {i}"], resolved=["licenses"] if i == 2 else [], asked=[f"and {i}?"]))
-    return spark.createDataFrame(list(enumerate(s.summaries)), "step long, summary string")
+    """What every session carries over from step to step."""
+    return agents.carried(_steps(spark, sf), "conv_id", "nth", F.substring("task", 1, 60), F.col("text"))
 
 
-@query("mre_steps", "SELECT * FROM (VALUES ('written', 'good'), ('refused', 'bare'), ('refused', 'empty')) AS v(action, title)")
+@query("mre_steps", f"WITH {_TURNS} SELECT conv_id AS session, nth, array_to_string(list_filter([CASE WHEN trim(substr(text, 1, 40)) = '' THEN 'no title' END, CASE WHEN trim(text) = '' THEN 'no content' END, CASE WHEN strlen(text) > {agents.LARGEST} THEN 'too large' END, CASE WHEN asked IS NULL THEN 'no evidence' END], lambda x: x IS NOT NULL), '; ') AS issues FROM s")
 def _(spark, sf):
-    """What a run of three steps wrote and refused."""
-    e = agents.Engine(spark, table(spark, sf, "documents"), "doc_id", "text")
-    steps = [agents.Step("license", "read", title="good", content="text", evidence=["d1"]), agents.Step("license", "read", title="bare", content="text"), agents.Step("license", "read", title="empty", content=" ", evidence=["d1"])]
-    return spark.createDataFrame(e.run("licenses", steps).audit, "action string, title string")
+    """What the hard rules say of the entry that every step writes: its first words as title, its text, and what it answers as evidence."""
+    evidence = F.array_compact(F.array("asked"))
+    broken = agents.issues(F.substring("text", 1, 40), F.col("text"), evidence)
+    return _steps(spark, sf).select(F.col("conv_id").alias("session"), F.col("nth").cast("long").alias("nth"), F.array_join(broken, "; ").alias("issues"))
 
 
 # Chains and whole tables

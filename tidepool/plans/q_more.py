@@ -157,7 +157,7 @@ for _name, _k, _terms, _b in (("top_sentences", 3, ("the", "and", "license", "of
 @query("ret_core_terms", f"WITH {_Q} SELECT question_id, array_to_string(list_filter(list_filter(t, (lambda x, i: list_position(t, x) = i)), lambda x: length(x) > 2 AND x NOT IN ({', '.join(repr(s) for s in CORE_STOP)}))[1:12], ' ') AS terms FROM n")
 def _(spark, sf):
     t = F.filter(F.regexp_extract_all(F.lower("question"), F.lit(r"[a-z0-9_\-]+"), F.lit(0)), lambda x: F.length(x) > 2)
-    return _questions(spark).select("question_id", F.array_join(F.slice(F.array_except(t, F.array(*[F.lit(s) for s in CORE_STOP])), 1, 12), " ").alias("terms"))
+    return _questions(spark, sf).select("question_id", F.array_join(F.slice(F.array_except(t, F.array(*[F.lit(s) for s in CORE_STOP])), 1, 12), " ").alias("terms"))
 
 
 @query("ret_structured_dedupe", f"WITH {FACTS_SQL}, r AS (SELECT fact_id, row_number() OVER (PARTITION BY entity_key, relation_key, value ORDER BY confidence DESC, fact_id) AS nth FROM facts) SELECT fact_id FROM r WHERE nth = 1")

@@ -8,15 +8,23 @@ from pyspark.sql import functions as F
 from tidepool.operators import agents, ranking
 from tidepool.operators import questions as qs
 from tidepool.plans.registry import query
-from tidepool.plans.tables import table
+from tidepool.plans.tables import normalised_sql, table
 
-#: Questions of every kind, all without accents, articles or number words, so that plain SQL normalises them.
+#: Forms of questions, of every kind.
 QUESTIONS = ["What drink does user currently prefer?", "In schedule table, which shift is mine?", "How many days passed between June 1 and June 9?", "What did we mention before in our previous chat?", "Who is account owner of ACME?", "when did it happen", "Where is 'home base' now", "is it true", "list all projects", "explain ideas behind caching", "what year was it", "number of boats", "where did she live", "find build-42 status", "are they married", "which year did it start", "old city", "how does NASA plan", "did she use to run", "my favorite notebook"]
-_Q = "questions AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{q.replace(chr(39), chr(39) * 2)}')" for i, q in enumerate(QUESTIONS)) + ") AS v(question_id, question)), n AS (SELECT *, trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) AS q, regexp_extract_all(lower(question), '[a-z0-9_\\-]+') AS t FROM questions)"
+_FORMS = "[" + ", ".join("'" + q.rstrip("?").replace("'", "''") + "'" for q in QUESTIONS) + "]"
+_Q = f"""questions AS (SELECT 'item ' || item_id AS question_id, text AS question FROM benchmark UNION ALL SELECT 'turn ' || conv_id || ' ' || turn, text FROM conversations WHERE role = 'user'
+  UNION ALL SELECT 'customer ' || c_custkey, {_FORMS}[(c_custkey % {len(QUESTIONS)} + 1)::int] || ' in ' || lower(n_name) || '?' FROM customer JOIN nation ON n_nationkey = c_nationkey),
+n AS (SELECT *, {normalised_sql('question')} AS q, regexp_extract_all(lower(question), '[a-z0-9_\\-]+') AS t FROM questions)"""
 
 
-def _questions(spark):
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).alias("question_id"), F.lit(q).alias("question")) for i, q in enumerate(QUESTIONS)])))
+def _questions(spark, sf):
+    """What is asked: every benchmark item, every turn of a user, and a question of one of the forms about the country of every customer."""
+    items = table(spark, sf, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("question_id"), F.col("text").alias("question"))
+    turns = table(spark, sf, "conversations").where("role = 'user'").select(F.concat(F.lit("turn "), "conv_id", F.lit(" "), "turn"), "text")
+    form = F.element_at(F.array(*[F.lit(q.rstrip("?")) for q in QUESTIONS]), (F.col("c_custkey") % len(QUESTIONS) + 1).cast("int"))
+    asked = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return items.union(turns).union(asked.select(F.concat(F.lit("customer "), "c_custkey"), F.concat(form, F.lit(" in "), F.lower("n_name"), F.lit("?"))))
 
 
 def _any(terms, of="q"):
@@ -33,18 +41,18 @@ _TYPE = f"CASE WHEN q = '' THEN 'free_text' WHEN starts_with(q, 'how many') OR c
 
 @query("ret_intent", f"WITH {_Q} SELECT question_id, {_INTENT} AS intent FROM n")
 def _(spark, sf):
-    return _questions(spark).select("question_id", qs.intent(F.col("question")).alias("intent"))
+    return _questions(spark, sf).select("question_id", qs.intent(F.col("question")).alias("intent"))
 
 
 @query("qa_answer_type", f"WITH {_Q} SELECT question_id, {_TYPE} AS answer_type FROM n")
 def _(spark, sf):
-    return _questions(spark).select("question_id", qs.answer_type(F.col("question")).alias("answer_type"))
+    return _questions(spark, sf).select("question_id", qs.answer_type(F.col("question")).alias("answer_type"))
 
 
 @query("ret_weights", f"WITH {_Q}, i AS (SELECT question_id, {_INTENT} AS i FROM n), w AS (SELECT question_id, 0.3 * CASE i WHEN 'entity_lookup' THEN 2.0 WHEN 'temporal' THEN 1.3 ELSE 0.6 END::double AS k, 0.7 * CASE i WHEN 'entity_lookup' THEN 0.5 WHEN 'temporal' THEN 0.9 ELSE 1.5 END::double AS v FROM i) SELECT question_id, round(k / (k + v), 9) AS keyword, round(v / (k + v), 9) AS vector FROM w")
 def _(spark, sf):
     k, v = qs.weights(qs.intent(F.col("question")))
-    return _questions(spark).select("question_id", F.round(k, 9).alias("keyword"), F.round(v, 9).alias("vector"))
+    return _questions(spark, sf).select("question_id", F.round(k, 9).alias("keyword"), F.round(v, 9).alias("vector"))
 
 
 @query("ret_plan", f"""WITH {_Q}, a AS (SELECT *, {_any(qs.TABLE)} AS tb, {_any(tuple(f' {t} ' for t in qs.LIST), "' ' || q || ' '")} AS ls, {_any(qs.TIME)} AS tm, {_any(qs.SPAN)} AS sp, {_any(qs.NOW)} AS nw, {_any(qs.PAST)} AS ps, regexp_matches(q, '(^| )(session|conversation|chat|round|turn|said earlier|mentioned before)( |$)') AS se FROM n),
@@ -52,7 +60,7 @@ b AS (SELECT *, CASE WHEN tb THEN 'table_lookup' WHEN ls THEN 'list_lookup' ELSE
 e AS (SELECT *, CASE WHEN ps AND r3 IN ('direct_recall', 'current_state') THEN 'historical_state' ELSE r3 END AS r4 FROM d), f AS (SELECT *, CASE WHEN se AND r4 = 'direct_recall' THEN 'multi_session' ELSE r4 END AS route FROM e)
 SELECT question_id, route, {_TYPE} AS answer_type, greatest(CASE WHEN tb THEN 0.78 WHEN ls THEN 0.62 ELSE 0.35 END, CASE WHEN r2 <> r1 THEN 0.70 ELSE 0 END, CASE WHEN r3 <> r2 OR r4 <> r3 THEN 0.72 ELSE 0 END, CASE WHEN route <> r4 THEN 0.66 ELSE 0 END)::double AS confidence FROM f""")
 def _(spark, sf):
-    return _questions(spark).select("question_id", qs.plan(F.col("question")).alias("p")).select("question_id", "p.route", "p.answer_type", "p.confidence")
+    return _questions(spark, sf).select("question_id", qs.plan(F.col("question")).alias("p")).select("question_id", "p.route", "p.answer_type", "p.confidence")
 
 
 @query("win_first_temporal", "WITH d AS (SELECT user_id, ts::date AS day, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events) SELECT a.event_id AS a, b.event_id AS b, date_diff('day', a.day, b.day) AS days FROM d a JOIN d b ON a.user_id = b.user_id AND b.i BETWEEN a.i + 1 AND a.i + 3")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.operators import text
+
 AS_OF = "2024-02-01 00:00:00"
 QUERIES = [(1, "the and with"), (2, "le la de que"), (3, "license version software released under"), (4, "der die das und"), (5, "ing ation this worthless")]
 
@@ -17,6 +19,14 @@ def as_of() -> Column:
     return F.to_timestamp(F.lit(AS_OF))
 
 
+_NUMBERS = "[" + ", ".join(f"'{w}'" for w in text.NUMBER_WORDS) + "]"
+
+
+def normalised_sql(x: str) -> str:
+    words = f"string_split(trim(regexp_replace(translate(lower(coalesce({x}, '')), '{text.FOLD[0]}', '{text.FOLD[1]}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    return f"array_to_string(list_transform(list_filter({words}, lambda w: w NOT IN ('a', 'an', 'the', '')), lambda w: CASE WHEN list_position({_NUMBERS}, w) > 0 THEN (list_position({_NUMBERS}, w) - 1)::varchar ELSE w END), ' ')"
+
+
 def queries_frame(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("query_id"), F.lit(q).alias("query")) for i, q in QUERIES])))
 
