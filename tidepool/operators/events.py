@@ -59,3 +59,17 @@ def cooccurrence(df: DataFrame, batch: str, item: str) -> DataFrame:
     one = df.select(batch, item).distinct()
     pairs = one.alias("a").join(one.alias("b"), (F.col(f"a.{batch}") == F.col(f"b.{batch}")) & (F.col(f"a.{item}") != F.col(f"b.{item}")))
     return pairs.groupBy(F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b")).agg(F.count("*").alias("n"))
+
+
+def pattern_of(template: Column | str) -> Column:
+    """A template as a regular expression: wildcards are groups, all else stands for itself."""
+    plain = F.regexp_replace(template, r"([\\.\[\]{}()+?^$|])", r"\\$1")
+    return F.concat(F.lit("^"), F.regexp_replace(plain, r"<\*>", r"(\\S+)"), F.lit("$"))
+
+
+def parameters(text: Column | str, template: Column | str) -> Column:
+    """What stands in the places of a template's wildcards; empty texts where the text is not of the template."""
+    n = F.regexp_count(F.col(template) if isinstance(template, str) else template, F.lit(r"<\*>"))
+    one = lambda t, p, i: F.call_function("regexp_extract", t, p, i)
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: one(text, pattern_of(template), i))).otherwise(F.array().cast("array<string>"))

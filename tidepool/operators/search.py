@@ -124,12 +124,8 @@ def normalised(v: Column | str) -> Column:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector: str, query_id: str, digits: int = 6) -> DataFrame:
-    """Exact inner-product neighbours of a stated, bounded set of queries: the vectors are scanned once, and each task keeps k of each query before the exchange. A set of more than QUERIES goes by blocks."""
-    if queries.limit(QUERIES + 1).count() > QUERIES:
-        return knn_blocks(vectors, queries, k, id_col, vector, query_id, digits)
-    asks = F.broadcast(queries.select(F.col(query_id), F.col(vector).alias("asked")))  # QUERIES rows at most
-    scored = vectors.select(F.col(id_col), F.col(vector).alias("v")).join(asks, F.col(id_col) != F.col(query_id)).select(query_id, id_col, F.round(dot("v", "asked"), digits).alias("score"))
-    return ranking.top_k(scored, [query_id], k, F.desc("score"), F.asc(id_col))
+    """Exact inner-product neighbours of a set of queries, block by block."""
+    return knn_blocks(vectors, queries, k, id_col, vector, query_id, digits)
 
 
 #: Queries and vectors that one task of a blocked search holds.

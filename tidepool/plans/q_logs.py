@@ -83,9 +83,10 @@ def _(spark, sf):
     return both.select(F.col("a.line_no").alias("line_no"), F.array_join(merged, " ").alias("merged"))
 
 
-@_logs("ext_template_params", r"SELECT line_no, regexp_extract(text, '^User (\S+) did (\S+) value=(\S+) k=(\S+)$', 3) AS p3 FROM lines WHERE template LIKE 'User%'")
+@_logs("ext_template_params", "SELECT line_no, array_to_string(slots, ',') AS params FROM lines")
 def _(spark, sf):
-    return log_lines(spark, sf).where(F.col("template").like("User%")).select("line_no", F.regexp_extract("text", r"^User (\S+) did (\S+) value=(\S+) k=(\S+)$", 3).alias("p3"))
+    """The parameters of every line, by the pattern that its template makes."""
+    return log_lines(spark, sf).select("line_no", F.array_join(ev.parameters("text", "template"), ",").alias("params"))
 
 
 @_logs("jn_template_match", "SELECT line_no, CASE WHEN regexp_matches(text, '^Error: timeout for .* after .* ms$') THEN 'E1' WHEN regexp_matches(text, '^User .* did .* value=.* k=.*$') THEN 'E2' END AS event_id FROM lines")
@@ -99,7 +100,7 @@ def _(spark, sf):
 def _(spark, sf):
     x = log_lines(spark, sf)
     few = x.select("template").distinct().where(F.contains(F.lower("template"), F.lit("timeout")))
-    return x.join(F.broadcast(few), "template", "left_semi").where(F.contains("text", F.lit("server-9 "))).select("line_no", "text")
+    return x.join(few, "template", "left_semi").where(F.contains("text", F.lit("server-9 "))).select("line_no", "text")
 
 
 @_logs("ret_tpl_event", "SELECT line_no FROM lines WHERE template = 'Error: timeout for <*> after <*> ms' ORDER BY line_no LIMIT 25")

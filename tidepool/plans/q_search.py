@@ -189,14 +189,14 @@ def _(spark, sf):
     return ranking.first_per_key(table(spark, sf, "documents").withColumn("all", F.lit(1)), ["all"], key, F.desc("n_chars"), F.asc("doc_id")).select("doc_id")
 
 
-_DIV = """WITH o AS (SELECT query_id, conv_id, turn, row_number() OVER (PARTITION BY query_id ORDER BY len DESC, conv_id, turn) AS place FROM (SELECT conv_id % 10 AS query_id, conv_id, turn, length(text) AS len FROM conversations)),
+_DIV = """WITH o AS (SELECT query_id, conv_id, turn, row_number() OVER (PARTITION BY query_id ORDER BY len DESC, conv_id, turn) AS place FROM (SELECT conv_id // 10 AS query_id, conv_id, turn, length(text) AS len FROM conversations)),
 s AS (SELECT *, row_number() OVER (PARTITION BY query_id, conv_id ORDER BY place) AS in_s FROM o),
 n AS (SELECT *, CASE WHEN in_s = 1 THEN sum(CASE WHEN in_s = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY place) END AS no FROM s),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(no > {0}, true), place) AS rank FROM n) SELECT query_id, conv_id, turn, rank FROM r WHERE rank <= {1}"""
 
 
 def _diverse(spark, sf, least, k):
-    c = table(spark, sf, "conversations").withColumn("query_id", F.col("conv_id") % 10).withColumn("len", F.length("text"))
+    c = table(spark, sf, "conversations").withColumn("query_id", F.floor(F.col("conv_id") / 10)).withColumn("len", F.length("text"))
     return ranking.diversified(c, ["query_id"], "conv_id", k, least, F.desc("len"), F.asc("conv_id"), F.asc("turn")).select("query_id", "conv_id", "turn", "rank")
 
 
