@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators import setsim, store
+from tidepool.operators.components import connected_components
+
 
 def anomalies(df: DataFrame, by: list[str], value: str, *order: Column, window: int = 50, least: int = 5, low: float = -2.0, high: float = 3.0) -> DataFrame:
     """z of each value against up to `window` values before it (population deviation, at least `least` of them), with an alert and a severity."""
@@ -61,10 +64,35 @@ def cooccurrence(df: DataFrame, batch: str, item: str) -> DataFrame:
     return pairs.groupBy(F.col(f"a.{item}").alias("a"), F.col(f"b.{item}").alias("b")).agg(F.count("*").alias("n"))
 
 
+#: Share of equal tokens from which two lines are of one template, and what a wildcard is written as.
+ALIKE, WILDCARD = 0.4, "<*>"
+
+
+def mined(lines: DataFrame, id_col: str, text: str, threshold: float = ALIKE) -> DataFrame:
+    """(cluster, n, head, template, n_lines): templates of lines. Lines of as many tokens belong together that have the share `threshold` of their tokens in common, place by place and with digits left out, and so do those that others connect; tokens that vary become wildcards.
+
+    Lines that differ in digits only are one shape; shapes, of which there are far fewer, meet by a set-similarity join on
+    (place, token): of n tokens each, c equal ones make a Jaccard similarity of c / (2n - c). No order of the lines plays a part. A
+    cluster has the least id of its lines as its name. Null texts are left out.
+    """
+    rows = lines.where(F.col(text).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.split(text, " ").alias("w")).withColumn("shape", F.array_join(F.transform("w", lambda t: F.regexp_replace(t, "[0-9]+", "0")), " "))
+    shapes = store.kept(rows.groupBy("shape").agg(F.min("id").alias("id"), F.count("*").alias("n_lines")), "shapes")
+    tokens = F.split("shape", " ")
+    placed = F.transform(tokens, lambda t, i: F.concat_ws(":", F.size(tokens).cast("string"), i.cast("string"), t))
+    roots = connected_components(setsim.similar(shapes, "id", placed, threshold / (2 - threshold)).stars()).select(F.col("v").alias("id"), "root")
+    known = shapes.join(roots, "id", "left").select("shape", F.coalesce("root", "id").alias("cluster"), "n_lines")
+    places = rows.select("shape", F.posexplode("w").alias("i", "t")).groupBy("shape", "i").agg(F.min("t").alias("low"), F.max("t").alias("high"))  # before they meet their cluster
+    each = places.join(known.select("shape", "cluster"), "shape").groupBy("cluster", "i").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    token = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILDCARD)
+    whole = each.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", token.alias("t"), "low"))), lambda x: x.t).alias("w"), F.min_by("low", "i").alias("first"))
+    sizes = known.groupBy("cluster").agg(F.sum("n_lines").alias("n_lines"))
+    return whole.join(sizes, "cluster").select("cluster", F.size("w").cast("long").alias("n"), F.col("w")[0].alias("head"), F.array_join("w", " ").alias("template"), "n_lines")
+
+
 def pattern_of(template: Column | str) -> Column:
     """A template as a regular expression: wildcards are groups, all else stands for itself."""
-    plain = F.regexp_replace(template, r"([\\.\[\]{}()+?^$|])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(plain, r"<\*>", r"(\\S+)"), F.lit("$"))
+    plain = F.regexp_replace(template, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(plain, F.lit(r"<\*>"), F.lit(r"(\S+)")), F.lit("$"))
 
 
 def parameters(text: Column | str, template: Column | str) -> Column:

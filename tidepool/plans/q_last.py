@@ -6,6 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidepool.functions import bloom
+from tidepool.operators import events as ev
 from tidepool.operators import ranking, text
 from tidepool.plans.registry import query
 from tidepool.plans.tables import log_lines, table
@@ -64,9 +65,9 @@ def _(spark, sf):
 
 @query("ext_template_tune")
 def _(spark, sf):
-    """Templates and slots by the share of lines that a token must have at its place; the least sum wins."""
-    words = log_lines(spark, sf).select(F.split("text", " ").alias("w")).select(F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    counts = words.groupBy("n", "i", "word").agg(F.count("*").alias("c"))
-    best = counts.groupBy("n", "i").agg((F.max("c") / F.sum("c")).alias("share"))
-    tried = best.crossJoin(spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in (0.4, 0.6, 0.8, 1.0)])).alias("threshold")))
-    return tried.groupBy("threshold").agg(F.count_distinct("n").alias("templates"), F.count_if(F.col("share") < F.col("threshold")).alias("slots")).withColumn("score", F.col("templates") + 0.1 * F.col("slots"))
+    """Templates and their slots as mining with each threshold finds them; the least sum wins."""
+    x, out = log_lines(spark, sf), None
+    for threshold in (0.4, 0.6, 0.8, 1.0):
+        one = ev.mined(x, "line_no", "text", threshold).agg(F.count("*").alias("templates"), F.sum(F.regexp_count("template", F.lit(r"<\*>"))).alias("slots")).withColumn("threshold", F.lit(threshold))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("score", F.col("templates") + 0.1 * F.col("slots"))
