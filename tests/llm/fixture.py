@@ -38,12 +38,15 @@ def tables(spark, tmp_path_factory):
     rng = np.random.default_rng(9)
     docs = documents()
     vectors = [(i, rng.normal(size=8).tolist(), 0, 0) for i in range(300)] + [(300, None, 0, 0), (320, [0.0] * 8, 0, 0), (340, [float("nan")] * 8, 0, 0), (360, rng.normal(size=8).tolist(), 0, 0), (360, [1.0] * 8, 0, 0)]
+    vectors = [(*v, i % 4 if i % 31 else None) for i, v in enumerate(vectors)]
+    turns = [(i, t, ("user", "assistant", "system", None)[(i + t) % 4 if i % 3 else t % 2], ("Fine.", "and then", "", None, "Fine.", "Well!\n")[(i * t) % 6]) for i in range(40) for t in range(i % 7)] + [(None, None, None, None), (50, 1, "user", "Hi. " * 50_000), (50, 1, "user", "Hi. " * 50_000)]
     pages = [(i, f"http://{h}/{p}", f"<p>{i % 7}</p>" * (5 + 20 * (i % 3)), "x", "y") for i, (h, p) in enumerate([("Example.com", "en/1"), ("www.example.com", "en/"), ("x.net", "es/"), ("y.org", "")] * 10)] + [(100, None, None, "x", "y"), (101, "http://" + "a." * 9000 + "net/fr/", "x" * 300_000, "x", "y"), (102, "u", "x" * 300_000, "x", "y")]
     for name, rows, schema in (
         ("documents", docs, TEXT_SCHEMA),
         ("labels", [(i, i % 2, int(i % 8 in (0, 3))) for i in range(240)] + [(8, 0, 0), (5, 1, None), (None, 0, 1), (9999, 0, 0)], "doc_id long, quality int, toxic int"),
         ("benchmark", [(1, ITEM), (2, "never seen anywhere at all here"), (3, "汉字"), (1, ITEM), (4, None), (None, "12 !")], "item_id long, text string"),
-        ("embeddings", vectors, "vec_id long, embedding array<float>, rank int, score int"),
+        ("embeddings", vectors, "vec_id long, embedding array<float>, rank int, score int, label int"),
+        ("conversations", turns, "conv_id long, turn long, role string, text string"),
         ("pages", pages, "page_id long, url string, html string, host string, digest string"),
     ):
         spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{folder}/{name}.parquet")
@@ -53,7 +56,7 @@ def tables(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_tables(spark, tables, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "embeddings", "pages"):
+    for name in ("documents", "labels", "benchmark", "embeddings", "pages", "conversations"):
         spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{folder}/{name}.parquet")
     return folder
 

@@ -11,6 +11,7 @@ import pytest
 
 from tests.llm.fixture import documents, empty_tables, held_out, plain_language, plain_toxicity, tables  # noqa: F401
 from tests.llm.test_near import slow_components, slow_print
+from tests.llm.test_new import damage, slow_repair
 from tests.llm.test_tokens import BYTE, WORD, plain
 from tidepool.llm import queries
 
@@ -81,7 +82,7 @@ def test_op4(spark, tables):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, tables, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tables}/{table}.parquet/*.parquet'")
     want = con.sql(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, tables).toPandas()
@@ -106,6 +107,12 @@ def test_op10(spark, tables):
     assert all(lang == ("aa", "bb")[i % 2] for i, lang, _ in want if i is not None and i < 240)
 
 
+def test_op12(spark, tables):
+    rows = [tuple(r) for r in spark.read.parquet(f"{tables}/conversations.parquet").collect()]
+    got = {r[0]: tuple(r)[1:] for r in queries.op12_conversation_repair(spark, tables).collect()}
+    assert got == {conv: slow_repair(damage([r for r in rows if r[0] == conv])) for conv in {r[0] for r in rows}}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_empty_tables(spark, empty_tables, name):
     assert queries.queries()[name](spark, empty_tables).collect() == []
