@@ -70,11 +70,17 @@ def _joined(sets: DataFrame, smaller: Column, larger: Column, band: Column | Non
     return store.kept(met.select("a", "b").distinct(), "set-candidates")
 
 
-def _verified(found: DataFrame, sets: DataFrame, passes: Column) -> DataFrame:
-    left, right = sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), sets.select(F.col("class").alias("b"), F.col("s").alias("sb"))
-    both = found.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    both = both.withColumn("jaccard", F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))).where(passes)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "jaccard")
+def _verified(found: DataFrame, sets: DataFrame, passes) -> DataFrame:
+    """Candidates that pass (common, size of both together), first by their hashes, with one more common element for collisions, then by their elements."""
+
+    def met(pairs: DataFrame, what: str) -> DataFrame:
+        left, right = (sets.select(F.col("class").alias(name), F.col(what).alias(f"s{name}")) for name in ("a", "b"))
+        both = pairs.join(left, "a").join(right, "b")
+        return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
+
+    near = store.kept(met(found, "hs").where(passes(F.col("common") + 1, F.col("both"))).select("a", "b"), "set-near")
+    true = met(near, "s").where(passes(F.col("common"), F.col("both")))
+    return true.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard"))
 
 
 def similar(sets: DataFrame, id_col: str, items: Column, threshold: float) -> Links:
@@ -86,7 +92,7 @@ def similar(sets: DataFrame, id_col: str, items: Column, threshold: float) -> Li
     fits = (F.col("na") >= t * F.col("nb") - NEAR) & (rest >= t / (1 + t) * (F.col("na") + F.col("nb")) - NEAR)
     band = F.floor(F.log(n) / math.log(1 / t) + NEAR) if t < 1 else None
     found = _joined(one, n - need(n * (2 * t / (1 + t))) + 1, n - need(n * t) + 1, band, fits)
-    return Links(_verified(found, one, F.col("jaccard") >= t - NEAR), members, found)
+    return Links(_verified(found, one, lambda common, both: common * (1 + t) >= t * both - NEAR), members, found)
 
 
 def overlapping(sets: DataFrame, id_col: str, items: Column, least: int) -> Links:
@@ -94,4 +100,4 @@ def overlapping(sets: DataFrame, id_col: str, items: Column, least: int) -> Link
     members, one = _ordered(sets, id_col, items)
     rest = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     found = _joined(one, F.col("n") - least + 1, F.col("n") - least + 1, None, rest >= least)
-    return Links(_verified(found, one, F.col("common") >= least), members, found)
+    return Links(_verified(found, one, lambda common, both: common >= least), members, found)
