@@ -98,6 +98,16 @@ def test_forms_and_deltas(new, old):
         codecs.decoded(b"????")
 
 
+@given(st.binary(max_size=300))
+@settings(deadline=None)
+def test_forms_of_bytes_that_are_no_text(data):
+    """Chunks of a text may begin or end within a letter."""
+    for some in (data, "é".encode()[1:] + data + b"\n1\n1\n" + "汉".encode()[:2]):
+        for mark, body in codecs.forms(some).items():
+            assert codecs.decoded(body) == (mark, some)
+    codecs.decoded(codecs.smallest(data))
+
+
 def test_boundaries_equal_the_loop():
     import numpy as np
 
