@@ -123,6 +123,14 @@ def test_carry_over(spark):
     assert text == "## Carry-Over Summary (step 2)\n\nSum\n\n### Key Facts\n- a"
 
 
+def test_a_fact_that_went_does_not_come_back(spark):
+    """The SQL of cos_merge and cos_render counts a fact where it is first said."""
+    steps = [(["a"], [], ["q"]), ([f"f{i}" for i in range(40)], [], []), (["a", "z"], [], [])]
+    df = spark.createDataFrame([(steps,)], "s array<struct<facts:array<string>,resolved:array<string>,asked:array<string>>>")
+    got = df.select(agents.once_folded(F.col("s")).alias("c")).first().c
+    assert got.facts == [*[f"f{i}" for i in range(1, 40)], "z"] and got.questions == ["q"]
+
+
 def test_engine(spark):
     chunks = spark.createDataFrame([(1, "green tea in the morning"), (2, "black coffee")], "chunk_id long, content string")
     e = agents.Engine(spark, chunks, most_steps=2)
