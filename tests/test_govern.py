@@ -131,6 +131,16 @@ def test_a_fact_that_went_does_not_come_back(spark):
     assert got.facts == [*[f"f{i}" for i in range(1, 40)], "z"] and got.questions == ["q"]
 
 
+def test_a_fitted_scorer_leaves_no_model_in_the_plan(spark):
+    from tidepool.plans import q_govern
+
+    rows = spark.range(600).selectExpr("id", "cast(id % 3 as double) AS label", "cast(id % 3 as double) AS x", "IF(id % 50 = 0, null, cast(id % 7 as double)) AS y", "1.0D AS w", "5.0D AS still")
+    got = q_govern._fitted(rows, ["x", "y", "still"], "id", "multinomial", "w")
+    assert got.where("label = prediction").count() == 600 and "UDF" not in got._jdf.queryExecution().toString()
+    two = q_govern._fitted(rows.where("label < 2"), ["x", "y"], "id", "binomial")
+    assert two.where("label = prediction").count() == 400 and {r.prediction for r in two.select("prediction").distinct().collect()} == {0.0, 1.0}
+
+
 def test_engine(spark):
     chunks = spark.createDataFrame([(1, "green tea in the morning"), (2, "black coffee")], "chunk_id long, content string")
     e = agents.Engine(spark, chunks, most_steps=2)
