@@ -58,3 +58,16 @@ def test_tables(spark):
     said = "Notes\n| Day | Morning | Night |\n|:---|---|---:|\n| Mon | Ann | Bob |\n| Tue | Cy |\n| Wed |  | `Di` |\nend\n| no | table |\nx | y\n---|---\n1 | 2"
     got = {(r.label, r.header): r.cell for r in extract.table_cells(spark.createDataFrame([(1, said), (2, None)], "id long, text string"), "id", "text").collect()}
     assert got == {("Mon", "Day"): "Mon", ("Mon", "Morning"): "Ann", ("Mon", "Night"): "Bob", ("Wed", "Day"): "Wed", ("Wed", "Night"): "Di", ("1", "x"): "1", ("1", "y"): "2"}
+
+
+def test_words_that_patterns_need():
+    assert [extract.needed(p) for p in (r"\bmy(?: own)?\s+(?:tea|coffee)s?\s+is\b", r"([A-Z]\w+(?: [a-z]+)?)\s+bought\s+x{2,3}", r"(?:a|bc)\d", "one|other", "Colou?r", r"[\]a-z]+?by")] == ["my", "bought", "", "", "colo", "by"]
+    assert sum(extract.needed(p) == "" for p, _ in extract.STATEMENTS + extract.RELATIONS) == 1
+
+
+def test_facts_are_dealt_once_and_searched_where_their_words_are(spark):
+    df = spark.createDataFrame([(1, "BOB BOUGHT a lamp. Ann PAINTED the sky.")], "id long, text string")
+    found = extract.facts(df, "id", "text", extract.RELATIONS)
+    assert [(r.entity, r.relation, r.value) for r in found.orderBy("place").collect()] == [("BOB", "bought", "lamp"), ("Ann", "painted", "sky")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1

@@ -127,12 +127,28 @@ def _stated(patterns: tuple) -> Column:
     return F.array(*[F.array(*[one(j, *x) for j, x in enumerate(stated)]) for _, stated in patterns])
 
 
+def needed(pattern: str) -> str:
+    """The longest word, in lower case, that every match of a pattern holds; empty without one. What is in groups, classes and optional parts does not count."""
+    import re
+
+    times = r"(?:\{[^}]*\}|[+*?])*"
+    plain = re.sub(r"\\." + times, "#", re.sub(r"\[(?:\\.|[^\]])*\]" + times, "#", pattern))
+    before = None
+    while before != plain:  # from the innermost group on
+        before, plain = plain, re.sub(r"\([^()]*\)" + times, "#", plain)
+    plain = re.sub(r".(?:[*?]|\{[^}]*\})", "#", plain).lower()
+    return "" if "|" in plain else max(re.findall("[a-z']+", plain), key=len, default="")
+
+
 def facts(df: DataFrame, id_col: str, text_col: str, patterns: tuple = STATEMENTS + RELATIONS, most: int = MOST_FACTS) -> DataFrame:
     """(id, place, entity, relation, value, date, confidence): the first of equal facts, the first `most` of a text; place counts from 1."""
-    each = df.select(id_col, F.posexplode(text.sentences(F.col(text_col))).alias("nth", "sentence")).where(F.col("sentence").rlike(CUE))
+    # dealt by id once, before the search: a file may be read by few tasks, and the windows below need no exchange of their own
+    each = df.select(id_col, F.col(text_col).alias("said")).repartition(id_col)
+    each = each.select(id_col, F.posexplode(text.sentences(F.col("said"))).alias("nth", "sentence")).where(F.col("sentence").rlike(CUE))
     groups = lambda stated: range(1, 1 + max(max(v, e if isinstance(e, int) else 0) for e, _, v, _ in stated))
-    # the groups of each pattern, empty where it does not fit; inside a lambda, as code generated for all of them at once would be too long for a method
-    matched = F.get(F.transform(F.array(F.lit(0)), lambda _: F.array(*[F.array(*[F.regexp_extract("sentence", f"(?i){p}", g) for g in groups(stated)]) for p, stated in patterns])), F.lit(0))
+    got = lambda p, stated: F.array(*[F.regexp_extract("sentence", f"(?i){p}", g) for g in groups(stated)])
+    # the groups of each pattern, null where a word that it needs is not there; inside a lambda, as code generated for all of them at once would be too long for a method
+    matched = text.let(lambda low: F.array(*[F.when(F.contains(low, F.lit(needed(p))), got(p, stated)) for p, stated in patterns]), F.lower("sentence"))
     each = each.select(id_col, "nth", date_hint(F.col("sentence")).alias("date"), F.posexplode(matched).alias("k", "got")).where(F.get("got", F.lit(0)) != "")
     each = each.select(id_col, "nth", "date", "k", "got", F.inline(F.get(_stated(patterns), "k")))
     raw = F.get("got", F.col("what") - 1)
