@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.operators import cluster, setsim
+from tidepool.operators import cluster, lsh, setsim
 
 
 def rows():
@@ -120,3 +120,26 @@ def test_four_sources(spark):
     vecs = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.9, 0.1]), (5, [0.0, 1.0]), (99, [1.0, 0.0]), (4, [-1.0, 0.0]), (6, [-0.9, -0.5])], "id long, v array<double>")
     got = {r.id: r.cluster for r in cluster.semantic(docs, "id", "text", vecs, "v", F.col("entities")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 7: 7, 8: 7, 9: 9, 10: 9, 11: 11, 12: 12, 13: 12, 14: 14}
+
+
+@pytest.mark.parametrize("block", [7, 8192])
+def test_fingerprints_by_blocks(spark, block):
+    """A value of a band that most fingerprints have is shared out; pairs come once, nearest ones without the pairs; no join of rows with rows is in the plan."""
+    rng = np.random.default_rng(5)
+    h = [int(x) for x in rng.integers(0, 1 << 56, 12)]
+    h = [x ^ (1 << int(b)) ^ (1 << int(c)) for x in h for b, c in rng.integers(0, 63, (8, 2))] + [0, -1, h[0]]
+    df = spark.createDataFrame([*enumerate(h), (500, None), (501, h[3])], "id long, h long")
+    first = {}
+    for i, x in enumerate(h):
+        first.setdefault(x & (1 << 64) - 1, i)
+    want = {}
+    for (x, i), (y, j) in itertools.combinations(sorted(first.items(), key=lambda p: p[1]), 2):
+        if (x ^ y).bit_count() <= 8 and any(not (x ^ y) >> 8 * k & 255 for k in range(8)):
+            want[i, j] = (x ^ y).bit_count()
+    pairs = lsh.similar(df, "id", "h", block=block)
+    rows = pairs.collect()
+    assert {(r.a, r.b): r.distance for r in rows} == want and len(rows) == len(want) > 100
+    best = {i: min((d, b if a == i else a) for (a, b), d in want.items() if i in (a, b)) for i in {x for p in want for x in p}}
+    assert {r.a: (r.distance, r.b) for r in lsh.nearest_similar(df, "id", "h", block=block).collect()} == best
+    assert "SortMergeJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert lsh.similar(df.limit(0), "id", "h").collect() == lsh.nearest_similar(df.limit(0), "id", "h").collect() == []
