@@ -143,3 +143,38 @@ def test_fingerprints_by_blocks(spark, block):
     assert {r.a: (r.distance, r.b) for r in lsh.nearest_similar(df, "id", "h", block=block).collect()} == best
     assert "SortMergeJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert lsh.similar(df.limit(0), "id", "h").collect() == lsh.nearest_similar(df.limit(0), "id", "h").collect() == []
+
+
+def test_candidates_are_verified_by_cells(spark, sets, monkeypatch):
+    """Candidates are dealt by cells of two blocks and meet their blocks' sets; no set is joined to each of its candidates. Small blocks change nothing."""
+    monkeypatch.setattr(setsim, "BLOCK", 16)
+    monkeypatch.setattr(setsim, "ELEMENTS", 60)
+    _, one = setsim._ordered(sets, "id", F.col("items"))
+    found = one.select(F.col("class").alias("a")).join(one.select(F.col("class").alias("b")), F.col("a") < F.col("b"))
+    got = {(r.a, r.b): r.common for r in setsim._verified(found, one, lambda common, both: common * 1.5 >= 0.5 * both - setsim.NEAR).collect()}
+    first = {}
+    for i, s in SETS.items():
+        first.setdefault(frozenset(s), i)
+    each = sorted((i, s) for s, i in first.items() if s)
+    assert got == {(i, j): len(a & b) for (i, a), (j, b) in itertools.combinations(each, 2) if len(a & b) * 1.5 >= 0.5 * (len(a) + len(b)) - 1e-9} and got
+
+
+@pytest.mark.parametrize("most", [3, 256])
+def test_copies_are_paired_as_lists(spark, monkeypatch, most):
+    """Behind the last exchange lists of ids are paired; lists of any length give each pair once."""
+    monkeypatch.setattr(setsim, "PACKED", most)
+    df = spark.range(40).select("id", F.when(F.col("id") % 3 == 0, F.array(F.lit("a"), F.lit("b"), F.lit("c"))).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("items"))
+    pairs = setsim.similar(df, "id", F.col("items"), 0.5).expanded()
+    rows = pairs.collect()
+    assert {(r.a, r.b): r.jaccard for r in rows} == {(i, j): 1.0 if (i % 3 == 0) == (j % 3 == 0) else 2 / 3 for i, j in itertools.combinations(range(40), 2)} and len(rows) == 780
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("Union")[1].split("Repartition")[0] and "Generate explode(ib" in plan.split("RepartitionByExpression")[0]
+
+
+@pytest.mark.parametrize("most", [3, 256])
+def test_shared_elements_are_counted_where_they_lie(spark, sets, monkeypatch, most):
+    """With few common elements wanted, the sets of an element are paired as lists and counted; the sets themselves go into no join."""
+    monkeypatch.setattr(setsim, "PACKED", most)
+    found = setsim.overlapping(sets, "id", F.col("items"), 2)
+    assert not any(x in found.pairs._jdf.queryExecution().optimizedPlan().toString() for x in ("array_intersect", "hs#"))
+    assert {(r.a, r.b): r.common for r in found.expanded(F.col("n") >= 2).collect()} == {(i, j): len(a & b) for (i, a), (j, b) in itertools.combinations(sorted(SETS.items()), 2) if len(a & b) >= 2}

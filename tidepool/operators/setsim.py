@@ -5,7 +5,11 @@ other. Elements are ordered from the rarest to the most frequent, everywhere ali
 first common element within a prefix of both, whose length follows from the sets' sizes; frequent elements stand behind the prefixes, and
 are joined only where a set has nothing rarer. Sizes go into the join as bands, as similar sets lie in the same band or in two
 neighbouring ones. What the place of a common element leaves possible drops further pairs within the join. Candidates are then verified on the
-whole sets. Elements travel as 64-bit hashes; a collision makes a candidate that does not pass.
+whole sets, by cells of two blocks of sets, so that a set travels once for each block and not once for each of its candidates. Elements travel as
+64-bit hashes; a collision makes a candidate that does not pass.
+
+Where few common elements suffice (`overlapping`) a prefix is nearly the whole set; there the sets of each element are paired where they
+lie, and what goes on is a count for each pair.
 
 Null elements do not count, repeated ones count once, and empty or null sets have no partner. Frequencies are written before they are joined, so
 that adaptive execution can split an element that very many sets hold.
@@ -16,12 +20,36 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators import store
 
 NEAR = 1e-9
+#: Sets and elements of a block whose candidates are verified together.
+BLOCK, ELEMENTS = 4096, 1_000_000
+#: Ids of a list that is paired with another one, and pairs that a task makes of such lists.
+PACKED, MADE = 256, 4_000_000
+
+
+def _packed(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """(key, part, values, n): the values of each key in lists of about PACKED, n of them in all."""
+    parts = F.ceil(F.col("n") / PACKED).cast("int")
+    sized = rows.join(rows.groupBy(key).agg(F.count("*").alias("n")), key)
+    return store.kept(sized.groupBy(key, "n", F.pmod(F.xxhash64(value), parts).cast("int").alias("part")).agg(F.collect_list(value).alias("values")), name)
+
+
+def _pairs_within(packed: DataFrame, key: str, *more: str) -> DataFrame:
+    """(a, b, more), a < b: all pairs of the values of each key, made where two of its lists meet."""
+    n_pairs = packed.groupBy(key).agg(F.first("n").alias("n")).agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2)).first()[0] or 0
+    left = packed.where("n > 1").repartition(1 + int(n_pairs // MADE), key, "part")
+    parts = F.sequence(F.lit(0), F.ceil(F.col("n") / PACKED).cast("int") - 1)
+    asks = left.select(key, *more, F.col("part").alias("p"), F.col("values").alias("x"), F.explode(F.filter(parts, lambda q: q >= F.col("part"))).alias("part"))
+    met = asks.join(packed.select(key, "part", F.col("values").alias("y")), [key, "part"])
+    each = met.select(*more, "p", "part", "y", F.explode("x").alias("i")).select(*more, "p", "part", "i", F.explode("y").alias("j"))
+    return each.where("p < part OR i < j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), *more)
 
 
 @dataclass
@@ -39,21 +67,34 @@ class Links:
     def expanded(self, within: Column | None = None) -> DataFrame:
         """(a, b, common, jaccard) of all pairs of ids, copies included; as many rows as there are pairs. `within`: which classes' copies are pairs, by n."""
         m = self.members
-        first = m.select(F.col("class").alias("a"), F.col("id").alias("ia"))
-        second = m.select(F.col("class").alias("b"), F.col("id").alias("ib"))
-        across = self.pairs.join(first, "a").join(second, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "common", "jaccard")
+        packed = _packed(m.select("class", "id"), "class", "id", "set-members")
+        side = lambda c: packed.select(F.col("class").alias(c), F.col("n").alias(f"n{c}"), F.col("values").alias(f"i{c}"))
+        sizes = packed.select("class", "n").distinct()
+        pairs = self.pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("ma")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("mb")), "b")
+        pairs = store.kept(pairs, "set-pairs")
+        made = pairs.agg(F.sum(F.col("ma").cast("double") * F.col("mb"))).first()[0] or 0
+        # The last exchange deals lists; pairs of ids are made behind it and not moved.
+        both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(1 + int(made // MADE), "ia", "ib")
+        across = both.select("common", "jaccard", "ib", F.explode("ia").alias("i")).select("common", "jaccard", "i", F.explode("ib").alias("j"))
+        across = across.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "common", "jaccard")
         own = m if within is None else m.where(within)
-        copies = own.select("class", F.col("id").alias("a"), "n").join(own.select("class", F.col("id").alias("b")), "class").where("a < b")
-        return across.union(copies.select("a", "b", F.col("n").cast("int"), F.lit(1.0)))
+        held = packed.join(own.select("class", F.col("n").cast("int").alias("common")).distinct(), "class")
+        return across.union(_pairs_within(held, "class", "common").select("a", "b", "common", F.lit(1.0)))
 
 
-def _ordered(sets: DataFrame, id_col: str, items: Column) -> tuple[DataFrame, DataFrame]:
-    """members (id, class, n), and of each class its set and its elements' hashes from the rarest on."""
+def _classes(sets: DataFrame, id_col: str, items: Column) -> tuple[DataFrame, DataFrame]:
+    """members (id, class, n), and of each class its set."""
     rows = sets.select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(F.array_compact(items.cast("array<string>")))).alias("s")).where(F.size("s") > 0)
     rows = store.kept(rows.withColumn("key", F.sha2(F.to_json("s"), 256)), "sets")
     first = store.kept(rows.groupBy("key").agg(F.min("id").alias("class")), "set-classes")
     members = rows.select("id", "key", F.size("s").alias("n")).join(first, "key").select("id", "class", "n")
     one = store.kept(rows.join(first, "key").where("id = class").groupBy("class").agg(F.first("s").alias("s")), "set-firsts")  # a repeated id has the sets of all its rows; one counts
+    return members, one
+
+
+def _ordered(sets: DataFrame, id_col: str, items: Column) -> tuple[DataFrame, DataFrame]:
+    """members (id, class, n), and of each class its set and its elements' hashes from the rarest on."""
+    members, one = _classes(sets, id_col, items)
     each = store.kept(one.select("class", F.explode(F.transform("s", lambda e: F.xxhash64(e))).alias("h")), "set-elements")
     df = store.kept(each.groupBy("h").agg(F.count("*").alias("df")), "set-frequencies")
     order = each.join(df, "h").groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "h"))), lambda x: x.h).alias("hs"))
@@ -70,16 +111,51 @@ def _joined(sets: DataFrame, smaller: Column, larger: Column, band: Column | Non
     return store.kept(met.select("a", "b").distinct(), "set-candidates")
 
 
-def _verified(found: DataFrame, sets: DataFrame, passes) -> DataFrame:
-    """Candidates that pass (common, size of both together), first by their hashes, with one more common element for collisions, then by their elements."""
+def _common(ids: np.ndarray, held: pa.ListArray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements the sets of each pair have in common, and how many both have together."""
+    starts, sizes = held.offsets.to_numpy()[:-1].astype(np.int64), np.diff(held.offsets.to_numpy()).astype(np.int64)
+    values, elements = np.unique(held.values.to_numpy(zero_copy_only=False), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    x, y = (order[np.searchsorted(ids, p, sorter=order)] for p in (a, b))
+    common, by_x = np.zeros(len(a), np.int64), np.argsort(x, kind="stable")
+    mark = np.zeros(len(values), bool)
+    for one in np.split(by_x, np.flatnonzero(np.diff(x[by_x])) + 1) if len(a) else ():
+        own = elements[starts[x[one[0]]] :][: sizes[x[one[0]]]]
+        mark[own] = True
+        for at in range(0, len(one), 256):
+            few = one[at : at + 256]
+            n = sizes[y[few]]
+            begin = np.cumsum(n) - n
+            hits = mark[elements[np.arange(n.sum()) + np.repeat(starts[y[few]] - begin, n)]]
+            common[few] = np.add.reduceat(hits, begin, dtype=np.int64)
+        mark[own] = False
+    return common, sizes[x] + sizes[y]
 
-    def met(pairs: DataFrame, what: str) -> DataFrame:
-        left, right = (sets.select(F.col("class").alias(name), F.col(what).alias(f"s{name}")) for name in ("a", "b"))
-        both = pairs.join(left, "a").join(right, "b")
-        return both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
 
-    near = store.kept(met(found, "hs").where(passes(F.col("common") + 1, F.col("both"))).select("a", "b"), "set-near")
-    true = met(near, "s").where(passes(F.col("common"), F.col("both")))
+def _verified(found: DataFrame, sets: DataFrame, passes) -> DataFrame:
+    """Candidates that pass (common, size of both together), first by their hashes, with one more common element for collisions, then by their elements.
+
+    `passes` is asked with numbers of a block and with columns.
+    """
+    n_sets, n_elements = sets.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_blocks = max(1, -(-n_sets // BLOCK), -(-n_elements // ELEMENTS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
+    cell = lambda i, j: (F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+    asked = found.select("a", "b", *cell(block("a"), block("b")))
+    dealt = sets.select("class", "hs", block("class").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")).select("class", "hs", *cell(F.col("own"), F.col("other")))
+
+    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        good = np.zeros(0, bool)
+        if len(a):
+            common, both = _common(held.column("class").to_numpy(), held.column("hs").combine_chunks(), a, b)
+            good = passes(common + 1, both)
+        return pa.table({"a": pa.array(a[good], pa.int64()), "b": pa.array(b[good], pa.int64())})
+
+    near = store.kept(asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(run, "a long, b long"), "set-near")
+    left, right = (sets.select(F.col("class").alias(name), F.col("s").alias(f"s{name}")) for name in ("a", "b"))
+    true = near.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
+    true = true.where(passes(F.col("common"), F.col("both")))
     return true.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard"))
 
 
@@ -97,7 +173,9 @@ def similar(sets: DataFrame, id_col: str, items: Column, threshold: float) -> Li
 
 def overlapping(sets: DataFrame, id_col: str, items: Column, least: int) -> Links:
     """Sets with at least so many common elements."""
-    members, one = _ordered(sets, id_col, items)
-    rest = F.lit(1) + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    found = _joined(one, F.col("n") - least + 1, F.col("n") - least + 1, None, rest >= least)
-    return Links(_verified(found, one, lambda common, both: common >= least), members, found)
+    members, one = _classes(sets, id_col, items)
+    held = _packed(one.select("class", F.explode("s").alias("e")), "e", "class", "set-lists")
+    counts = store.kept(_pairs_within(held, "e").groupBy("a", "b").agg(F.count("*").cast("int").alias("common")), "set-candidates")
+    size = lambda c: one.select(F.col("class").alias(c), F.size("s").alias(f"n{c}"))
+    both = counts.where(F.col("common") >= least).join(size("a"), "a").join(size("b"), "b")
+    return Links(both.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")), members, counts)
