@@ -101,3 +101,33 @@ def test_found_again_by_its_files(spark, tmp_path, docs, asks):
     stemmed = index.of(spark, source, docs.withColumn("text", F.lit("licenses licensing")), "doc_id", "text", terms=index.stems)
     assert stemmed.folder != one.folder
     assert stemmed.search(spark.createDataFrame([(1, "licensed")], "query_id long, query string"), "doc_id").count() == 10
+
+
+def test_ranges_by_size():
+    """Sizes next to each other share a range up to its bound; a size of more documents has ranges of its own, next to nothing else."""
+    rng = np.random.default_rng(3)
+    sizes = [(i, int(n)) for i, n in enumerate(rng.integers(1, 60, 50), 1)]
+    out = {s: (first, parts) for s, first, parts in index._ranges(sizes, 16)}
+    held = {}
+    for s, n in sizes:
+        first, parts = out[s]
+        assert (parts > 1) == (n > 16) and n / parts <= 16
+        for r in range(first, first + parts):
+            held.setdefault(r, []).append((s, n / parts))
+    assert sorted(held) == list(range(max(held) + 1)) and all(sum(n for _, n in x) <= 16 for x in held.values())
+    assert all(len(x) == 1 for r, x in held.items() if out[x[0][0]][1] > 1) and index._ranges([], 16) == []
+
+
+def test_a_block_travels_once_for_all_queries(spark, tmp_path):
+    """Postings are arrays of numbers; many queries with the same word get its blocks as one row a range, and sums are made there."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the"), F.concat(F.lit("x"), F.col("id") % 50), F.concat(F.lit("y"), F.col("id") % 7)).alias("text"))
+    asks = spark.createDataFrame([(i, f"the x{i} y{i % 7}") for i in range(50)], "query_id long, query string")
+    ix = index.Index(spark, f"file://{tmp_path}/ix", range_=16).append(docs, "doc_id", "text")
+    blocks = ix._part("blocks", ix.generations())
+    assert {"ids", "tfs", "sizes"} <= set(blocks.columns) and blocks.where("size(ids) <> n OR n > 32").count() == 0
+    got = ix.search(asks, "doc_id", pruned=False)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [generation" in plan and "Join" not in plan.split("RepartitionByExpression [generation")[0]
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in ix.search(asks, "doc_id").collect()}
+    first = {r.query_id: r.doc_id for r in got.where("rank = 1").collect()}
+    assert len(first) == 50 and all(d % 50 == q and (d % 7 == q % 7 or q >= 50) for q, d in first.items())
