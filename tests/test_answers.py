@@ -165,3 +165,22 @@ def test_metrics_of_the_reader(spark):
     for i, r in m.items():  # answers that are right are successes, unless they were read out of too little
         right = sum(x.n for x in failures if x.question_id == i and x.kind == "success")
         assert right <= round(r.em * r.n) <= right + sum(x.n for x in failures if x.question_id == i and x.kind == "evidence_present_answer_unverified")
+
+
+def test_words_of_a_sentence_are_made_once_for_all_questions(spark):
+    for name in ("qa_read", "agg_qa_metrics", "agg_failure_counts"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.index("Join Cross") < plan.index("Generate posexplode(filter"), plan
+        assert plan.count("Join Cross") == 1
+
+
+def test_answers_that_are_no_whole_numbers(spark):
+    df = spark.createDataFrame([("infinity", "so many"), ("9999999999", "so many"), ("", "so many")], "a string, s string")
+    got = [r.c.status for r in df.select(answers.support(F.col("a"), F.array("s"), F.lit("count"), F.to_date(F.lit("2024-02-01"))).alias("c")).collect()]
+    assert got == ["unsupported", "unsupported", "abstained"]
+
+
+def test_rows_without_sentences_have_an_answer_and_no_span(spark):
+    rows = spark.createDataFrame([(1, "Where are you based?", " \n", 0), (2, "Where are you based?", None, 0), (3, "", "We are based in Rome.", 0)], "id long, q string, said string, place int")
+    got = {r.id: r for r in answers.read(rows, ["id"], "q", "said", "place", F.to_date(F.lit("2024-02-01"))).collect()}
+    assert set(got) == {1, 2, 3} and all(got[i].answer == answers.NO_ANSWER and got[i].span is None for i in (1, 2))

@@ -57,7 +57,7 @@ def _month(name: Column) -> Column:
 
 
 def _year(value: Column, ref: Column) -> Column:
-    year = value.try_cast("int")
+    year = _some(value).try_cast("int")
     return F.coalesce(F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year), F.year(ref))
 
 
@@ -71,18 +71,19 @@ def _canonical_date(value: Column, ref: Column) -> Column:
     iso, slash = r"((?:19|20)\d{2})-(\d{1,2})-(\d{1,2})", r"(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?"
     first, second = rf"(\d{{1,2}})(?:st|nd|rd|th)?\s+({_M})(?:,?\s*((?:19|20)\d{{2}}))?", rf"({_M})\s+(\d{{1,2}})(?:st|nd|rd|th)?(?:,?\s*((?:19|20)\d{{2}}))?"
     phase = rf"(early|mid|late)[-\s]+({_M})(?:,?\s*((?:19|20)\d{{2}}))?"
-    number = lambda x: x.try_cast("int")
+    number = lambda x: _some(x).try_cast("int")
+    told = lambda p, day: F.when(get(p, 1) != "", day)
     part = F.when(F.lower(get(phase, 1)) == "early", 5).when(F.lower(get(phase, 1)) == "mid", 15).otherwise(25)
     day = F.coalesce(
-        _day(number(get(iso, 1)), number(get(iso, 2)), number(get(iso, 3))),
-        _day(_year(get(slash, 3), ref), number(get(slash, 1)), number(get(slash, 2))),
-        _day(_year(get(first, 3), ref), _month(get(first, 2)), number(get(first, 1))),
-        _day(_year(get(second, 3), ref), _month(get(second, 1)), number(get(second, 2))),
-        _day(_year(get(phase, 3), ref), _month(get(phase, 2)), part),
+        told(iso, _day(number(get(iso, 1)), number(get(iso, 2)), number(get(iso, 3)))),
+        told(slash, _day(_year(get(slash, 3), ref), number(get(slash, 1)), number(get(slash, 2)))),
+        told(first, _day(_year(get(first, 3), ref), _month(get(first, 2)), number(get(first, 1)))),
+        told(second, _day(_year(get(second, 3), ref), _month(get(second, 1)), number(get(second, 2)))),
+        told(phase, _day(_year(get(phase, 3), ref), _month(get(phase, 2)), part)),
     )
     whole = rf"({_M})\s+((?:19|20)\d{{2}})"
     month = F.concat(F.date_format(_day(F.lit(2000), _month(get(whole, 1)), F.lit(1)), "MMMM"), F.lit(" "), get(whole, 2))
-    return F.coalesce(text.let(written, day), F.when(get(whole, 1) != "", month), value)
+    return F.coalesce(text.let(written, day), told(whole, month), value)
 
 
 def relative_date(said: Column, ref: Column) -> Column:
@@ -94,7 +95,7 @@ def _relative_date(low: Column, ref: Column) -> Column:
     has = lambda p: low.rlike(p)
     ago = rf"\b(\d+|{'|'.join(sorted(AMOUNTS, key=len, reverse=True))})\s+(day|week|month|year)s?\s+ago\b"
     amount, unit = F.regexp_extract(low, ago, 1), F.regexp_extract(low, ago, 2)
-    n = F.coalesce(amount.try_cast("int"), F.element_at(F.create_map(*[F.lit(x) for kv in AMOUNTS.items() for x in kv]), amount))
+    n = F.coalesce(_some(amount).try_cast("int"), F.element_at(F.create_map(*[F.lit(x) for kv in AMOUNTS.items() for x in kv]), amount))
     back = F.when(unit == "day", F.date_sub(ref, n)).when(unit == "week", F.date_sub(ref, n * 7)).when(unit == "month", F.add_months(ref, -n)).when(unit == "year", F.add_months(ref, n * -12))
     name = F.regexp_extract(low, rf"\b(?:last|this past)\s+({'|'.join(WEEKDAYS)})\b", 1)
     apart = F.pmod(F.weekday(ref) - (F.array_position(F.array(*[F.lit(d) for d in WEEKDAYS]), name).cast("int") - 1), F.lit(7))
@@ -130,7 +131,8 @@ def day_of(said: Column, ref: Column) -> Column:
 def number_of(said: Column) -> Column:
     digits = F.regexp_extract(said, r"\b\d+(?:\.\d+)?\b", 0)
     words = [F.when(F.lower(said).rlike(rf"\b{w}\b"), F.lit(str(i))) for i, w in enumerate(text.NUMBER_WORDS)]
-    return F.coalesce(_some(digits), *words, clean(said))
+    # words are tried one by one where there is any
+    return F.coalesce(_some(digits), F.when(F.lower(said).rlike(rf"\b(?:{'|'.join(text.NUMBER_WORDS)})\b"), F.coalesce(*words)), clean(said))
 
 
 def yes_or_no(said: Column) -> Column:
@@ -162,14 +164,14 @@ def support(answer: Column, spans: Column, kind: Column, ref: Column, computed:
     """struct(status, confidence): whether an array of spans bears an answer of a type. `computed` marks answers that are differences of dates."""
     joined = F.array_join(spans, " ")
     none = (F.coalesce(answer, F.lit("")) == "") | (text.normalised(answer) == NO_ANSWER)
-    from_span = text.normalised(F.when(kind == "year", year_of(joined, ref)).when(kind == "date", date_of(joined, ref)))
-    return text.let(_support, none, text.normalised(normal(answer, kind, ref).answer), text.normalised(joined), from_span, spans, kind, F.lit(False) if computed is None else computed)
+    return text.let(_support, none, text.normalised(normal(answer, kind, ref).answer), text.normalised(joined), joined, ref, spans, kind, F.lit(False) if computed is None else computed)
 
 
-def _support(none: Column, a: Column, s: Column, from_span: Column, spans: Column, kind: Column, computed: Column) -> Column:
+def _support(none: Column, a: Column, s: Column, joined: Column, ref: Column, spans: Column, kind: Column, computed: Column) -> Column:
     words = F.array_distinct(F.split(a, " "))
     share = F.size(F.array_intersect(words, F.split(s, " "))) / F.size(words)
-    n = a.try_cast("double").cast("int")
+    n = F.when(a.rlike("^[0-9]"), a.try_cast("double").try_cast("int"))
+    from_span = text.normalised(F.when(kind == "year", year_of(joined, ref)).when(kind == "date", date_of(joined, ref)))
     out = lambda status, how: F.struct(F.lit(status).alias("status"), F.lit(SUPPORT.get(how, how)).cast("double").alias("confidence"))
     return (
         F.when(none, out("abstained", 1.0))
@@ -187,22 +189,28 @@ def _support(none: Column, a: Column, s: Column, from_span: Column, spans: Colum
 
 def tokens(said: Column) -> Column:
     """Different words without stop words, plurals also without their s."""
-    words = F.filter(F.split(text.normalised(said), " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
+    return _tokens(text.normalised(said))
+
+
+def _tokens(normal_form: Column) -> Column:
+    words = F.filter(F.split(normal_form, " "), lambda w: (F.length(w) > 1) & ~w.isin(*STOP))
     return F.array_distinct(F.flatten(F.transform(words, lambda w: F.when(F.endswith(w, F.lit("s")) & (F.length(w) > 3), F.array(w, F.regexp_replace(w, "s$", ""))).otherwise(F.array(w)))))
 
 
 def temporal_score(question: Column, said: Column) -> Column:
     """What a sentence gains or loses by speaking of now or of the past, as the question asks."""
-    return text.let(_temporal_score, text.normalised(question), text.normalised(said))
+    return text.let(lambda q, s: text.let(_temporal_score, _times(q), _times(s)), text.normalised(question), text.normalised(said))
+
 
+def _times(normal_form: Column) -> Column:
+    """struct(now, past): what a normal form speaks of."""
+    any_of = lambda of: F.arrays_overlap(F.split(normal_form, " "), F.array(*[F.lit(w) for w in of]))
+    return F.struct(any_of(CURRENT).alias("now"), (F.contains(normal_form, F.lit("used to")) | any_of(FORMER)).alias("past"))
 
-def _temporal_score(question: Column, said: Column) -> Column:
-    any_of = lambda x, of: F.arrays_overlap(F.split(x, " "), F.array(*[F.lit(w) for w in of]))
-    used = lambda x: F.contains(x, F.lit("used to"))
-    now, past = any_of(question, CURRENT), used(question) | any_of(question, FORMER)
-    was, is_ = used(said) | any_of(said, FORMER), any_of(said, CURRENT)
+
+def _temporal_score(asked: Column, told: Column) -> Column:
     num = lambda cond, x: F.when(cond, x).otherwise(0.0)
-    return num(now & was, -0.65) + num(now & is_, 0.45) + num(past & was, 0.45) + num(past & is_ & ~was, -0.25)
+    return num(asked.now & told.past, -0.65) + num(asked.now & told.now, 0.45) + num(asked.past & told.past, 0.45) + num(asked.past & told.now & ~told.past, -0.25)
 
 
 def answer_in(sentence: Column, kind: Column) -> Column:
@@ -224,22 +232,33 @@ def answer_in(sentence: Column, kind: Column) -> Column:
     )
 
 
+def asking(rows: DataFrame, question: str) -> DataFrame:
+    """rows with asked: the words, times and type of a question. Of a table of questions this is made once a question, before it meets the rows."""
+    return rows.withColumn("asked", text.let(lambda n: F.struct(_tokens(n).alias("words"), _times(n).alias("times"), qs.typed(n).alias("kind")), text.normalised(F.col(question))))
+
+
+def telling(rows: DataFrame, row_text: str) -> DataFrame:
+    """Sentences of rows with nth, sentence and told, its words and times; a row without any has one null sentence. Made once a sentence, before it meets the questions."""
+    each = rows.select("*", F.posexplode_outer(text.sentences(F.col(row_text))).alias("nth", "sentence"))
+    return each.withColumn("told", text.let(lambda n: F.struct(_tokens(n).alias("words"), _times(n).alias("times")), text.normalised(F.col("sentence"))))
+
+
 def ranked_sentences(rows: DataFrame, question: str, row_text: str, place: str) -> DataFrame:
-    """rows with sentence, nth and score: the share of the question's words, less the lower a row is placed, and what time is spoken of."""
-    each = rows.select("*", F.posexplode(text.sentences(F.col(row_text))).alias("nth", "sentence"))
-    share = text.let(lambda asked, said: F.size(F.array_intersect(asked, said)) / F.greatest(F.lit(1), F.size(asked)), tokens(F.col(question)), tokens(F.col("sentence")))
-    return each.withColumn("score", F.round(share + F.greatest(F.lit(0.0), 1.0 - 0.02 * F.col(place)) + temporal_score(F.col(question), F.col("sentence")), 6))
+    """rows with sentence, nth and score: the share of the question's words, less the lower a row is placed, and what time is spoken of. What `asking` and `telling` have made before is not made again."""
+    each = rows if "told" in rows.columns else telling(rows, row_text)
+    each = each if "asked" in rows.columns else asking(each, question)
+    share = F.size(F.array_intersect("asked.words", "told.words")) / F.greatest(F.lit(1), F.size("asked.words"))
+    return each.withColumn("score", F.round(share + F.greatest(F.lit(0.0), 1.0 - 0.02 * F.col(place)) + _temporal_score(F.col("asked.times"), F.col("told.times")), 6))
 
 
 def read(rows: DataFrame, by: list[str], question: str, row_text: str, place: str, ref: Column, most: int = 24) -> DataFrame:
     """by, answer, answer_type, status, confidence, span and place of the row cited: the best ranked sentence that answers each question, in normal form, if it bears the answer; else an abstention."""
-    kind = qs.answer_type(F.col(question))
     ranked = ranking.top_k(ranked_sentences(rows, question, row_text, place), by, most, F.desc("score"), F.asc(place), F.asc("nth"))
-    raw = text.let(answer_in, F.col("sentence"), kind)
-    said = ranked.select(*by, kind.alias("kind"), "rank", F.col(place).alias("place"), "sentence", raw.alias("raw"), ref.alias("ref"))
-    # a question without any sentence still has its row
-    best = said.where("raw is not null").groupBy(*by).agg(F.min_by(F.struct("kind", "place", "sentence", "raw", "ref"), "rank").alias("b"))
-    every = rows.select(*by).distinct().join(best, by, "left").select(*by, "b.*")
+    said = ranked.select(*by, F.col("asked.kind").alias("kind"), "rank", F.col(place).alias("place"), "sentence", ref.alias("ref"))
+    said = said.withColumn("raw", text.let(answer_in, F.col("sentence"), F.col("kind")))
+    # a question without any sentence, or any that answers, still has its row
+    answering = F.when(F.col("raw").isNotNull(), F.col("rank"))
+    every = said.groupBy(*by).agg(F.min_by(F.struct("kind", "place", "sentence", "raw", "ref"), answering).alias("b")).select(*by, "b.*")
     found = normal(F.col("raw"), F.col("kind"), F.col("ref"))
     checked = lambda found, sentence, kind, ref: F.struct(found.alias("found"), support(found.answer, F.array(sentence), kind, ref).alias("checked"))
     every = every.withColumn("r", F.when(F.col("raw").isNotNull(), text.let(checked, found, F.col("sentence"), F.col("kind"), F.col("ref")))).select("*", "r.found", "r.checked")

@@ -52,10 +52,10 @@ def intent(question: Column) -> Column:
 
 
 def answer_type(question: Column) -> Column:
-    return let(_answer_type, normalised(question))
+    return let(typed, normalised(question))
 
 
-def _answer_type(q: Column) -> Column:
+def typed(q: Column) -> Column:
     """Of a question in normal form."""
     return (
         F.when(q == "", "free_text")
@@ -90,7 +90,7 @@ def _plan(q: Column) -> Column:
         F.when(timed != first, 0.70).otherwise(0.0), F.when((current != timed) | (former != current), 0.72).otherwise(0.0), F.when(route != former, 0.66).otherwise(0.0),
     )
     intents = F.array_compact(F.array(F.when(table, "structured_table"), F.when(listed & ~table, "enumeration"), F.when(time, "temporal"), F.when(now, "current_state"), F.when(past, "historical_state"), F.when(session, "cross_session")))
-    return F.struct(route.alias("route"), _answer_type(q).alias("answer_type"), intents.alias("intents"), confidence.alias("confidence"))
+    return F.struct(route.alias("route"), typed(q).alias("answer_type"), intents.alias("intents"), confidence.alias("confidence"))
 
 
 def weights(intent_: Column, keyword: float = 0.3, vector: float = 0.7) -> tuple[Column, Column]:

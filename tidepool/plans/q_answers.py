@@ -167,19 +167,21 @@ ASKED = ("What drink do I have now?", "Where are we based?", "How many boats doe
 
 
 def _asked(spark, sf):
+    """Sentences of every note beside every question; of sentences and of questions, which are a parameter, words are made once."""
     each = F.array(*[F.struct(F.lit(i).alias("question_id"), F.lit(q).alias("question")) for i, q in enumerate(ASKED)])
-    return notes(spark, sf).select("note_id", "text", F.lit(0).alias("place"), F.inline(each))
+    asks = answers.asking(spark.range(1).select(F.inline(each)), "question")
+    return answers.telling(notes(spark, sf).select("note_id", "text", F.lit(0).alias("place")), "text").crossJoin(F.broadcast(asks))
 
 
 def reading(spark, sf):
     ref = F.to_date(F.lit("2024-02-01"))
-    return answers.read(_asked(spark, sf), ["note_id", "question_id", "question"], "question", "text", "place", ref)
+    return answers.read(_asked(spark, sf), ["note_id", "question_id"], "question", "text", "place", ref)
 
 
 @query("qa_read")
 def _(spark, sf):
     """Answers with their span, or an abstention, to four questions asked of every note."""
-    return reading(spark, sf).drop("question", "cited")
+    return reading(spark, sf).drop("cited")
 
 
 @query("qa_extractive", f"""WITH {NOTES_SQL}, s AS (SELECT note_id, unnest(range(len(s))) AS nth, unnest(s) AS sentence FROM (SELECT note_id, {sentences_sql('text')} AS s FROM notes)),
@@ -188,7 +190,7 @@ SELECT note_id, first(sentence ORDER BY shared DESC, nth) AS span FROM o GROUP B
 def _(spark, sf):
     """The sentence of each note that shares most words with a question."""
     rows = notes(spark, sf).select("note_id", "text", F.lit(0).alias("place"), F.lit("When did Alice paint the sunset?").alias("question"))
-    best = ranking.top_k(answers.ranked_sentences(rows, "question", "text", "place"), ["note_id"], 1, F.desc("score"), F.asc("nth"))
+    best = ranking.top_k(answers.ranked_sentences(rows, "question", "text", "place").where("sentence is not null"), ["note_id"], 1, F.desc("score"), F.asc("nth"))
     return best.select("note_id", F.col("sentence").alias("span"))
 
 
