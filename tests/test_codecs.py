@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidepool.functions import chunks, codecs
+from tidepool.plans import q_codecs
 
 SLOT = st.one_of(st.integers(0, 10**20).map(str), st.sampled_from(["", "0", "007", "a", "é汉", "u12", "1.50", "-3"]), st.text(max_size=8))
 TEMPLATES = ["User <*> did <*>", "plain", "<*>", "x<*><*>y", "end <*>"]
@@ -122,3 +123,17 @@ def test_boundaries_equal_the_loop():
         if start < len(data):
             ends.append(len(data))
         assert chunks.boundaries(data) == ends
+
+
+def test_sessions_are_read_one_after_the_other_over_batches(spark):
+    """Many sessions share a batch, one lies in many; none has a Python group of its own."""
+    rows = [(s, i, "did <*> at <*>", [f"v{i % 3}", str(i * s)]) for s in range(60) for i in range(1 + 5 * (s % 17))]
+    lines = spark.createDataFrame(rows, "session long, line_no long, template string, slots array<string>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = q_codecs.sessions_packed(lines, "session", window=8)
+        got = {r.session: (r.n, r.intact) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {s: (1 + 5 * (s % 17), True) for s in range(60)}
+    assert "FlatMapGroupsInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
