@@ -10,6 +10,7 @@ from tidepool.operators import answers, text
 from tidepool.operators import questions as qs
 from tidepool.plans import registry
 from tidepool.plans.q_answers import ASKED
+from tidepool.plans.q_questions import _questions
 from tidepool.plans.tables import notes
 
 SF = "/root/testdata/sf0.001"
@@ -180,6 +181,13 @@ def test_answers_that_are_no_whole_numbers(spark):
     assert got == ["unsupported", "unsupported", "abstained"]
 
 
+def test_questions_are_dealt_however_few_row_groups_their_files_have(spark):
+    """15,000 customers are one row group of sf0.1."""
+    asked = _questions(spark, "/root/testdata/sf0.1").select(F.split("question_id", " ")[0].alias("of"), F.spark_partition_id().alias("task"))
+    tasks = {r["of"]: (r.tasks, r.most) for r in asked.groupBy("of", "task").count().groupBy("of").agg(F.count("*").alias("tasks"), F.max("count").alias("most")).collect()}
+    assert tasks["customer"][0] == 4 and tasks["customer"][1] < 5000
+
+
 def test_rows_without_sentences_have_an_answer_and_no_span(spark):
     rows = spark.createDataFrame([(1, "Where are you based?", " \n", 0), (2, "Where are you based?", None, 0), (3, "", "We are based in Rome.", 0)], "id long, q string, said string, place int")
     got = {r.id: r for r in answers.read(rows, ["id"], "q", "said", "place", F.to_date(F.lit("2024-02-01"))).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import agents, ranking
 from tidepool.operators import questions as qs
 from tidepool.plans.registry import query
-from tidepool.plans.tables import normalised_sql, table
+from tidepool.plans.tables import dealt, normalised_sql, table
 
 #: Forms of questions, of every kind.
 QUESTIONS = ["What drink does user currently prefer?", "In schedule table, which shift is mine?", "How many days passed between June 1 and June 9?", "What did we mention before in our previous chat?", "Who is account owner of ACME?", "when did it happen", "Where is 'home base' now", "is it true", "list all projects", "explain ideas behind caching", "what year was it", "number of boats", "where did she live", "find build-42 status", "are they married", "which year did it start", "old city", "how does NASA plan", "did she use to run", "my favorite notebook"]
@@ -21,9 +21,9 @@ n AS (SELECT *, {normalised_sql('question')} AS q, regexp_extract_all(lower(ques
 def _questions(spark, sf):
     """What is asked: every benchmark item, every turn of a user, and a question of one of the forms about the country of every customer."""
     items = table(spark, sf, "benchmark").select(F.concat(F.lit("item "), "item_id").alias("question_id"), F.col("text").alias("question"))
-    turns = table(spark, sf, "conversations").where("role = 'user'").select(F.concat(F.lit("turn "), "conv_id", F.lit(" "), "turn"), "text")
+    turns = dealt(table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text"), "conv_id", "turn").select(F.concat(F.lit("turn "), "conv_id", F.lit(" "), "turn"), "text")
     form = F.element_at(F.array(*[F.lit(q.rstrip("?")) for q in QUESTIONS]), (F.col("c_custkey") % len(QUESTIONS) + 1).cast("int"))
-    asked = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    asked = dealt(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return items.union(turns).union(asked.select(F.concat(F.lit("customer "), "c_custkey"), F.concat(form, F.lit(" in "), F.lower("n_name"), F.lit("?"))))
 
 
