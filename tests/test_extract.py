@@ -3,8 +3,10 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidepool.operators import extract
+from tidepool.plans import q_extract
 
 
 def found(spark, said):
@@ -71,3 +73,14 @@ def test_facts_are_dealt_once_and_searched_where_their_words_are(spark):
     assert [(r.entity, r.relation, r.value) for r in found.orderBy("place").collect()] == [("BOB", "bought", "lamp"), ("Ann", "painted", "sky")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_documents_are_dealt_before_relations_are_looked_for(spark):
+    """10,000 documents are one row group of sf0.1."""
+    plan = q_extract._edges(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan and ", 10" in plan[plan.index("RepartitionByExpression") :].split("\n")[0], plan
+
+
+def test_entities_stop_at_the_most(spark):
+    names = spark.range(1).select(extract.entities(F.array(*[F.lit(f"word{i} Name{i} word{i}") for i in range(30)])).alias("e")).first().e
+    assert names == [x for i in range(16) for x in (f"Name{i}", f"word{i}", f"name{i}")][:16]

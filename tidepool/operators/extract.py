@@ -178,32 +178,41 @@ def entity_confidence(name: Column) -> Column:
 
 
 def entities(sentences: Column, most: int = ENTITIES) -> Column:
-    """The first names of a text: capitalised spans and acronyms of a sentence, then its words of four letters or more."""
-    stop = F.array(*[F.lit(w) for w in STOP])
-    named = lambda s: F.filter(F.regexp_extract_all(masked(s), F.lit(r"\b(?:[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){0,3}|[A-Z]{2,6}\d*)\b"), F.lit(0)), lambda x: ~F.array_contains(stop, F.lower(x)))
-    words = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"[a-z0-9_\-]{4,}"), F.lit(0)), lambda x: ~F.array_contains(stop, x) & ~x.rlike("^[0-9]+$"))
-    return F.slice(F.array_distinct(F.flatten(F.transform(sentences, lambda s: F.concat(named(s), words(s))))), 1, most)
+    """The first names of a text: capitalised spans and acronyms of a sentence, then its words of four letters or more. Sentences behind the last of them are not looked at."""
+    named = lambda s: F.filter(F.regexp_extract_all(masked(s), F.lit(r"\b(?:[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+){0,3}|[A-Z]{2,6}\d*)\b"), F.lit(0)), lambda x: ~F.lower(x).isin(*STOP))
+    words = lambda s: F.filter(F.regexp_extract_all(F.lower(s), F.lit(r"[a-z0-9_\-]{4,}"), F.lit(0)), lambda x: ~x.isin(*STOP) & ~x.rlike("^[0-9]+$"))
+    more = lambda found, s: F.when(F.size(found) >= most, found).otherwise(F.slice(F.array_union(found, F.concat(named(s), words(s))), 1, most))
+    return F.aggregate(sentences, F.array().cast("array<string>"), more)
 
 
 def anchor(side: Column, left: bool) -> Column:
     """The nearest name on one side of a verb: two capitalised words of the three nearest, else the nearest word; empty without one."""
-    stop = F.array(*[F.lit(w) for w in STOP])
-    tokens = F.filter(F.regexp_extract_all(side, F.lit(r"[A-Za-z0-9_\-]{2,}"), F.lit(0)), lambda x: ~F.array_contains(stop, F.lower(x)))
-    near = F.slice(tokens, F.greatest(F.lit(1), F.size(tokens) - 2), F.lit(3)) if left else F.slice(tokens, 1, 3)
+    tokens = F.filter(F.regexp_extract_all(side, F.lit(r"[A-Za-z0-9_\-]{2,}"), F.lit(0)), lambda x: ~F.lower(x).isin(*STOP))
+    near = text.let(lambda t: F.slice(t, F.greatest(F.lit(1), F.size(t) - 2), F.lit(3)), tokens) if left else F.slice(tokens, 1, 3)
+    return text.let(lambda near: _anchor(near, left), near)
+
+
+def _anchor(near: Column, left: bool) -> Column:
     at = lambda i: F.get(near, F.lit(i) if isinstance(i, int) else i)
     pair = (F.size(near) >= 2) & at(0).rlike("^[A-Z]") & at(1).rlike("^[A-Z]")
     return F.coalesce(F.when(pair, F.concat(at(0), F.lit(" "), at(1))).otherwise(at(F.size(near) - 1) if left else at(0)), F.lit(""))
 
 
 def relations(df: DataFrame, id_col: str, text_col: str, most: int = EDGES) -> DataFrame:
-    """(id, place, src, relation, dst, confidence): the first different relations of a text; a name that is among its entities adds to the confidence."""
+    """(id, place, src, relation, dst, confidence): the first different relations of a text; a name that is among its entities adds to the confidence. Sides are cut only where a sentence has the verb."""
     rows = df.select(id_col, text.sentences(F.col(text_col)).alias("sentences")).select(id_col, "sentences", entities(F.col("sentences")).alias("known"))
     each = rows.select(id_col, "known", F.posexplode("sentences").alias("nth", "sentence")).withColumn("plain", masked(F.col("sentence")))
+    each = each.where(F.col("plain").rlike(rf"(?i)\b(?:{'|'.join(v for v, _, _ in VERBS)})\b"))
     sides = []
     for k, (verb, relation, confidence) in enumerate(VERBS):
+
+        def cut(before: Column, through: Column, sentence: Column, head=(k, relation, confidence)) -> Column:
+            left, right = F.substring(sentence, F.lit(1), F.length(before)), F.substring(sentence, F.length(through) + 1, F.length(sentence))
+            named = [F.lit(v).alias(n) for n, v in zip(("k", "relation", "base"), head, strict=True)]
+            return F.when(through != "", F.struct(*named, anchor(left, True).alias("src"), anchor(right, False).alias("dst")))
+
         before, through = (F.regexp_extract("plain", rf"(?i)^(.*?)\b(?:{verb})\b", g) for g in (1, 0))
-        left, right = F.substring("sentence", F.lit(1), F.length(before)), F.substring("sentence", F.length(through) + 1, F.length("sentence"))
-        sides.append(F.when(through != "", F.struct(F.lit(k).alias("k"), F.lit(relation).alias("relation"), F.lit(confidence).alias("base"), anchor(left, True).alias("src"), anchor(right, False).alias("dst"))))
+        sides.append(F.when(F.col("plain").rlike(rf"(?i)\b(?:{verb})\b"), text.let(cut, before, through, F.col("sentence"))))
     found = each.select(id_col, "known", "nth", F.inline(F.array(*sides))).where("k is not null and src <> '' and dst <> '' and lower(src) <> lower(dst)")
     bonus = lambda side: F.when(F.array_contains("known", F.col(side)), 0.08).otherwise(0.0)
     found = found.withColumn("confidence", F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.99), F.col("base") + bonus("src") + bonus("dst"))), 6))
