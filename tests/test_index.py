@@ -131,3 +131,14 @@ def test_a_block_travels_once_for_all_queries(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in ix.search(asks, "doc_id").collect()}
     first = {r.query_id: r.doc_id for r in got.where("rank = 1").collect()}
     assert len(first) == 50 and all(d % 50 == q and (d % 7 == q % 7 or q >= 50) for q, d in first.items())
+
+
+def test_terms_travel_as_one_string(spark, tmp_path, monkeypatch):
+    """Terms are not shuffled as arrays, and come back as they were: those of one letter, repeated ones, a single one."""
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "x_1 b b")], "doc_id long, text string")
+    seen, frame, plain = [], type(docs), type(docs).repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *a: (seen.append(df.dtypes), plain(df, *a))[1])
+    ix = index.Index(spark, f"file://{tmp_path}/ix").append(docs, "doc_id", "text")
+    held = {(r.term, i): n for r in ix._part("blocks", ix.generations()).collect() for i, n in zip(r.ids, r.tfs, strict=True)}
+    assert held == {("a", 1): 2, ("b", 1): 1, ("b", 2): 1, ("x_1", 3): 1, ("b", 3): 2}
+    assert seen and not any("array" in t for types in seen for _, t in types)
