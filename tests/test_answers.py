@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import answers, text
 from tidepool.operators import questions as qs
 from tidepool.plans import registry
-from tidepool.plans.q_answers import ASKED
+from tidepool.plans.q_answers import ASKED, _judged
 from tidepool.plans.q_questions import _questions
 from tidepool.plans.tables import notes
 
@@ -175,6 +175,27 @@ def test_words_of_a_sentence_are_made_once_for_all_questions(spark):
         assert plan.count("Join Cross") == 1
 
 
+@pytest.mark.parametrize("name", ["agg_failure_counts"])
+def test_readings_are_judged_where_they_are_read(spark, name):
+    """Readings and truths do not travel: what is joined in a task is what was dealt to it, and only counts are shuffled."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"Exchange hashpartitioning\((.*), (\d+)\), (\w+)", plan)
+    assert {(re.sub(r"#\d+L?", "", k), how) for k, n, how in keys if "question_id" not in k} == {("c_custkey", "REPARTITION_BY_NUM")}, plan
+    assert not [k for k, _, _ in keys if "note_id" in k], plan
+    assert {n for k, n, how in keys if how == "REPARTITION_BY_NUM"} == {"4"}  # 15,000 customers
+
+
+def test_truths_of_all_notes_and_questions(spark):
+    nations = {r.n_nationkey: r.n_name for r in spark.read.parquet(f"{SF}/nation.parquet").collect()}
+    want = {}
+    for r in spark.read.parquet(f"{SF}/customer.parquet").collect():
+        i, told = r.c_custkey, lambda k, i=r.c_custkey: (i * 7 + k * (k + 1)) % 3 == 0
+        said = (f"{r.c_mktsegment.lower()} latte with oat milk, mostly", nations[r.c_nationkey], str(i % 27 + 2), f"{i % 27 + 2} {MONTHS[i % 12]} {2000 + i % 24}")
+        want |= {(i, q): said[q] if told(k) else answers.NO_ANSWER for q, k in enumerate((1, 4, 2, 5))}
+    rows = _judged(spark, SF).collect()
+    assert len(rows) == len(want) and {(r.note_id, r.question_id): r.gold for r in rows} == want
+
+
 def test_answers_that_are_no_whole_numbers(spark):
     df = spark.createDataFrame([("infinity", "so many"), ("9999999999", "so many"), ("", "so many")], "a string, s string")
     got = [r.c.status for r in df.select(answers.support(F.col("a"), F.array("s"), F.lit("count"), F.to_date(F.lit("2024-02-01"))).alias("c")).collect()]
