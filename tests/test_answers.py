@@ -175,7 +175,7 @@ def test_words_of_a_sentence_are_made_once_for_all_questions(spark):
         assert plan.count("Join Cross") == 1
 
 
-@pytest.mark.parametrize("name", ["agg_failure_counts"])
+@pytest.mark.parametrize("name", ["agg_qa_metrics", "agg_failure_counts"])
 def test_readings_are_judged_where_they_are_read(spark, name):
     """Readings and truths do not travel: what is joined in a task is what was dealt to it, and only counts are shuffled."""
     plan = registry.queries()[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
