@@ -178,3 +178,27 @@ def test_shared_elements_are_counted_where_they_lie(spark, sets, monkeypatch, mo
     found = setsim.overlapping(sets, "id", F.col("items"), 2)
     assert not any(x in found.pairs._jdf.queryExecution().optimizedPlan().toString() for x in ("array_intersect", "hs#"))
     assert {(r.a, r.b): r.common for r in found.expanded(F.col("n") >= 2).collect()} == {(i, j): len(a & b) for (i, a), (j, b) in itertools.combinations(sorted(SETS.items()), 2) if len(a & b) >= 2}
+
+
+@pytest.mark.parametrize("threshold, blocks", [(0.35, 1), (0.35, 9), (0.8, 9)])
+def test_links_without_candidates(spark, sets, monkeypatch, threshold, blocks):
+    """Blocks of sets meet in memory, and a forest of their links comes out: it connects what pairs of similar sets connect, and no candidate is written."""
+    monkeypatch.setattr(setsim, "BLOCKS", blocks)
+    monkeypatch.setattr(setsim, "LINKED", (8, 4096))
+    monkeypatch.setattr(setsim, "HELD", (40, 1_000_000))
+    links = setsim.linked(sets, "id", F.col("items"), threshold)
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "CoGroup" not in plan and "set-candidates" not in plan
+    got, near = [(r.a, r.b) for r in links.collect()], [(i, j) for (i, a), (j, b) in itertools.combinations(sorted((i, s) for i, s in SETS.items() if s), 2) if len(a & b) >= threshold * len(a | b) - 1e-9]
+    assert {tuple(sorted(x)) for x in got} <= set(near)
+    assert classes(SETS, got) == classes(SETS, near)
+    assert setsim.linked(sets.limit(0), "id", F.col("items"), threshold).collect() == []
+
+
+def test_block_cells():
+    """Each size lies in one block or in blocks of its own, and blocks of sizes that can be similar meet."""
+    places, cells = setsim._blocked([(1, 3), (2, 100_000), (7, 10), (50, 4)], 0.35)
+    assert [p for _, _, p in places][1] > 1 and places[0][1:] == (0, 1)
+    at = {s: range(f, f + p) for s, f, p in places}
+    assert all((i, j) in cells for x in (1, 2) for y in (2, 7) if x < y and x >= 0.35 * y for i in at[x] for j in at[y])
+    assert not any((i, j) in cells for i in at[2] for j in at[50]) and setsim._blocked([], 0.5) == ([], [])

@@ -69,6 +69,8 @@ def links(vectors: DataFrame, id_col: str, vector: str, threshold: float, same:
     return each.groupBy("same", "i", "j").applyInArrow(run, "a long, b long").where("a <> b")
 
 
+#: Vectors of a block whose candidates are verified together.
+VERIFIED = 16_384
 #: Bits of a key of signs, the chance that two vectors at the threshold share no key, and rows of a key up to which all its pairs are candidates.
 BITS, MISS, SMALL = 16, 1e-3, 32
 
@@ -79,6 +81,31 @@ def keys_needed(threshold: float, bits: int = BITS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - same)) if same < 1 else 1
 
 
+def _close(met: DataFrame, one: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Candidates (a, b) of equal length whose inner products reach the threshold. They are dealt by cells of two blocks, so that a vector travels once a block and not once a candidate."""
+    n_blocks = max(1, -(-n // VERIFIED))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(n_blocks)).cast("int")
+    cell = lambda i, j: (F.least(i, j).alias("i"), F.greatest(i, j).alias("j"))
+    asked = met.select("a", "b", *cell(block("a"), block("b")))
+    dealt = one.select("id", "v", block("id").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")).select("id", "v", *cell(F.col("own"), F.col("other")))
+
+    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        good = np.zeros(len(a), bool)
+        if len(a):
+            ids, v = held.column("id").to_numpy(), held.column("v").combine_chunks()
+            starts, sizes = v.offsets.to_numpy()[:-1].astype(np.int64), np.diff(v.offsets.to_numpy())
+            values, order = v.values.to_numpy(zero_copy_only=False), np.argsort(ids)
+            x, y = (order[np.searchsorted(ids, p, sorter=order)] for p in (a, b))
+            for d in np.unique(sizes):
+                for few in np.array_split(at := np.flatnonzero((sizes[x] == d) & (sizes[y] == d)), 1 + len(at) // 65_536):
+                    of = lambda p: values[starts[p[few]][:, None] + np.arange(d)]  # noqa: B023, E731
+                    good[few] = np.einsum("ij,ij->i", of(x), of(y)) >= threshold
+        return pa.table({"a": a[good], "b": b[good]})
+
+    return asked.groupBy("i", "j").cogroup(dealt.groupBy("i", "j")).applyInArrow(run, "a long, b long")
+
+
 def near_links(vectors: DataFrame, id_col: str, vector: str, threshold: float, bits: int = BITS, miss: float = MISS, small: int = SMALL, seed: int = 0, counters: dict | None = None) -> DataFrame:
     """(a, b): links that connect what cosines of at least the threshold connect, found by an index in place of all pairs.
 
@@ -93,7 +120,8 @@ def near_links(vectors: DataFrame, id_col: str, vector: str, threshold: float, b
     one = rows.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v"))
     one = store.kept(one, "near-vectors")
     copies = rows.select("id", "key").join(one.select("key", F.col("id").alias("first")), "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    sizes = [r.d for r in one.groupBy(F.size("v").alias("d")).count().collect()]  # a row a length
+    n_of = one.groupBy(F.size("v").alias("d")).count().collect()  # a row a length
+    sizes = [r.d for r in n_of]
     n_keys = keys_needed(threshold, bits, miss)
     planes = {d: np.random.default_rng((seed, d)).normal(size=(d, n_keys * bits)) for d in sizes}
     sent = spark.sparkContext.broadcast(planes)
@@ -114,8 +142,7 @@ def near_links(vectors: DataFrame, id_col: str, vector: str, threshold: float, b
     few = keyed.join(held.where(F.col("n") <= small).select("k", "n"), "k").drop("n")
     met = few.join(few.withColumnsRenamed({"id": "other"}), "k").where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
     met = store.kept(met, "near-candidates")
-    both = met.join(one.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(one.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    close = both.where(F.when(F.size("va") == F.size("vb"), search.dot("va", "vb")) >= threshold).select("a", "b")
+    close = _close(met, one, sum(r["count"] for r in n_of), threshold)
     if counters is not None:
         counters.update(candidates=met.count(), keys=n_keys, vectors=one.count())
     # Of keys that hold the same rows one is compared.
@@ -150,7 +177,7 @@ def semantic(chunks: DataFrame, id_col: str, text_col: str, vectors: DataFrame,
     edges = signed.join(least, "sig").where("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     mine = vectors.join(rows.select(F.col("id").alias(id_col)), id_col, "left_semi")
     edges = edges.union(near_links(mine, id_col, vector, cosine))
-    edges = edges.union(setsim.similar(rows, "id", F.col("entities"), overlap).stars()).union(setsim.similar(rows, "id", F.col("words"), lexical).stars())
+    edges = edges.union(setsim.linked(rows, "id", F.col("entities"), overlap)).union(setsim.linked(rows, "id", F.col("words"), lexical))
     roots = connected_components(edges).select(F.col("v").alias("id"), "root")
     return rows.select("id").join(roots, "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("cluster"))
 

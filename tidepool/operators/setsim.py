@@ -8,6 +8,9 @@ neighbouring ones. What the place of a common element leaves possible drops furt
 whole sets, by cells of two blocks of sets, so that a set travels once for each block and not once for each of its candidates. Elements travel as
 64-bit hashes; a collision makes a candidate that does not pass.
 
+Where only what is connected counts (`linked`) no candidate leaves the task that finds it: blocks of sets of like size meet two by two, and a
+spanning forest of the links between two of them comes out.
+
 Where few common elements suffice (`overlapping`) a prefix is nearly the whole set; there the sets of each element are paired where they
 lie, and what goes on is a count for each pair.
 
@@ -17,6 +20,7 @@ that adaptive execution can split an element that very many sets hold.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -30,6 +34,8 @@ from tidepool.operators import store
 NEAR = 1e-9
 #: Sets and elements of a block whose candidates are verified together.
 BLOCK, ELEMENTS = 4096, 1_000_000
+#: Blocks whose links are looked for in memory: about so many, as long as each has no fewer and no more sets, and elements, than these; bits in the sketch of a set for each element.
+BLOCKS, LINKED, HELD, SKETCH = 12, (2048, 65_536), (250_000, 5_000_000), 6
 #: Ids of a list that is paired with another one, and pairs that a task makes of such lists.
 PACKED, MADE = 256, 4_000_000
 
@@ -179,3 +185,97 @@ def overlapping(sets: DataFrame, id_col: str, items: Column, least: int) -> Link
     size = lambda c: one.select(F.col("class").alias(c), F.size("s").alias(f"n{c}"))
     both = counts.where(F.col("common") >= least).join(size("a"), "a").join(size("b"), "b")
     return Links(both.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard")), members, counts)
+
+
+def _hashes(rows: DataFrame, items: Column) -> Column:
+    """Sorted hashes of the elements, by a seed with which no two elements have the same."""
+    kinds = store.kept(rows.select(F.explode(items).alias("e")).distinct(), "set-kinds")
+    n = kinds.count()
+    seed = next(k for k in itertools.count() if kinds.select(F.xxhash64("e", F.lit(k))).distinct().count() == n)
+    return F.array_sort(F.transform(items, lambda e: F.xxhash64(e, F.lit(seed))))
+
+
+def _blocked(sizes: list[tuple[int, int]], threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(size, first block, blocks) of each size of sets (size, how many), from the smallest on; and the cells (i, j), i <= j, of two blocks that can hold similar sets."""
+    cut = lambda total, least, most: min(most, max(least, -(-total // BLOCKS)))
+    most, held = cut(sum(n for _, n in sizes), *LINKED), cut(sum(s * n for s, n in sizes), *HELD)
+    out, low, high, n_sets, n_elements = [], [], [], 0, 0
+    for size, n in sizes:
+        parts = max(-(-n // most), -(-n * size // held))
+        if parts > 1 or not low or n_sets + n > most or n_elements + n * size > held:
+            low, high, n_sets, n_elements = [*low, *[size] * parts], [*high, *[size] * parts], 0, 0
+        out.append((size, len(low) - parts, parts))
+        high[-1], n_sets, n_elements = size, n_sets + (n if parts == 1 else most), n_elements + n * size
+    return out, [(i, j) for j in range(len(low)) for i in range(j + 1) if high[i] >= threshold * low[j] - NEAR]
+
+
+def _forest(ids: np.ndarray, held: pa.ListArray, right: np.ndarray, alone: bool, t: float) -> tuple[list[int], list[int]]:
+    """A spanning forest (a, b) of the similar pairs of a cell: one set of its smaller block, one of its larger (`right`); of two sets of one block, if it is alone. Bits in which two sketches differ are elements that only one of the sets has; where there are too many of them, or both sets are connected by now, a pair is left out, else it is compared element by element."""
+    n = np.diff(held.offsets.to_numpy()).astype(np.int64)
+    order = np.lexsort((ids, n, right))
+    starts = held.offsets.to_numpy()[:-1].astype(np.int64)[order]
+    ids, n, first = ids[order], n[order], 0 if alone else int((~right).sum())
+    begin = np.concatenate([[0], np.cumsum(n)])
+    values = held.values.to_numpy(zero_copy_only=False)[np.arange(begin[-1]) + np.repeat(starts - begin[:-1], n)]
+    kinds, flat = np.unique(values, return_inverse=True)
+    words = 1 << int(np.clip(np.round(np.log2(SKETCH * n.mean() / 64)), 0, 8))
+    sketch = np.zeros(words * len(n), np.uint64)
+    np.bitwise_or.at(sketch, ((values >> 6) & (words - 1)) * len(n) + np.repeat(np.arange(len(n)), n), np.uint64(1) << (values & 63).astype(np.uint64))
+    sketch = sketch.reshape(words, -1)
+    del values
+    apart = n * ((1 - t) / (1 + t)) + NEAR
+    last = np.searchsorted(n[first:], np.floor(n / t + NEAR), side="right") + first
+    label, mark = np.arange(len(n)), np.zeros(len(kinds), bool)
+    odd, bits, sums = np.empty(len(n), np.uint64), np.empty(len(n), np.uint8), np.empty(len(n), np.uint16)
+    a, b = [], []
+    for x in range(len(n) if alone else first):
+        low, high = x + 1 if alone else first, last[x]
+        if high <= low:
+            continue
+        some_odd, some_bits, some = odd[: high - low], bits[: high - low], sums[: high - low]
+        some[:] = 0
+        for k in range(words):
+            np.bitwise_xor(sketch[k, low:high], sketch[k, x], out=some_odd)
+            np.bitwise_count(some_odd, out=some_bits)
+            np.add(some, some_bits, out=some)
+        found = np.flatnonzero(some <= apart[low:high] + apart[x]) + low
+        own = flat[begin[x] : begin[x + 1]]
+        mark[own] = True
+        for at in range(0, len(found), 1024):
+            few = found[at : at + 1024]
+            few = few[label[few] != label[x]]
+            if not len(few):
+                continue
+            place = np.cumsum(n[few]) - n[few]
+            common = np.add.reduceat(mark[flat[np.arange(n[few].sum()) + np.repeat(begin[few] - place, n[few])]], place, dtype=np.int64)
+            few = few[common * (1 + t) >= t * (n[few] + n[x]) - NEAR]
+            trees, at_first = np.unique(label[few], return_index=True)
+            if len(trees):
+                a += [int(ids[x])] * len(trees)
+                b += ids[few[at_first]].tolist()
+                label[np.isin(label, trees)] = label[x]
+        mark[own] = False
+    return a, b
+
+
+def linked(sets: DataFrame, id_col: str, items: Column, threshold: float) -> DataFrame:
+    """(a, b): links that connect what `similar` sets connect, with one for each further copy; of a cell of two blocks at most one row a set, however many pairs are candidates or similar."""
+    rows = sets.select(F.col(id_col).cast("long").alias("id"), F.array_distinct(F.array_compact(items.cast("array<string>"))).alias("s")).where(F.size("s") > 0)
+    rows = store.kept(rows.select("id", _hashes(rows, F.col("s")).alias("hs")).withColumn("key", F.unhex(F.sha2(F.to_json("hs"), 256))), "sets")
+    first = store.kept(rows.groupBy("key").agg(F.min("id").alias("class")), "set-classes")
+    copies = rows.select("id", "key").join(first, "key").where("id <> class").select(F.col("id").alias("a"), F.col("class").alias("b"))
+    one = store.kept(rows.join(first.select(F.col("class").alias("id"), "key"), ["id", "key"], "left_semi").select("id", "hs", F.size("hs").alias("n")), "set-firsts")
+    spark = sets.sparkSession
+    places, cells = _blocked(sorted((r["n"], r["count"]) for r in one.groupBy("n").count().collect()), threshold)  # a row a size
+    if not cells:
+        return copies
+    of = [(k, c, k == j, i == j) for c, (i, j) in enumerate(cells) for k in {i, j}]
+    places, of = spark.createDataFrame(places, "n int, first int, parts int"), spark.createDataFrame(of, "block int, cell int, right boolean, alone boolean")
+    placed = one.join(F.broadcast(places), "n").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+    dealt = placed.join(F.broadcast(of), "block").select("cell", "right", "alone", "id", "hs").repartition(min(400, 2 * len(cells)), "cell")
+
+    def run(g: pa.Table) -> pa.Table:
+        a, b = _forest(g.column("id").to_numpy(), g.column("hs").combine_chunks(), g.column("right").to_numpy(), g.column("alone")[0].as_py(), threshold)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("cell").applyInArrow(run, "a long, b long").union(copies)
