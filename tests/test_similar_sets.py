@@ -202,3 +202,18 @@ def test_block_cells():
     at = {s: range(f, f + p) for s, f, p in places}
     assert all((i, j) in cells for x in (1, 2) for y in (2, 7) if x < y and x >= 0.35 * y for i in at[x] for j in at[y])
     assert not any((i, j) in cells for i in at[2] for j in at[50]) and setsim._blocked([], 0.5) == ([], [])
+
+
+@pytest.mark.parametrize("threshold, few", [(0.35, 2000), (0.5, 2000), (1.0, 2000), (0.5, 3)])
+def test_pairs_of_sets_as_bits(spark, sets, monkeypatch, threshold, few):
+    """Sets of few elements are compared as bits of any number of words, by blocks, and pairs are moved no more; more elements go the other way with the same pairs."""
+    monkeypatch.setattr(setsim, "FEW", few)
+    monkeypatch.setattr(setsim, "BITS", (60, 90))
+    monkeypatch.setattr(setsim, "AT_ONCE", 500)
+    got = setsim.pairs(sets, "id", F.col("items"), threshold)
+    rows = got.collect()
+    want = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(sorted((i, s) for i, s in SETS.items() if s), 2) if len(a & b) >= threshold * len(a | b) - 1e-9}
+    assert {(r.a, r.b): r.jaccard for r in rows} == want and len(rows) == len(want) > 40
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert few == 3 or "Join" not in plan.split("RepartitionByExpression")[0] and "MapInArrow" in plan.split("RepartitionByExpression")[0]
+    assert setsim.pairs(sets.limit(0), "id", F.col("items"), threshold).collect() == []

@@ -36,6 +36,8 @@ NEAR = 1e-9
 BLOCK, ELEMENTS = 4096, 1_000_000
 #: Blocks whose links are looked for in memory: about so many, as long as each has no fewer and no more sets, and elements, than these; bits in the sketch of a set for each element.
 BLOCKS, LINKED, HELD, SKETCH = 12, (2048, 65_536), (250_000, 5_000_000), 6
+#: Elements up to which sets travel as bits and all pairs are compared; sets of a block of them; pairs that are compared at once.
+FEW, BITS, AT_ONCE = 512, (256, 4096), 262_144
 #: Ids of a list that is paired with another one, and pairs that a task makes of such lists.
 PACKED, MADE = 256, 4_000_000
 
@@ -279,3 +281,46 @@ def linked(sets: DataFrame, id_col: str, items: Column, threshold: float) -> Dat
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("cell").applyInArrow(run, "a long, b long").union(copies)
+
+
+def pairs(sets: DataFrame, id_col: str, items: Column, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of all pairs of ids, copies included, whose sets are as similar as asked (over 0); an id has one set.
+
+    Where all sets are made of few elements, nearly all share one, prefixes leave nothing out and most pairs are part of the result. There sets travel as
+    bits, a block of them once for each other block, and pairs go from where they are compared to the result, a batch at a time; none is joined or moved.
+    """
+    rows = sets.select(F.col(id_col).cast("long").alias("id"), F.array_distinct(F.array_compact(items.cast("array<string>"))).alias("s")).where("id IS NOT NULL AND size(s) > 0")
+    rows = store.kept(rows, "sets")
+    kinds = sorted(r["e"] for r in rows.select(F.explode("s").alias("e")).distinct().limit(FEW + 1).collect())
+    n = rows.count()
+    if len(kinds) > FEW or not n:
+        return similar(rows, "id", F.col("s"), threshold).expanded().select("a", "b", "jaccard")
+    words = -(-len(kinds) // 64)
+    n_blocks = -(-n // min(BITS[1], max(BITS[0], n // 16)))
+    known = [F.array(*[F.lit(e) for e in kinds[64 * w : 64 * w + 64]]) for w in range(words)]
+    bit = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
+    place = lambda k: F.filter(F.transform("s", lambda e: F.array_position(k, e).cast("int")), lambda at: at > 0)
+    bits = F.array(*[F.aggregate(place(k), F.lit(0).cast("long"), lambda acc, at: acc.bitwiseOR(F.element_at(bit, at))) for k in known])
+    block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
+    packed = rows.select(block.alias("block"), "id", bits.alias("bits")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "bits"))).alias("h"))
+    packed = store.kept(packed.select("block", F.col("h.id").alias("ids"), F.flatten("h.bits").alias("bits")), "set-bits")
+    left = packed.select(F.col("block").alias("i"), F.col("ids").alias("ia"), F.col("bits").alias("sa"), F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1))).alias("block"))
+    cells = left.join(packed.withColumnsRenamed({"ids": "ib", "bits": "sb"}), "block").repartition(n_blocks * (n_blocks + 1) // 2, "i", "block")
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                of = lambda c: batch.column(c)[k].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                same = batch.column("i")[k].as_py() == batch.column("block")[k].as_py()
+                ia, ib, sa, sb = of("ia"), of("ib"), of("sa").view(np.uint64).reshape(-1, words), of("sb").view(np.uint64).reshape(-1, words)
+                na, nb = (np.bitwise_count(x).sum(axis=1, dtype=np.int16) for x in (sa, sb))
+                step = max(1, AT_ONCE // len(ib))
+                for at in range(0, len(ia), step):
+                    few = slice(at, at + step)
+                    common = sum(np.bitwise_count(sa[few, w, None] & sb[None, :, w]).astype(np.int16) for w in range(words))
+                    jaccard = common / (na[few, None] + nb - common)
+                    p, q = np.nonzero((jaccard >= threshold) & (ia[few, None] < ib) if same else jaccard >= threshold)
+                    x, y = ia[few][p], ib[q]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(jaccard[p, q])], ["a", "b", "jaccard"])
+
+    return cells.select("i", "block", "ia", "ib", "sa", "sb").mapInArrow(run, "a long, b long, jaccard double")

@@ -209,7 +209,7 @@ query("set_jaccard_chunks", "WITH l AS (SELECT DISTINCT user_id, floor(value / 1
 
 def _shared(spark, sf, least):
     chunks = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set(F.floor(F.col("value") / 10)).alias("chunks"))
-    return setsim.similar(chunks, "user_id", F.col("chunks"), least).expanded().select("a", "b", "jaccard")
+    return setsim.pairs(chunks, "user_id", F.col("chunks"), least)
 
 
 _KV = "o AS (SELECT user_id AS key, arg_max(value, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id), n AS (SELECT user_id AS key, arg_max(value, event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY user_id)"
