@@ -142,3 +142,18 @@ def test_terms_travel_as_one_string(spark, tmp_path, monkeypatch):
     held = {(r.term, i): n for r in ix._part("blocks", ix.generations()).collect() for i, n in zip(r.ids, r.tfs, strict=True)}
     assert held == {("a", 1): 2, ("b", 1): 1, ("b", 2): 1, ("x_1", 3): 1, ("b", 3): 2}
     assert seen and not any("array" in t for types in seen for _, t in types)
+
+
+def test_blocks_do_not_move_to_meet_their_queries(spark, tmp_path, monkeypatch):
+    """Blocks are filtered where they are read and moved once, to where their range is; with too many pairs of a query and a range they are joined, with the same rows."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("the"), F.concat(F.lit("x"), F.col("id") % 30), F.concat(F.lit("y"), F.col("id") % 7)).alias("text"))
+    asks = spark.createDataFrame([(i, f"the x{i} y{i % 7}") for i in range(30)], "query_id long, query string")
+    ix, got = index.Index(spark, f"file://{tmp_path}/ix", range_=16).append(docs, "doc_id", "text"), {}
+    for most in (index.NAMED, 0):
+        monkeypatch.setattr(index, "NAMED", most)
+        for every in (False, True):
+            hits = ix.search(asks, "doc_id", require_all=every)
+            plan = hits._jdf.queryExecution().optimizedPlan().toString()
+            assert ("array_contains" in plan) == (most > 0)
+            got.setdefault(every, []).append(sorted(tuple(r) for r in hits.collect()))
+    assert got[False][0] == got[False][1] and got[True][0] == got[True][1] and len(got[False][0]) == 300
